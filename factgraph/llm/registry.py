@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import exact_dedup, sharding
+from factgraph.llm import chat, exact_dedup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_prefix_target_chats": chat.op3_prefix_target_chats,
         "op6_jump_shards": sharding.op6_jump_shards,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.SQL}
+    return {"op3_prefix_target_chats": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
