@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import chat, exact_dedup, sharding
+from factgraph.llm import chat, exact_dedup, packing, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_concat_cut": packing.op1_concat_cut,
+        "op2_rank_merged_counts": token_counts.op2_rank_merged_counts,
         "op3_prefix_target_chats": chat.op3_prefix_target_chats,
         "op6_jump_shards": sharding.op6_jump_shards,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
