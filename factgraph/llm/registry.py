@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import chat, exact_dedup, packing, sharding, token_counts
+from factgraph.llm import chat, exact_dedup, packing, sharding, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_concat_cut": packing.op1_concat_cut,
         "op2_rank_merged_counts": token_counts.op2_rank_merged_counts,
         "op3_prefix_target_chats": chat.op3_prefix_target_chats,
+        "op5_window_repeats": substring_dedup.op5_window_repeats,
         "op6_jump_shards": sharding.op6_jump_shards,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
