@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import chat, decontaminate, exact_dedup, near_dedup, packing, sharding, substring_dedup, token_counts
+from factgraph.llm import chat, decontaminate, exact_dedup, near_dedup, packing, quality, sharding, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_window_repeats": substring_dedup.op5_window_repeats,
         "op6_jump_shards": sharding.op6_jump_shards,
         "op7_fast_sketch_near": near_dedup.op7_fast_sketch_near,
+        "op8_attention_quality": quality.op8_attention_quality,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_qgram_leaks": decontaminate.op10_qgram_leaks,
     }
