@@ -157,34 +157,33 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, width: int, budget: in
     return int(cost[d]), int(start[d]), int(place[d] + len(item))
 
 
+def matches(texts: list[str], items: Items) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(row, item) -> (edits, start, end) of the best place; texts in plain form."""
+    whole = "\x00".join(texts)  # q-grams across texts match nothing
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    points = code_points(whole)
+    for item, diagonal in items.candidates(points):
+        found = items.verify(item, diagonal, whole, points)
+        if found and found[0] <= items.edits[item]:
+            row = int(np.searchsorted(starts, found[1], "right")) - 1
+            here = (found[0], int(found[1] - starts[row]), int(found[2] - starts[row]))
+            if here[2] <= len(texts[row]):  # else it leads out of the text
+                best[row, item] = min(best.get((row, item), here), here)
+    return best
+
+
 def scan(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 128):
                 some = batch.slice(low, 128)
-                texts = [plain(t) for t in some.column(1).to_pylist()]
-                whole = "\x00".join(texts)  # q-grams across texts match nothing
-                starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-                best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                points = code_points(whole)
-                for item, diagonal in items.candidates(points):
-                    found = items.verify(item, diagonal, whole, points)
-                    if found and found[0] <= items.edits[item]:
-                        row = int(np.searchsorted(starts, found[1], "right")) - 1
-                        if found[2] > starts[row] + len(texts[row]):
-                            continue  # leads out of the text
-                        key = (row, item)
-                        best[key] = min(best.get(key, found), found)
+                best = matches([plain(t) for t in some.column(1).to_pylist()], items)
                 rows = sorted(best.items())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        some.column(0).take(pa.array([r for (r, _), _ in rows], pa.int64())),
-                        pa.array([items.ids[i] for (_, i), _ in rows], pa.int64()),
-                        pa.array([x[0] for _, x in rows], pa.int64()),
-                        pa.array([int(x[1] - starts[r]) for (r, _), x in rows], pa.int64()),
-                        pa.array([int(x[2] - starts[r]) for (r, _), x in rows], pa.int64()),
-                        pa.array([len(items.texts[i]) for (_, i), _ in rows], pa.int64()),
-                    ],
+                    [some.column(0).take(pa.array([r for (r, _), _ in rows], pa.int64())), pa.array([items.ids[i] for (_, i), _ in rows], pa.int64())]
+                    + [pa.array([x[k] for _, x in rows], pa.int64()) for k in range(3)]
+                    + [pa.array([len(items.texts[i]) for (_, i), _ in rows], pa.int64())],
                     names=["id", "item_id", "edits", "start", "end", "item_chars"],
                 )
 
@@ -193,6 +192,16 @@ def scan(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame
     return rows.mapInArrow(run, f"id {kind}, item_id long, edits long, start long, end long, item_chars long")
 
 
+def item_blocks(benchmark: DataFrame, q: int, rate: float, item_col: str = "item_id", item_text_col: str = "text") -> Iterator[Items]:
+    """The items, in blocks of about BLOCK_CHARS characters."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = total // BLOCK_CHARS + 1
+    for block in range(blocks):
+        rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()
+        yield Items([r["id"] for r in rows], [r["text"] for r in rows], q, rate)
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.08, id_col: str = "doc_id",
     text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -207,20 +216,29 @@ def leaks(
     are reported each; extra columns are ignored; an empty table gives no rows.
     Items are searched in blocks of BLOCK_CHARS characters, one scan of docs a block.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = total // BLOCK_CHARS + 1
-    found = []
-    for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()
-        found.append(scan(docs, Items([r["id"] for r in rows], [r["text"] for r in rows], q, rate), id_col, text_col))
+    found = [scan(docs, items, id_col, text_col) for items in item_blocks(benchmark, q, rate, item_col, item_text_col)]
     return reduce(DataFrame.union, found).withColumnRenamed("id", id_col).withColumnRenamed("item_id", item_col)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that hold an item, with the columns they came with."""
-    drop = leaks(docs, benchmark, id_col=id_col, text_col=text_col).select(id_col).distinct()
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+def clean_documents(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.08, text_col: str = "text") -> DataFrame:
+    """docs without those that hold an item, with the columns they came with.
+
+    Rows are filtered where they are read; nothing is shuffled.
+    """
+    text_at = docs.columns.index(text_col)
+
+    def without(docs: DataFrame, items: Items) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low in range(0, batch.num_rows, 128):
+                    some = batch.slice(low, 128)
+                    keep = np.ones(some.num_rows, bool)
+                    keep[[row for row, _ in matches([plain(t) for t in some.column(text_at).to_pylist()], items)]] = False
+                    yield some.filter(pa.array(keep))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return reduce(without, item_blocks(benchmark, q, rate), docs)
 
 
 def op10_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,10 +208,25 @@ def scores(
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs that the model, trained on them and the labels, does not reject; columns unchanged."""
+    """docs that the model, trained on them and the labels, does not reject; columns unchanged.
+
+    Rows are filtered where they are read; nothing is shuffled.
+    """
     model = train(docs, labels, id_col=id_col, text_col=text_col)
-    drop = scores(docs, model, threshold, id_col, text_col).filter("predicted = 0").select(id_col)
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    if model is None:
+        return docs
+    text_at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                some = batch.slice(low, 64)
+                bags = [encode(t) for t in some.column(text_at).to_pylist()]
+                n = np.array([len(b) for b in bags])
+                yield some.filter(pa.array(model.score(np.concatenate(bags), np.cumsum(n) - n) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

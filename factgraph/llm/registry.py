@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import chat, decontaminate, exact_dedup, near_dedup, packing, quality, sharding, substring_dedup, token_counts
+import corpus_pipeline
+from factgraph.llm import chat, decontaminate, exact_dedup, html_text, near_dedup, packing, quality, sharding, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,12 +15,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_concat_cut": packing.op1_concat_cut,
         "op2_rank_merged_counts": token_counts.op2_rank_merged_counts,
         "op3_prefix_target_chats": chat.op3_prefix_target_chats,
+        "op4_style_tree_text": html_text.op4_style_tree_text,
         "op5_window_repeats": substring_dedup.op5_window_repeats,
         "op6_jump_shards": sharding.op6_jump_shards,
         "op7_fast_sketch_near": near_dedup.op7_fast_sketch_near,
         "op8_attention_quality": quality.op8_attention_quality,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_qgram_leaks": decontaminate.op10_qgram_leaks,
+        "pipeline": corpus_pipeline.run,
     }
 
 
