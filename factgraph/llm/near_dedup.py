@@ -227,9 +227,11 @@ def near_duplicates(
     # one member for each distinct set: the smallest id, with its bands
     chosen = named.groupBy("set").agg(F.min("id").alias("id"))
     own = named.join(chosen.select("id"), "id", "left_semi").select("id", "marks", "bands")
-    keyed = own.select("id", "marks", F.explode("bands").alias("bucket"))
-    shared = own.select(F.explode("bands").alias("bucket")).groupBy("bucket").count().filter("count > 1").select("bucket")
-    buckets = written(keyed.join(shared, "bucket"), "buckets")
+    # sketches travel only to buckets with several members
+    own = written(own, "representatives")
+    keyed = own.select("id", F.explode("bands").alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    buckets = written(keyed.join(shared, "bucket").join(own.select("id", "marks"), "id"), "buckets")
     least = similar_enough(COORDINATES, percent / 100)
     regions = written(
         connected_components(sketch_forest(buckets, least, kind, groups)).select("id", F.col("component").alias("region")), "regions"
