@@ -1 +1 @@
-
+"""Column functions: name and path predicates, severities, labels, namespaces."""

@@ -1 +1 @@
-
+"""Where facts come from: solution discovery, project files, source texts."""

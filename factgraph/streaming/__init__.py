@@ -1 +1 @@
-
+"""Change feeds kept up to date with Structured Streaming."""
