@@ -304,15 +304,15 @@ def dependency_tree(calls: DataFrame, root: str, depth: int = 3) -> DataFrame:
 def module_candidates(name_col):
     """Names that a module may be listed under, first match first; the same again ignoring case."""
     plain = F.array(name_col, F.concat(name_col, F.lit("Module")), F.concat(F.lit("Granit"), name_col, F.lit("Module")))
-    return F.concat(F.transform(plain, lambda x, i: F.struct(x.alias("name"), i.alias("rank"), F.lit(False).alias("fold"))), F.transform(plain, lambda x, i: F.struct(F.lower(x).alias("name"), (i + 3).alias("rank"), F.lit(True).alias("fold"))))
+    return F.concat(F.transform(plain, lambda x, i: F.struct(x.alias("_cand"), i.alias("rank"), F.lit(False).alias("fold"))), F.transform(plain, lambda x, i: F.struct(F.lower(x).alias("_cand"), (i + 3).alias("rank"), F.lit(True).alias("fold"))))
 
 
 def resolve_modules(names: DataFrame, modules: DataFrame, column: str = "name") -> DataFrame:
     """names with `resolved`: the module each one means, null if none."""
     known = last_by(modules.select("module", "project").withColumn("_o", F.lit(0)), ["module"], ["_o", "project"]).select("module")
     asked = names.select(column).distinct().select(column, F.inline(module_candidates(F.col(column))))
-    exact = asked.filter("NOT fold").join(known, F.col("name") == F.col("module"))
-    folded = asked.filter("fold").join(known.withColumn("_l", F.lower("module")), F.col("name") == F.col("_l")).drop("_l")
+    exact = asked.filter("NOT fold").join(known, F.col("_cand") == F.col("module"))
+    folded = asked.filter("fold").join(known.withColumn("_l", F.lower("module")), F.col("_cand") == F.col("_l")).drop("_l")
     best = exact.unionByName(folded).groupBy(F.col(column).alias("_n")).agg(F.min_by("module", F.struct("rank", "module")).alias("resolved"))
     return names.join(best, F.col(column) == F.col("_n"), "left").drop("_n")
 

@@ -35,7 +35,7 @@ TERMINAL_CALLS = (
 )
 ENDPOINT_VERBS = ("Create", "Update", "Delete", "Get", "List", "Search")
 #: Of the secret rule only a description exists; these are its words.
-SECRET = r"(?i)(password\s*=|pwd\s*=|api_?key|secret|connectionstring|bearer\s+[a-z0-9._\-]{8,})"
+SECRET = r"(?i)(password\s*=|pwd\s*=|api_?key|secret|connectionstring|bearer\s+[a-z0-9._\-]{8,}|token\s*[=:]\s*[\"'][a-z0-9_\-]{16,})"
 #: Category of a rule id, for conventions.
 CATEGORIES = {
     "GR-DTO": "naming", "GR-ENDPOINT-PREFIX": "naming", "GR-SECRET": "security", "GR-SYNC-EF": "efcore", "AP009": "efcore",

@@ -1 +1 @@
-
+"""Adapters from plain tables to fact contracts, and the registered queries."""
