@@ -162,7 +162,13 @@ def back_edge_cycles(edges: DataFrame, groups: str | None = None) -> DataFrame:
                 else:
                     todo.pop()
                     del on_path[path.pop()]
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]] * len(found), "nodes": found, "n": [len(x) - 1 for x in found]})
+        return pd.DataFrame(
+            {
+                "grp": pd.Series([pdf["grp"].iloc[0]] * len(found), dtype=object),
+                "nodes": pd.Series(found, dtype=object),
+                "n": pd.Series([len(x) - 1 for x in found], dtype="int32"),
+            }
+        )
 
     rows = ordered.select("grp", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "ord")
     return rows.groupBy("grp").applyInPandas(walk, "grp string, nodes array<string>, n int")

@@ -328,9 +328,10 @@ def find_overrides(t: Tables) -> DataFrame:
     return navigate.find_overrides(base, overrides, "P11").select("display")
 
 
-@query("SELECT '7/' || turn AS display, turn::INT AS depth FROM conversations WHERE conv_id = 7 AND turn > 0")
+@query("SELECT conv_id || '/' || turn AS display, turn::INT AS depth FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations WHERE role = 'system' AND turn = 0) AND turn > 0")
 def implementations(t: Tables) -> DataFrame:
-    return navigate.find_implementations(ad.turn_symbols(t), ad.turn_inherits(t), "7/0").select("display", "depth")
+    first = t.conversations.filter("role = 'system' AND turn = 0").agg(F.min("conv_id")).first()[0]
+    return navigate.find_implementations(ad.turn_symbols(t), ad.turn_inherits(t), f"{first}/0").select("display", "depth")
 
 
 @query("""

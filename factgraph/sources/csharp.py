@@ -8,9 +8,10 @@ filled from declarations in the same file where possible, else left null.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,8 +118,6 @@ def rule_rows(text: str | None) -> list[dict]:
     """Rule nodes of one file, without its project and path."""
     code, literals = masked(text or "")
     starts = [m.end() for m in re.finditer("\n", code)]
-    from bisect import bisect_right
-
     rows: list[dict] = []
 
     def add(at: int, kind: str, **more) -> None:
@@ -184,27 +183,33 @@ def pragma_rows(text: str | None) -> list[tuple[int, str, str]]:
     return out
 
 
+def _arrow_schema() -> pa.Schema:
+    kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in SCHEMA.split(", "))])
+
+
 def rule_nodes(documents: DataFrame) -> DataFrame:
-    """Rule nodes of all documents (project, file_path, text)."""
-    fields = [f.split()[0] for f in SCHEMA.split(", ")]
+    """Rule nodes of all documents (project, file_path, text). A null text has none."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _arrow_schema()
+        for batch in batches:
             rows = []
-            for project, file, text in zip(pdf["project"], pdf["file"], pdf["text"]):
-                for r in rule_rows(text):
-                    rows.append({"project": project, "file": file, "assembly": project, "modifiers": [], "params": [], "args": [], "bases": [], **r})
-            yield pd.DataFrame(rows, columns=fields)
+            for d in batch.to_pylist():
+                own = {"project": d["project"], "file": d["file"], "assembly": d["project"], "modifiers": [], "params": [], "args": [], "bases": []}
+                rows += [own | r for r in rule_rows(d["text"])]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return documents.select("project", F.col("file_path").alias("file"), "text").mapInPandas(run, SCHEMA)
+    return documents.select("project", F.col("file_path").alias("file"), "text").mapInArrow(run, SCHEMA)
 
 
 def pragmas(documents: DataFrame) -> DataFrame:
     """(doc_id, line, action, code) of all documents."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [(i, *r) for i, t in zip(pdf["doc_id"], pdf["text"]) for r in pragma_rows(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "line", "action", "code"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("action", pa.string()), ("code", pa.string())])
+        for batch in batches:
+            rows = [dict(zip(schema.names, (d["doc_id"], *r))) for d in batch.to_pylist() for r in pragma_rows(d["text"])]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, line int, action string, code string")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, action string, code string")
