@@ -78,10 +78,9 @@ class DigestIndex:
         if self.exists():
             known = self.read().select("digest", F.col("keep_id").alias("known_id"))
             new = written(groups.join(known.hint("merge"), "digest", "left_anti"), "new-digests")
-            self_known = groups.join(known.hint("merge"), "digest", "left_semi").select("digest", "rows")
-            old = self_known.join(known, "digest").select(
-                "digest", F.col("known_id").alias("keep_id"), "rows", F.lit(False).alias("is_new")
-            )
+            met = groups.select("digest", "rows").join(known.hint("merge"), "digest")
+            # read before the index grows, so that it doesn't meet this batch's own digests
+            old = written(met.select("digest", F.col("known_id").alias("keep_id"), "rows", F.lit(False).alias("is_new")), "known-digests")
             decided = new.withColumn("is_new", F.lit(True)).unionByName(old)
         else:
             new = written(groups, "new-digests")
