@@ -39,6 +39,9 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
         self.spark, self.name, self.buckets = spark, name, buckets or partitions(spark)
+        if self.exists():  # a table keeps the buckets that it was made with
+            said = spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Num Buckets'").first()
+            self.buckets = int(said["data_type"]) if said else self.buckets
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
