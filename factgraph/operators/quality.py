@@ -113,18 +113,22 @@ def duplicates(bodies: DataFrame, min_statements: int = 5, most: int | None = 20
     """Groups of method bodies with one fingerprint: fingerprint, members, statements, n, similarity.
 
     bodies: display, project, normalized, statements, ord. Groups come in the order of
-    their first member, whose statement count they show. Members grow with a group, so
-    the fingerprint is aggregated before anything is listed.
+    their first member, whose statement count they show.
     """
     rows = bodies.filter((F.col("statements") >= min_statements) & tx.equals_ignore_case(F.col("project"), project))
     rows = rows.withColumn("fingerprint", F.sha2(F.col("normalized"), 256))
-    groups = rows.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.min_by("statements", "ord").alias("statements")).filter("n > 1")
+    # one shuffle of narrow rows; texts stay where they were read
+    groups = (
+        rows.groupBy("fingerprint")
+        .agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.collect_list(F.struct("ord", "display", "statements")).alias("found"))
+        .filter("n > 1")
+    )
     if most is not None:
         groups = groups.orderBy("first").limit(most)
-    members = rows.join(groups.select("fingerprint"), "fingerprint", "left_semi").groupBy("fingerprint").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("ord", "display"))), lambda x: x["display"]).alias("members")
+    found = F.sort_array("found")
+    return groups.select(
+        "fingerprint", F.transform(found, lambda x: x["display"]).alias("members"), F.element_at(found, 1)["statements"].alias("statements"), "n", F.lit(1.0).alias("similarity")
     )
-    return groups.join(members, "fingerprint").select("fingerprint", "members", "statements", "n", F.lit(1.0).alias("similarity"))
 
 
 def test_coverage_map(symbols: DataFrame, *, project: str | None = None, most: int | None = 100) -> DataFrame:
