@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import table
+from factgraph.llm.common import table, written
 
 #: Words of a passage, hashed pair counts, hidden units, and units of the attention gate.
 PASSAGE, PAIRS, HIDDEN, GATE = 100, 256, 24, 16
@@ -146,13 +146,15 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = 4000, id_col: str = "doc_id", text_col: str = "text"
-) -> GatedAttention | None:
-    """Fits the model on at most `most` labelled documents outside the held-out fold.
-
-    The sample is taken by a hash of the id; its features, about 2 KB for 100 words, are
-    all that the driver collects. Texts of the sample are used whole. Null labels are
-    left out. None if no document has a label.
+    docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = 10_000, most_passages: int = 150_000,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> GatedAttention | None:
+    """Fits the model on a bounded sample of labelled documents outside the held-out fold.
+
+    The sample is taken in the order of a hash of the id: at most `most` documents with
+    at most `most_passages` passages together, each text whole. Its features, half a KB a
+    passage, are all that the driver collects. Null labels are left out. None if no
+    document has a label.
     """
     usable = labels.select(id_col, F.col(label_col).cast("int").alias("label")).filter(
         F.col("label").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)
@@ -169,7 +171,10 @@ def train(
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)  # at most `most` rows
-    found = texts.select(F.col(id_col).alias("id"), "label", "text").mapInArrow(encode, f"id {kind}, label int, features binary").toArrow()
+    encoded = written(texts.select(F.col(id_col).alias("id"), "label", "text").mapInArrow(encode, f"id {kind}, label int, features binary"), "sample")
+    so_far = F.sum(F.octet_length("features")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    bounded = encoded.withColumn("so_far", so_far).filter(F.col("so_far") <= most_passages * WIDTH * 2)  # at most `most` rows
+    found = bounded.select("id", "label", "features").toArrow()
     if not found.num_rows:
         return None
     rows = sorted(zip(found.column("id").to_pylist(), found.column("label").to_pylist(), found.column("features").to_pylist()))
