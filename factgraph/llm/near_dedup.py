@@ -264,3 +264,19 @@ def kept_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
 def op7_fast_sketch_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n, sha256(string_agg(g, ' | ' ORDER BY g)) AS h FROM s GROUP BY doc_id),
+m AS (SELECT h, min(doc_id) AS doc_id, any_value(n) AS n FROM n GROUP BY h),
+u AS (SELECT s.* FROM s JOIN m USING (doc_id)),
+j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM j JOIN m x ON a = x.doc_id JOIN m y ON b = y.doc_id WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(id, low) AS (SELECT doc_id, doc_id FROM m UNION SELECT e.b, low FROM r JOIN e ON id = e.a),
+k AS (SELECT id, min(low) AS low FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(k.low, d.doc_id) AS component_id, coalesce(k.low, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON n.h = m.h LEFT JOIN k ON m.doc_id = k.id
+"""

@@ -27,4 +27,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_prefix_target_chats": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {
+        "op3_prefix_target_chats": chat.SQL,
+        "op5_window_repeats": substring_dedup.SQL,
+        "op6_jump_shards": sharding.SQL,
+        "op7_fast_sketch_near": near_dedup.SQL,
+        "op9_exact_dedup": exact_dedup.SQL,
+    }

@@ -92,3 +92,27 @@ def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+  FROM (SELECT unnest(range(256)) AS i)
+), d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents
+), t AS (
+  SELECT doc_id, n + 8 AS size, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])))::BIGINT AS text_crc32
+  FROM d CROSS JOIN c
+), w(doc_id, k, b, j) AS (
+  SELECT DISTINCT doc_id, CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END, -1::BIGINT, 0::BIGINT FROM documents
+  UNION ALL
+  SELECT doc_id, k2, j, floor((j + 1)::DOUBLE * (2147483648::DOUBLE / ((k2 // 8589934592)::DOUBLE + 1)))::BIGINT
+  FROM (SELECT doc_id, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k2, j FROM w WHERE j < 25)
+), s AS (
+  SELECT doc_id, max(b) FILTER (WHERE b < 24)::INT AS shard, max(b) FILTER (WHERE b < 25)::INT AS grown_shard FROM w GROUP BY doc_id
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+FROM t JOIN s USING (doc_id)
+"""

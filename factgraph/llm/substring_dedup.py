@@ -165,3 +165,14 @@ def op5_window_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_removed"),
         F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, unnest(list_transform(range(1, len(w) - 18), lambda p: array_to_string(w[p:p + 19], ' '))) AS g FROM d WHERE len(w) >= 20),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY sha256(g) ORDER BY doc_id, p) > 1 AS again FROM x),
+g AS (SELECT DISTINCT doc_id, p + unnest(range(20)) AS p FROM f WHERE again),
+k AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+r AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM k ANTI JOIN g USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""
