@@ -11,7 +11,8 @@ from factgraph.llm.common import written
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node points its larger neighbours at its smallest neighbour or itself."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    # written, so that both sides of the join are plain shuffles, whose large partitions Spark can split
+    low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "lowest")
     return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
 
 
