@@ -70,8 +70,9 @@ def in_parts(rows: DataFrame, key: str, bytes_col: str, groups: int) -> DataFram
     Keys are dealt to `groups` tasks; the rows of a key with more than PART_BYTES are
     split into parts, and each row goes to every pair of parts that its own is in.
     """
-    parts = rows.groupBy(key).agg(F.ceil(F.sum(bytes_col) / F.lit(PART_BYTES / 2)).cast("int").alias("_parts"))
-    large = parts.filter("_parts > 2").withColumn("_parts", F.col("_parts"))
+    sizes = rows.groupBy(key).agg(F.sum(bytes_col).alias("_bytes"))
+    groups = max(groups, int((sizes.agg(F.sum("_bytes")).first()[0] or 0) // (PART_BYTES // 3)) + 1)
+    large = sizes.filter(F.col("_bytes") > PART_BYTES).select(key, F.ceil(F.col("_bytes") / F.lit(PART_BYTES / 2)).cast("int").alias("_parts"))
     dealt = rows.join(large, key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")
     dealt = dealt.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
