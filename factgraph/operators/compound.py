@@ -47,3 +47,11 @@ def file_overview(facts: FactSet, file: str, nodes: DataFrame, most: int = 50, m
         "diagnostics": inspect.diagnostics(facts["diagnostics"], "file", file).orderBy("line", "id").limit(most),
         "antipatterns": rules.detect_antipatterns(nodes, facts["pragmas"], facts["documents"], file=file, severity="info", most=most_violations),
     }
+
+
+def flattened(parts: dict[str, DataFrame]) -> DataFrame:
+    """The answers in one frame: (part, result), a row each as JSON."""
+    from functools import reduce
+
+    rows = [df.select(F.lit(name).alias("part"), F.to_json(F.struct(*df.columns)).alias("result")) for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows)

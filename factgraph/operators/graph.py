@@ -190,6 +190,20 @@ def bounded_cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
     return out
 
 
+def circular_dependencies(projects: DataFrame, project_refs: DataFrame, type_refs: DataFrame, symbols: DataFrame, scope: str = "projects", project: str | None = None) -> DataFrame:
+    """Cycles of project references or of types, by back edges. A filter keeps edges by their source; targets stay as they are.
+
+    Of types, fields, properties, bases and interfaces count, signatures of methods don't.
+    """
+    if scope.lower() == "types":
+        kept = symbols.filter(tx.contains_ignore_case(F.col("project"), project)).select(F.col("display").alias("src")).distinct()
+        edges = type_refs.filter(F.col("via").isin("field", "property", "base", "interface") & (F.col("src") != F.col("dst")))
+    else:
+        kept = projects.filter(tx.contains_ignore_case(F.col("project"), project)).select(F.col("project").alias("src")).distinct()
+        edges = project_refs
+    return back_edge_cycles(edges.join(kept, "src", "left_semi"))
+
+
 # --- communities ------------------------------------------------------------------------------
 
 
@@ -284,16 +298,20 @@ def dependency_tree(calls: DataFrame, root: str, depth: int = 3) -> DataFrame:
     """The call tree in the order of calls, each symbol expanded once: (pos, path, node, depth).
 
     Later occurrences of an expanded symbol are leaves, repeated calls stay repeated.
-    Only what the root reaches goes to the one task that walks it.
+    Only what the root reaches goes to the one task that walks it. The root is a display
+    string; one that calls nothing is alone, an empty one has no tree.
     """
     start = calls.sparkSession.createDataFrame([(root,)], "id string")
     inside = reachable(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), start, depth)
     own = calls.join(inside.select(F.col("id").alias("caller")), "caller", "left_semi").select(F.lit(0).alias("one"), "caller", "callee", "ord")
+    if root:
+        own = own.unionByName(calls.sparkSession.createDataFrame([(0, root, None, None)], "one int, caller string, callee string, ord long"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         graph: dict[str, list[str]] = {}
         for a, b in pdf.sort_values("ord", kind="stable")[["caller", "callee"]].itertuples(index=False):
-            graph.setdefault(a, []).append(b)
+            if isinstance(b, str):
+                graph.setdefault(a, []).append(b)
         seen, rows, todo = set(), [], [([root], 0)]
         while todo:
             path, d = todo.pop()

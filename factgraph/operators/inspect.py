@@ -73,3 +73,18 @@ def external_source(symbols: DataFrame, documents: DataFrame, name: str, lines:
         "display", F.when(F.col("file").isNotNull(), "sourcelink").otherwise("none").alias("source"), "file",
         F.array_join(F.slice(F.split("text", "\n", -1), 1, lines), "\n").alias("text"),
     )
+
+
+def method_body(symbols: DataFrame, documents: DataFrame, nodes: DataFrame, method: str, class_name: str | None = None) -> DataFrame:
+    """The nodes of a method's body, in the document of its first declaration: display, project, doc_id, node_id, kind, pre.
+
+    A body is a block or an arrow expression. A method without one, or in a file that no project holds, has no rows.
+    """
+    from factgraph.operators.resolve import resolve_method
+
+    one = resolve_method(symbols, method, class_name).select("display", tx.normal_path(F.col("file")).alias("_path"))
+    owners = documents.select("doc_id", "project", "doc_ord", tx.normal_path(F.col("file_path")).alias("_path"))
+    where = owners.join(F.broadcast(one), "_path").orderBy("doc_ord").limit(1)
+    own = nodes.join(F.broadcast(where.select("doc_id", "project", "display")), "doc_id").filter(F.col("owner_symbol") == F.col("display"))
+    body = own.filter(F.col("kind").isin("Block", "ArrowExpressionClause")).groupBy("doc_id").agg(F.min_by(F.struct(F.col("pre").alias("a"), F.col("post").alias("b")), "pre").alias("s"))
+    return own.join(F.broadcast(body), "doc_id").filter(F.col("pre").between(F.col("s.a"), F.col("s.b"))).select("display", "project", "doc_id", "node_id", "kind", "pre")

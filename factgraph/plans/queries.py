@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.functions import text as tx
-from factgraph.operators import closure, graph, inspect, metrics, navigate, quality, resolve, rules
+from factgraph.operators import closure, compound, graph, inspect, metrics, navigate, quality, resolve, rules
 from factgraph.plans import adapters as ad
 from factgraph.plans.adapters import Tables
 from factgraph.sources import discovery
@@ -696,3 +696,134 @@ def solution_discovery(t: Tables) -> DataFrame:
 def stream_latest_per_path(t: Tables) -> DataFrame:
     changes = t.events.select(F.concat_ws("/", F.col("user_id").cast("string"), F.pmod("event_id", F.lit(50)).cast("string")).alias("path"), F.col("props").alias("text"), F.col("ts").alias("changed"), F.col("event_id").alias("seq"))
     return feed.latest_per_path(changes, order=("seq",)).select("path", "seq")
+
+
+# --- 6, 9, 10, 12, 14, 19, 20, 27, 28: sources and predicates on the tables ---------------------------------
+
+
+@query(r"SELECT doc_id, len(regexp_split_to_array(text, '\n')) AS lines, trim(regexp_split_to_array(text, '\n')[2], ' ') AS second FROM documents")
+def context_lines(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("lines"), tx.context_line(F.col("text"), F.lit(2)).alias("second"))
+
+
+@query(r"SELECT path AS doc_id, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM (SELECT doc_id AS path, unnest(regexp_split_to_array(text, '\n')) AS line FROM documents) GROUP BY 1")
+def text_scan(t: Tables) -> DataFrame:
+    lines = discovery.text_lines(t.documents.select(F.col("doc_id").alias("path"), "text"))
+    return lines.groupBy(F.col("path").alias("doc_id")).agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("""
+SELECT page_id, regexp_matches(lower(url || p), '/obj/|/bin/') OR regexp_matches(lower(url || p), '\\.(g|g\\.i|generated|designer|assemblyattributes|assemblyinfo|globalusings\\.g)\\.cs$') AS generated,
+  ends_with(lower(url || p), 'a.cs') AS suffix
+FROM (SELECT *, CASE page_id % 5 WHEN 0 THEN '/Obj/A.cs' WHEN 1 THEN '/A.Designer.cs' WHEN 2 THEN '/A.G.cs' WHEN 3 THEN '/object/a.cs' ELSE '/A.cs' END AS p FROM pages)
+""")
+def path_predicates(t: Tables) -> DataFrame:
+    ends = F.array(*[F.lit(x) for x in ("/Obj/A.cs", "/A.Designer.cs", "/A.G.cs", "/object/a.cs", "/A.cs")])
+    path = F.concat("url", F.element_at(ends, (F.pmod("page_id", F.lit(5)) + 1).cast("int")))
+    return t.pages.select("page_id", tx.is_generated_path(path).alias("generated"), tx.path_ends_with(path, "A.cs").alias("suffix"))
+
+
+@query("""
+SELECT p_partkey, starts_with(n, 'System') OR starts_with(n, 'Microsoft') AS is_system, regexp_matches(lower(n), '\\.(tests|test|unittests|integrationtests)$') AS is_test
+FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'System' WHEN 1 THEN 'Microsoft.' WHEN 2 THEN 'Systematic.' ELSE 'My.' END || p_type || CASE p_partkey % 4 WHEN 0 THEN '.Tests' WHEN 1 THEN '.UnitTests' WHEN 2 THEN 'Tests' ELSE '.test' END AS n FROM part)
+""")
+def name_predicates(t: Tables) -> DataFrame:
+    head = F.element_at(F.array(*map(F.lit, ("System", "Microsoft.", "Systematic.", "My."))), (F.pmod("p_size", F.lit(4)) + 1).cast("int"))
+    tail = F.element_at(F.array(*map(F.lit, (".Tests", ".UnitTests", "Tests", ".test"))), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int"))
+    name = F.concat(head, "p_type", tail)
+    return t.part.select("p_partkey", tx.is_system_namespace(name).alias("is_system"), tx.is_test_project(name).alias("is_test"))
+
+
+@query(r"""
+SELECT CAST(doc_id AS VARCHAR) AS display, 'sourcelink' AS source, CAST(doc_id AS VARCHAR) AS file, array_to_string(regexp_split_to_array(text, '\n')[:60], chr(10)) AS text FROM documents WHERE doc_id = 12
+""")
+def external_source(t: Tables) -> DataFrame:
+    key = F.col("doc_id").cast("string")
+    own = ad.symbols(t.documents, display=key, name=F.concat(F.lit("doc-number-"), key), kind=F.lit("Type"), file=key, sym_ord=F.col("doc_id"))
+    return inspect.external_source(own, t.documents.select(key.alias("file_path"), "text"), "doc-number-12")
+
+
+@query("SELECT r_regionkey, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS result FROM region")
+def json_sink(t: Tables) -> DataFrame:
+    return t.region.select("r_regionkey", F.to_json(F.struct("r_regionkey", "r_name")).alias("result"))
+
+
+# --- 98, 101, 104-106, 114, 116, 119-121: compositions --------------------------------------------------------
+
+
+@query(f"""
+WITH RECURSIVE {NATIONS}, s AS (SELECT n_name FROM nation WHERE lower(n_name) LIKE '%1%'), c(n) AS (SELECT n_name FROM s UNION SELECT dst FROM c JOIN e ON src = n)
+SELECT n AS project, (SELECT count(*) FROM c) AS total FROM c
+""")
+def project_graph_transitive(t: Tables) -> DataFrame:
+    projects = t.nation.select(F.col("n_name").alias("project"), F.lit(None).cast("string").alias("target_framework"), F.col("n_nationkey").alias("ord"))
+    return graph.project_graph(projects, ad.nation_edges(t).withColumn("ord", F.col("weight")), "1", transitive=True, most=None).select("project", "total")
+
+
+@query()
+def circular_dependencies_projects(t: Tables) -> DataFrame:
+    projects = t.nation.select(F.col("n_name").alias("project"))
+    none = ad.symbols(t.nation.limit(0), display=F.col("n_name"))
+    return graph.circular_dependencies(projects, ad.nation_edges(t), none, none).select(F.array_join("nodes", ">").alias("nodes"), "n")
+
+
+def _event_tree(t: Tables) -> DataFrame:
+    """syntax_nodes: a user's events hang from one root block, in their order; clicks are `if`, errors `catch`, purchases literals."""
+    kind = F.when(F.col("event_type") == "click", "IfStatement").when(F.col("event_type") == "error", "CatchClause").when(F.col("event_type") == "purchase", "NumericLiteralExpression").otherwise("ExpressionStatement")
+    own = t.events.select(
+        F.lit(1).cast("long").alias("doc_id"), F.col("event_id").cast("int").alias("node_id"), F.lit(-1).alias("parent_id"), F.col("event_id").cast("int").alias("pre"),
+        F.col("event_id").cast("int").alias("post"), kind.alias("kind"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("owner_symbol"),
+    )
+    return own
+
+
+@query("SELECT 'u' || user_id AS owner_symbol, (count(*) FILTER (WHERE event_type IN ('click', 'error')))::INT AS cognitive FROM events GROUP BY 1")
+def cognitive_complexity(t: Tables) -> DataFrame:
+    return metrics.cognitive(_event_tree(t))
+
+
+@query("""
+SELECT 'u' || user_id AS owner_symbol, sha256(string_agg(CASE event_type WHEN 'click' THEN 'IfStatement' WHEN 'error' THEN 'CatchClause' WHEN 'purchase' THEN 'LIT' ELSE 'ExpressionStatement' END, ' ' ORDER BY event_id)) AS fingerprint,
+  (count(*) FILTER (WHERE event_type NOT IN ('error', 'purchase')))::INT AS statements FROM events GROUP BY 1
+""")
+def body_fingerprints(t: Tables) -> DataFrame:
+    return metrics.normalized_bodies(_event_tree(t)).select("owner_symbol", F.sha2("normalized", 256).alias("fingerprint"), "statements")
+
+
+@query("""
+WITH b AS (SELECT 'u' || user_id AS owner_symbol, (1 + count(*) FILTER (WHERE event_type IN ('click', 'error')))::INT AS cyclomatic, user_id FROM events GROUP BY user_id)
+SELECT owner_symbol, cyclomatic FROM (SELECT * FROM b WHERE cyclomatic >= 20 ORDER BY user_id LIMIT 50)
+""")
+def complexity_metrics(t: Tables) -> DataFrame:
+    users = t.events.select("user_id").distinct()
+    name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    own = ad.symbols(users, display=name, name=name, kind=F.lit("Method"), container_name=F.lit("Users"), sym_ord=F.col("user_id"))
+    return metrics.complexity_metrics(metrics.cyclomatic(_event_tree(t)), own, "users", scope="type", threshold=20).select("owner_symbol", "cyclomatic")
+
+
+@query("""
+SELECT 'callers' AS part, count(*) AS n FROM (SELECT DISTINCT o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey = 7) UNION ALL SELECT 'detail', 1 UNION ALL SELECT 'call_graph', 1
+""")
+def analyze_method(t: Tables) -> DataFrame:
+    from factgraph.schema import FactSet
+
+    methods = ad.symbols(t.part, display=F.col("p_partkey").cast("string"), name=F.concat(F.lit("p"), F.col("p_partkey").cast("string")), kind=F.lit("Method"), sym_ord=F.col("p_partkey"))
+    parts = compound.analyze_method(FactSet(t.spark, {"symbols": methods, "calls": ad.customer_calls(t)}), "p7")
+    return compound.flattened({k: v for k, v in parts.items() if k != "complexity"}).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {_MEMBERS} SELECT 'api' AS part, count(*) AS n FROM m WHERE container = 'Brand#7'
+""")
+def type_overview(t: Tables) -> DataFrame:
+    from factgraph.schema import FactSet
+
+    parts = compound.type_overview(FactSet(t.spark, {"symbols": _member_symbols(t)}), "Brand#7")
+    return compound.flattened(parts).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_EVENT_RULES} SELECT 'antipatterns' AS part, least(count(*), 100) AS n FROM v WHERE id IS NOT NULL AND CAST(event_id AS VARCHAR) LIKE '%7'")
+def file_overview(t: Tables) -> DataFrame:
+    from factgraph.schema import FactSet
+
+    return compound.flattened(compound.file_overview(FactSet(t.spark), "7", _event_nodes(t))).groupBy("part").agg(F.count("*").alias("n"))

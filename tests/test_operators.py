@@ -296,5 +296,43 @@ def test_empty_facts_give_empty_answers(spark):
     assert graph.god_nodes(f["symbols"], f["refs"]).count() == 0
     assert quality.dead_code(f["symbols"], f["refs"]).count() == 0
     assert navigate.find_references(f["symbols"], f["refs"], "x").count() == 0
-    assert graph.dependency_tree(f["calls"], "x").count() == 0
+    assert graph.dependency_tree(f["calls"], "").count() == 0
+    assert rows(graph.dependency_tree(f["calls"], "x")) == [(0, ["x"], "x", 0)]
     assert graph.back_edge_cycles(spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_method_body(spark):
+    s = symbols(spark, {"name": "m", "kind": "Method", "file": "/a.cs"}, {"name": "n", "kind": "Method", "file": "/none.cs"})
+    d = conform(spark.createDataFrame([(1, "Q", "/A.cs", 2), (1, "P", "/a.cs", 1)], "doc_id long, project string, file_path string, doc_ord long"), "documents")
+    n = tree(spark, ("MethodDeclaration", "ParameterList", ("Block", "ReturnStatement")))
+    assert rows(inspect.method_body(s, d, n, "M"), "project", "kind") == [("P", "Block"), ("P", "ReturnStatement")]
+    assert inspect.method_body(s, d, n, "n").count() == 0
+
+
+def test_circular_dependencies_filter_sources(spark):
+    s = symbols(spark, {"name": "A", "project": "P"}, {"name": "B", "project": "Q"})
+    t = spark.createDataFrame([("A", "B", "field", 0), ("B", "A", "base", 1), ("A", "A", "field", 2), ("B", "B", "return", 3)], "src string, dst string, via string, ord int")
+    none = spark.createDataFrame([], "project string")
+    assert rows(graph.circular_dependencies(none, t, t, s, scope="types"), "nodes") == [(["A", "B", "A"],)]
+    assert graph.circular_dependencies(none, t, t, s, scope="types", project="p").count() == 0
+
+
+def test_overviews(spark):
+    from factgraph.operators import compound
+    from factgraph.sources import csharp
+
+    s = symbols(spark, {"name": "I", "type_kind": "interface", "file": "/a.cs", "line": 1}, {"name": "C", "file": "/a.cs", "line": 2}, {"name": "F", "kind": "Method", "container": "I", "accessibility": "Public", "file": "/a.cs"})
+    facts = FactSet(spark, {
+        "symbols": s,
+        "inherits": spark.createDataFrame([("C", "I", "interface")], "child string, parent string, rel string"),
+        "diagnostics": spark.createDataFrame([("P", "/a.cs", 1, "E1", "Error"), ("P", "/a.cs", 2, "I1", "Info")], "project string, file string, line int, id string, severity string"),
+        "documents": spark.createDataFrame([(1, "P", "/a.cs", "await x.F();")], "doc_id long, project string, file_path string, text string"),
+        "calls": spark.createDataFrame([("G", "F", 0), ("F", "H", 0)], "caller string, callee string, ord long"),
+        "syntax_nodes": tree(spark, ("Block", ("IfStatement", "IdentifierName", ("Block",))), "F"),
+    })
+    t = compound.type_overview(facts, "I")
+    assert [rows(t[k], c) for k, c in (("api", "name"), ("implementations", "display"), ("diagnostics", "id"), ("hierarchy", "relation"))] == [[("F",)], [("C",)], [("E1",)], [("derived",)]]
+    f = compound.file_overview(facts, "A.cs", csharp.rule_nodes(facts["documents"]))
+    assert rows(f["types"], "kind") == [("class",), ("interface",)] and rows(f["antipatterns"], "id") == [("GR-CFGAWAIT",)]
+    m = compound.analyze_method(facts, "F")
+    assert rows(m["callers"], "caller") == [("G",)] and rows(m["call_graph"], "node") == [("F",), ("H",)] and rows(m["complexity"], "cyclomatic") == [(2,)]
