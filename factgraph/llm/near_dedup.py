@@ -217,8 +217,10 @@ def near_duplicates(
     runs of k words, or the whole text if it has fewer. Documents are linked when
     100 * |intersection| >= percent * |union|; component_id is the smallest id that
     links reach, and kept marks the rows that have it. A text without words (null
-    too) is linked with nothing. Ids must be unique and not null; of rows that repeat an
-    id all count as that id. Extra columns are ignored; an empty table gives no rows.
+    too) is linked with nothing. Rows that repeat an id share its class if they share
+    its text. A row without an id represents no class: it gets the class of a document
+    with the same set, else none, and is then kept. Extra columns are ignored; an empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -252,7 +254,7 @@ def near_duplicates(
             F.col("id").alias(id_col),
             F.col("n").alias("n_shingles"),
             F.coalesce("component", "id").alias("component_id"),
-            (F.coalesce("component", "id") == F.col("id")).alias("kept"),
+            F.coalesce("component", "id").eqNullSafe(F.col("id")).alias("kept"),
         )
     )
 

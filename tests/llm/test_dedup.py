@@ -158,6 +158,8 @@ def test_near_edges(spark):
     assert near_dedup.near_duplicates(documents(spark, [])).count() == 0
     found = near_dedup.near_duplicates(documents(spark, [None, "", "x y", "x y"], [1, 2, None, 7])).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in found) == [(0, 7), (1, 1), (2, 2), (7, 7)]
+    lone = near_dedup.near_duplicates(documents(spark, ["q r s"], [None])).first()
+    assert (lone.component_id, lone.kept) == (None, True)
     kept = near_dedup.kept_documents(documents(spark, ["a b c", "A b c", None, ""]))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
 
