@@ -80,6 +80,8 @@ def test_back_edges_give_one_cycle(spark):
     assert rows(graph.back_edge_cycles(edges(spark, "A>B B>A")), "nodes") == [(["A", "B", "A"],)]
     # C is finished when B is met again: no second cycle
     assert rows(graph.back_edge_cycles(edges(spark, "A>B B>C C>A A>C")), "nodes") == [(["A", "B", "C", "A"],)]
+    # what leads nowhere is dropped first and changes nothing
+    assert rows(graph.back_edge_cycles(edges(spark, "X>B A>Z B>C C>A A>B Z>Y Y>W W>V V>U")), "nodes") == [(["B", "C", "A", "B"],)]
     # a repeated edge repeats its cycle
     assert graph.back_edge_cycles(edges(spark, "A>B B>A B>A")).count() == 2
 
