@@ -83,8 +83,9 @@ class FactSet(Mapping):
             out.parquet(f"{path}/{name}")
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, names: tuple[str, ...] = tuple(CONTRACTS)) -> FactSet:
-        return cls(spark, {n: spark.read.parquet(f"{path}/{n}") for n in names})
+    def read(cls, spark: SparkSession, path: str, names: tuple[str, ...] = tuple(CONTRACTS), format: str = "parquet") -> FactSet:
+        """Tables that any front end wrote, as Parquet, or as JSON, ORC or CSV by their contracts; nothing is inferred."""
+        return cls(spark, {n: spark.read.schema(contract(n)).format(format).load(f"{path}/{n}") for n in names})
 
 
 class Workspace:
