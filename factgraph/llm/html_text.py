@@ -48,6 +48,10 @@ NOISE_WORDS = frozenset(
     " footer masthead toolbar pagination pager share sharing social comment comments respond reply replies disqus related"
     " recommended widget hidden skip".split()
 )
+#: Tokens of class or id that mean the site's header, outside an article.
+HEADER_TOKENS = frozenset("header site-header page-header global-header main-header top-header topbar top-bar".split())
+#: Noise that is doubted where it holds a declared article: wrappers are often named after what they hold.
+SOFT_TAGS = frozenset(["form", "fieldset"])
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 MAIN_TAGS = frozenset(["article", "main"])
 #: A new one of these ends an open one of those, up to the fence around both.
@@ -73,28 +77,38 @@ class Node(NamedTuple):
     parent: int
     tag: str
     path: int
-    noise: bool
+    noise: int  # 0 none, 1 doubted if an article is below, 2 certain
     main: bool
+    header: bool
 
 
-def declared(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Of an element: its style, whether it declares itself as noise, whether as the article."""
-    style, noise, main = tag, tag in NOISE_TAGS, tag in MAIN_TAGS
+def declared(tag: str, attributes: str) -> tuple[str, int, bool, bool]:
+    """Of an element: its style, how surely it is noise, whether it is the article or a site's header."""
+    style, main, header = tag, tag in MAIN_TAGS, tag == "header"
+    noise = (1 if tag in SOFT_TAGS else 2) if tag in NOISE_TAGS else 0
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
-                style += f".{DIGITS.sub('0', value)}" if name == "class" else ""
-                noise |= tag not in ("html", "body") and not NOISE_WORDS.isdisjoint(WORD.findall(value))
+                if name == "class":
+                    style += f".{DIGITS.sub('0', value)}"
+                tokens = value.split()
+                header |= not HEADER_TOKENS.isdisjoint(tokens)
+                if tag in MAIN_TAGS:  # `has-comments` says something else than `comment`
+                    said = {WORD.findall(t)[0] for t in tokens if WORD.search(t)}
+                else:
+                    said = set(WORD.findall(value))
+                if tag not in ("html", "body", "main") and not NOISE_WORDS.isdisjoint(said):
+                    noise = max(noise, 1)
             elif name == "role":
                 style += f"@{value}"
-                noise |= value in NOISE_ROLES
+                noise = 2 if value in NOISE_ROLES else noise
                 main |= value in ("main", "article")
             elif name == "itemprop":
                 main |= value == "articlebody"
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                noise = True
-    return style, noise, main and not noise
+                noise = 2
+    return style, noise, main and not noise, header
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -103,7 +117,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     A text of None ends a block. End tags without a start are passed over, elements
     left open end with what holds them.
     """
-    nodes, text = [Node(-1, "", 0, False, False)], []
+    nodes, text = [Node(-1, "", 0, 0, False, False)], []
     open_, at, find = [0], 0, TOKEN.search
     while True:
         m = find(page, at)
@@ -149,9 +163,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
                 if own in ENDS[tag]:
                     del open_[i:]
-        style, noise, main = declared(tag, m[3] or m[6] or "")
+        style, noise, main, header = declared(tag, m[3] or m[6] or "")
         parent = open_[-1]
-        nodes.append(Node(parent, tag, xxh3_64_intdigest(style, nodes[parent].path), noise, main))
+        nodes.append(Node(parent, tag, xxh3_64_intdigest(style, nodes[parent].path), noise, main, header))
         own = len(nodes) - 1
         if tag in VOID:
             if tag in ("br", "hr", "wbr"):
@@ -163,29 +177,35 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             open_.append(own)
 
 
-def flags(nodes: list[Node], low: frozenset[int] | set[int]) -> list[bool]:
-    """Which nodes' own text stays."""
-    gone, inside = [False], [False]
-    has_main = False
-    for n in nodes[1:]:
+def flags(nodes: list[Node], low: frozenset[int] | set[int], soft: bool = True) -> list[bool]:
+    """Which nodes' own text stays; soft: doubted noise goes as well, where no article is below it."""
+    holds = [False] * len(nodes)  # a declared article at or below
+    for i in range(len(nodes) - 1, 0, -1):
+        holds[i] |= nodes[i].main
+        if holds[i] and nodes[i].noise < 2:
+            holds[nodes[i].parent] = True
+    gone, inside, has_main = [False], [False], False
+    for i, n in enumerate(nodes[1:], 1):
         in_main = inside[n.parent] or n.main
+        noise = n.noise == 2 or (n.noise == 1 and soft and not holds[i])
         # the heading of an article often stands in a header; a header elsewhere is the site's
-        drop = gone[n.parent] or n.noise or (n.tag == "header" and not inside[n.parent]) or (n.path in low and not in_main)
+        drop = gone[n.parent] or noise or (n.header and not inside[n.parent] and not holds[i]) or (n.path in low and not in_main and not holds[i])
         gone.append(drop)
         inside.append(in_main and not drop)
         has_main |= n.main and not drop
     return [not g and (i or not has_main) for g, i in zip(gone, inside)]
 
 
-def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
+def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset(), soft: bool = True) -> str:
     """Blocks that stay, in page order, joined by an empty line.
 
     In a block character references are decoded and white space becomes one space. low:
     paths of style nodes that the site's tree gives little importance; a page of which
-    nothing else is left keeps them, as on a host of copies of one page.
+    nothing else is left keeps them, as on a host of copies of one page, and then what
+    class names alone call noise.
     """
     nodes, text = parse(page or "")
-    stays = flags(nodes, low)
+    stays = flags(nodes, low, soft)
     blocks, block = [], []
     for node, piece in [*text, (0, None)]:
         if piece is None:
@@ -196,7 +216,9 @@ def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) ->
                 block = []
         elif stays[node]:
             block.append(piece)
-    return "\n\n".join(blocks) if blocks or not low else main_text(page)
+    if not blocks and (low or soft) and len(nodes) > 1:
+        return main_text(page, frozenset(), bool(low))
+    return "\n\n".join(blocks)
 
 
 def style_rows(page: str | None) -> list[tuple[int, int, int, int]]:

@@ -15,6 +15,15 @@ def test_without_an_article():
     assert h.main_text(page) == "H\n\none\n\ntwo three"
 
 
+def test_wrappers_named_after_what_they_hold():
+    assert h.main_text('<div class="with-sidebar"><form><article class="post has-comments"><p>a</p><div class="comments">b</div></article></form></div>') == "a"
+    assert h.main_text('<article class="comment"><p>x</p></article><article><p>a</p></article>') == "a"
+    assert h.main_text('<div class="site-header">top</div><p>a</p>') == "a"
+    assert h.main_text('<article><div class="header"><h1>t</h1></div><p>a</p></article>') == "t\n\na"
+    assert h.main_text('<div class="no-sidebar"><p>all there is</p></div>') == "all there is"
+    assert h.main_text("<nav>menu</nav><aside>x</aside>") == ""
+
+
 def test_broken_pages():
     assert h.main_text(None) == h.main_text("") == h.main_text("<html><body></body></html>") == ""
     assert h.main_text("just < text & more") == "just < text & more"
