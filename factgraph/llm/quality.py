@@ -118,11 +118,14 @@ class GatedAttention:
         return g
 
     def fit(self, bags: list[np.ndarray], label: np.ndarray, epochs: int = 25, rate: float = 0.004, decay: float = 1e-4, seed: int = 7) -> GatedAttention:
-        """Adam on the log loss, in batches of 64 documents."""
+        """Adam on the log loss, in batches of 64 documents; bags may be of half precision, only a batch is widened."""
         r = np.random.default_rng(seed)
-        every = np.concatenate(bags)
-        self.shift = every.mean(0)
-        self.scale = 1 / np.maximum(every.std(0), 0.02)
+        count, total, squares = 0, np.zeros(WIDTH), np.zeros(WIDTH)
+        for low in range(0, len(bags), 256):
+            some = np.concatenate(bags[low : low + 256]).astype(np.float64)
+            count, total, squares = count + len(some), total + some.sum(0), squares + (some * some).sum(0)
+        self.shift = total / count
+        self.scale = 1 / np.maximum(np.sqrt(np.maximum(squares / count - self.shift**2, 0)), 0.02)
         first = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         second, t = {k: np.zeros_like(v) for k, v in first.items()}, 0
         for epoch in range(epochs):
@@ -130,7 +133,7 @@ class GatedAttention:
             for low in range(0, len(order), 64):
                 some = order[low : low + 64]
                 n = np.array([len(bags[i]) for i in some])
-                g = self.gradients(np.concatenate([bags[i] for i in some]), np.cumsum(n) - n, label[some])
+                g = self.gradients(np.concatenate([bags[i] for i in some]).astype(np.float32), np.cumsum(n) - n, label[some])
                 t += 1
                 step = rate * (1 - epoch / epochs) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
                 for k in self.NAMES:
@@ -179,7 +182,7 @@ def train(
         return None
     rows = sorted(zip(found.column("id").to_pylist(), found.column("label").to_pylist(), found.column("features").to_pylist()))
     del found
-    bags = [np.frombuffer(f, np.float16).reshape(-1, WIDTH).astype(np.float32) for _, _, f in rows]
+    bags = [np.frombuffer(f, np.float16).reshape(-1, WIDTH) for _, _, f in rows]
     return GatedAttention().fit(bags, np.array([float(y) for _, y, _ in rows]))
 
 
