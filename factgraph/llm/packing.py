@@ -11,9 +11,9 @@ the last window needs padding.
 
 from __future__ import annotations
 
-import base64
 import json
-import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,8 +24,13 @@ from pyspark.taskcontext import TaskContext
 
 from factgraph.llm.common import table, written
 
-#: Longest run without a split point that the fast encoder gets; its merges are quadratic.
-LONG_RUN = re.compile(r"\S{3000}|\s{3000}|[^\S ]{1500}")
+#: Runs without a split point are sure to be shorter than twice this in texts for the fast encoder; its merges are quadratic.
+STRIDE = 1500
+
+
+def may_run_on(text: str) -> bool:
+    """Whether some stride of the text has no space, or nothing else; looks at a few characters a stride."""
+    return any(text.find(" ", at, at + STRIDE) < 0 or text[at : at + STRIDE].isspace() for at in range(0, len(text) - STRIDE + 1, STRIDE))
 
 
 def byte_to_unicode() -> dict[int, str]:
@@ -35,6 +40,14 @@ def byte_to_unicode() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(moved)}
 
 
+def little_endian(ids: list[int]) -> bytes:
+    """ids as 32-bit numbers, least byte first."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class ByteBpe:
     """ids of a byte-level BPE file of the tokenizers library.
 
@@ -64,7 +77,7 @@ class ByteBpe:
             self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or (len(text) > 1500 and LONG_RUN.search(text)):
+        if self.fast is None or may_run_on(text):
             return self.library.encode(text, add_special_tokens=False).ids
         if any(s in text for s in self.special):
             return self.fast.encode(text, allowed_special="all")
@@ -77,13 +90,14 @@ def token_table(docs: DataFrame, encoder: Callable[[], Callable[[str], list[int]
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, part, start = encoder(), TaskContext.get().partitionId(), 0
         tail = [] if end_id is None else [end_id]
+        tail_blob = little_endian(tail)
         for batch in batches:
             ids_of, texts = batch.column(0), batch.column(1)
             for low in range(0, batch.num_rows, 256):  # bounded memory, however large the batch
                 blobs, counts = [], []
                 for text in texts.slice(low, 256).to_pylist():
                     ids = run(text or "")
-                    blobs.append(np.array(ids + tail, dtype="<u4").tobytes())
+                    blobs.append(little_endian(ids) + tail_blob)
                     counts.append(len(ids) + len(tail))
                 ends = np.cumsum(counts, dtype=np.int64) + start
                 starts, start = ends - counts, int(ends[-1])
