@@ -160,15 +160,19 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, width: int, budget: in
 def matches(texts: list[str], items: Items) -> dict[tuple[int, int], tuple[int, int, int]]:
     """(row, item) -> (edits, start, end) of the best place; texts in plain form."""
     whole = "\x00".join(texts)  # q-grams across texts match nothing
-    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    size = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(size + 1) - size - 1
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     points = code_points(whole)
-    for item, diagonal in items.candidates(points):
-        found = items.verify(item, diagonal, whole, points)
-        if found and found[0] <= items.edits[item]:
-            row = int(np.searchsorted(starts, found[1], "right")) - 1
-            here = (found[0], int(found[1] - starts[row]), int(found[2] - starts[row]))
-            if here[2] <= len(texts[row]):  # else it leads out of the text
+    for item, low in items.candidates(points):
+        e, wanted = int(items.edits[item]), len(items.texts[item])
+        # each text that the band crosses is aligned by itself: an item can be cut off at its ends
+        first = max(0, int(np.searchsorted(starts, low - e, "right")) - 1)
+        last = int(np.searchsorted(starts, low + 2 * (e + 1) + wanted + e, "left"))
+        for row in (first + np.flatnonzero(size[first:last] >= wanted - e)).tolist():
+            start = int(starts[row])
+            here = items.verify(item, low - start, texts[row], points[start : start + len(texts[row])])
+            if here and here[0] <= e:
                 best[row, item] = min(best.get((row, item), here), here)
     return best
 

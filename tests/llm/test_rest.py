@@ -140,6 +140,17 @@ def test_the_filter_loses_nothing():
     assert near >= 120
 
 
+def test_a_leak_cut_at_an_end_of_its_document_is_found_wherever_the_document_stands():
+    item, other = decontaminate.plain(prose(30, 1)), prose(12, 60)
+    items = decontaminate.Items([1], [item], 8, 0.08)
+    for cut in range(1, int(items.edits[0]) + 1):
+        for text in (item[cut:], f"{item[cut:]} {other}", item[:-cut], f"{other} {item[:-cut]}"):
+            alone = decontaminate.matches([text], items)[0, 0]
+            assert alone[0] == distance_inside(item, text) == cut
+            for texts in ([other, text], [other, text, other], [item[:cut], text, item[-cut:]], ["", text, ""]):
+                assert decontaminate.matches(texts, items) == {(1, 0): alone}
+
+
 def test_leak_edges(spark):
     one = benchmark(spark, [(1, prose(30, 1)), (2, None), (3, "short"), (None, prose(30, 2))])
     assert decontaminate.leaks(documents(spark, []), one).count() == 0
