@@ -2,6 +2,9 @@
 
 Each has DuckDB SQL that says the same on the tables, unless SQL can't. Queries return
 all rows; limits occur only where the operator's own top-k is what is shown.
+`control_flow_reach`, `test_coverage_map` and `coverage_totals` read a part of their
+tables, as their SQL does; `control_flow_reach_nations`, `test_coverage_map_customers`
+and `coverage_totals_customers` read whole ones.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from factgraph.operators import closure, compound, graph, inspect, metrics, navi
 from factgraph.plans import adapters as ad
 from factgraph.plans.adapters import Tables
 from factgraph.sources import discovery
+from factgraph.sources.scratch import checkpointed
 from factgraph.streaming import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -556,6 +560,34 @@ def coverage_totals(t: Tables) -> DataFrame:
     return quality.coverage_totals(_coverage(t))
 
 
+_COVERAGE_ALL = """
+WITH x AS (SELECT c_name AS type_name, ['Tests', 'Test', '_Tests', '_Test', 'Specs', 'Spec'] AS suffixes, c_custkey FROM customer),
+y AS (SELECT replace(s_name, 'Supplier', 'customer') || ['Tests', '_Test', 'Spec'][s_suppkey % 3 + 1] AS test, s_suppkey FROM supplier),
+z AS (SELECT c_custkey, type_name, generate_subscripts(suffixes, 1) AS r, type_name || unnest(suffixes) AS test_name FROM x)
+SELECT x.type_name, m.test_name, m.file AS test_file, CASE WHEN m.test_name IS NULL THEN 'uncovered' ELSE 'covered' END AS status
+FROM x LEFT JOIN (SELECT c_custkey, test_name, CAST(s_suppkey AS VARCHAR) AS file, row_number() OVER (PARTITION BY c_custkey ORDER BY r) AS k FROM z JOIN y ON lower(test_name) = lower(test)) m ON m.c_custkey = x.c_custkey AND k = 1
+"""
+
+
+def _coverage_all(t: Tables) -> DataFrame:
+    """All customers are types, all suppliers tests, so both answers occur."""
+    production = ad.symbols(t.customer, display=F.col("c_name"), name=F.col("c_name"), kind=F.lit("Type"), type_kind=F.lit("class"), project=F.lit("Shop"), sym_ord=F.col("c_custkey"))
+    suffix = F.element_at(F.array(F.lit("Tests"), F.lit("_Test"), F.lit("Spec")), (F.pmod("s_suppkey", F.lit(3)) + 1).cast("int"))
+    name = F.concat(F.replace("s_name", F.lit("Supplier"), F.lit("customer")), suffix)
+    tests = ad.symbols(t.supplier, display=name, name=name, kind=F.lit("Type"), type_kind=F.lit("class"), project=F.lit("Shop.Tests"), file=F.col("s_suppkey").cast("string"), sym_ord=F.col("s_suppkey"))
+    return quality.test_coverage_map(production.unionByName(tests), most=None)
+
+
+@query(_COVERAGE_ALL)
+def test_coverage_map_customers(t: Tables) -> DataFrame:
+    return _coverage_all(t)
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE status = 'covered') AS covered, count(*) FILTER (WHERE status = 'uncovered') AS uncovered FROM ({_COVERAGE_ALL})")
+def coverage_totals_customers(t: Tables) -> DataFrame:
+    return quality.coverage_totals(_coverage_all(t))
+
+
 @query("SELECT source, count(*) AS total, count(l.doc_id) AS covered FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1")
 def labelled_share(t: Tables) -> DataFrame:
     known = t.labels.select("doc_id", F.lit(True).alias("has")).distinct()
@@ -674,6 +706,26 @@ def control_flow_reach(t: Tables) -> DataFrame:
     return metrics.control_flow(edges.withColumn("kind", kind))
 
 
+@query(f"""
+WITH RECURSIVE {NATIONS},
+k AS (SELECT m.n_name AS method, CASE WHEN src = m.n_name THEN 0 ELSE a.n_nationkey + 1 END AS src, CASE WHEN dst = m.n_name THEN 0 ELSE b.n_nationkey + 1 END AS dst,
+  CASE WHEN a.n_regionkey = b.n_regionkey THEN 'return' WHEN dst < src THEN 'end' ELSE 'goto' END AS kind
+  FROM nation m CROSS JOIN e JOIN nation a ON a.n_name = src JOIN nation b ON b.n_name = dst),
+r(method, block) AS (SELECT DISTINCT method, 0 FROM k UNION SELECT r.method, dst FROM r JOIN k ON k.method = r.method AND k.src = r.block),
+l AS (SELECT k.* FROM k JOIN r ON r.method = k.method AND r.block = k.src)
+SELECT n.method, n.reachable, exits, returns, end_reachable FROM (SELECT method, count(*) AS reachable FROM r GROUP BY 1) n
+LEFT JOIN (SELECT method, count(*) FILTER (WHERE kind = 'return') AS exits, count(*) FILTER (WHERE kind = 'return') AS returns, count(*) FILTER (WHERE kind = 'end') > 0 AS end_reachable FROM l GROUP BY 1) c USING (method)
+""")
+def control_flow_reach_nations(t: Tables) -> DataFrame:
+    """Each nation is a method that enters the whole nation graph at itself."""
+    node = lambda x: t.nation.select(F.col("n_name").alias(x), F.col("n_nationkey").alias(f"{x}_key"), F.col("n_regionkey").alias(f"{x}_region"))
+    edges = ad.nation_edges(t).select("src", "dst").join(node("src"), "src").join(node("dst"), "dst").crossJoin(t.nation.select(F.col("n_name").alias("method")))
+    block = lambda x: F.when(F.col(x) == F.col("method"), 0).otherwise(F.col(f"{x}_key") + 1).cast("int").alias(x)
+    kind = F.when(F.col("src_region") == F.col("dst_region"), "return").when(F.col("dst") < F.col("src"), "end").otherwise("goto")
+    # each round of the walk would repeat the joins that make the graph
+    return metrics.control_flow(checkpointed(edges.select("method", block("src"), block("dst"), kind.alias("kind"))))
+
+
 @query("SELECT round(median(1 - response / source), 6) AS median_reduction, round(1 - sum(response) / sum(source), 6) AS pooled_reduction, count(*) AS n FROM (SELECT least(length(text), 500)::DOUBLE AS response, n_chars::DOUBLE AS source FROM documents WHERE n_chars > 0)")
 def token_reduction(t: Tables) -> DataFrame:
     rows = t.documents.filter("n_chars > 0").select(F.least(F.length("text"), F.lit(500)).cast("double").alias("response"), F.col("n_chars").cast("double").alias("source"))

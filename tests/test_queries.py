@@ -46,5 +46,16 @@ def test_query(spark, db, name):
     assert canonical(found) == canonical(expected)
 
 
+def test_whole_tables(spark, db):
+    """Nothing is left out by an id: every nation is entered, every customer looked up."""
+    count = lambda name: db.execute(f"SELECT count(*) FROM {name}").fetchone()[0]
+    run = lambda name: entry.queries()[name](spark, FOLDER)
+    flow = run("control_flow_reach_nations").collect()
+    assert len({r.method for r in flow}) == len(flow) == count("nation") and max(r.reachable for r in flow) > 1
+    assert run("test_coverage_map_customers").count() == count("customer")
+    totals = run("coverage_totals_customers").first()
+    assert (totals.total, totals.covered) == (count("customer"), count("supplier")) and totals.uncovered > 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() >= 0
