@@ -67,7 +67,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Every attribute in full, so that nothing within a value is taken for a name.
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?""")
 WORD = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
 SPACE = re.compile(r"\s+")
@@ -87,8 +88,10 @@ def declared(tag: str, attributes: str) -> tuple[str, int, bool, bool]:
     style, main, header = tag, tag in MAIN_TAGS, tag == "header"
     noise = (1 if tag in SOFT_TAGS else 2) if tag in NOISE_TAGS else 0
     if attributes:
-        for m in ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        seen: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(attributes):  # of a name given twice the first counts
+            seen.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+        for name, value in seen.items():
             if name in ("class", "id"):
                 if name == "class":
                     style += f".{DIGITS.sub('0', value)}"

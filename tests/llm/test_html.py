@@ -36,6 +36,18 @@ def test_broken_pages():
     assert h.main_text("<article>" + "<div>" * 3000 + "deep") == "deep"
 
 
+def test_words_within_values_are_no_attributes():
+    kept = [
+        'title="The hidden valley"', "title='hidden'", 'data-id="ad-17"', 'data-x="a" title="role=navigation class=ad"', "data-class=ad", "title=hidden/hidden", 'x:hidden="1"',
+        'title="display: none" data-style="display:none"', 'class="a" class="ad"',
+    ]
+    for a in kept:
+        assert h.main_text(f"<div {a}><article><p {a}>a</p></article></div>") == "a", a
+    assert h.main_text('<article><p>b <a href="/guides/hidden-costs">c</a> <a href="/p?id=related">d</a> <a href=/p?id=related>e</a></p></article>') == "b c d e"
+    for a in ("hidden", "title='x'hidden", "HIDDEN=''", 'class = "ad"', "class=ad", "aria-hidden=true", 'title="x" role=\'navigation\'', "style=display:none"):
+        assert h.main_text(f"<article><p>a</p><div {a}>b</div></article>") == "a", a
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "x", 1, 2, "h") for r in rows], "page_id long, url string, html string, id string, salt int, low int, host string")
 
