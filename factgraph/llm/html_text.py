@@ -48,6 +48,14 @@ NOISE_WORDS = frozenset(
     " footer masthead toolbar pagination pager share sharing social comment comments respond reply replies disqus related"
     " recommended widget hidden skip".split()
 )
+#: Words that say nothing of what an element holds: `share-box` is as clear as `share`, `hljs-comment` is not.
+VAGUE_WORDS = frozenset(
+    "area articles bar block body box button buttons card container content form group icon icons inner item items link links list outer"
+    " panel post posts row section stories teaser text thread title wrap wrapper".split()
+)
+#: Slugs of titles and names of highlighted code stand on these; what they say in part says nothing.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CODE_TAGS = frozenset(["pre", "code"])
 #: Tokens of class or id that mean the site's header, outside an article.
 HEADER_TOKENS = frozenset("header site-header page-header global-header main-header top-header topbar top-bar".split())
 #: Noise that is doubted where it holds a declared article: wrappers are often named after what they hold.
@@ -74,19 +82,41 @@ DIGITS = re.compile(r"\d+")
 SPACE = re.compile(r"\s+")
 
 
+#: How surely an element is noise: a name says so in part; a name says so; a tag or a role does.
+NONE, HINTED, NAMED, CERTAIN = range(4)
+
+
 class Node(NamedTuple):
     parent: int
     tag: str
     path: int
-    noise: int  # 0 none, 1 doubted if an article is below, 2 certain
+    noise: int  # NONE to CERTAIN
     main: bool
     header: bool
 
 
+def named(tag: str, name: str, tokens: list[str]) -> int:
+    """What an element's class or id says of it.
+
+    A token counts whole: each of its words is noise, or vague beside one that is. Of
+    other tokens a word is a hint, but not on articles, sections, headings and inline
+    elements; and no id of the last two counts.
+    """
+    inline = tag not in BLOCK
+    if name == "id" and (inline or tag in HEADINGS):
+        return NONE
+    said = [set(WORD.findall(t)) for t in tokens]
+    noisy = [w for w in said if not NOISE_WORDS.isdisjoint(w)]
+    if any(w <= NOISE_WORDS | VAGUE_WORDS for w in noisy):
+        return NAMED
+    quiet = inline or tag in HEADINGS or tag in MAIN_TAGS or tag == "section"
+    return HINTED if noisy and not quiet else NONE
+
+
 def declared(tag: str, attributes: str) -> tuple[str, int, bool, bool]:
     """Of an element: its style, how surely it is noise, whether it is the article or a site's header."""
     style, main, header = tag, tag in MAIN_TAGS, tag == "header"
-    noise = (1 if tag in SOFT_TAGS else 2) if tag in NOISE_TAGS else 0
+    noise = (NAMED if tag in SOFT_TAGS else CERTAIN) if tag in NOISE_TAGS else NONE
     if attributes:
         seen: dict[str, str] = {}
         for m in ATTRIBUTE.finditer(attributes):  # of a name given twice the first counts
@@ -97,21 +127,17 @@ def declared(tag: str, attributes: str) -> tuple[str, int, bool, bool]:
                     style += f".{DIGITS.sub('0', value)}"
                 tokens = value.split()
                 header |= not HEADER_TOKENS.isdisjoint(tokens)
-                if tag in MAIN_TAGS:  # `has-comments` says something else than `comment`
-                    said = {WORD.findall(t)[0] for t in tokens if WORD.search(t)}
-                else:
-                    said = set(WORD.findall(value))
-                if tag not in ("html", "body", "main") and not NOISE_WORDS.isdisjoint(said):
-                    noise = max(noise, 1)
+                if tag not in ("html", "body", "main"):
+                    noise = max(noise, named(tag, name, tokens))
             elif name == "role":
                 style += f"@{value}"
-                noise = 2 if value in NOISE_ROLES else noise
+                noise = CERTAIN if value in NOISE_ROLES else noise
                 main |= value in ("main", "article")
             elif name == "itemprop":
                 main |= value == "articlebody"
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                noise = 2
-    return style, noise, main and not noise, header
+                noise = CERTAIN
+    return style, noise, main and noise <= HINTED, header
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -181,19 +207,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
 
 def flags(nodes: list[Node], low: frozenset[int] | set[int], soft: bool = True) -> list[bool]:
-    """Which nodes' own text stays; soft: doubted noise goes as well, where no article is below it."""
+    """Which nodes' own text stays; soft: what names call noise goes as well, where no article is below it.
+
+    Not in code, where names are the highlighter's. Inside an article a hint alone
+    removes nothing but what the site's tree gives little importance.
+    """
     holds = [False] * len(nodes)  # a declared article at or below
     for i in range(len(nodes) - 1, 0, -1):
         holds[i] |= nodes[i].main
-        if holds[i] and nodes[i].noise < 2:
+        if holds[i] and nodes[i].noise < CERTAIN:
             holds[nodes[i].parent] = True
-    gone, inside, has_main = [False], [False], False
+    gone, inside, code, has_main = [False], [False], [False], False
     for i, n in enumerate(nodes[1:], 1):
         in_main = inside[n.parent] or n.main
-        noise = n.noise == 2 or (n.noise == 1 and soft and not holds[i])
+        doubted = n.noise == NAMED or (n.noise == HINTED and (not inside[n.parent] or n.path in low))
+        noise = n.noise == CERTAIN or (doubted and soft and not holds[i] and not code[n.parent])
         # the heading of an article often stands in a header; a header elsewhere is the site's
         drop = gone[n.parent] or noise or (n.header and not inside[n.parent] and not holds[i]) or (n.path in low and not in_main and not holds[i])
         gone.append(drop)
+        code.append(code[n.parent] or n.tag in CODE_TAGS)
         inside.append(in_main and not drop)
         has_main |= n.main and not drop
     return [not g and (i or not has_main) for g, i in zip(gone, inside)]

@@ -48,6 +48,29 @@ def test_words_within_values_are_no_attributes():
         assert h.main_text(f"<article><p>a</p><div {a}>b</div></article>") == "a", a
 
 
+def test_names_that_say_noise_in_part():
+    kept = [
+        '<h2 id="social-policy">b</h2>', '<h2 id="related-work">b</h2>', '<h3 id="comments">b</h3>', '<section id="search-menu">b</section>', '<section class="social-policy">b</section>',
+        '<pre><span class="hljs-comment">b</span></pre>', '<pre><code><span class="token comment">b</span></code></pre>', '<p><span class="hljs-comment">b</span></p>',
+        '<div id="comment-syntax">b</div>', '<p class="widget-theory">b</p>', '<p><a id="notice">b</a></p>',
+    ]
+    for x in kept:
+        assert h.main_text(f"<article><p>a</p>{x}</article>") == "a\n\nb", x
+    for x in kept[:8]:  # nor without an article
+        assert h.main_text(f"<p>a</p>{x}") == "a\n\nb", x
+    for x in ('<div class="share-box">b</div>', '<section id="comments">b</section>', '<ul class="post related-posts">b</ul>', '<div id="comment-12">b</div>', '<p><a class="skip-link">b</a></p>'):
+        assert h.main_text(f"<article><p>a</p>{x}</article>") == "a", x
+    assert h.main_text('<article class="related-research"><p>a</p></article><p>out</p>') == "a"
+    assert h.main_text('<div role="main" class="with-sidebar"><p>a</p></div><p>out</p>') == "a"
+    assert h.main_text('<p>a</p><div class="site-navigation">b</div>') == "a"
+
+
+def test_the_tree_decides_about_hints_inside_an_article(spark):
+    body = '<article><p>story {0}</p><div class="acme-widget-x">Same here</div><div class="acme-widget-y">note {0}</div></article>'
+    found = h.extract(pages(spark, [(i, "http://a.example/", body.format(i)) for i in range(9)]))
+    assert {r.page_id: r.text for r in found.collect()} == {i: f"story {i}\n\nnote {i}" for i in range(9)}
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "x", 1, 2, "h") for r in rows], "page_id long, url string, html string, id string, salt int, low int, host string")
 
