@@ -78,16 +78,14 @@ class DigestIndex:
         groups = rows.groupBy(F.col("_digest").alias("digest")).agg(
             F.min("_id").alias("keep_id"), F.count("*").alias("rows")
         )
-        if self.exists():
-            known = self.read().select("digest", F.col("keep_id").alias("known_id"))
-            new = written(groups.join(known.hint("merge"), "digest", "left_anti"), "new-digests")
-            met = groups.select("digest", "rows").join(known.hint("merge"), "digest")
-            # read before the index grows, so that it doesn't meet this batch's own digests
-            old = written(met.select("digest", F.col("known_id").alias("keep_id"), "rows", F.lit(False).alias("is_new")), "known-digests")
-            decided = new.withColumn("is_new", F.lit(True)).unionByName(old)
-        else:
-            new = written(groups, "new-digests")
-            decided = new.withColumn("is_new", F.lit(True))
+        if not self.exists():  # empty at first, so that every batch takes the same way
+            self.append(groups.sparkSession.createDataFrame([], groups.schema))
+        known = self.read().select("digest", F.col("keep_id").alias("known_id"))
+        new = written(groups.join(known.hint("merge"), "digest", "left_anti"), "new-digests")
+        met = groups.select("digest", "rows").join(known.hint("merge"), "digest")
+        # read before the index grows, so that it doesn't meet this batch's own digests
+        old = written(met.select("digest", F.col("known_id").alias("keep_id"), "rows", F.lit(False).alias("is_new")), "known-digests")
+        decided = new.withColumn("is_new", F.lit(True)).unionByName(old)
         self.append(new)
         return rows.join(decided, rows["_digest"] == decided["digest"]).select(
             F.col("_id").alias(id_col), "digest", "keep_id", F.col("rows").alias("group_size"), "is_new"

@@ -86,6 +86,14 @@ def test_exact_against_an_index(spark):
     index.drop()
 
 
+def test_a_first_batch_meets_the_index_by_an_anti_join(spark, monkeypatch):
+    plans, write = {}, exact_dedup.written
+    monkeypatch.setattr(exact_dedup, "written", lambda df, what: plans.setdefault(what, df._jdf.queryExecution().executedPlan().toString()) and write(df, what))
+    assert exact_dedup.exact_dedup(documents(spark, ["a", "b", "a"])).filter("kept").count() == 2
+    plan = plans["new-digests"]
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
+
+
 def test_exact_edges(spark):
     assert exact_dedup.exact_dedup(documents(spark, [])).count() == 0
     found = exact_dedup.exact_dedup(documents(spark, [None, "", "x"], [None, 3, 3])).collect()
