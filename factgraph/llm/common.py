@@ -56,6 +56,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_own_ids(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """docs and a column `name` that tells its rows apart and follows the order of their ids.
+
+    That is the id itself, unless ids are null or repeated. Then the rows are sorted by
+    id, null ones last, and by a hash of the text, numbered, and written once, so that
+    the numbers stay.
+    """
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("rows"))
+    if ids.filter("id IS NULL OR rows > 1").isEmpty():
+        return docs.withColumn(name, F.col(id_col))
+    ordered = docs.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(text_col))
+    return written(ordered.withColumn(name, F.monotonically_increasing_id()), "own-ids")
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove every table that written() made in this application."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))

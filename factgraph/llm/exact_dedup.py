@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import SPACE, partitions, table, written
+from factgraph.llm.common import SPACE, partitions, table, with_own_ids, written
 
 
 def normalised(text: Column) -> Column:
@@ -113,9 +113,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies, with the columns they came with."""
-    drop = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(id_col)
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    """docs without the copies, with the columns they came with.
+
+    One row of each text stays, that with the smallest id, null ids last. Rows are told
+    apart by themselves: ids can be null, and be repeated with the same text or others.
+    """
+    rows = with_own_ids(docs, id_col, text_col, "_row")
+    drop = exact_dedup(rows, "_row", text_col).filter(~F.col("kept")).select("_row")
+    return rows.join(drop, "_row", "left_anti").select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

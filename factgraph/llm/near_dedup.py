@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from factgraph.llm.common import partitions, table, written
+from factgraph.llm.common import partitions, table, with_own_ids, written
 from factgraph.llm.components import connected_components
 from factgraph.llm.sketch import bands, shingles, similar_enough, sketch
 from factgraph.llm.words import Powers
@@ -260,9 +260,15 @@ def near_duplicates(
 
 
 def kept_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class, with the columns they came with."""
-    drop = near_duplicates(docs, k, percent, id_col, text_col).filter("NOT kept").select(id_col)
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    """docs with one document of each class, with the columns they came with.
+
+    That with the smallest id stays, null ids last. Rows are told apart by themselves:
+    ids can be null, and be repeated with the same text or others. Texts without words
+    belong to no class and stay.
+    """
+    rows = with_own_ids(docs, id_col, text_col, "_row")
+    drop = near_duplicates(rows, k, percent, "_row", text_col).filter("NOT kept").select("_row")
+    return rows.join(drop, "_row", "left_anti").select(*docs.columns)
 
 
 def op7_fast_sketch_near(spark: SparkSession, sf_dir: str) -> DataFrame:

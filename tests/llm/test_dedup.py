@@ -108,6 +108,16 @@ def test_exact_like_sql(spark, odd, tmp_path):
     assert sorted(tuple(r) for r in exact_dedup.op9_exact_dedup(spark, str(tmp_path)).collect()) == expected
 
 
+def test_kept_documents_go_by_rows(spark):
+    """Null ids, ids with several texts, and the same row twice: one row of each text stays."""
+    texts = ["q r s t u v", "x y z a b c", "q r s t u v", "n m l k j i", "n m l k j i", "q r s t u v", "o p o p o p o p", "o p o p o p o p"]
+    docs = documents(spark, texts, [1, 2, 2, 3, 3, None, None, None]).repartition(3)
+    expected = [(1, "q r s t u v"), (2, "x y z a b c"), (3, "n m l k j i"), (None, "o p o p o p o p")]
+    for kept in (exact_dedup.kept_documents(docs), near_dedup.kept_documents(docs)):
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(expected, key=repr)
+
+
 # --- near -----------------------------------------------------------------------------------
 
 
