@@ -104,11 +104,11 @@ def complexity(nodes: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def complexity_metrics(metrics: DataFrame, symbols: DataFrame, name: str | None = None, scope: str = "method", class_name: str | None = None, threshold: int = 0, most: int = 50, strict_topk: bool = False) -> DataFrame:
+def complexity_metrics(metrics: DataFrame, symbols: DataFrame, name: str | None = None, scope: str = "method", class_name: str | None = None, threshold: int = 0, most: int | None = 50, strict_topk: bool = False) -> DataFrame:
     """Metrics of one method, of a type's or a project's methods.
 
     For a type or project those of at least the threshold are cut to the first `most`
-    in the order of scanning and then sorted; strict_topk sorts first.
+    in the order of scanning and then sorted; strict_topk sorts first. None: no cut.
     """
     rows = metrics.join(symbols.select(F.col("display").alias("owner_symbol"), "name", "container_name", "project", "file", "line", "sym_ord"), "owner_symbol")
     if scope.lower() == "method":
@@ -116,6 +116,8 @@ def complexity_metrics(metrics: DataFrame, symbols: DataFrame, name: str | None
         return found.orderBy("sym_ord").limit(1)
     found = rows.filter(tx.equals_ignore_case(F.col("container_name" if scope.lower() == "type" else "project"), name) & (F.col("cyclomatic") >= threshold))
     by_value = [F.desc("cyclomatic"), F.asc("sym_ord")]
+    if most is None:
+        return found.orderBy(*by_value)
     return found.orderBy(*by_value).limit(most) if strict_topk else found.orderBy("sym_ord").limit(most).orderBy(*by_value)
 
 

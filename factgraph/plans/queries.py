@@ -4,7 +4,8 @@ Each has DuckDB SQL that says the same on the tables, unless SQL can't. Queries
 all rows; limits occur only where the operator's own top-k is what is shown.
 `control_flow_reach`, `test_coverage_map` and `coverage_totals` read a part of their
 tables, as their SQL does; `control_flow_reach_nations`, `test_coverage_map_customers`
-and `coverage_totals_customers` read whole ones.
+and `coverage_totals_customers` read whole ones. `complexity_metrics` gives the first 50
+in the order of scanning, the reference's default; `complexity_metrics_all` gives all.
 """
 
 from __future__ import annotations
@@ -397,7 +398,7 @@ WITH RECURSIVE {NATIONS}, c(a, b, d) AS (SELECT src, dst, 1 FROM e UNION SELECT
 
 @query(_CLOSED + "SELECT a AS src, b AS dst, min(d) AS depth FROM c GROUP BY 1, 2")
 def transitive_closure(t: Tables) -> DataFrame:
-    return closure.transitive_closure(ad.nation_edges(t), max_depth=4)
+    return closure.transitive_closure(ad.nation_edges(t), max_depth=None)
 
 
 _START = "(SELECT src FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
@@ -847,10 +848,19 @@ WITH b AS (SELECT 'u' || user_id AS owner_symbol, (1 + count(*) FILTER (WHERE ev
 SELECT owner_symbol, cyclomatic FROM (SELECT * FROM b WHERE cyclomatic >= 20 ORDER BY user_id LIMIT 50)
 """)
 def complexity_metrics(t: Tables) -> DataFrame:
+    return _complexity(t, 50)
+
+
+@query("SELECT * FROM (SELECT 'u' || user_id AS owner_symbol, (1 + count(*) FILTER (WHERE event_type IN ('click', 'error')))::INT AS cyclomatic FROM events GROUP BY user_id) WHERE cyclomatic >= 20")
+def complexity_metrics_all(t: Tables) -> DataFrame:
+    return _complexity(t, None)
+
+
+def _complexity(t: Tables, most: int | None) -> DataFrame:
     users = t.events.select("user_id").distinct()
     name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     own = ad.symbols(users, display=name, name=name, kind=F.lit("Method"), container_name=F.lit("Users"), sym_ord=F.col("user_id"))
-    return metrics.complexity_metrics(metrics.cyclomatic(_event_tree(t)), own, "users", scope="type", threshold=20).select("owner_symbol", "cyclomatic")
+    return metrics.complexity_metrics(metrics.cyclomatic(_event_tree(t)), own, "users", scope="type", threshold=20, most=most).select("owner_symbol", "cyclomatic")
 
 
 @query("""

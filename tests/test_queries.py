@@ -57,5 +57,15 @@ def test_whole_tables(spark, db):
     assert (totals.total, totals.covered) == (count("customer"), count("supplier")) and totals.uncovered > 0
 
 
+def test_no_caps(spark, monkeypatch):
+    nodes = [f"n{i}" for i in range(8)]
+    chain = spark.createDataFrame([(a, b, 1) for a, b in zip(nodes, nodes[1:])], "src string, dst string, weight long")
+    monkeypatch.setattr(entry.plans.ad, "nation_edges", lambda t: chain)
+    assert entry.queries()["transitive_closure"](spark, FOLDER).count() == 7 * 8 // 2
+    monkeypatch.setattr(entry.plans, "Tables", lambda spark, folder: type("T", (), {"events": events})())
+    events = spark.range(60 * 19).selectExpr("id AS event_id", "id % 60 AS user_id", "'click' AS event_type")
+    assert entry.queries()["complexity_metrics_all"](spark, FOLDER).count() == 60
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() >= 0
