@@ -75,7 +75,10 @@ class Items:
         self.q, self.ids = q, ids
         self.texts = [plain(t) for t in texts]
         size = np.array([len(t) for t in self.texts], np.int64)
-        self.usable = size >= q
+        #: items without q-grams, by the number of their words: plain form -> items
+        self.short: dict[int, dict[str, list[int]]] = {}
+        for i in np.flatnonzero((size > 0) & (size < q)).tolist():
+            self.short.setdefault(self.texts[i].count(" ") + 1, {}).setdefault(self.texts[i], []).append(i)
         self.edits = np.maximum(0, np.minimum((size * rate).astype(np.int64), (size - q) // q))
         self.least = np.maximum(1, size - q + 1 - q * self.edits)
         grams = [gram_hashes(code_points(t), q) for t in self.texts]
@@ -174,6 +177,13 @@ def matches(texts: list[str], items: Items) -> dict[tuple[int, int], tuple[int,
             here = items.verify(item, low - start, texts[row], points[start : start + len(texts[row])])
             if here and here[0] <= e:
                 best[row, item] = min(best.get((row, item), here), here)
+    for row, text in enumerate(texts if items.short else ()):
+        words = text.split(" ")
+        for n, wanted in items.short.items():
+            runs = words if n == 1 else map(" ".join, zip(*(words[k:] for k in range(n))))
+            for found in wanted.keys() & set(runs):
+                start = f" {text} ".index(f" {found} ")
+                best |= {(row, item): (0, start, start + len(found)) for item in wanted[found]}
     return best
 
 
@@ -215,8 +225,9 @@ def leaks(
     Texts are compared in lower case with each run of other characters than letters and
     digits as one space; start and end are code points of that form. An item counts as
     present with at most rate * item_chars edits; of several places the one with the
-    fewest edits, then the first, is given. Items shorter than q characters can't be
-    told from chance and are not searched. Null texts are empty; repeated rows and items
+    fewest edits, then the first, is given. Items shorter than q characters have no
+    q-grams: they are looked up exactly, as whole words; those without any letter or
+    digit have no plain form and are not searched. Null texts are empty; repeated rows and items
     are reported each; extra columns are ignored; an empty table gives no rows.
     Items are searched in blocks of BLOCK_CHARS characters, one scan of docs a block.
     """

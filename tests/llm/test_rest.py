@@ -151,6 +151,19 @@ def test_a_leak_cut_at_an_end_of_its_document_is_found_wherever_the_document_sta
                 assert decontaminate.matches(texts, items) == {(1, 0): alone}
 
 
+def test_short_items_are_found_exactly_as_whole_words(spark):
+    one = benchmark(spark, [(1, "E = mc2"), (2, "x+1"), (3, "Cat"), (4, "cat!"), (5, "??"), (6, None), (7, prose(30, 1))])
+    texts = ["so e=mc2 holds", "concatenate x 12", "a cat, x + 1", "cat", None, "", "max 1 cats", f"{prose(30, 1)} cat"]
+    docs = documents(spark, texts)
+    found = sorted((r.doc_id, r.item_id, r.edits, r.start, r.end, r.item_chars) for r in decontaminate.leaks(docs, one).collect())
+    at = len(decontaminate.plain(prose(30, 1)))
+    assert found == [
+        (0, 1, 0, 3, 8, 5), (2, 2, 0, 6, 9, 3), (2, 3, 0, 2, 5, 3), (2, 4, 0, 2, 5, 3), (3, 3, 0, 0, 3, 3), (3, 4, 0, 0, 3, 3),
+        (7, 3, 0, at + 1, at + 4, 3), (7, 4, 0, at + 1, at + 4, 3), (7, 7, 0, 0, at, at),
+    ]
+    assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, one).collect()) == [1, 4, 5, 6]
+
+
 def test_leak_edges(spark):
     one = benchmark(spark, [(1, prose(30, 1)), (2, None), (3, "short"), (None, prose(30, 2))])
     assert decontaminate.leaks(documents(spark, []), one).count() == 0
