@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in spark.checkpoint.dir; only where that is unset in a folder made here."""
+    """df with its lineage cut, in spark.checkpoint.dir; only where that is unset and all runs on one machine in a folder made here."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[\d*,\s]+\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not folder:
             folder = tempfile.mkdtemp(prefix="factgraph-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
