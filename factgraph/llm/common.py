@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder is
-    made, set as the checkpoint folder, and removed at exit.
+    Only where the session names none and runs on one machine (tests) a temporary folder
+    is made, set as the checkpoint folder, and removed at exit; on a cluster it would be
+    another folder on each machine, so that is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -36,6 +40,8 @@ def scratch_dir(spark: SparkSession) -> str:
         found = sc._jsc.sc().getCheckpointDir()
         if found.isDefined():
             shared = found.get()
+        elif not re.fullmatch(r"local(\[[\d*,\s]+\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             shared = tempfile.mkdtemp(prefix="factgraph-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
@@ -52,30 +58,81 @@ def written(df: DataFrame, what: str) -> DataFrame:
     committed files do not change when a later task is repeated.
     """
     path = f"{scratch_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    for made in _SCRATCH:
+        made.add(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_own_ids(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """docs and a column `name` that tells its rows apart and follows the order of their ids.
+#: Folders of the scratch() blocks that are open, innermost last.
+_SCRATCH: list[set[str]] = []
 
-    That is the id itself, unless ids are null or repeated. Then the rows are sorted by
-    id, null ones last, and by a hash of the text, numbered, and written once, so that
-    the numbers stay.
-    """
-    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("rows"))
-    if ids.filter("id IS NULL OR rows > 1").isEmpty():
-        return docs.withColumn(name, F.col(id_col))
-    ordered = docs.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(text_col))
-    return written(ordered.withColumn(name, F.monotonically_increasing_id()), "own-ids")
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that written() makes inside are removed at the end; results must be stored by then."""
+    made: set[str] = set()
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            _remove(spark, path)
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove every table that written() made in this application."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+
+def _remove(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove every table that written() made in this application, once results are stored elsewhere."""
+    _remove(spark, scratch_dir(spark))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no column of it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def own_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether every row has an id of its own: none is null, none occurs twice."""
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("rows"))
+    return ids.filter("id IS NULL OR rows > 1").isEmpty()
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str, name: str, nulls_first: bool = False) -> DataFrame:
+    """docs with a column `name`: rows counted from 0 in the order of id, then of a hash of the text.
+
+    The rows are sorted and written once, so the numbers stay when tasks are repeated;
+    the driver sees a count a partition.
+    """
+    order = F.col(id_col).asc_nulls_first() if nulls_first else F.col(id_col).asc_nulls_last()
+    # a group of equal ids, however large, is split by the hash
+    ordered = docs.orderBy(order, F.xxhash64(text_col))
+    place = free_name(docs, "_place")
+    rows = written(ordered.withColumn(place, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(place, 33)
+    counts = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before = [0]
+    for p in range(max(counts, default=0)):
+        before.append(before[-1] + counts.get(p, 0))
+    offset = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), (part + 1).cast("int"))
+    return rows.withColumn(name, offset + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))).drop(place)
+
+
+def with_own_ids(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """docs and a column `name` that tells its rows apart and follows the order of their ids, null ones last.
+
+    That is the id itself, unless ids are null or repeated; then it is the row's number.
+    """
+    return docs.withColumn(name, F.col(id_col)) if own_ids(docs, id_col) else numbered(docs, id_col, text_col, name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
