@@ -51,44 +51,49 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/factgraph-{sc.applicationId}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read back.
+def stored(df: DataFrame, what: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """df, written once as Parquet in the shared folder and read back, and where; by: a column to make a folder a value of."""
+    path = f"{scratch_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.add(path)
+    df.write.option("compression", "zstd").partitionBy(*([by] if by else [])).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """df, stored and read back.
 
     This cuts lineage, and a lost executor costs only the tasks that it ran: the
     committed files do not change when a later task is repeated.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    for made in _SCRATCH:
-        made.add(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, what, by)[0]
 
 
-#: Folders of the scratch() blocks that are open, innermost last.
-_SCRATCH: list[set[str]] = []
+#: What the scratch() blocks that are open have to remove.
+_OPEN: list[set[str]] = []
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that written() makes inside are removed at the end; results must be stored by then."""
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Tables that are stored inside are removed at the end, but for those taken out of the set that this gives."""
     made: set[str] = set()
-    _SCRATCH.append(made)
+    _OPEN.append(made)
     try:
-        yield
+        yield made
     finally:
-        _SCRATCH.remove(made)
+        _OPEN.remove(made)
         for path in made:
-            _remove(spark, path)
+            remove(spark, path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Remove every table that written() made in this application, once results are stored elsewhere."""
-    _remove(spark, scratch_dir(spark))
+    remove(spark, scratch_dir(spark))
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import IdBlocks, mixed, partitions, table, text_bytes
+from factgraph.llm.common import IdBlocks, mixed, numbered, own_ids, partitions, table, text_bytes
 from factgraph.llm.words import Powers, window_hashes, word_hashes, word_list
 
 #: Text that a block holds, and bytes of hashes that a bucket gets, about.
@@ -80,16 +80,18 @@ def repeated_passages(
     window whose words also start earlier (in a smaller id, or earlier in the document)
     is removed; windows are judged on the input. removed: the maximal intervals, in
     words; kept: the words that stay, joined by one space. A null text has no words.
-    Null ids come first; rows with the same id are ordered by their text, and count as
-    separate documents. Extra columns are ignored; an empty table gives no rows.
+    Ids are numbers. Null ids come first; rows with the same id are separate documents,
+    in the order of a hash of their text, so however many there are they fill several
+    blocks. Extra columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     size = text_bytes(docs, text_col)
     blocks, buckets = size // BLOCK_BYTES + 1, size // BUCKET_BYTES * 3 // 2 + 1
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), IdBlocks(docs, id_col, blocks).column().alias("block")
-    )
+    own = docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text"))
+    unique = own_ids(own, "name")
+    own = own.withColumn("id", F.col("name")) if unique else numbered(own, "name", "text", "id", nulls_first=True)
+    kind = own.schema["id"].dataType.simpleString()
+    rows = own.select("id", "text", IdBlocks(own, "id", blocks).column().alias("block"))
     rows = rows.repartition(max(partitions(spark), min(blocks, 20_000)), "block")
 
     def emit(block: pa.Table) -> pa.Table:
@@ -121,6 +123,8 @@ def repeated_passages(
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([r[1] for r in rows], pa.int64()), "seen": pa.array([r[2] for r in rows], pa.binary())})
 
     hashes = rows.groupBy("block").applyInArrow(emit, "bucket long, block long, hashes binary")
+    # a bucket has a bounded share of the windows, so their number grows with the input, and so must the tasks
+    hashes = hashes.repartition(max(partitions(spark), min(buckets, 20_000)), "bucket")
     seen = hashes.groupBy("bucket").applyInArrow(compare, "block long, bucket long, seen binary")
 
     def cut_out(block: pa.Table, seen: pa.Table) -> pa.Table:
@@ -130,9 +134,10 @@ def repeated_passages(
         repeated = np.zeros(len(order), bool)
         repeated[order[~first]] = True
         heads = order[first]
-        low = np.searchsorted(bucket[heads], np.arange(buckets + 1)) if seen.num_rows else None
-        for b, bits in zip(seen.column("bucket").to_pylist(), seen.column("seen").to_pylist()):
-            own = heads[low[b] : low[b + 1]]
+        named = seen.column("bucket").to_numpy()
+        lows, highs = (np.searchsorted(bucket[heads], named, side).tolist() for side in ("left", "right"))
+        for low, high, bits in zip(lows, highs, seen.column("seen").to_pylist()):
+            own = heads[low:high]
             earlier = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
             repeated[own[earlier]] = True
         # a window that an earlier block holds is repeated wherever it stands in this one
@@ -154,6 +159,8 @@ def repeated_passages(
     done = rows.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(
         cut_out, f"id {kind}, n_words long, removed array<struct<start: long, end: long>>, kept string"
     )
+    if not unique:
+        done = done.join(own.select("id", "name"), "id").withColumn("id", F.col("name")).drop("name")
     return done.withColumnRenamed("id", id_col)
 
 
