@@ -5,25 +5,27 @@ L - q + 1 - q e of its q-grams with that place, and all of them on diagonals (pl
 the text minus place in the item) that differ by at most e. Shared q-grams are counted
 in diagonal bands of width 2 (e + 1) that overlap by half, so one band has them all;
 bands that meet the bound are verified by banded alignment with free ends in the text.
-Documents are scanned once, in place, without a shuffle; the items go to the workers in
-blocks of a bounded size.
+Documents are scanned in place, without a shuffle. The items are a stated set of queries
+that all rows are held against: they go to the workers in blocks of a bounded size.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from factgraph.llm.common import table
+from factgraph.llm.common import table, written
 
-#: Characters of items that travel to the workers at once.
-BLOCK_CHARS = 4_000_000
+#: Characters of items that the driver holds and the workers get at once; each takes some 40 bytes there.
+BLOCK_CHARS = 2_000_000
 #: log2 of the places of the table that q-grams are looked up in first.
 FILTER_BITS = 22
 
@@ -187,15 +189,30 @@ def matches(texts: list[str], items: Items) -> dict[tuple[int, int], tuple[int,
     return best
 
 
-def scan(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
+def shipped(spark: SparkSession, items: Items) -> Callable[[], Items]:
+    """Sends a block of items to the workers, once each; called there, gives the block."""
+    sent = spark.sparkContext.broadcast(vars(items))  # bounded by BLOCK_CHARS
+
+    def unpack() -> Items:
+        found = Items.__new__(Items)
+        found.__dict__.update(sent.value)
+        return found
+
+    return unpack
+
+
+def scan(docs: DataFrame, items: Items, item_type: DataType, id_col: str, text_col: str) -> DataFrame:
+    get, item_arrow = shipped(docs.sparkSession, items), to_arrow_type(item_type)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = get()
         for batch in batches:
             for low in range(0, batch.num_rows, 128):
                 some = batch.slice(low, 128)
                 best = matches([plain(t) for t in some.column(1).to_pylist()], items)
                 rows = sorted(best.items())
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(pa.array([r for (r, _), _ in rows], pa.int64())), pa.array([items.ids[i] for (_, i), _ in rows], pa.int64())]
+                    [some.column(0).take(pa.array([r for (r, _), _ in rows], pa.int64())), pa.array([items.ids[i] for (_, i), _ in rows], item_arrow)]
                     + [pa.array([x[k] for _, x in rows], pa.int64()) for k in range(3)]
                     + [pa.array([len(items.texts[i]) for (_, i), _ in rows], pa.int64())],
                     names=["id", "item_id", "edits", "start", "end", "item_chars"],
@@ -203,16 +220,20 @@ def scan(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, item_id long, edits long, start long, end long, item_chars long")
+    return rows.mapInArrow(run, f"id {kind}, item_id {item_type.simpleString()}, edits long, start long, end long, item_chars long")
 
 
 def item_blocks(benchmark: DataFrame, q: int, rate: float, item_col: str = "item_id", item_text_col: str = "text") -> Iterator[Items]:
-    """The items, in blocks of about BLOCK_CHARS characters."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
+    """The items, in blocks of about BLOCK_CHARS characters; the driver holds one at a time."""
+    items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = total // BLOCK_CHARS + 1
-    for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block")
+    if blocks > 1:  # read once, then a folder a block
+        items = items.select("*", block)
+        items = written(items, "items", "block")
+    for i in range(blocks):
+        rows = (items.filter(F.col("block") == i) if blocks > 1 else items).orderBy("id", "text").collect()  # about BLOCK_CHARS characters
         yield Items([r["id"] for r in rows], [r["text"] for r in rows], q, rate)
 
 
@@ -227,23 +248,38 @@ def leaks(
     present with at most rate * item_chars edits; of several places the one with the
     fewest edits, then the first, is given. Items shorter than q characters have no
     q-grams: they are looked up exactly, as whole words; those without any letter or
-    digit have no plain form and are not searched. Null texts are empty; repeated rows and items
-    are reported each; extra columns are ignored; an empty table gives no rows.
-    Items are searched in blocks of BLOCK_CHARS characters, one scan of docs a block.
+    digit have no plain form and are not searched. Ids of items may be of any type. Null
+    texts are empty; repeated rows and items are reported each; extra columns are
+    ignored; an empty table gives no rows. A benchmark of more than BLOCK_CHARS
+    characters is searched in blocks, each with a scan of docs whose hits are written
+    before the next, so neither the driver nor a worker holds more than one.
     """
-    found = [scan(docs, items, id_col, text_col) for items in item_blocks(benchmark, q, rate, item_col, item_text_col)]
-    return reduce(DataFrame.union, found).withColumnRenamed("id", id_col).withColumnRenamed("item_id", item_col)
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.08, text_col: str = "text") -> DataFrame:
+    kind = benchmark.schema[item_col].dataType
+    found, last = [], None
+    for items in item_blocks(benchmark, q, rate, item_col, item_text_col):
+        if last is not None:
+            found.append(written(last, "leaks"))
+        last = scan(docs, items, kind, id_col, text_col)
+    return reduce(DataFrame.union, [*found, last]).withColumnRenamed("id", id_col).withColumnRenamed("item_id", item_col)
+
+
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.08, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
     """docs without those that hold an item, with the columns they came with.
 
-    Rows are filtered where they are read; nothing is shuffled.
+    Each row is judged by its own text, where it is read, whatever its id; nothing is
+    shuffled. Null and empty texts hold nothing and stay; an empty benchmark removes
+    nothing. Columns of any name are kept as they are; an empty table gives no rows. Of
+    a benchmark in several blocks each is another such scan of what the last one left.
     """
     text_at = docs.columns.index(text_col)
 
     def without(docs: DataFrame, items: Items) -> DataFrame:
+        get = shipped(docs.sparkSession, items)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = get()
             for batch in batches:
                 for low in range(0, batch.num_rows, 128):
                     some = batch.slice(low, 128)
@@ -253,7 +289,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: flo
 
         return docs.mapInArrow(run, docs.schema)
 
-    return reduce(without, item_blocks(benchmark, q, rate), docs)
+    last = None
+    for items in item_blocks(benchmark, q, rate, item_col, item_text_col):
+        last = without(docs if last is None else written(last, "clean"), items)
+    return last
 
 
 def op10_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -186,10 +186,33 @@ def public_bpe(name: str = "byte_bpe_50k.json", path: str | None = None) -> Call
     return make
 
 
+def packed_columns() -> dict[str, Column]:
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return {n: F.crc32("ids") if n == "ids_crc32" else F.col(n) for n in names}
+
+
 def packed_rows(pieces: DataFrame) -> DataFrame:
-    return pieces.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
-    )
+    """The pieces with a checksum in place of their ids."""
+    return pieces.select(*[c.alias(n) for n, c in packed_columns().items()])
+
+
+def training_rows(pieces: DataFrame) -> DataFrame:
+    """packed_rows with the ids themselves, as array<int>; a sequence is its pieces in the order of offset."""
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                some = batch.slice(low, 512)
+                blobs = some.column(some.num_columns - 1).to_pylist()
+                ends = np.cumsum([0] + [len(b) // 4 for b in blobs])
+                ids = np.frombuffer(b"".join(blobs), "<u4").astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists], names=names)
+
+    rows = packed_rows(pieces)
+    names = [*rows.columns, "ids"]
+    kinds = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
+    return pieces.select(*[packed_columns()[c].alias(c) for c in rows.columns], "ids").mapInArrow(lay, f"{kinds}, ids array<int>")
 
 
 def op1_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:

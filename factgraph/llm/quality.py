@@ -9,11 +9,12 @@ so they depend on the text only.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.llm.common import table, written
@@ -154,10 +155,12 @@ def train(
 ) -> GatedAttention | None:
     """Fits the model on a bounded sample of labelled documents outside the held-out fold.
 
-    The sample is taken in the order of a hash of the id: at most `most` documents with
-    at most `most_passages` passages together, each text whole. Its features, half a KB a
-    passage, are all that the driver collects. Null labels are left out. None if no
-    document has a label.
+    The sample is taken in the order of a hash of the id: at most `most` documents, each
+    text whole, as far as they fit into `most_passages` passages together; one that
+    doesn't fit is passed over. Its features, half a KB a passage, are all that the
+    driver collects. Of rows with the same id the one with the least text counts, of
+    several labels the greatest; null labels and ids are left out, extra columns
+    ignored. None, with a warning, if no document is left.
     """
     usable = labels.select(id_col, F.col(label_col).cast("int").alias("label")).filter(
         F.col("label").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)
@@ -169,17 +172,29 @@ def train(
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 some = batch.slice(low, 64)
-                rows = [run(t).astype(np.float16).tobytes() for t in some.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(rows, pa.binary())], names=["id", "label", "features"])
+                rows = [run(t).astype(np.float16) for t in some.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())],
+                    names=["id", "label", "passages", "features"],
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)  # at most `most` rows
-    encoded = written(texts.select(F.col(id_col).alias("id"), "label", "text").mapInArrow(encode, f"id {kind}, label int, features binary"), "sample")
-    so_far = F.sum(F.octet_length("features")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
-    bounded = encoded.withColumn("so_far", so_far).filter(F.col("so_far") <= most_passages * WIDTH * 2)  # at most `most` rows
-    found = bounded.select("id", "label", "features").toArrow()
-    if not found.num_rows:
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
+        F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id"
+    )  # at most `most` rows
+    texts = named.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("id", "label", "text")
+    encoded = written(texts.mapInArrow(encode, f"id {kind}, label int, passages long, features binary"), "sample")
+    sizes = encoded.select("id", "passages").orderBy(F.xxhash64("id"), "id").collect()  # at most `most` narrow rows
+    picked, room = [], most_passages
+    for r in sizes:
+        if r["passages"] <= room:
+            picked.append((r["id"],))
+            room -= r["passages"]
+    if not picked:
+        warnings.warn("no labelled document to learn from: every score will be 0.5", stacklevel=2)
         return None
+    wanted = docs.sparkSession.createDataFrame(picked, f"id {kind}")
+    found = encoded.join(F.broadcast(wanted), "id", "left_semi").select("id", "label", "features").toArrow()  # at most `most` rows of `most_passages` passages
     rows = sorted(zip(found.column("id").to_pylist(), found.column("label").to_pylist(), found.column("features").to_pylist()))
     del found
     bags = [np.frombuffer(f, np.float16).reshape(-1, WIDTH) for _, _, f in rows]
@@ -192,7 +207,8 @@ def scores(
     """One row per row of docs: id, score (0 to 1), predicted (1 if score >= threshold).
 
     Only the text is an input. Null and empty texts get the score of a passage without
-    features; without a model all scores are 0.5. No shuffle; an empty table gives no rows.
+    features; without a model all scores are 0.5. Repeated rows are scored each, extra
+    columns ignored. No shuffle; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +234,10 @@ def scores(
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs that the model, trained on them and the labels, does not reject; columns unchanged.
 
-    Rows are filtered where they are read; nothing is shuffled.
+    Rows are filtered where they are read, each by its own text, whatever its id; nothing
+    is shuffled. Null and empty texts have one score and stay or go together. Without a
+    labelled document to learn from all rows stay. Columns of any name are kept as they
+    are; an empty table gives no rows.
     """
     model = train(docs, labels, id_col=id_col, text_col=text_col)
     if model is None:

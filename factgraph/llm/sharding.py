@@ -7,6 +7,8 @@ more shard takes 1/(n+1) of the rows, all of them into itself.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ def jumps(key: Column, most: int) -> Column:
     """All buckets on the key's walk, as array<int>, until `most` shards are reached.
 
     key: a long, read as an unsigned 64-bit number; null as 0. The products need 126
-    bits, so they are decimals; a walk has about ln(most) steps.
+    bits, so they are decimals; a walk has about ln(most) steps. A first fold takes a few
+    times as many, and only a walk that isn't over by then goes on in a second one.
     """
     unsigned = F.coalesce(key.cast("long"), F.lit(0).cast("long")).cast("decimal(20,0)")
     unsigned = F.when(unsigned < 0, (unsigned + F.lit(str(MODULUS)).cast("decimal(20,0)")).cast("decimal(20,0)")).otherwise(unsigned)
@@ -41,7 +44,13 @@ def jumps(key: Column, most: int) -> Column:
 
     start = F.struct(unsigned.alias("k"), F.lit(0).cast("long").alias("j"), F.array().cast("array<int>").alias("walk"))
     # the first step from bucket 0 is the walk's own start: every key passes bucket 0
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["walk"]
+    soon = min(most, 16 + 4 * math.ceil(math.log(most + 1)))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(soon)), start, step)
+    if soon == most:
+        return walked["walk"]
+    # a walk that is over has no more steps
+    more = F.when(walked["j"] < most, F.sequence(F.lit(1), F.lit(most - soon))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(more, walked, step)["walk"]
 
 
 def shard_of(walk: Column, shards: int) -> Column:
@@ -55,8 +64,8 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     The key is the id, and it and the number of shards alone decide. size: UTF-8 bytes
     of the text (null: none) plus 8. slot: the row's place in its shard in the order of
     ids, from 0 without gaps; repeated ids are ordered by their text's checksum and
-    size. grown_shard: the shard if there were one more. A null id has the key 0 and
-    comes first. No text is shuffled; a shard is numbered in blocks of ids, whose counts
+    size. grown_shard: the shard if there were one more. Ids are numbers; a null id has
+    the key 0 and comes first. Extra columns are ignored; an empty table gives no rows. No text is shuffled; a shard is numbered in blocks of ids, whose counts
     are added up beforehand, so no task sees a whole shard.
     """
     if shards < 1:
@@ -92,8 +101,6 @@ def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-
-
 SQL = r"""
 WITH RECURSIVE c AS (
   SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-EXTRA = "id string, block long, region string, bucket int, part int, label int, _id int, _block int, shard string, n int, low int, salt int, item_id string"
+EXTRA = "_row string, name string, component string, place int, id string, block long, region string, bucket int, part int, label int, _id int, _block int, shard string, n int, low int, salt int, item_id string"
 
 
 def words(text):
@@ -15,7 +15,7 @@ def words(text):
 def documents(spark, texts, ids=None):
     """(doc_id, text) and columns whose names operators use inside."""
     ids = range(len(texts)) if ids is None else ids
-    extra = ("x", 1, "r", 1, 1, 1, 1, 1, "s", 1, 1, 1, "i")
+    extra = ("w", "m", "c", 1, "x", 1, "r", 1, 1, 1, 1, 1, "s", 1, 1, 1, "i")
     rows = [(i, t, *extra) for i, t in zip(ids, texts)]
     return spark.createDataFrame(rows, f"doc_id long, text string, {EXTRA}")
 

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -21,7 +22,7 @@ def jump(key, n):
     return b
 
 
-@pytest.mark.parametrize("n", [1, 2, 24])
+@pytest.mark.parametrize("n", [1, 2, 24, 5000])
 def test_shards(odd, n):
     texts = odd_texts()
     found = by_id(sharding.shard(odd, n))
@@ -179,6 +180,17 @@ def test_items_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, benchmark(spark, items)).collect()) == [(i, i) for i in range(6)]
 
 
+def test_items_with_names_for_ids(spark, monkeypatch):
+    items = [(f"set-{i}", prose(30, i)) for i in range(5)] + [(None, prose(30, 9))]
+    docs = documents(spark, [f"{prose(9, 50 + i)} {t}" for i, (_, t) in enumerate(items)])
+    for most in (10**6, 200):
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", most)
+        found = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id string, text string"))
+        assert dict(found.dtypes)["item_id"] == "string"
+        assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(i, n) for i, (n, _) in enumerate(items)]
+        assert decontaminate.clean_documents(docs, spark.createDataFrame(items[:3], "item_id string, text string")).count() == 3
+
+
 # --- quality -----------------------------------------------------------------------------------
 
 
@@ -227,6 +239,38 @@ def test_quality_edges(spark, odd):
     assert quality.train(docs, odd_labels) is not None
 
 
+def test_a_document_that_does_not_fit_is_passed_over(spark):
+    docs, labels, truth = sample(spark, 120)
+    long = documents(spark, [" ".join(["Words"] * 100 * 400)] * 3, [900, 901, 902])
+    more = labels.union(spark.createDataFrame([(i, 1, 0) for i in (900, 901, 902)], labels.schema))
+    model = quality.train(docs.union(long), more, most_passages=300)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in quality.scores(docs, model).collect()]) > 0.9
+    assert quality.train(docs, labels, most=1, most_passages=1000) is not None
+    with pytest.warns(UserWarning, match="no labelled document"):
+        assert quality.train(long, more, most_passages=300) is None
+
+
+def test_repeated_ids_do_not_fill_the_sample(spark):
+    docs, labels, _ = sample(spark, 80)
+    hot = documents(spark, [f"x {i}" for i in range(500)], [1] * 500)
+    one = quality.train(docs.filter("doc_id != 1").union(hot), labels, most=40)
+    least = documents(spark, ["x 0"], [1])
+    same = quality.train(docs.filter("doc_id != 1").union(least), labels, most=40)
+    assert all(np.array_equal(getattr(one, n), getattr(same, n)) for n in one.NAMES)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
+def test_quality_of_the_given_labels(spark):
+    """Held-out accuracy, recall of label 0, and the share of pairs that scores order rightly."""
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality")
+    rows = quality.op8_attention_quality(spark, "/root/testdata/sf0.1").filter("held_out").join(labels, "doc_id").collect()
+    y, p, s = (np.array([r[c] for r in rows]) for c in ("quality", "predicted", "score"))
+    rank = np.argsort(np.argsort(s)) + 1
+    auc = (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+    print(f"held out {len(y)}: accuracy {(y == p).mean():.4f}, recall of 0 {(p[y == 0] == 0).mean():.4f}, AUC {auc:.4f}")
+    assert len(y) > 500 and (y == p).mean() > 0.98 and (p[y == 0] == 0).mean() > 0.95 and auc > 0.995
+
+
 def test_gradients_are_right():
     r = np.random.default_rng(0)
     m = quality.GatedAttention(1)

@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -35,6 +36,15 @@ def test_odd_texts_count_like_the_library(tools):
     assert count.count(texts) == [len(word.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_given_documents_count_like_the_library(spark, tools):
+    """Every id of every text of sf0.01, for both tokenizers."""
+    byte, fast, word, count = tools
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert [fast(t) for t in texts] == [x.ids for x in byte.encode_batch(texts, add_special_tokens=False)]
+    assert count.count(texts) == [len(x.ids) for x in word.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_overlapping_pairs_merge_from_the_left(tools):
     word, count = tools[2], tools[3]
     texts = ["a" * n for n in range(1, 40)] + ["abab" * n for n in range(1, 9)]
