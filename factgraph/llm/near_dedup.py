@@ -3,18 +3,20 @@
 1. Each text becomes the set of its distinct word shingles and a sketch of it. Texts
    with the same set are one class, represented by the smallest id; only
    representatives go on.
-2. Representatives that share a band of their sketches meet in a bucket. There, sketches
-   are compared from one member outwards, each step against the members not reached
-   yet, and a spanning forest of the pairs that could reach the wanted similarity is
-   kept: at most one row a member, never all pairs. Its components are regions; no
-   link leads out of one, but for a chance of about 1e-7 that a linked pair shares no
-   band and of 1e-9 that its sketches look too different.
+2. Representatives that share a band of their sketches meet in a bucket. Each member is
+   compared with its bucket's first one, by a join; the components of the pairs that
+   could reach the wanted similarity are labels. Where a bucket's members have several
+   labels, members of different ones are compared with each other, and a spanning forest
+   of the pairs found is kept: at most one row a member, never all pairs. Its components
+   are regions; no link leads out of one, but for a chance of about 1e-7 that a linked
+   pair shares no band and of 1e-9 that its sketches look too different.
 3. In a region the full sets are fetched. All members are checked against the region's
-   first one; where some fail, links are searched outwards as before, on full sets, so
-   no link is lost to the choice of a first member.
+   first one; where some fail, those are compared with the others as before, on full
+   sets, so no link is lost to the choice of a first member.
 4. Components of the confirmed links give each document its class.
 
-Buckets and regions too large for one task are cut into parts that meet pairwise.
+A large group of near copies is thus joined with its first member, which any number of
+tasks can share; what differs from it meets the others part by part.
 """
 
 from __future__ import annotations
@@ -27,15 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from factgraph.llm.common import partitions, table, with_own_ids, written
+from factgraph.llm.common import free_name, numbered, own_ids, partitions, table, with_own_ids, written
 from factgraph.llm.components import connected_components
 from factgraph.llm.sketch import bands, shingles, similar_enough, sketch
 from factgraph.llm.words import Powers
 
 #: Coordinates of a sketch, and how many make a band.
 COORDINATES, ROWS = 128, 4
-#: Bytes of one kind that meet in a task before a bucket or region is cut into parts.
-PART_BYTES = 48_000_000
+#: Bytes and rows of one kind that meet in a task before a bucket or region is cut into parts.
+PART_BYTES, PART_ROWS = 24_000_000, 1000
 
 
 def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -67,15 +69,28 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 def in_parts(rows: DataFrame, key: str, bytes_col: str, groups: int) -> DataFrame:
     """Adds g, i, j: rows of a key meet in one task, or, if they are too many, part by part.
 
-    Keys are dealt to `groups` tasks; the rows of a key with more than PART_BYTES are
-    split into parts, and each row goes to every pair of parts that its own is in.
+    rows have `main`: members that are known to be joined to each other. Keys are dealt
+    to `groups` tasks. Members that aren't main are cut into parts of about PART_BYTES
+    and PART_ROWS, and main ones into parts of as many rows as there are others, but
+    neither more than PART_ROWS nor less than an eighth of it, so the copies of the others
+    are about as many as the main ones. Each part of the others meets every part, parts
+    of main members don't meet each other. Keys with main members alone have no rows.
     """
-    sizes = rows.groupBy(key).agg(F.sum(bytes_col).alias("_bytes"))
-    groups = max(groups, int((sizes.agg(F.sum("_bytes")).first()[0] or 0) // (PART_BYTES // 3)) + 1)
-    large = sizes.filter(F.col("_bytes") > PART_BYTES).select(key, F.ceil(F.col("_bytes") / F.lit(PART_BYTES / 2)).cast("int").alias("_parts"))
-    dealt = rows.join(large, key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")
-    dealt = dealt.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    main = F.col("main")
+    parts = lambda own, most: F.greatest(
+        F.ceil(F.sum(F.when(own, F.col(bytes_col))) / F.lit(PART_BYTES)), F.ceil(F.count_if(own) / most), F.lit(0)
+    ).cast("int")
+    few = F.greatest(F.least(F.count_if(~main), F.lit(PART_ROWS)), F.lit(-(-PART_ROWS // 8)))
+    sizes = rows.groupBy(key).agg(F.sum(bytes_col).alias("_bytes"), parts(~main, F.lit(PART_ROWS)).alias("_rest"), parts(main, few).alias("_main")).filter("_rest > 0")
+    sizes = written(sizes, "part-sizes")  # so that the join below is of two plain shuffles, which Spark can split
+    groups = max(groups, int((sizes.agg(F.sum("_bytes")).first()[0] or 0) // (PART_BYTES // 2)) + 1)
+    dealt = rows.join(sizes.drop("_bytes"), key)
+    draw = F.pmod(F.xxhash64("id"), F.when(main, F.col("_main")).otherwise(F.col("_rest"))).cast("int")
+    own = F.when(main, F.col("_rest") + draw).otherwise(draw)
+    # a single part of the rest meets itself wherever it meets another one
+    first = F.when(main | (F.col("_rest") > 1) | (F.col("_main") == 0), 0).otherwise(1)
+    last = F.when(main, F.col("_rest") - 1).otherwise(F.col("_rest") + F.col("_main") - 1)
+    dealt = dealt.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(first, last)))
     return dealt.select(
         *rows.columns,
         F.pmod(F.xxhash64(key), F.lit(groups)).alias("g"),
@@ -84,23 +99,29 @@ def in_parts(rows: DataFrame, key: str, bytes_col: str, groups: int) -> DataFram
     )
 
 
-def spanning(n: int, alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of n members; alike(x, others) flags those joined to x.
+def spanning(labels: np.ndarray, alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs that join members of different labels as far as they are linked; alike(x, others) flags those linked with x.
 
-    Each member is compared with those not reached yet, so a group that hangs together
-    takes one comparison a member.
+    Members of the commonest label wait for the others. Each of these is compared with
+    what isn't joined to it yet, so a group that hangs together takes one comparison a
+    member, and one in which only a few differ little more.
     """
-    out, rest = [], np.arange(n)
-    while len(rest) > 1:
-        queue, rest = [int(rest[0])], rest[1:]
-        while queue and len(rest):
-            x = queue.pop()
-            hit = alike(x, rest)
-            if hit.any():
-                found = rest[hit].tolist()
-                out += [(x, y) for y in found]
-                queue += found
-                rest = rest[~hit]
+    joined, n = np.unique(labels, return_inverse=True, return_counts=True)[1:]
+    out, open_, most = [], np.ones(len(labels), bool), int(n.argmax())
+    left = len(n)
+    for x in np.flatnonzero(joined != most).tolist():
+        if left < 2:
+            break
+        open_[x] = False  # those before x were compared with it, or are joined to it
+        rest = np.flatnonzero(open_ & (joined != joined[x]))
+        if not len(rest):
+            continue
+        hit = rest[alike(x, rest)]
+        if len(hit):
+            found, at = np.unique(joined[hit], return_index=True)
+            out += [(x, y) for y in hit[at].tolist()]
+            joined[np.isin(joined, found)] = joined[x]
+            left -= len(found)
     return out
 
 
@@ -111,33 +132,58 @@ def split_by(keys: np.ndarray) -> list[np.ndarray]:
     return [x for x in np.split(order, cut[1:]) if len(x) > 1] if len(keys) else []
 
 
+def alike_to_first(buckets: DataFrame, least: int, kind: str) -> DataFrame:
+    """(a, b): members of buckets (bucket, id, marks) whose sketch shares at least `least` coordinates with the bucket's first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own, first = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                near = batch.filter(pa.array((own == first).sum(1) >= least))
+                yield pa.RecordBatch.from_arrays([near.column(0), near.column(1)], names=["a", "b"])
+
+    first = buckets.groupBy("bucket").agg(F.min(F.struct("id", "marks")).alias("f")).select("bucket", F.col("f.id").alias("a"), F.col("f.marks").alias("first"))
+    first = written(first, "first-members")  # both sides of the join are plain shuffles, whose large partitions Spark can split
+    return buckets.join(first, "bucket").filter("id != a").select("a", "id", "marks", "first").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def sketch_forest(buckets: DataFrame, least: int, kind: str, groups: int) -> DataFrame:
-    """(a, b) of buckets (bucket, id, marks): pairs whose sketches share at least `least` coordinates."""
+    """(a, b) of buckets (bucket, id, marks, label, main): pairs of different labels whose sketches share at least `least` coordinates."""
 
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("id").combine_chunks()
         marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8).reshape(group.num_rows, -1)
+        labels = np.unique(np.array(group.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
         left, right = [], []
-        places = split_by(group.column("bucket").to_numpy())
-        two = np.array([p for p in places if len(p) == 2]).reshape(-1, 2)
-        for low in range(0, len(two), 10_000):
-            some = two[low : low + 10_000]
-            some = some[(marks[some[:, 0]] == marks[some[:, 1]]).sum(1) >= least]
-            left += some[:, 0].tolist()
-            right += some[:, 1].tolist()
-        for p in places:
-            if len(p) > 2:
-                own = marks[p]
-                for x, y in spanning(len(p), lambda x, rest: (own[rest] == own[x]).sum(1) >= least):
-                    left.append(int(p[x]))
-                    right.append(int(p[y]))
+        for p in split_by(group.column("bucket").to_numpy()):
+            own = marks[p]
+            for x, y in spanning(labels[p], lambda x, rest: (own[rest] == own[x]).sum(1) >= least):
+                left.append(int(p[x]))
+                right.append(int(p[y]))
         return pa.table({"a": ids.take(pa.array(left, pa.int64())), "b": ids.take(pa.array(right, pa.int64()))})
 
     rows = in_parts(buckets.withColumn("_size", F.lit(COORDINATES + 16)), "bucket", "_size", groups)
-    found = rows.select("g", "i", "j", "bucket", "id", "marks").groupBy("g", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+    found = rows.select("g", "i", "j", "bucket", "id", "marks", "label").groupBy("g", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def regions_of(buckets: DataFrame, least: int, kind: str, groups: int) -> DataFrame:
+    """(id, region) of the members of buckets (bucket, id, marks) that may be linked with another one."""
+    links = written(alike_to_first(buckets, least, kind), "alike")
+    labels = written(connected_components(links), "labels")
+    labelled = buckets.join(labels.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = written(labelled, "labelled")
+    # of two members the join has said all; so it has where all are joined by now
+    several = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    several = written(several.filter("n > 2 AND low != high").select("bucket", "low"), "open-buckets")
+    rest = labelled.join(several, "bucket").withColumn("main", F.col("label") == F.col("low")).drop("low")
+    more = written(sketch_forest(rest, least, kind, groups), "forest")
+    if more.isEmpty():
+        return labels.select("id", F.col("component").alias("region"))
+    stars = labels.select(F.col("component").alias("a"), F.col("id").alias("b"))
+    return connected_components(stars.unionByName(more)).select("id", F.col("component").alias("region"))
+
+
 def shingle_sets(docs: DataFrame, k: int, kind: str) -> DataFrame:
     """(id, region, sizes, shingles): the full sets, as sorted 64-bit hashes."""
 
@@ -171,13 +217,13 @@ def first_links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def full_forest(sets: DataFrame, percent: int, kind: str, groups: int) -> DataFrame:
-    """(a, b) of sets (region, id, shingles): a spanning forest of the exact links."""
+    """(a, b) of sets (region, id, shingles, label, main): a spanning forest of the exact links between different labels."""
 
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("id").combine_chunks()
         blobs = group.column("shingles").to_pylist()
         left, right = [], []
-        regions = np.unique(np.array(group.column("region").to_pylist(), dtype=object), return_inverse=True)[1]
+        regions, labels = (np.unique(np.array(group.column(c).to_pylist(), dtype=object), return_inverse=True)[1] for c in ("region", "label"))
         for p in split_by(regions):
             members = [np.frombuffer(blobs[i], np.uint64) for i in p]
             size = np.array([len(m) for m in members], np.int64)
@@ -193,69 +239,78 @@ def full_forest(sets: DataFrame, percent: int, kind: str, groups: int) -> DataFr
                 if not len(near):
                     return out
                 mask[own] = 1
-                where = np.repeat(begin[near], size[near]) + np.arange(size[near].sum()) - np.repeat(np.cumsum(size[near]) - size[near], size[near])
-                both = np.add.reduceat(mask[names[where]], np.cumsum(size[near]) - size[near])
+                both = np.empty(len(near), np.int64)
+                for low in range(0, len(near), 256):
+                    some = near[low : low + 256]
+                    ends = np.cumsum(size[some])
+                    where = np.repeat(begin[some] - ends + size[some], size[some]) + np.arange(ends[-1])
+                    both[low : low + 256] = np.add.reduceat(mask[names[where]], ends - size[some])
                 mask[own] = 0
                 out[can] = 100 * both >= percent * (size[x] + size[near] - both)
                 return out
 
-            for x, y in spanning(len(p), alike):
+            for x, y in spanning(labels[p], alike):
                 left.append(int(p[x]))
                 right.append(int(p[y]))
         return pa.table({"a": ids.take(pa.array(left, pa.int64())), "b": ids.take(pa.array(right, pa.int64()))})
 
     rows = in_parts(sets.withColumn("_size", F.octet_length("shingles")), "region", "_size", groups)
-    return rows.select("g", "i", "j", "region", "id", "shingles").groupBy("g", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
-
+    return rows.select("g", "i", "j", "region", "id", "shingles", "label").groupBy("g", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
 
-def near_duplicates(
-    docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id, kept.
 
-    Words are split at space and \\t to \\r, A to Z in lower case; a set is the distinct
-    runs of k words, or the whole text if it has fewer. Documents are linked when
-    100 * |intersection| >= percent * |union|; component_id is the smallest id that
-    links reach, and kept marks the rows that have it. A text without words (null
-    too) is linked with nothing. Rows that repeat an id share its class if they share
-    its text. A row without an id represents no class: it gets the class of a document
-    with the same set, else none, and is then kept. Extra columns are ignored; an empty
-    table gives no rows.
-    """
+def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, n_shingles, component) for each row of docs (id, text), whose ids are unique and not null."""
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema["id"].dataType.simpleString()
     groups = max(1, 2 * partitions(spark))
-    all_rows = written(sketches(docs, k, id_col, text_col), "sketches")
-    named = all_rows.filter("n > 0")
+    all_rows = written(sketches(docs, k, "id", "text"), "sketches")
     # one member for each distinct set: the smallest id, with its bands
-    chosen = named.groupBy("set").agg(F.min("id").alias("id"))
-    own = named.join(chosen.select("id"), "id", "left_semi").select("id", "marks", "bands")
+    chosen = all_rows.filter("n > 0").groupBy("set").agg(F.min("id").alias("id"))
+    own = all_rows.join(chosen.select("id"), "id", "left_semi").select("id", "marks", "bands")
     # sketches travel only to buckets with several members
     own = written(own, "representatives")
     keyed = own.select("id", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     buckets = written(keyed.join(shared, "bucket").join(own.select("id", "marks"), "id"), "buckets")
-    least = similar_enough(COORDINATES, percent / 100)
-    regions = written(
-        connected_components(sketch_forest(buckets, least, kind, groups)).select("id", F.col("component").alias("region")), "regions"
-    )
-    members = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(regions, "id")
-    sets = written(shingle_sets(members, k, kind), "sets")
+    regions = written(regions_of(buckets, similar_enough(COORDINATES, percent / 100), kind, groups), "regions")
+    sets = written(shingle_sets(docs.join(regions, "id"), k, kind), "sets")
     first = written(first_links(sets, percent), "first-links")
     open_regions = first.groupBy("region").agg(F.bool_and("linked").alias("done")).filter("NOT done").select("region")
-    rest = full_forest(sets.join(open_regions, "region", "left_semi"), percent, kind, groups)
-    links = first.filter("linked").select(F.col("region").alias("a"), F.col("id").alias("b")).union(rest)
+    linked = F.coalesce("linked", F.col("id") == F.col("region"))  # the first one is joined to itself
+    rest = sets.join(open_regions, "region", "left_semi").join(first.select("id", "linked"), "id", "left")
+    rest = rest.withColumn("main", linked).withColumn("label", F.when(linked, F.col("region")).otherwise(F.col("id"))).drop("linked")
+    links = first.filter("linked").select(F.col("region").alias("a"), F.col("id").alias("b")).union(full_forest(rest, percent, kind, groups))
     found = written(connected_components(links), "components")
     class_of = chosen.join(found, "id", "left").select("set", F.coalesce("component", "id").alias("component"))
-    return (
-        all_rows.select("id", "n", "set")
-        .join(class_of, "set", "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.col("n").alias("n_shingles"),
-            F.coalesce("component", "id").alias("component_id"),
-            F.coalesce("component", "id").eqNullSafe(F.col("id")).alias("kept"),
+    return all_rows.select("id", "n", "set").join(class_of, "set", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+
+
+def near_duplicates(
+    docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id, kept.
+
+    Words are split at space and \\t to \\r, A to Z in lower case; a set is the distinct
+    runs of k words, or the whole text if it has fewer. Documents are linked when
+    100 * |intersection| >= percent * |union|; component_id is the smallest id that
+    links reach, and kept marks the rows that have it. A text without words (null
+    too) is linked with nothing. Rows that share an id are documents of their own: each
+    has the class of its text. Rows without an id are documents too, after all others;
+    their component_id is null only if links reach no row with an id. Extra columns are
+    ignored; an empty table gives no rows.
+    """
+    rows = docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text"))
+    if own_ids(rows, "name"):
+        found = classes(rows.select(F.col("name").alias("id"), "text"), k, percent).withColumn("name", F.col("id"))
+    else:
+        rows = numbered(rows, "name", "text", "id")
+        names = rows.select("id", "name")
+        found = classes(rows.select("id", "text"), k, percent).join(names, "id").join(
+            names.select(F.col("id").alias("component"), F.col("name").alias("first")), "component"
         )
+        found = found.withColumn("component", F.col("first"))
+    return found.select(
+        F.col("name").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("name")).alias("kept")
     )
 
 
@@ -263,12 +318,15 @@ def kept_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     """docs with one document of each class, with the columns they came with.
 
     That with the smallest id stays, null ids last. Rows are told apart by themselves:
-    ids can be null, and be repeated with the same text or others. Texts without words
-    belong to no class and stay.
+    ids can be null, and be repeated with the same text or others. Texts without words,
+    null ones too, belong to no class and stay. Columns of any name are kept as they
+    are; an empty table gives no rows.
     """
-    rows = with_own_ids(docs, id_col, text_col, "_row")
-    drop = near_duplicates(rows, k, percent, "_row", text_col).filter("NOT kept").select("_row")
-    return rows.join(drop, "_row", "left_anti").select(*docs.columns)
+    row = free_name(docs, "_row")
+    rows = with_own_ids(docs, id_col, text_col, row)
+    found = classes(rows.select(F.col(row).alias("id"), F.col(text_col).alias("text")), k, percent)
+    drop = found.filter("id != component").select(F.col("id").alias(row))
+    return rows.join(drop, row, "left_anti").select(*docs.columns)
 
 
 def op7_fast_sketch_near(spark: SparkSession, sf_dir: str) -> DataFrame:

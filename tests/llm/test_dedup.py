@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import duckdb
@@ -52,6 +53,17 @@ def test_windows_with_null_and_repeated_ids(spark):
     assert substring_dedup.repeated_passages(documents(spark, [])).count() == 0
 
 
+def test_windows_of_rows_without_ids_fill_several_blocks(spark, monkeypatch):
+    """Each text counts once for what it repeats, whichever of the rows without an id comes first."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 400)
+    texts = [f"{i} one two three four {i}" for i in range(60)] + [f"{i} a b c d {i}" for i in range(40)] + ["u v w", "x one two three"]
+    ids = [None] * 60 + [7] * 40 + [8, 9]
+    found = substring_dedup.repeated_passages(documents(spark, texts, ids).repartition(4), 4).collect()
+    assert sum(len(r.removed) for r in found if r.doc_id is None) == 59 and sum(len(r.removed) for r in found if r.doc_id == 7) == 39
+    assert len(found) == 102 and all(not r.removed for r in found if r.doc_id == 8)
+
+
 def test_rolling_hashes_depend_on_the_words_alone():
     h = word_hashes([b"x", b"a", b"b", b"c", b"y", b"a", b"b", b"c"])
     w = window_hashes(h, 3, Powers())
@@ -86,6 +98,48 @@ def test_exact_against_an_index(spark):
     index.drop()
 
 
+def test_a_batch_added_again_gets_the_same_answers(spark):
+    index = exact_dedup.DigestIndex(spark, "digests_added_again", 3)
+    index.drop()
+    index.add(documents(spark, ["a", "b"], [1, 2]))
+    answers = [sorted(index.add(documents(spark, ["b", "c", "c", None], [3, 4, 5, 6])).collect()) for _ in range(2)]
+    assert answers[0] == answers[1] and [r.is_new for r in answers[0]] == [False, True, True, True]
+    named = [sorted(index.add(documents(spark, ["c", "d"], [7, 8]), batch="third").collect()) for _ in range(2)]
+    assert named[0] == named[1] and [r.is_new for r in named[0]] == [False, True]
+    assert index.read().count() == 5
+    index.drop()
+
+
+def test_a_half_appended_batch_is_completed(spark):
+    """A job that died after a part of its append: what is missing is added, nothing twice."""
+    index = exact_dedup.DigestIndex(spark, "digests_half_added", 2)
+    index.drop()
+    docs = documents(spark, ["a", "b", "c"], [1, 2, 3])
+    index.add(docs, batch="x")
+    whole = sorted(tuple(r) for r in index.read().collect())
+    index.drop()
+    index.append(spark.createDataFrame(whole[:1], "digest binary, keep_id long, rows long, batch string"))
+    assert all(r.is_new for r in index.add(docs, batch="x").collect())
+    assert sorted(tuple(r) for r in index.read().collect()) == whole
+    index.drop()
+
+
+def test_exact_leaves_no_table_behind(spark):
+    before = len(spark.catalog.listTables())
+    texts = ["a", "b", "a", "c", "b", "b"]
+    found = by_id(exact_dedup.exact_dedup(documents(spark, texts, [10, 20, 30, 40, 50, 60])))
+    assert [(found[i].keep_id, found[i].group_size, found[i].kept) for i in (10, 20, 30, 40, 50, 60)] == [
+        (10, 2, True), (20, 3, True), (10, 2, False), (40, 1, True), (20, 3, False), (20, 3, False)
+    ]
+    assert len(spark.catalog.listTables()) == before
+
+
+def test_exact_with_names_for_ids(spark):
+    docs = spark.createDataFrame([("x", "a"), ("b", "a"), (None, "c")], "doc_id string, text string")
+    found = by_id(exact_dedup.exact_dedup(docs))
+    assert [(found[i].keep_id, found[i].kept) for i in ("x", "b", None)] == [("b", False), ("b", True), (None, True)]
+
+
 def test_a_first_batch_meets_the_index_by_an_anti_join(spark, monkeypatch):
     plans, write = {}, exact_dedup.written
     monkeypatch.setattr(exact_dedup, "written", lambda df, what: plans.setdefault(what, df._jdf.queryExecution().executedPlan().toString()) and write(df, what))
@@ -172,6 +226,74 @@ def test_near_in_parts(spark, odd, monkeypatch):
     assert [tuple(found[i])[1:] for i in range(len(found))] == brute_near(odd_texts(), 3, 85)
 
 
+def chains(seed=4):
+    """Texts that move away from a first one step by step, several chains from one start, beside far ones."""
+    r = random.Random(seed)
+    start, texts = [f"a{i}" for i in range(100)], []
+    for chain in range(4):
+        w = list(start)
+        for step in range(12):
+            texts.append(" ".join(w))
+            for _ in range(2):
+                w[r.randrange(100)] = f"{chain}x{step}{r.random()}"
+    texts += [" ".join(r.sample(start, 100)) for _ in range(12)]
+    r.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("rows, percent", [(2000, 85), (3, 85), (1, 85), (3, 90)])
+def test_near_chains(spark, monkeypatch, rows, percent):
+    monkeypatch.setattr(near_dedup, "PART_ROWS", rows)
+    texts = chains()
+    found = by_id(near_dedup.near_duplicates(documents(spark, texts).repartition(5), 3, percent))
+    assert [tuple(found[i])[1:] for i in range(len(found))] == brute_near(texts, 3, percent)
+
+
+def test_parts_meet(spark, monkeypatch):
+    """Every pair with a member that isn't main meets in some task, pairs of main members need not."""
+    monkeypatch.setattr(near_dedup, "PART_ROWS", 4)
+    rows = [(k, i, i < main, 1) for k, (n, main) in enumerate([(1, 0), (7, 0), (9, 7), (30, 1), (30, 29), (12, 12), (3, 3)]) for i in range(n)]
+    dealt = near_dedup.in_parts(spark.createDataFrame(rows, "k int, id int, main boolean, size int"), "k", "size", 5).collect()
+    tasks = {}
+    for r in dealt:
+        tasks.setdefault((r.k, r.g, r.i, r.j), []).append((r.id, r.main))
+    met = {(k, *sorted((a, b))) for (k, *_), found in tasks.items() for a, _ in found for b, _ in found}
+    assert {(k, *sorted((a, b))) for k, a, m, _ in rows for l, b, n, _ in rows if k == l and not (m and n)} <= met
+    assert not any(k in (5, 6) for k, *_ in tasks) and max(len({i for i, _ in found}) for found in tasks.values()) <= 16
+
+
+def test_spanning_joins_what_is_linked():
+    r = random.Random(2)
+    for _ in range(200):
+        n = r.randint(2, 14)
+        link = {(i, j) for i in range(n) for j in range(i) if r.random() < r.choice([0.05, 0.2])}
+        labels = np.array([r.randrange(n) for _ in range(n)])
+        alike = lambda x, rest: np.array([(max(x, y), min(x, y)) in link for y in rest.tolist()])
+        pairs = near_dedup.spanning(labels, alike)
+        assert all((max(p), min(p)) in link for p in pairs)
+
+        def parts(edges):
+            root = list(range(n))
+            for a, b in edges:
+                root = [root[a] if x == root[b] else x for x in root]
+            return [root.index(x) for x in root]
+
+        same = [(i, j) for i in range(n) for j in range(i) if labels[i] == labels[j]]
+        assert parts(same + pairs) == parts(same + list(link))
+        assert len(pairs) == len(set(labels.tolist())) - len(set(parts(same + pairs)))
+
+
+def test_near_with_repeated_ids(spark):
+    """Rows that share an id have the classes of their own texts."""
+    texts = ["a b c d e f", "a b c d e f", "x y z u v w", None, "x y z u v w", "q r s t", "q r s t", "m n o p"]
+    ids = [1, 5, 5, 5, None, None, None, 7]
+    found = near_dedup.near_duplicates(documents(spark, texts, ids).repartition(3), 3, 85).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted([tuple(r) for r in found], key=key) == sorted(
+        [(1, 4, 1, True), (5, 4, 1, False), (5, 4, 5, True), (5, 0, 5, True), (None, 4, 5, False), (None, 2, None, True), (None, 2, None, True), (7, 2, 7, True)], key=key
+    )
+
+
 def test_near_edges(spark):
     assert near_dedup.near_duplicates(documents(spark, [])).count() == 0
     found = near_dedup.near_duplicates(documents(spark, [None, "", "x y", "x y"], [1, 2, None, 7])).collect()
