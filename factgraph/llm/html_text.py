@@ -8,11 +8,14 @@ where they differ it is content. Its importance is
     (1 - g^l) * presentation + g^l * content,   g = 0.9, l = number of kinds of children
 
 presentation: entropy of the presentations over the host's m pages, to the base m;
-content: 1 - the mean over pages of log_m(pages with that same content). Branches whose
-importance is low are removed from each page of the host. Entropy can say nothing about
-a host with a few pages, nor about menus that change from page to page, so what tags and
-classes themselves declare comes first: `NOISE` is removed everywhere, and a region that
-is declared as the article is kept, with nothing of the page outside it.
+content: 1 - the mean over pages of log_m(pages with that same content). It is read
+against the host's most important branch, so copies of pages make nothing look like
+decoration. Branches of low importance are removed from each page of the host: low is
+less for what nothing else speaks against than for link lists, site headers and elements
+whose class or id hints at noise. Entropy can say nothing about a host with a few pages,
+nor about menus and comments that change from page to page; there, what tags and classes
+declare decides. A region that is declared as the article is kept, with nothing of the
+page outside it; inside, the tree removes whole boxes alone, and none on small hosts.
 """
 
 from __future__ import annotations
@@ -23,25 +26,31 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from factgraph.llm.common import table, written
 
-#: A branch below this importance is removed, on hosts with at least this many pages.
-LEAST_IMPORTANCE, LEAST_PAGES, DAMPING = 0.3, 4, 0.9
-#: Rows of a host's removed branches are repeated this often, so a hot host's pages spread.
-SALTS = 16
+#: Importance, as a share of the host's most important branch, below which a branch is removed: if something else speaks against it, and if nothing does.
+LOW, LOWEST = 0.75, 0.3
+#: Pages that must have a branch before the tree judges it, and before it does so inside an article.
+LEAST_PAGES, LEAST_PAGES_INSIDE, DAMPING = 4, 8, 0.9
+#: A host whose most important branch has less than this shows copies of one page, and nothing can be told.
+LEAST_DIFFERENCE = 0.1
 
-RAW = frozenset("script style textarea title noscript iframe xmp template noembed noframes svg math object select button".split())
+RAW = frozenset("script style textarea title noscript iframe xmp template noembed noframes svg object select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p pre search section summary table tbody"
     " td tfoot th thead tr ul".split()
 )
-NOISE_TAGS = frozenset("nav aside footer form head menu dialog search fieldset input label".split()) | RAW
+NOISE_TAGS = frozenset("nav aside footer form head menu dialog search fieldset input annotation annotation-xml".split()) | RAW
+#: Controls are noise in a form; elsewhere that is open.
+HINTED_TAGS = frozenset(["button", "label"])
+#: Whole boxes, which the tree may remove inside an article: not headings, paragraphs, tables or words of a sentence.
+BOXES = frozenset("div section ul details button label".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices"
     " alert newsletter subscribe signup login popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar"
@@ -53,6 +62,8 @@ VAGUE_WORDS = frozenset(
     "area articles bar block body box button buttons card container content form group icon icons inner item items link links list outer"
     " panel post posts row section stories teaser text thread title wrap wrapper".split()
 )
+#: On a paragraph these speak of its style as often as of noise.
+STYLE_WORDS = frozenset("alert notice notices hidden share sharing social related recommended widget skip banner toolbar".split())
 #: Slugs of titles and names of highlighted code stand on these; what they say in part says nothing.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CODE_TAGS = frozenset(["pre", "code"])
@@ -100,14 +111,15 @@ def named(tag: str, name: str, tokens: list[str]) -> int:
 
     A token counts whole: each of its words is noise, or vague beside one that is. Of
     other tokens a word is a hint, but not on articles, sections, headings and inline
-    elements; and no id of the last two counts.
+    elements; and no id of the last two counts. On a paragraph some words are a hint at
+    most.
     """
     inline = tag not in BLOCK
     if name == "id" and (inline or tag in HEADINGS):
         return NONE
     said = [set(WORD.findall(t)) for t in tokens]
     noisy = [w for w in said if not NOISE_WORDS.isdisjoint(w)]
-    if any(w <= NOISE_WORDS | VAGUE_WORDS for w in noisy):
+    if any(w <= NOISE_WORDS | VAGUE_WORDS and not (tag == "p" and w <= STYLE_WORDS | VAGUE_WORDS) for w in noisy):
         return NAMED
     quiet = inline or tag in HEADINGS or tag in MAIN_TAGS or tag == "section"
     return HINTED if noisy and not quiet else NONE
@@ -116,7 +128,7 @@ def named(tag: str, name: str, tokens: list[str]) -> int:
 def declared(tag: str, attributes: str) -> tuple[str, int, bool, bool]:
     """Of an element: its style, how surely it is noise, whether it is the article or a site's header."""
     style, main, header = tag, tag in MAIN_TAGS, tag == "header"
-    noise = (NAMED if tag in SOFT_TAGS else CERTAIN) if tag in NOISE_TAGS else NONE
+    noise = (NAMED if tag in SOFT_TAGS else CERTAIN) if tag in NOISE_TAGS else HINTED if tag in HINTED_TAGS else NONE
     if attributes:
         seen: dict[str, str] = {}
         for m in ATTRIBUTE.finditer(attributes):  # of a name given twice the first counts
@@ -206,24 +218,58 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             open_.append(own)
 
 
-def flags(nodes: list[Node], low: frozenset[int] | set[int], soft: bool = True) -> list[bool]:
-    """Which nodes' own text stays; soft: what names call noise goes as well, where no article is below it.
+class Low(NamedTuple):
+    """Paths of a host's style nodes below LOW, below LOWEST, and those of the latter that many pages have."""
 
-    Not in code, where names are the highlighter's. Inside an article a hint alone
-    removes nothing but what the site's tree gives little importance.
+    low: frozenset[int] = frozenset()
+    lowest: frozenset[int] = frozenset()
+    boxes: frozenset[int] = frozenset()
+
+
+def branches(nodes: list[Node], text: list[tuple[int, str]], low: Low) -> list[bool]:
+    """Which nodes the tree removes: their own importance is low enough, and nothing below them is important."""
+    inside, linked, said, whole = [False], [False], [False] * len(nodes), [True] * len(nodes)
+    for n in nodes[1:]:
+        inside.append(inside[n.parent] or n.main)
+        linked.append(linked[n.parent] or n.tag == "a")
+    for node, piece in text:
+        if piece and not linked[node] and not piece.isspace():
+            said[node] = True  # something beside links
+    out = [False] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        n = nodes[i]
+        said[n.parent] |= said[i]
+        if n.tag in VOID or n.tag in RAW:
+            continue
+        whole[n.parent] &= whole[i] and n.path in low.low
+        if n.path in low.low and whole[i]:
+            doubted = n.noise >= HINTED
+            if inside[i]:
+                out[i] = n.tag in BOXES and (doubted or n.path in low.boxes)
+            else:  # of the words of a sentence none goes alone
+                out[i] = doubted or n.header or (n.tag in BLOCK and (not said[i] or n.path in low.lowest))
+    return out
+
+
+def flags(nodes: list[Node], text: list[tuple[int, str]], low: Low, soft: bool = True) -> list[bool]:
+    """Which nodes' own text stays: not that of branches the site's tree removes, nor what tags declare as noise.
+
+    soft: what names call noise goes as well, where no article is below it. Not in code,
+    where names are the highlighter's. Inside an article a hint alone removes nothing.
     """
     holds = [False] * len(nodes)  # a declared article at or below
     for i in range(len(nodes) - 1, 0, -1):
         holds[i] |= nodes[i].main
         if holds[i] and nodes[i].noise < CERTAIN:
             holds[nodes[i].parent] = True
+    pruned = branches(nodes, text, low) if low.low else [False] * len(nodes)
     gone, inside, code, has_main = [False], [False], [False], False
     for i, n in enumerate(nodes[1:], 1):
         in_main = inside[n.parent] or n.main
-        doubted = n.noise == NAMED or (n.noise == HINTED and (not inside[n.parent] or n.path in low))
+        doubted = n.noise == NAMED or (n.noise == HINTED and not inside[n.parent])
         noise = n.noise == CERTAIN or (doubted and soft and not holds[i] and not code[n.parent])
         # the heading of an article often stands in a header; a header elsewhere is the site's
-        drop = gone[n.parent] or noise or (n.header and not inside[n.parent] and not holds[i]) or (n.path in low and not in_main and not holds[i])
+        drop = gone[n.parent] or noise or (n.header and not inside[n.parent] and not holds[i]) or (pruned[i] and not holds[i])
         gone.append(drop)
         code.append(code[n.parent] or n.tag in CODE_TAGS)
         inside.append(in_main and not drop)
@@ -231,16 +277,15 @@ def flags(nodes: list[Node], low: frozenset[int] | set[int], soft: bool = True)
     return [not g and (i or not has_main) for g, i in zip(gone, inside)]
 
 
-def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset(), soft: bool = True) -> str:
+def main_text(page: str | None, low: Low = Low(), soft: bool = True) -> str:
     """Blocks that stay, in page order, joined by an empty line.
 
     In a block character references are decoded and white space becomes one space. low:
-    paths of style nodes that the site's tree gives little importance; a page of which
-    nothing else is left keeps them, as on a host of copies of one page, and then what
-    class names alone call noise.
+    what the site's tree gives little importance; a page of which nothing else is left
+    keeps that, and then what class names alone call noise.
     """
     nodes, text = parse(page or "")
-    stays = flags(nodes, low, soft)
+    stays = flags(nodes, text, low, soft)
     blocks, block = [], []
     for node, piece in [*text, (0, None)]:
         if piece is None:
@@ -251,8 +296,8 @@ def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset(), so
                 block = []
         elif stays[node]:
             block.append(piece)
-    if not blocks and (low or soft) and len(nodes) > 1:
-        return main_text(page, frozenset(), bool(low))
+    if not blocks and (low.low or soft) and len(nodes) > 1:
+        return main_text(page, Low(), bool(low.low))
     return "\n\n".join(blocks)
 
 
@@ -328,37 +373,49 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     )
 
 
+def low_branches(tree: DataFrame) -> DataFrame:
+    """(host, low, lowest, boxes): paths of a host's unimportant style nodes, as Low has them.
+
+    Importance is taken against the host's most important node of those that at least
+    half as many pages have as any. Pages without a host have no site and no tree.
+    """
+    own = Window.partitionBy("host")  # style nodes of a host, not its pages
+    ranked = tree.filter("host != ''").withColumn("most", F.max("pages").over(own))
+    ranked = ranked.withColumn("best", F.max(F.when(F.col("pages") * 2 >= F.col("most"), F.col("importance"))).over(own))
+    share = F.col("importance") / F.col("best")
+    low = ranked.filter((F.col("pages") >= LEAST_PAGES) & (F.col("best") >= LEAST_DIFFERENCE) & (share < LOW))
+    paths = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("path"))))
+    return low.groupBy("host").agg(
+        paths(F.lit(True)).alias("low"), paths(share < LOWEST).alias("lowest"), paths((share < LOWEST) & (F.col("pages") >= LEAST_PAGES_INSIDE)).alias("boxes")
+    )
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: id, url, text.
 
-    A null or empty html gives an empty text, a null or unparsable url the host "".
-    Whole pages are read; repeated rows are pages of their own and count for their host
-    as such; extra columns are ignored; an empty table gives no rows.
+    A null or empty html gives an empty text; a null or unparsable url has no host, and
+    its page no site to be compared with. Whole pages are read; repeated rows are pages
+    of their own and count for their host as such; extra columns are ignored; an empty
+    table gives no rows.
     """
-    tree = style_tree(pages, url_col, html_col)
-    low = tree.filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    removed = written(low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low")), "low-importance")
-    removed = removed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    removed = written(low_branches(style_tree(pages, url_col, html_col)), "low-importance")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                lows: dict[tuple, set[int]] = {}
+                lows: dict[str | None, Low] = {None: Low()}
                 texts = []
-                for page, low in zip(some.column(2).to_pylist(), some.column(3).to_pylist()):
-                    key = tuple(low or ())
-                    if key not in lows:
-                        lows[key] = {x % (1 << 64) for x in key}
-                    texts.append(main_text(page, lows[key]))
+                for i, (page, host) in enumerate(zip(some.column(2).to_pylist(), some.column(3).to_pylist())):
+                    if host not in lows:  # null where nothing is low
+                        lows[host] = Low(*(frozenset(x % (1 << 64) for x in some.column(c)[i].as_py()) for c in (4, 5, 6)))
+                    texts.append(main_text(page, lows[host]))
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(
-        F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
-        host_of(F.col(url_col)).alias("host"), F.pmod(F.xxhash64(id_col, url_col), F.lit(SALTS)).cast("int").alias("salt"),
-    )
-    joined = rows.join(removed, ["host", "salt"], "left").select("id", "url", "html", "low")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("own_host"))
+    # two plain shuffles where the table of hosts is large, so that a hot host's pages can be split
+    joined = rows.join(removed, F.col("own_host") == F.col("host"), "left").select("id", "url", "html", "host", "low", "lowest", "boxes")
     return joined.mapInArrow(run, f"id {kind}, url string, text string").withColumnRenamed("id", id_col)
 
 

@@ -1,3 +1,10 @@
+import math
+import re
+from collections import defaultdict
+from html.parser import HTMLParser
+
+import pytest
+
 from factgraph.llm import html_text as h
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -86,6 +93,106 @@ def test_repeated_branches_of_a_host_go(spark):
     assert (found[101], found[102], found[103]) == ("", "bad url", "")
 
 
+NINE = (
+    '<article><h2 id="related-work">one</h2><h2 id="social-comment">two</h2><p class="alert">three</p><div class="share-price">four</div>'
+    '<p id="ads-in-history">five</p><p>so <math><mi>x</mi><mo>=</mo><mn>6</mn></math></p><p><label>seven</label></p><p><button>eight</button></p><p>body {0}</p></article>'
+)
+
+
+def test_names_that_are_no_noise_keep_their_text(spark):
+    whole = "one\n\ntwo\n\nthree\n\nfour\n\nfive\n\nso x=6\n\nseven\n\neight\n\nbody {0}"
+    assert h.main_text(NINE.format("nine")) == whole.format("nine")
+    found = h.extract(pages(spark, [(i, "http://a.example/", NINE.format(i)) for i in range(3)]))
+    assert {r.page_id: r.text for r in found.collect()} == {i: whole.format(i) for i in range(3)}
+    assert h.main_text("<article><p>a</p><form><label>b</label><button>c</button></form></article>") == "a"
+    assert h.main_text('<article><p>a <math><mi>x</mi><annotation encoding="tex">\\x</annotation></math></p></article>') == "a x"
+
+
+def site(n):
+    """Pages whose boxes say what they are by repeating alone; every third page has another menu."""
+    out = []
+    for i in range(n):
+        menu = "".join(f'<li><a href="/{k}">{k}</a></li>' for k in (["Home", "News"] if i % 3 else ["Start", "About"]))
+        out.append(
+            f"<body><div class=b0>Welcome to all</div><ul class=x1>{menu}</ul><article><h1>Same title</h1><p>Story {i} of {i * i}</p><table><tr><td>yes</td></tr></table>"
+            f"<div class=y2><a href=/m>Mail this</a></div><div class=z3>Words {i % 2}</div><p>More {i} <em>each</em></p></article><div class=e4>Bye</div></body>"
+        )
+    return out
+
+
+def test_the_tree_removes_repeated_boxes_around_and_inside_articles(spark):
+    whole = "Same title\n\nStory {0} of {1}\n\nyes\n\n{2}Words {3}\n\nMore {0} each"
+    for n, gone in ((12, ""), (5, "Mail this\n\n")):
+        found = h.extract(pages(spark, [(i, "http://a.example/", p) for i, p in enumerate(site(n))])).collect()
+        assert {r.page_id: r.text for r in found} == {i: whole.format(i, i * i, gone, i % 2) for i in range(n)}
+    bare = [p.replace("article>", "main2>") for p in site(12)]  # nothing says where the article is
+    found = h.extract(pages(spark, [(i, "http://a.example/", p) for i, p in enumerate(bare)])).collect()
+    assert {r.text for r in found if r.page_id == 7} == {"Story 7 of 49\n\nWords 1\n\nMore 7 each"}
+    alone = h.extract(pages(spark, [(i, f"http://{i}.example/", p) for i, p in enumerate(bare)])).collect()
+    assert {r.text for r in alone if r.page_id == 7} == {"Welcome to all\n\nHome\n\nNews\n\nSame title\n\nStory 7 of 49\n\nyes\n\nMail this\n\nWords 1\n\nMore 7 each\n\nBye"}
+
+
+class Plain(HTMLParser):
+    """Elements of a well-formed page, as (path of styles, child styles, text below)."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.found = [("", [], [])], []
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        style = tag + "".join(f".{v}" for k, v in attrs if k == "class")
+        style = re.sub(r"\d", "0", style) if "." not in style else style.split(".")[0] + "." + re.sub(r"\d", "0", style.split(".", 1)[1])
+        self.open[-1][1].append(style)
+        self.open.append((f"{self.open[-1][0]}>{style}", [], []))
+
+    def handle_data(self, data):
+        for _, _, said in self.open:
+            said.append(data)
+
+    def handle_endtag(self, tag):
+        self.found.append(self.open.pop())
+
+
+def brute_tree(texts):
+    """Importance of each style node of a site by the formulas, with sequences and texts themselves for keys."""
+    shown, said, kinds = defaultdict(list), defaultdict(list), defaultdict(int)
+    for page in texts:
+        here = {}
+        for path, children, text in Plain(page).found:
+            if path.rsplit(">", 1)[1] not in ("html", "body", "head"):
+                c, t = here.setdefault(path, ([], []))
+                c += [x for x, before in zip(children, [None, *children]) if x != before]
+                t += text
+        for path, (children, text) in here.items():
+            shown[path].append(tuple(children))
+            said[path].append(" ".join(" ".join(text).split()))
+            kinds[path] = max(kinds[path], len(set(children)))
+    out = {}
+    for path in shown:
+        m = len(shown[path])
+        entropy = lambda seen: 1.0 if m == 1 else -sum(seen.count(x) / m * math.log(seen.count(x) / m, m) for x in set(seen))
+        content = 1.0 if m == 1 else 1 - sum(math.log(said[path].count(x), m) for x in said[path]) / m
+        weight = 0.9 ** kinds[path]
+        out[path] = (m, entropy(shown[path]), content, (1 - weight) * entropy(shown[path]) + weight * content)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 12])
+def test_the_tree_like_brute_force(spark, n):
+    texts = [f"<html>{p}</html>" for p in site(n)] + ["<html><body><div class=b0>Other</div><p>Odd one</p></body></html>"] * (n > 2)
+    tree = h.style_tree(pages(spark, [(i, "http://a.example/x", p) for i, p in enumerate(texts)])).collect()
+    expected = brute_tree(texts)
+    assert len(tree) == len(expected)
+    key = lambda r: tuple(round(x, 6) + 0.0 for x in r)
+    assert sorted(key((r.pages, r.presentation, r.content, r.importance)) for r in tree) == sorted(map(key, expected.values()))
+    low = h.low_branches(h.style_tree(pages(spark, [(i, "http://a.example/x", p) for i, p in enumerate(texts)]))).collect()
+    most = max(m for m, *_ in expected.values())
+    best = max(i for m, _, _, i in expected.values() if 2 * m >= most)
+    count = lambda limit, least: sum(m >= least and i / best < limit for m, _, _, i in expected.values())
+    assert [tuple(map(len, (r.low, r.lowest, r.boxes))) for r in low] == ([(count(h.LOW, 4), count(h.LOWEST, 4), count(h.LOWEST, 8))] if n > 2 else [])
+
+
 def test_importance(spark):
     body = "<body><div class=top>Same</div><div class=text>{0}</div></body>"
     tree = {(round(r.content, 6), r.pages) for r in h.style_tree(pages(spark, [(i, "http://a.example/", body.format(i)) for i in range(8)])).collect()}
