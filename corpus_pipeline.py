@@ -60,9 +60,9 @@ def leak_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens with their ids, as training reads them.
 
-    doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids array<int>: a
-    sequence is its pieces in the order of offset; each but the last is full. A null or
-    empty text is its end id alone. Repeated rows are packed each on its own; null ids
+    doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary,
+    little-endian 32-bit): a sequence is its pieces in the order of offset; each but the
+    last is full. A null or empty text is its end id alone. Repeated rows are packed each on its own; null ids
     stay null. Extra columns are left out.
     """
     return packing.training_rows(packing.pack(docs, packing.public_bpe(), 2048, 1))

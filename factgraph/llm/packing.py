@@ -197,22 +197,8 @@ def packed_rows(pieces: DataFrame) -> DataFrame:
 
 
 def training_rows(pieces: DataFrame) -> DataFrame:
-    """packed_rows with the ids themselves, as array<int>; a sequence is its pieces in the order of offset."""
-
-    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                some = batch.slice(low, 512)
-                blobs = some.column(some.num_columns - 1).to_pylist()
-                ends = np.cumsum([0] + [len(b) // 4 for b in blobs])
-                ids = np.frombuffer(b"".join(blobs), "<u4").astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists], names=names)
-
-    rows = packed_rows(pieces)
-    names = [*rows.columns, "ids"]
-    kinds = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
-    return pieces.select(*[packed_columns()[c].alias(c) for c in rows.columns], "ids").mapInArrow(lay, f"{kinds}, ids array<int>")
+    """packed_rows with the ids themselves; a sequence is its pieces in the order of offset, as sequences() lays them."""
+    return pieces.select(*[c.alias(n) for n, c in packed_columns().items()], "ids")
 
 
 def op1_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
