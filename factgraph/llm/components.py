@@ -1,48 +1,13 @@
-"""Connected components of an edge table, by alternating stars."""
+"""Connected components of an edge table, each round a table in the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from factgraph.llm.common import written
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node points its larger neighbours at its smallest neighbour or itself."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # written, so that both sides of the join are plain shuffles, whose large partitions Spark can split
-    low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "lowest")
-    return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node points its smaller neighbours and itself at the smallest of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    low = down.groupBy("a").agg(F.min("b").alias("low"))
-    moved = down.join(low, "a").filter("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return moved.union(low.select("a", F.col("low").alias("b"))).distinct()
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+from factgraph.operators import closure
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, component) for each node of edges (a, b): the smallest id that it reaches.
-
-    Edges with a null end or a = b are left out. Each round is written to the shared
-    folder; two counts are all that the driver sees. The rounds grow with the logarithm
-    of the longest path, and a node with very many neighbours is an aggregate and a
-    splittable join, never a collected list.
-    """
-    edges = written(edges.filter("a != b").select("a", "b").distinct(), "edges")
-    last = None
-    while True:
-        edges = written(_small_star(written(_large_star(edges), "large-star")), "small-star")
-        now = _state(edges)
-        if now == last or not now[0]:
-            break
-        last = now
-    tree = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
-    return tree.union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    """(id, component) for each node of edges (a, b): the smallest id that it reaches."""
+    return closure.connected_components(edges, written)

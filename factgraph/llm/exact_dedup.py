@@ -134,6 +134,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         groups = both[0].unionByName(both[1]).groupBy("digest").agg(
             F.min("keep_id").alias("keep_id"), F.sum("rows").alias("rows"), F.bool_or("is_new").alias("is_new")
         )
+    groups = written(groups, "groups")  # both sides of the join are plain shuffles, so Spark can split the rows of a large group
     return rows.join(groups, rows["_digest"] == groups["digest"]).select(
         F.col("_id").alias(id_col),
         "keep_id",
@@ -154,7 +155,7 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row = free_name(docs, "_row")
     rows = with_own_ids(docs, id_col, text_col, row)
     drop = exact_dedup(rows, row, text_col).filter(~F.col("kept")).select(row)
-    return rows.join(drop, row, "left_anti").select(*docs.columns)
+    return rows.join(drop.hint("merge"), row, "left_anti").select(*docs.columns)  # the same way at every size
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

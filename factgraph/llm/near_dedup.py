@@ -326,7 +326,7 @@ def kept_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     rows = with_own_ids(docs, id_col, text_col, row)
     found = classes(rows.select(F.col(row).alias("id"), F.col(text_col).alias("text")), k, percent)
     drop = found.filter("id != component").select(F.col("id").alias(row))
-    return rows.join(drop, row, "left_anti").select(*docs.columns)
+    return rows.join(drop.hint("merge"), row, "left_anti").select(*docs.columns)  # the same way at every size
 
 
 def op7_fast_sketch_near(spark: SparkSession, sf_dir: str) -> DataFrame:
