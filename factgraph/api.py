@@ -12,6 +12,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.functions import text as tx
 from factgraph.operators import closure, compound, graph, inspect, metrics, navigate, quality, resolve, rules
 from factgraph.schema import FactSet, Workspace
 from factgraph.sources import csharp, discovery
@@ -41,13 +42,23 @@ class CodeGraph:
     @property
     def nodes(self) -> DataFrame:
         """Rule nodes, made from the documents' texts."""
-        return csharp.rule_nodes(self.facts["documents"])
+        return self._nodes()
+
+    def _documents(self, file: str | None = None, project: str | None = None, raw: bool = False) -> DataFrame:
+        """Documents of a project whose paths end so: only their texts are parsed."""
+        rows = self.facts["documents"].filter(tx.contains_ignore_case(F.col("project"), project))
+        ends = tx.path_ends_with_raw if raw else tx.path_ends_with
+        return rows.filter(ends(F.col("file_path"), file)) if file else rows
+
+    def _nodes(self, file: str | None = None, project: str | None = None, raw: bool = False) -> DataFrame:
+        nodes = csharp.rule_nodes(self._documents(file, project, raw))
+        return rules.with_receivers(nodes, self.facts["inherits"]) if "inherits" in self.facts.tables else nodes
 
     def _out(self, df: DataFrame) -> DataFrame:
         return df.limit(self.cap) if self.cap else df
 
-    def _pragmas(self) -> DataFrame:
-        return self.facts["pragmas"] if "pragmas" in self.facts.tables else csharp.pragmas(self.facts["documents"])
+    def _pragmas(self, documents: DataFrame) -> DataFrame:
+        return self.facts["pragmas"] if "pragmas" in self.facts.tables else csharp.pragmas(documents)
 
     # navigation
     def find_symbol(self, name: str, kind: str | None = None) -> DataFrame:
@@ -76,22 +87,24 @@ class CodeGraph:
         return self._out(navigate.type_hierarchy(self.symbols, self.facts["inherits"], type_name))
 
     def get_dependency_graph(self, symbol_name: str, file: str | None = None, line: int | None = None, depth: int = 3) -> DataFrame:
-        row = resolve.resolve(self.symbols, symbol_name, file=file, line=line).select("display").first()
-        return self._out(graph.dependency_tree(self.facts["calls"], row["display"] if row else "", depth))
+        root = resolve.resolve(self.symbols, symbol_name, file=file, line=line).select(F.col("display").alias("id"))
+        return self._out(graph.dependency_tree(self.facts["calls"], root, depth))
 
     # project
     def get_project_graph(self, project_filter: str | None = None, include_transitive: bool = False, max_results: int = 50) -> DataFrame:
         return self._out(graph.project_graph(self.facts["projects"], self.facts["project_refs"], project_filter, include_transitive, max_results))
 
     def get_diagnostics(self, scope: str = "solution", path: str | None = None, severity_filter: str = "warning", include_analyzers: bool = False) -> DataFrame:
-        return self._out(inspect.diagnostics(self.facts["diagnostics"], scope, path, severity_filter, include_analyzers))
+        documents = self.facts["documents"] if "documents" in self.facts.tables else None
+        return self._out(inspect.diagnostics(self.facts["diagnostics"], scope, path, severity_filter, include_analyzers, documents))
 
     def get_test_coverage_map(self, project_filter: str | None = None, max_results: int = 100) -> DataFrame:
         return self._out(quality.test_coverage_map(self.symbols, project=project_filter, most=max_results))
 
     # analysis
     def detect_antipatterns(self, file: str | None = None, project_filter: str | None = None, severity: str = "warning", max_results: int = 100) -> DataFrame:
-        return self._out(rules.detect_antipatterns(self.nodes, self._pragmas(), self.facts["documents"], file=file, project=project_filter, severity=severity, most=max_results))
+        documents = self._documents(file, project_filter)
+        return self._out(rules.detect_antipatterns(self._nodes(file, project_filter), self._pragmas(documents), documents, file=file, project=project_filter, severity=severity, most=max_results))
 
     def detect_circular_dependencies(self, scope: str = "projects", project_filter: str | None = None) -> DataFrame:
         return self._out(graph.circular_dependencies(self.facts["projects"], self.facts["project_refs"], self.facts["type_refs"], self.symbols, scope, project_filter))
@@ -111,12 +124,12 @@ class CodeGraph:
         return self._out(metrics.complexity_metrics(metrics.complexity(self.facts["syntax_nodes"]), self.symbols, name, scope, class_name, threshold, max_results))
 
     def analyze_data_flow(self, method_name: str, class_name: str | None = None) -> DataFrame:
-        row = resolve.resolve_method(self.symbols, method_name, class_name).first()
-        return metrics.data_flow(self.facts["flow"], row["display"] if row else "")
+        one = resolve.resolve_method(self.symbols, method_name, class_name).select(F.col("display").alias("method"))
+        return metrics.data_flow(self.facts["flow"].join(F.broadcast(one), "method", "left_semi"))  # one row
 
     def analyze_control_flow(self, method_name: str, class_name: str | None = None) -> DataFrame:
-        row = resolve.resolve_method(self.symbols, method_name, class_name).first()
-        return metrics.control_flow(self.facts["flow_edges"].filter(F.col("method") == (row["display"] if row else "")))
+        one = resolve.resolve_method(self.symbols, method_name, class_name).select(F.col("display").alias("method"))
+        return metrics.control_flow(self.facts["flow_edges"].join(F.broadcast(one), "method", "left_semi"))  # one row
 
     def detect_duplicates(self, project_filter: str | None = None, min_statements: int = 5, max_results: int = 20) -> DataFrame:
         bodies = metrics.normalized_bodies(self.facts["syntax_nodes"]).join(
@@ -164,7 +177,7 @@ class CodeGraph:
         return compound.type_overview(self.facts, type_name)
 
     def get_file_overview(self, file_path: str) -> dict[str, DataFrame]:
-        return compound.file_overview(self.facts, file_path, self.nodes)
+        return compound.file_overview(self.facts, file_path, self._nodes(file_path))
 
     # batch
     def find_symbols_batch(self, names: str, kind: str | None = None) -> DataFrame:
@@ -186,7 +199,7 @@ class CodeGraph:
         return self._out(graph.module_tree(self._modules(), module_name, depth, direction))
 
     def validate_conventions(self, project_filter: str | None = None, file: str | None = None, check_category: str = "all") -> DataFrame:
-        return self._out(rules.validate_conventions(self.nodes, self._modules(), check=check_category, project=project_filter, file=file))
+        return self._out(rules.validate_conventions(self._nodes(file, project_filter, raw=True), self._modules(), check=check_category, project=project_filter, file=file))
 
     validate_granit_conventions = validate_conventions
 

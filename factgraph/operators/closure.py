@@ -1,7 +1,9 @@
-"""Reachability over edge tables, breadth first, by semi-naive rounds."""
+"""Reachability and connected components of edge tables, by rounds that are stored."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None,
 
     Each round joins only the nodes found in the round before, drops those known
     (left anti) and stops when none is new. fold: ids are compared ignoring case.
-    Every fourth round is checkpointed, so that plans stay short; the driver sees one
-    row a round.
+    Every round is checkpointed, so that plans stay short and nothing is held in memory;
+    the driver sees one row a round.
     """
     key = F.lower if fold else F.col
     edges = edges.select(key("src").alias("src"), key("dst").alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
@@ -21,7 +23,7 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None,
     while max_depth is None or depth < max_depth:
         depth += 1
         new = front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(found.select("id"), "id", "left_anti")
-        new = _cut(new) if depth % 4 == 0 else new.cache()
+        new = _cut(new)
         if new.isEmpty():
             break
         found = found.unionByName(new.withColumn("depth", F.lit(depth)))
@@ -31,12 +33,48 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None,
     return found
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def _cut(df: DataFrame, _: str = "") -> DataFrame:
     from factgraph.sources.scratch import checkpointed
 
     return checkpointed(df)
 
 
+def _large_star(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Each node points its larger neighbours at its smallest neighbour or itself."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # stored, so that both sides of the join are plain shuffles, whose large partitions Spark can split
+    low = keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "lowest")
+    return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node points its smaller neighbours and itself at the smallest of them."""
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    low = down.groupBy("a").agg(F.min("b").alias("low"))
+    moved = down.join(low, "a").filter("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    return moved.union(low.select("a", F.col("low").alias("b"))).distinct()
+
+
+def connected_components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = _cut) -> DataFrame:
+    """(id, component) for each node of edges (a, b): the smallest id that it reaches. By alternating stars.
+
+    Edges with a null end or a = b are left out. keep stores a round (a table and a name
+    for it) and gives it back; two counts are all that the driver sees. The rounds grow
+    with the logarithm of the longest path, and a node with very many neighbours is an
+    aggregate and a splittable join, never a collected list.
+    """
+    edges = keep(edges.filter("a != b").select("a", "b").distinct(), "edges")
+    last = None
+    while True:
+        edges = keep(_small_star(keep(_large_star(edges, keep), "large-star")), "small-star")
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == last or not now[0]:
+            break
+        last = now
+    tree = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
+    return tree.union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
 def transitive_closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(src, dst, depth) of all pairs joined by a path, with the fewest steps; (x, x) only on cycles."""
     edges = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
@@ -45,7 +83,7 @@ def transitive_closure(edges: DataFrame, max_depth: int | None = None) -> DataFr
         depth += 1
         step = front.alias("f").join(edges.alias("e"), F.col("f.dst") == F.col("e.src")).select("f.src", "e.dst").distinct()
         new = step.join(found.select("src", "dst"), ["src", "dst"], "left_anti")
-        new = _cut(new) if depth % 4 == 0 else new.cache()
+        new = _cut(new)
         if new.isEmpty():
             break
         found = found.unionByName(new.withColumn("depth", F.lit(depth)))

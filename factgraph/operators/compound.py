@@ -15,13 +15,13 @@ def analyze_method(facts: FactSet, method: str, class_name: str | None = None, d
     """detail, callers, call_graph and complexity of a method; empty frames if there is none."""
     symbols = facts["symbols"]
     one = resolve_method(symbols, method, class_name)
-    row = one.select("display").first()
-    display = row["display"] if row else ""
+    display = one.select("display")
+    nodes = facts["syntax_nodes"].join(F.broadcast(display.withColumnRenamed("display", "owner_symbol")), "owner_symbol", "left_semi")  # one row
     return {
         "detail": one.select("display", "accessibility", "return_type", "params", "xml_doc", "file", "line"),
         "callers": navigate.find_callers(symbols, facts["calls"], method, class_name),
-        "call_graph": dependency_tree(facts["calls"], display, depth),
-        "complexity": metrics.complexity(facts["syntax_nodes"].filter(F.col("owner_symbol") == display)),
+        "call_graph": dependency_tree(facts["calls"], display.withColumnRenamed("display", "id"), depth),
+        "complexity": metrics.complexity(nodes),
     }
 
 
@@ -29,22 +29,24 @@ def type_overview(facts: FactSet, type_name: str, most: int = 50) -> dict[str, D
     """api, hierarchy, implementations (of interfaces) and the diagnostics of the first declaring file."""
     symbols = facts["symbols"]
     one = resolve(symbols.filter(F.lower("kind") == "type"), type_name)
-    row = one.select("type_kind", "file").first()
+    shape = one.filter(F.lower("type_kind") == "interface").select(F.lit(True).alias("_is"))
     below = navigate.find_implementations(symbols, facts["inherits"], type_name)
-    found = inspect.diagnostics(facts["diagnostics"], "file", row["file"] if row and row["file"] else "\x00")
+    where = one.filter("file IS NOT NULL").select(F.col("file").alias("path"))
+    documents = facts["documents"] if "documents" in facts.tables else None
     return {
         "api": inspect.public_api(symbols, type_name, "overview"),
         "hierarchy": navigate.type_hierarchy(symbols, facts["inherits"], type_name),
-        "implementations": below if row and (row["type_kind"] or "").lower() == "interface" else below.limit(0),
-        "diagnostics": found.orderBy("line", "id").limit(most),
+        "implementations": below.join(F.broadcast(shape), F.col("_is"), "left_semi"),  # one row or none
+        "diagnostics": inspect.diagnostics(facts["diagnostics"], "file", where, documents=documents).orderBy("line", "id").limit(most),
     }
 
 
 def file_overview(facts: FactSet, file: str, nodes: DataFrame, most: int = 50, most_violations: int = 100) -> dict[str, DataFrame]:
     """types, diagnostics of at least warning, and all violations of a file."""
+    documents = facts["documents"] if "documents" in facts.tables else None
     return {
         "types": inspect.declared_types(facts["symbols"], file),
-        "diagnostics": inspect.diagnostics(facts["diagnostics"], "file", file).orderBy("line", "id").limit(most),
+        "diagnostics": inspect.diagnostics(facts["diagnostics"], "file", file, documents=documents).orderBy("line", "id").limit(most),
         "antipatterns": rules.detect_antipatterns(nodes, facts["pragmas"], facts["documents"], file=file, severity="info", most=most_violations),
     }
 

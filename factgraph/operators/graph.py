@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import text as tx
-from factgraph.operators.closure import bounded_paths, reachable
+from factgraph.operators.closure import bounded_paths, connected_components, reachable
 from factgraph.operators.resolve import first_by, last_by
+from factgraph.sources.scratch import checkpointed
 
 #: Layers of nodes without outgoing edges that are dropped before a sequential walk.
 TRIMMED_LAYERS = 3
@@ -86,12 +87,13 @@ def surprising_dependencies(edges: DataFrame, owners: DataFrame | None = None, m
     edges: (src, dst) once a reference, or with a weight. owners: (id, project, ord), the
     first of a namespace wins. Score: other project 2, peripheral source (out-degree at
     most half the upper median) 2, hub target (in-degree above mean plus deviation) 1,
-    distance of at least 3 segments 1; edges that score nothing are left out. The
-    scalars are one row, broadcast.
+    distance of at least 3 segments 1; edges that score nothing are left out. The edges
+    and the degrees are stored once, as all else is derived from them; the scalars are
+    one row, broadcast.
     """
     weighted = edges if "weight" in edges.columns else edge_weights(edges)
-    weighted = weighted.filter("src != dst")
-    degree = degrees(weighted)
+    weighted = checkpointed(weighted.filter("src != dst").select("src", "dst", "weight"))
+    degree = checkpointed(degrees(weighted))
     scalars = hub_threshold(degree).join(upper_median(degree.filter("out_degree > 0"), "out_degree"))
     scored = weighted.join(degree.select(F.col("id").alias("src"), "out_degree"), "src").join(degree.select(F.col("id").alias("dst"), "in_degree"), "dst")
     if owners is not None:
@@ -132,18 +134,30 @@ def type_edges(type_refs: DataFrame, symbols: DataFrame, via: tuple[str, ...] |
 # --- cycles --------------------------------------------------------------------------------
 
 
+def by_component(edges: DataFrame) -> DataFrame:
+    """edges (src, dst, ...) with `part`: the smallest node that their ends are joined with, in whatever direction."""
+    parts = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    # an edge from a node to itself alone has no component but that node
+    return edges.join(parts.select(F.col("id").alias("src"), F.col("component").alias("part")), "src", "left").withColumn("part", F.coalesce("part", "src"))
+
+
 def back_edge_cycles(edges: DataFrame, groups: str | None = None) -> DataFrame:
     """One cycle for each back edge of a depth-first walk, in the order of ord: (grp, nodes, n).
 
-    The walk is sequential by nature: each group of edges (all, without one) is one
-    task. Edges to nodes that lead nowhere are dropped first, some layers deep and in
-    parallel; that changes neither the order of the walk nor a cycle. Use bounded_cycles
-    for graphs that stay too large.
+    The walk is sequential by nature, but it never leaves a connected component, so each
+    component of each group of edges (all, without one) is a task. Edges to nodes that
+    lead nowhere are dropped first, some layers deep and in parallel; that changes
+    neither the order of the walk nor a cycle. Use bounded_cycles for graphs with a
+    component that stays too large.
     """
     for _ in range(TRIMMED_LAYERS):
         going_on = edges.select(F.col("src").alias("dst"), *([groups] if groups else [])).distinct()
         edges = edges.join(going_on, ["dst", *([groups] if groups else [])], "left_semi")
-    ordered = edges.withColumn("grp", F.col(groups).cast("string") if groups else F.lit("all")).withColumn("ord", F.col("ord") if "ord" in edges.columns else F.lit(0))
+    ordered = edges.select(
+        (F.col(groups).cast("string") if groups else F.lit("all")).alias("grp"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"),
+        (F.col("ord") if "ord" in edges.columns else F.lit(0)).alias("ord"),
+    )
+    ordered = by_component(checkpointed(ordered))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ord", "src", "dst"], kind="stable")
@@ -177,8 +191,7 @@ def back_edge_cycles(edges: DataFrame, groups: str | None = None) -> DataFrame:
             }
         )
 
-    rows = ordered.select("grp", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "ord")
-    return rows.groupBy("grp").applyInPandas(walk, "grp string, nodes array<string>, n int")
+    return ordered.groupBy("grp", "part").applyInPandas(walk, "grp string, nodes array<string>, n int")
 
 
 def bounded_cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
@@ -217,8 +230,9 @@ def circular_dependencies(projects: DataFrame, project_refs: DataFrame, type_ref
 def communities_exact(edges: DataFrame, iterations: int = 20) -> DataFrame:
     """(id, label) by label propagation in place, nodes in ordinal order, ties to the label met first.
 
-    Sequential by definition, so the whole graph is one task: meant for graphs of
-    namespaces. communities_sync is its distributed relative with a contract of its own.
+    Sequential by definition, but labels never leave a connected component, and one that
+    has come to rest stays so: each component is a task. communities_sync is the relative,
+    with a contract of its own, for graphs with a component that is too large.
     """
 
     def propagate(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -242,11 +256,11 @@ def communities_exact(edges: DataFrame, iterations: int = 20) -> DataFrame:
         return pd.DataFrame({"id": list(labels), "label": list(labels.values())})
 
     rows = edges.select(
-        F.lit(0).alias("one"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"),
+        F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"),
         (F.col("weight") if "weight" in edges.columns else F.lit(1)).cast("long").alias("weight"),
         (F.col("ord") if "ord" in edges.columns else F.lit(0)).cast("long").alias("ord"),
     )
-    return rows.groupBy("one").applyInPandas(propagate, "id string, label string")
+    return by_component(checkpointed(rows)).groupBy("part").applyInPandas(propagate, "id string, label string")
 
 
 def communities_sync(edges: DataFrame, iterations: int = 5) -> DataFrame:
@@ -258,8 +272,6 @@ def communities_sync(edges: DataFrame, iterations: int = 5) -> DataFrame:
         around = both.join(labels, F.col("dst") == F.col("id")).groupBy("src", "label").agg(F.sum("weight").alias("w"))
         labels = around.groupBy(F.col("src").alias("id")).agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label"))
         if i % 4 == 3:
-            from factgraph.sources.scratch import checkpointed
-
             labels = checkpointed(labels)
     return labels
 
@@ -301,25 +313,26 @@ def dependency_rows(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataF
     return bounded_paths(edges, start, depth).drop("is_stub")
 
 
-def dependency_tree(calls: DataFrame, root: str, depth: int = 3) -> DataFrame:
+def dependency_tree(calls: DataFrame, root: str | DataFrame, depth: int = 3) -> DataFrame:
     """The call tree in the order of calls, each symbol expanded once: (pos, path, node, depth).
 
     Later occurrences of an expanded symbol are leaves, repeated calls stay repeated.
-    Only what the root reaches goes to the one task that walks it. The root is a display
-    string; one that calls nothing is alone, an empty one has no tree.
+    Only what the root reaches within the depth goes to the one task that walks it. The
+    root is a display string or a table (id) of at most one; one that calls nothing is
+    alone, an empty string or table has no tree.
     """
-    start = calls.sparkSession.createDataFrame([(root,)], "id string")
+    spark = calls.sparkSession
+    start = root.select("id") if isinstance(root, DataFrame) else spark.createDataFrame([(root,)] if root else [], "id string")
     inside = reachable(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), start, depth)
-    own = calls.join(inside.select(F.col("id").alias("caller")), "caller", "left_semi").select(F.lit(0).alias("one"), "caller", "callee", "ord")
-    if root:
-        own = own.unionByName(calls.sparkSession.createDataFrame([(0, root, None, None)], "one int, caller string, callee string, ord long"))
+    own = calls.join(inside.select(F.col("id").alias("caller")), "caller", "left_semi").select(F.lit(0).alias("one"), "caller", "callee", "ord", F.lit(False).alias("root"))
+    own = own.unionByName(start.select(F.lit(0).alias("one"), F.col("id").alias("caller"), F.lit(None).cast("string").alias("callee"), F.lit(None).cast("long").alias("ord"), F.lit(True).alias("root")))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         graph: dict[str, list[str]] = {}
         for a, b in pdf.sort_values("ord", kind="stable")[["caller", "callee"]].itertuples(index=False):
             if isinstance(b, str):
                 graph.setdefault(a, []).append(b)
-        seen, rows, todo = set(), [], [([root], 0)]
+        seen, rows, todo = set(), [], [([r], 0) for r in pdf.loc[pdf["root"], "caller"]]
         while todo:
             path, d = todo.pop()
             rows.append((len(rows), path, path[-1], d))
@@ -361,9 +374,11 @@ def module_tree(modules: DataFrame, name: str, depth: int = 3, direction: str =
 
 
 def module_facts(symbols: DataFrame, inherits: DataFrame, attributes: DataFrame) -> DataFrame:
-    """modules rows from declarations: classes named ...Module or with such a base, and what they depend on."""
+    """modules rows from declarations: classes named ...Module or with such a base, where they stand, and what they depend on. strict: both hold."""
     based = inherits.filter(F.contains("parent", F.lit("Module"))).select(F.col("child").alias("display")).distinct().withColumn("_b", F.lit(True))
     own = symbols.filter((F.lower("kind") == "type") & (F.lower("type_kind") == "class")).join(based, "display", "left")
-    own = own.filter(F.endswith("name", F.lit("Module")) | F.col("_b"))
+    named, has_base = F.endswith("name", F.lit("Module")), F.coalesce("_b", F.lit(False))
     args = attributes.filter(F.col("name").isin("DependsOn", "DependsOnAttribute") & (F.col("arg_kind") == "TypeOfExpression")).select(F.col("owner").alias("display"), F.col("arg_text").alias("dep"), "pos")
-    return own.join(args, "display", "left").select(F.col("name").alias("module"), "project", "dep", F.coalesce("pos", F.lit(0)).alias("pos"))
+    return own.filter(named | has_base).join(args, "display", "left").select(
+        F.col("name").alias("module"), "project", "dep", F.coalesce("pos", F.lit(0)).alias("pos"), "file", "line", (named & has_base).alias("strict")
+    )

@@ -45,18 +45,38 @@ def declared_types(symbols: DataFrame, file: str | None = None) -> DataFrame:
     return rows.filter(shape.isin("class", "interface", "struct", "enum") | record).select("file", "display", kind.alias("kind"), "line", "sym_ord").orderBy("sym_ord").drop("sym_ord")
 
 
-def diagnostics(rows: DataFrame, scope: str = "solution", path: str | None = None, severity: str = "warning", include_analyzers: bool = False) -> DataFrame:
+def document_at(documents: DataFrame, path: str | DataFrame) -> DataFrame:
+    """(project, file): the first document, in the order of projects and files, whose path ends so.
+
+    path: a path, or a table (path) of at most one row; without a row there is no document.
+    """
+    rows = documents.select("project", F.col("file_path").alias("file"), F.col("doc_ord").alias("_o"), tx.normal_path(F.col("file_path")).alias("_p"))
+    if isinstance(path, DataFrame):
+        one = path.select(tx.normal_path(F.col("path")).alias("_end"))
+        rows = rows.join(F.broadcast(one), F.endswith("_p", F.col("_end")))  # one row
+    else:
+        rows = rows.filter(F.endswith("_p", F.lit(path.replace("\\", "/").lower())))
+    return rows.orderBy("_o", "project", "file").limit(1).select("project", "file")
+
+
+def diagnostics(
+    rows: DataFrame, scope: str = "solution", path: str | DataFrame | None = None, severity: str = "warning", include_analyzers: bool = False,
+    documents: DataFrame | None = None,
+) -> DataFrame:
     """Diagnostics of at least a severity, in a file, a project or everywhere; faded-out ones never.
 
-    For a file those of its first owning project count.
+    For a file those of one document count: the first, in the order of projects and
+    files, whose path ends so, be it without any diagnostics. Without `documents` the
+    files that have some are all that is known, and they are taken in the order of names.
     """
     found = rows.filter(tx.at_least(F.col("severity"), severity, tx.DIAGNOSTIC_SEVERITIES) & ~F.coalesce(tx.is_fade_out(F.col("id")), F.lit(False)))
     if not include_analyzers:
         found = found.filter(F.coalesce(F.col("source"), F.lit("compiler")) == "compiler")
     if scope.lower() == "file":
-        found = found.filter(tx.path_ends_with(F.col("file"), path or ""))
-        owner = found.agg(F.min("project").alias("_owner"))
-        return found.join(F.broadcast(owner), F.col("project") == F.col("_owner")).drop("_owner")
+        known = documents if documents is not None else rows.select("project", F.col("file").alias("file_path"), F.lit(0).alias("doc_ord"))
+        one = document_at(known, path if path is not None else "\x00").select(F.col("project").alias("_project"), F.col("file").alias("_file"))
+        here = F.col("project").eqNullSafe(F.col("_project")) & F.col("file").eqNullSafe(F.col("_file"))
+        return found.join(F.broadcast(one), here, "left_semi")  # one row
     if scope.lower() == "project":
         return found.filter(tx.equals_ignore_case(F.col("project"), path))
     return found

@@ -3,7 +3,9 @@
 `rule_nodes` (factgraph.sources.csharp makes them, any front end may) has a row for
 each node that some rule looks at: project, file, line, kind, name, text, parent_kind,
 modifiers array, type, params array (types), args array (kinds), bases array, body,
-assembly. A rule is a condition with a message; all conditions are evaluated in one pass
+assembly, and, where a front end knows them, doc_ord and pos, the order of files and of
+places in a file. bases of a call are those of its receiver's type, empty if that type
+isn't known; name of an awaited expression is that of the method called last. A rule is a condition with a message; all conditions are evaluated in one pass
 and the violations unnested, so the number of rules doesn't multiply scans.
 """
 
@@ -33,6 +35,8 @@ TERMINAL_CALLS = (
     "ToListAsync", "ToArrayAsync", "FirstAsync", "FirstOrDefaultAsync", "SingleAsync", "SingleOrDefaultAsync", "CountAsync", "AnyAsync",
     "AllAsync", "ToList", "ToArray", "First", "FirstOrDefault", "Single", "SingleOrDefault",
 )
+CANCELLATION_TYPES = ("CancellationToken", "System.Threading.CancellationToken")
+CONTEXT_TYPES = ("DbContext", "Microsoft.EntityFrameworkCore.DbContext")
 ENDPOINT_VERBS = ("Create", "Update", "Delete", "Get", "List", "Search")
 #: Of the secret rule only a description exists; these are its words.
 SECRET = r"(?i)(password\s*=|pwd\s*=|api_?key|secret|connectionstring|bearer\s+[a-z0-9._\-]{8,}|token\s*[=:]\s*[\"'][a-z0-9_\-]{16,})"
@@ -123,7 +127,7 @@ def log_interpolation() -> Column:
 
 @rule("AP008", "Warning", lambda: F.concat(F.lit("public async method without a cancellation token: "), "name"))
 def no_token() -> Column:
-    return _is("MethodDeclaration") & _has("modifiers", "public") & _has("modifiers", "async") & ~_some("params", "CancellationToken")
+    return _is("MethodDeclaration") & _has("modifiers", "public") & _has("modifiers", "async") & ~(_has("params", CANCELLATION_TYPES[0]) | _has("params", CANCELLATION_TYPES[1]))
 
 
 @rule("AP009", "Info", "a query is materialized with tracking")
@@ -148,10 +152,11 @@ def secret() -> Column:
 
 @rule("GR-SYNC-EF", "Warning", "SaveChanges is synchronous")
 def sync_save() -> Column:
-    receiver = F.regexp_replace("text", r"\.\s*SaveChanges$", "")
-    by_name = F.lower(receiver).rlike("context|db")
-    by_type = _has("bases", "DbContext") | F.contains("type", F.lit("DbContext"))
-    return _is("InvocationExpression") & F.contains("text", F.lit(".")) & (_last() == "SaveChanges") & F.when(F.col("type").isNotNull(), by_type).otherwise(by_name)
+    by_name = F.lower(F.regexp_replace("text", r"\.\s*SaveChanges$", "")).rlike("context|db")
+    by_type = _has("bases", CONTEXT_TYPES[0]) | _has("bases", CONTEXT_TYPES[1])
+    own = F.coalesce(F.regexp_replace("type", r"\?$", "").isin(*CONTEXT_TYPES), F.lit(False))
+    known = F.coalesce(F.size("bases") > 0, F.lit(False))  # else the receiver's name is all there is
+    return _is("InvocationExpression") & F.contains("text", F.lit(".")) & (_last() == "SaveChanges") & (own | F.when(known, by_type).otherwise(by_name))
 
 
 @rule("GR-BADREQ", "Warning", "BadRequest of results")
@@ -176,8 +181,10 @@ def console() -> Column:
 
 @rule("GR-CFGAWAIT", "Info", "await without ConfigureAwait")
 def configure_await() -> Column:
-    test = F.endswith("assembly", F.lit(".Tests")) | F.endswith("assembly", F.lit(".Test")) | F.contains("assembly", F.lit(".Tests."))
-    return _is("AwaitExpression") & ~F.col("text").rlike(r"\.\s*ConfigureAwait\s*\([^()]*\)$") & ~F.coalesce(test, F.lit(False))
+    assembly = F.lower("assembly")
+    test = F.endswith(assembly, F.lit(".tests")) | F.endswith(assembly, F.lit(".test")) | F.contains(assembly, F.lit(".tests."))
+    configured = F.coalesce(F.col("name") == "ConfigureAwait", F.lit(False)) | F.col("text").rlike(r"\.\s*ConfigureAwait\s*\((?:[^()]|\([^()]*\))*\)$")
+    return _is("AwaitExpression") & ~F.coalesce(configured, F.lit(False)) & ~F.coalesce(test, F.lit(False))
 
 
 @rule("GR-DTO", "Warning", lambda: F.concat("name", F.lit(" is named after a transfer object")))
@@ -204,13 +211,44 @@ def manual_filter() -> Column:
     return _model_creating() & F.contains(F.coalesce("body", F.lit("")), F.lit("HasQueryFilter"))
 
 
-def scan_rules(nodes: DataFrame, ids: tuple[str, ...] | None = None) -> DataFrame:
-    """(project, file, line, id, severity, message) of all chosen rules, in one pass over the nodes."""
+def scan_rules(nodes: DataFrame, ids: tuple[str, ...] | None = None, ordered: bool = False) -> DataFrame:
+    """(project, file, line, id, severity, message) of all chosen rules, in one pass over the nodes.
+
+    ordered: also doc_ord, rank and pos, the order in which rules run over files.
+    """
     chosen = [RULES[i] for i in (ids or RULES) if i in RULES]
     hits = F.array(
         *[F.when(F.coalesce(r.when(), F.lit(False)), F.struct(F.lit(r.id).alias("id"), F.lit(r.severity).alias("severity"), r.message().alias("message"))) for r in chosen]
     )
-    return nodes.select("project", "file", "line", F.inline(F.array_compact(hits)))
+    if not ordered:
+        return nodes.select("project", "file", "line", F.inline(F.array_compact(hits)))
+    place = [(F.col(c) if c in nodes.columns else F.lit(0)).cast("long").alias(c) for c in ("doc_ord", "pos")]
+    found = nodes.select("project", "file", "line", *place, F.inline(F.array_compact(hits)))
+    return found.select("project", "file", "line", "id", "severity", "message", "doc_ord", rank().alias("rank"), "pos")
+
+
+def rank() -> Column:
+    """The place of a rule among all: they run over a file one after another."""
+    order = [*RULES, "AP007"]
+    return F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(sorted(order)) for x in (r, i)]), F.col("id")).cast("long")
+
+
+def with_receivers(nodes: DataFrame, inherits: DataFrame) -> DataFrame:
+    """nodes whose SaveChanges calls have, in bases, what `inherits` says of the receiver's type.
+
+    A type at or below DbContext, at any distance, has that base; another known type has
+    `object`; of an unknown one nothing is said. Types are met by their simple names.
+    """
+    from factgraph.operators.closure import reachable
+
+    simple = lambda c: F.substring_index(F.regexp_replace(c, r"<.*$|\?$", ""), ".", -1)
+    edges = inherits.filter("rel IS NULL OR rel = 'base'").select(simple(F.col("parent")).alias("src"), simple(F.col("child")).alias("dst"))
+    below = reachable(edges, nodes.sparkSession.createDataFrame([("DbContext",)], "id string")).select("id", F.lit(CONTEXT_TYPES[0]).alias("_base"))
+    known = edges.select(F.col("dst").alias("id")).distinct().join(below, "id", "left").select("id", F.array(F.coalesce("_base", F.lit("object"))).alias("_bases"))
+    call = (F.col("kind") == "InvocationExpression") & (F.substring_index("text", ".", -1) == "SaveChanges") & (F.size("bases") == 0)
+    # other nodes have no key, and so no partner
+    keyed = nodes.withColumn("_type", F.when(call, simple(F.col("type"))))
+    return keyed.join(known, F.col("_type") == F.col("id"), "left").withColumn("bases", F.coalesce("_bases", "bases")).select(*nodes.columns)
 
 
 def pragma_without_restore(pragmas: DataFrame) -> DataFrame:
@@ -220,38 +258,62 @@ def pragma_without_restore(pragmas: DataFrame) -> DataFrame:
     return rows.filter("action = 'disable'").join(rows.filter("action = 'restore'").select("doc_id", "code"), ["doc_id", "code"], "left_anti").select("doc_id", "line", "code")
 
 
-def pragma_violations(pragmas: DataFrame, documents: DataFrame) -> DataFrame:
-    where = documents.select("doc_id", "project", F.col("file_path").alias("file"))
-    return pragma_without_restore(pragmas).join(where, "doc_id").select(
-        "project", "file", "line", F.lit("AP007").alias("id"), F.lit("Warning").alias("severity"), F.concat(F.lit("not restored: "), "code").alias("message")
+def pragma_violations(pragmas: DataFrame, documents: DataFrame, ordered: bool = False) -> DataFrame:
+    where = documents.select("doc_id", "project", F.col("file_path").alias("file"), (F.col("doc_ord") if "doc_ord" in documents.columns else F.lit(0)).cast("long").alias("doc_ord"))
+    found = pragma_without_restore(pragmas).join(where, "doc_id").select(
+        "project", "file", "line", F.lit("AP007").alias("id"), F.lit("Warning").alias("severity"), F.concat(F.lit("not restored: "), "code").alias("message"), "doc_ord"
     )
+    return found.select("*", rank().alias("rank"), F.col("line").cast("long").alias("pos")) if ordered else found.drop("doc_ord")
 
 
 def detect_antipatterns(nodes: DataFrame, pragmas: DataFrame | None = None, documents: DataFrame | None = None, *, file: str | None = None, project: str | None = None, severity: str = "warning", most: int | None = 100) -> DataFrame:
-    """Violations of all detectors of at least a severity, the first `most` in the order of files and lines."""
-    found = scan_rules(nodes, tuple(i for i in RULES if i not in STRUCTURAL_RULES))
+    """Violations of all detectors of at least a severity, the first `most` in the order of scanning.
+
+    Files are scanned in their order; over each the rules run one after another, each
+    from the top. Without a cut there is no order, and no sort.
+    """
+    found = scan_rules(nodes, tuple(i for i in RULES if i not in STRUCTURAL_RULES), ordered=True)
     if pragmas is not None and documents is not None:
-        found = found.unionByName(pragma_violations(pragmas, documents))
+        found = found.unionByName(pragma_violations(pragmas, documents, ordered=True))
     found = found.filter(tx.at_least(F.col("severity"), severity) & tx.contains_ignore_case(F.col("project"), project))
     if file:
         found = found.filter(tx.path_ends_with(F.col("file"), file))
-    return found if most is None else found.orderBy("project", "file", "line", "id").limit(most)
+    if most is not None:
+        found = found.orderBy("doc_ord", "project", "file", "rank", "pos", "line").limit(most)
+    return found.drop("doc_ord", "rank", "pos")
 
 
-def dependency_order(modules: DataFrame) -> DataFrame:
-    """(module, in_order): whether each dependency list equals its sorted copy."""
+def _module_key(modules: DataFrame) -> list:
+    """The columns that tell module classes apart, as far as a front end gives them."""
+    return [c for c in ("project", "file", "line", "module") if c in modules.columns]
+
+
+def _in_order(modules: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    deps = modules.filter("dep IS NOT NULL")
-    before = F.lag("dep").over(Window.partitionBy("module").orderBy("pos", "dep"))
-    return deps.select("module", (F.coalesce(before, F.lit("")) > F.col("dep")).alias("_off")).groupBy("module").agg((~F.bool_or("_off")).alias("in_order"))
+    key = _module_key(modules)
+    deps = modules.filter("dep IS NOT NULL").groupBy(*key, "dep").agg(F.min("pos").alias("pos"))
+    before = F.lag("dep").over(Window.partitionBy(*key).orderBy("pos", "dep"))
+    return deps.select(*key, (F.coalesce(before, F.lit("")) > F.col("dep")).alias("_off")).groupBy(*key).agg((~F.bool_or("_off")).alias("in_order"))
+
+
+def dependency_order(modules: DataFrame) -> DataFrame:
+    """(module, in_order): whether each dependency list equals its sorted copy; what is listed again counts once."""
+    return _in_order(modules).select("module", "in_order")
 
 
 def module_violations(modules: DataFrame) -> DataFrame:
-    """Convention checks of module dependencies: (module, id, severity)."""
-    core = modules.filter(F.contains("dep", F.lit("GranitCoreModule"))).select("module").distinct()
-    core = core.select("module", F.lit("GR-DEPS-CORE").alias("id"), F.lit("Warning").alias("severity"))
-    order = dependency_order(modules).filter("NOT in_order").select("module", F.lit("GR-DEPS-ORDER").alias("id"), F.lit("Info").alias("severity"))
+    """Convention checks of module dependencies: (module, ..., id, severity).
+
+    Only classes that are named Module and have such a base count; a row that doesn't
+    say whether it is one (strict) does.
+    """
+    key = _module_key(modules)
+    if "strict" in modules.columns:
+        modules = modules.filter(F.coalesce("strict", F.lit(True)))
+    core = modules.filter(F.contains("dep", F.lit("GranitCoreModule"))).select(*key).distinct()
+    core = core.select(*key, F.lit("GR-DEPS-CORE").alias("id"), F.lit("Warning").alias("severity"))
+    order = _in_order(modules).filter("NOT in_order").select(*key, F.lit("GR-DEPS-ORDER").alias("id"), F.lit("Info").alias("severity"))
     return core.unionByName(order)
 
 
@@ -263,16 +325,20 @@ def category(id_col: str = "id") -> Column:
 
 
 def validate_conventions(nodes: DataFrame, modules: DataFrame | None = None, *, check: str = "all", project: str | None = None, file: str | None = None) -> DataFrame:
-    """Violations of conventions with their category. `all` leaves out AP009, `efcore` has it."""
-    ids = BY_CATEGORY.get(check.lower(), CONVENTION_RULES + STRUCTURAL_RULES)
-    found = scan_rules(nodes, tuple(i for i in ids if i in RULES)) if any(i in RULES for i in ids) else None
+    """Violations of conventions with their category. `all` leaves out AP009, `efcore` has it.
+
+    The case of a category doesn't matter to the detectors, and an unknown one runs all
+    of them; structural checks take a category as it is written, and an unknown one runs
+    none of them.
+    """
+    detectors = {k: tuple(i for i in v if i not in STRUCTURAL_RULES) for k, v in BY_CATEGORY.items()}
+    ids = detectors.get(check.lower(), CONVENTION_RULES) + tuple(i for i in STRUCTURAL_RULES if check == "all" or i in BY_CATEGORY.get(check, ()))
+    chosen = tuple(i for i in ids if i in RULES)
+    found = scan_rules(nodes if chosen else nodes.limit(0), chosen or None)
     if modules is not None and "GR-DEPS-CORE" in ids:
-        own = module_violations(modules).join(modules.groupBy("module").agg(F.min("project").alias("project")), "module").select(
-            "project", F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), "id", "severity", F.col("module").alias("message")
-        )
-        found = own if found is None else found.unionByName(own)
-    if found is None:
-        found = scan_rules(nodes.limit(0))
+        given = lambda c, kind: (F.col(c) if c in modules.columns else F.lit(None)).cast(kind).alias(c)
+        own = module_violations(modules).select(given("project", "string"), given("file", "string"), given("line", "int"), "id", "severity", F.col("module").alias("message"))
+        found = found.unionByName(own)
     found = found.filter(tx.contains_ignore_case(F.col("project"), project))
     if file:
         found = found.filter(tx.path_ends_with_raw(F.col("file"), file))

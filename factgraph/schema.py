@@ -30,7 +30,7 @@ CONTRACTS: dict[str, str] = {
     "syntax_nodes": "doc_id long, node_id int, parent_id int, pre int, post int, depth int, kind string, text string, line int, owner_symbol string",
     "pragmas": "doc_id long, line int, action string, code string",
     "attributes": "owner string, name string, arg_kind string, arg_text string, pos int",
-    "modules": "module string, project string, dep string, pos int",
+    "modules": "module string, project string, dep string, pos int, file string, line int, strict boolean",
     "diagnostics": "project string, file string, line int, id string, severity string, message string, source string",
     "flow": "method string, variable string, role string",
     "flow_edges": "method string, src int, dst int, kind string",
@@ -88,6 +88,15 @@ class FactSet(Mapping):
         return cls(spark, {n: spark.read.schema(contract(n)).format(format).load(f"{path}/{n}") for n in names})
 
 
+def least_recently_used(accesses: DataFrame, capacity: int, key: str = "key", order: str = "seq") -> DataFrame:
+    """(key, last_access) of what a store of `capacity` entries gives up, longest unused first."""
+    from pyspark.sql import functions as F
+
+    last = accesses.groupBy(key).agg(F.max(order).alias("last_access"))
+    held = last.orderBy(F.desc("last_access"), key).limit(capacity).select(key)
+    return last.join(held, key, "left_anti").orderBy("last_access", key)
+
+
 class Workspace:
     """The active fact set of several solutions; loading one keeps the old one on failure."""
 

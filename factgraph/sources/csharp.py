@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = (
     "project string, file string, line int, kind string, name string, text string, parent_kind string, modifiers array<string>,"
-    " type string, params array<string>, args array<string>, bases array<string>, body string, assembly string"
+    " type string, params array<string>, args array<string>, bases array<string>, body string, assembly string, doc_ord long, pos int"
 )
 
 _LITERAL = re.compile(
@@ -67,6 +67,17 @@ def closing(text: str, at: int, pair: str = "()") -> int:
     return len(text)
 
 
+def last_called(text: str) -> str | None:
+    """The method of a chain that ends with its call: b of a.b(c(d))."""
+    depth = 0
+    for i in range(len(text) - 1, -1, -1):
+        depth += (text[i] == ")") - (text[i] == "(")
+        if not depth:
+            break
+    found = re.search(rf"\.\s*({_WORD})\s*$", text[:i]) if text.endswith(")") else None
+    return found[1] if found else None
+
+
 def split_list(text: str) -> list[str]:
     """Parts between commas that stand in no bracket."""
     out, depth, last = [], 0, 0
@@ -121,10 +132,21 @@ def rule_rows(text: str | None) -> list[dict]:
     rows: list[dict] = []
 
     def add(at: int, kind: str, **more) -> None:
-        rows.append({"line": bisect_right(starts, at) + 1, "kind": kind, **more})
+        rows.append({"line": bisect_right(starts, at) + 1, "pos": at, "kind": kind, **more})
 
     types = {name: re.sub(r"\s+", "", t) for t, name in _FIELD.findall(code) if t not in _KEYWORDS and t != "return"}
-    spans, db_types = [], {m[2] for m in _CLASS.finditer(code) if "DbContext" in (m[4] or "")}
+    spans, above = [], {m[2]: [re.sub(r"<.*$", "", b, flags=re.S).rsplit(".", 1)[-1].strip() for b in split_list(m[4] or "")] for m in _CLASS.finditer(code)}
+
+    def bases_of(name: str) -> list[str]:
+        """Every base that this file knows of a class it declares, `object` at least; nothing of another one."""
+        out, todo = [], [name]
+        while todo:
+            for b in above.get(todo.pop(), ()):
+                if b not in out:
+                    out.append(b)
+                    todo.append(b)
+        return [*out, "object"] if name in above else []
+
     for m in _CLASS.finditer(code):
         kind = {"class": "ClassDeclaration", "record": "RecordDeclaration", "struct": "StructDeclaration", "interface": "InterfaceDeclaration"}.get(m[1], "RecordStructDeclaration")
         bases = split_list(m[4] or "")
@@ -152,7 +174,8 @@ def rule_rows(text: str | None) -> list[dict]:
         while end < len(code) and not (depth <= 0 and code[end] in ";,)}]"):
             depth += (code[end] in "([{") - (code[end] in ")]}")
             end += 1
-        add(m.start(), "AwaitExpression", text=re.sub(r"\s+", " ", code[m.end() : end]).strip())
+        said = re.sub(r"\s+", " ", code[m.end() : end]).strip()
+        add(m.start(), "AwaitExpression", text=said, name=last_called(said))
     for m in _CHAIN.finditer(code):
         if m[1] in _KEYWORDS or re.search(r"\bnew\s+$", code[max(0, m.start() - 8) : m.start()]):
             continue
@@ -163,9 +186,7 @@ def rule_rows(text: str | None) -> list[dict]:
                 root = said.split(".")[0].removesuffix("()")
                 prop = said.split(".")[1].removesuffix("()") if said.count(".") > 1 else ""
                 declared = types.get(prop) or types.get(root)
-                if declared in db_types:
-                    declared += ":DbContext"
-                add(m.start(), "InvocationExpression", name=said.rsplit(".", 1)[-1], text=said, args=args, type=declared)
+                add(m.start(), "InvocationExpression", name=said.rsplit(".", 1)[-1], text=said, args=args, type=declared, bases=bases_of((declared or "").removesuffix("?")))
             if "." in said:
                 add(m.start(), "MemberAccessExpression", name=said.rsplit(".", 1)[-1], text=said, parent_kind="InvocationExpression" if called else None)
     for at, kind, value in literals:
@@ -184,7 +205,7 @@ def pragma_rows(text: str | None) -> list[tuple[int, str, str]]:
 
 
 def _arrow_schema() -> pa.Schema:
-    kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in SCHEMA.split(", "))])
 
 
@@ -196,11 +217,12 @@ def rule_nodes(documents: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for d in batch.to_pylist():
-                own = {"project": d["project"], "file": d["file"], "assembly": d["project"], "modifiers": [], "params": [], "args": [], "bases": []}
+                own = {"project": d["project"], "file": d["file"], "assembly": d["project"], "doc_ord": d["doc_ord"], "modifiers": [], "params": [], "args": [], "bases": []}
                 rows += [own | r for r in rule_rows(d["text"])]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return documents.select("project", F.col("file_path").alias("file"), "text").mapInArrow(run, SCHEMA)
+    order = F.col("doc_ord") if "doc_ord" in documents.columns else F.lit(None)
+    return documents.select("project", F.col("file_path").alias("file"), "text", order.cast("long").alias("doc_ord")).mapInArrow(run, SCHEMA)
 
 
 def pragmas(documents: DataFrame) -> DataFrame:

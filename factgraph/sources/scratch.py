@@ -1,24 +1,87 @@
-"""Checkpoints in the folder that the cluster names."""
+"""Tables that cut lineage, in the folder that the cluster names."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in spark.checkpoint.dir; only where that is unset and all runs on one machine in a folder made here."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[[\d*,\s]+\])?", sc.master):
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only where the session names none and runs on one machine (tests) a temporary folder
+    is made, set as the checkpoint folder, and removed at exit; on a cluster it would be
+    another folder on each machine, so that is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if not shared:
+        found = sc._jsc.sc().getCheckpointDir()
+        if found.isDefined():
+            shared = found.get()
+        elif not re.fullmatch(r"local(\[[\d*,\s]+\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="factgraph-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+        else:
+            shared = tempfile.mkdtemp(prefix="factgraph-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+            sc.setCheckpointDir(shared)
+    elif not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/factgraph-{sc.applicationId}"
+
+
+def stored(df: DataFrame, what: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """df, written once as Parquet in the shared folder and read back, and where; by: a column to make a folder a value of."""
+    path = f"{scratch_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.add(path)
+    df.write.option("compression", "zstd").partitionBy(*([by] if by else [])).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """df, stored and read back.
+
+    This cuts lineage, and a lost executor costs only the tasks that it ran: the
+    committed files do not change when a later task is repeated.
+    """
+    return stored(df, what, by)[0]
+
+
+#: What the scratch() blocks that are open have to remove.
+_OPEN: list[set[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Tables that are stored inside are removed at the end, but for those taken out of the set that this gives."""
+    made: set[str] = set()
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove every table that written() made in this application, once results are stored elsewhere."""
+    remove(spark, scratch_dir(spark))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: a stored round of an operator."""
+    return written(df, "round")
