@@ -361,14 +361,17 @@ def resolve_modules(names: DataFrame, modules: DataFrame, column: str = "name")
     return names.join(best, F.col(column) == F.col("_n"), "left").drop("_n")
 
 
-def module_tree(modules: DataFrame, name: str, depth: int = 3, direction: str = "dependencies") -> DataFrame:
-    """Module paths from one module: (path, node, depth, is_stub, known). A node repeats in other branches; on its own path it is a stub."""
+def module_tree(modules: DataFrame, name: str | DataFrame, depth: int = 3, direction: str = "dependencies") -> DataFrame:
+    """Module paths from one module (a name, or a table with one): (path, node, depth, is_stub, known).
+
+    A node repeats in other branches; on its own path it is a stub.
+    """
     deps = modules.filter("dep IS NOT NULL")
     edges = resolve_modules(deps.select("module", F.col("dep").alias("name")), modules).select(F.col("module").alias("src"), F.coalesce("resolved", "name").alias("dst"))
     if direction.lower() == "dependents":
         edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    spark = modules.sparkSession
-    start = resolve_modules(spark.createDataFrame([(name,)], "name string"), modules).filter("resolved IS NOT NULL").select(F.col("resolved").alias("id"))
+    asked = name.select("name") if isinstance(name, DataFrame) else modules.sparkSession.createDataFrame([(name,)], "name string")
+    start = resolve_modules(asked, modules).filter("resolved IS NOT NULL").select(F.col("resolved").alias("id"))
     known = modules.select(F.col("module").alias("node")).distinct().withColumn("known", F.lit(True))
     return bounded_paths(edges.distinct(), start, depth, stubs=True).drop("root").join(known, "node", "left").select("path", "node", "depth", "is_stub", F.coalesce("known", F.lit(False)).alias("known"))
 

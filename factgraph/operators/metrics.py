@@ -171,3 +171,8 @@ def token_reduction(rows: DataFrame) -> DataFrame:
     """(median_reduction, pooled_reduction, n) of rows (response, source): how much smaller responses are than sources."""
     each = 1 - F.col("response") / F.col("source")
     return rows.agg(F.median(each).alias("median_reduction"), (1 - F.sum("response") / F.sum("source")).alias("pooled_reduction"), F.count("*").alias("n"))
+
+
+def largest(rows: DataFrame, size: str, most: int = 20, key: str = "name") -> DataFrame:
+    """The `most` rows with the greatest size, ties by key: a bounded sort."""
+    return rows.orderBy(F.desc(size), key).limit(most)

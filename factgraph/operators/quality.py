@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import text as tx
@@ -33,11 +33,11 @@ def _plain_attributes(column: str = "attributes"):
     return F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda a: F.replace(a, F.lit("Attribute"), F.lit("")))
 
 
-def framework_activated(symbols: DataFrame, inherits: DataFrame, contracts: tuple[str, ...] = ACTIVATION_CONTRACTS) -> DataFrame:
-    """display of types at or below a contract. The walk starts at the few contracts and goes down."""
+def framework_activated(symbols: DataFrame, inherits: DataFrame, contracts: tuple[str, ...] | DataFrame = ACTIVATION_CONTRACTS) -> DataFrame:
+    """display of types at or below a contract (names, or a table with id). The walk starts at the contracts and goes down."""
     from factgraph.operators.closure import reachable
 
-    start = symbols.sparkSession.createDataFrame([(c,) for c in contracts], "id string")
+    start = contracts.select("id") if isinstance(contracts, DataFrame) else symbols.sparkSession.createDataFrame([(c,) for c in contracts], "id string")
     below = reachable(inherits.select(F.col("parent").alias("src"), F.col("child").alias("dst")), start)
     types = symbols.filter(F.lower("kind") == "type").select("display")
     return types.join(below.select(F.col("id").alias("display")), "display", "left_semi").distinct()
@@ -110,24 +110,21 @@ def isolated_symbols(symbols: DataFrame, type_refs: DataFrame, refs: DataFrame,
 
 
 def duplicates(bodies: DataFrame, min_statements: int = 5, most: int | None = 20, project: str | None = None) -> DataFrame:
-    """Groups of method bodies with one fingerprint: fingerprint, members, statements, n, similarity.
+    """Members of groups of method bodies with one fingerprint: fingerprint, member, nth, statements, n, similarity.
 
-    bodies: display, project, normalized, statements, ord. Groups come in the order of
-    their first member, whose statement count they show.
+    bodies: display, project, normalized, statements, ord. The first `most` groups in the
+    order of their first members; statements are those of the first member, nth counts a
+    group's members from 0. A row a member, so no group is gathered in a row; texts stay
+    where they were read.
     """
     rows = bodies.filter((F.col("statements") >= min_statements) & tx.equals_ignore_case(F.col("project"), project))
-    rows = rows.withColumn("fingerprint", F.sha2(F.col("normalized"), 256))
-    # one shuffle of narrow rows; texts stay where they were read
-    groups = (
-        rows.groupBy("fingerprint")
-        .agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.collect_list(F.struct("ord", "display", "statements")).alias("found"))
-        .filter("n > 1")
-    )
+    rows = rows.select(F.sha2("normalized", 256).alias("fingerprint"), "display", "statements", "ord")
+    groups = rows.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.min_by("statements", F.struct("ord", "display")).alias("statements")).filter("n > 1")
     if most is not None:
-        groups = groups.orderBy("first").limit(most)
-    found = F.sort_array("found")
-    return groups.select(
-        "fingerprint", F.transform(found, lambda x: x["display"]).alias("members"), F.element_at(found, 1)["statements"].alias("statements"), "n", F.lit(1.0).alias("similarity")
+        groups = groups.orderBy("first", "fingerprint").limit(most)
+    place = Window.partitionBy("fingerprint").orderBy("ord", "display")
+    return rows.drop("statements").join(groups, "fingerprint").select(
+        "fingerprint", F.col("display").alias("member"), (F.row_number().over(place) - 1).alias("nth"), "statements", "n", F.lit(1.0).alias("similarity")
     )
 
 
@@ -149,5 +146,6 @@ def test_coverage_map(symbols: DataFrame, *, project: str | None = None, most: i
     )
 
 
-def coverage_totals(coverage: DataFrame) -> DataFrame:
-    return coverage.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "covered").alias("covered"), F.count_if(F.col("status") == "uncovered").alias("uncovered"))
+def coverage_totals(coverage: DataFrame, *by: str) -> DataFrame:
+    """total, covered and uncovered of coverage rows (status), for each value of the columns `by`."""
+    return coverage.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "covered").alias("covered"), F.count_if(F.col("status") == "uncovered").alias("uncovered"))

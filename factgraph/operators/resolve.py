@@ -94,20 +94,24 @@ def _queries(spark, values: str) -> DataFrame:
     return spark.createDataFrame(rows, "pos int, query string")
 
 
-def _like(query, name):
-    """Name against a query column: equal ignoring case, or by glob."""
-    escaped = F.regexp_replace(query, r"([^\w\s*?])", r"\\$1")
-    glob = F.concat(F.lit("(?is)^"), F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
-    return F.when(F.regexp_like(query, F.lit("[*?]")), F.regexp_like(name, glob)).otherwise(F.lower(query) == F.lower(name))
+def _asked(symbols: DataFrame, names: str) -> DataFrame:
+    """symbols with the place `pos` of each query that means them: by an equi-join on names, and a filter for each glob."""
+    plain = [(i, v.lower()) for i, v in enumerate(tx.comma_list(names)) if not tx.is_glob(v)]
+    exact = symbols.sparkSession.createDataFrame(plain, "pos int, _key string")
+    # as many rows as the caller typed
+    found = symbols.withColumn("_key", F.lower("name")).join(F.broadcast(exact), "_key").select("pos", *symbols.columns)
+    for i, v in enumerate(tx.comma_list(names)):
+        if tx.is_glob(v):
+            found = found.unionByName(symbols.filter(tx.name_matches(F.col("name"), v)).select(F.lit(i).alias("pos"), *symbols.columns))
+    return found
 
 
 def find_symbols_batch(symbols: DataFrame, names: str, kind: str | None = None) -> DataFrame:
     """Each name of a comma list on its own: (pos, query, matches array<string>, error). No match is a success."""
-    asked = _queries(symbols.sparkSession, names)
-    found = symbols.filter(tx.kind_matches(kind)).join(F.broadcast(asked), _like(F.col("query"), F.col("name")))
+    found = _asked(symbols.filter(tx.kind_matches(kind)).select("name", "display", "sym_ord"), names)
     each = first_by(found.select("pos", "display", "sym_ord"), ["pos", "display"], ["sym_ord"])
     listed = each.groupBy("pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("sym_ord", "display"))), lambda x: x["display"]).alias("matches"))
-    return asked.join(listed, "pos", "left").select(
+    return _queries(symbols.sparkSession, names).join(listed, "pos", "left").select(
         "pos", "query", F.coalesce("matches", F.array().cast("array<string>")).alias("matches"), F.lit(None).cast("string").alias("error")
     )
 
@@ -116,9 +120,9 @@ def batch_totals(batch: DataFrame) -> DataFrame:
     return batch.agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 
-def _first_match(symbols: DataFrame, asked: DataFrame, wanted) -> DataFrame:
-    rows = symbols.filter(wanted).join(F.broadcast(asked), _like(F.col("query"), F.col("name")))
-    return rows.groupBy("pos").agg(F.min_by(F.struct(*[F.col(c) for c in symbols.columns]), F.struct("sym_ord", "display")).alias("s"))
+def _first_match(symbols: DataFrame, names: str) -> DataFrame:
+    found = _asked(symbols, names)
+    return found.groupBy("pos").agg(F.min_by(F.struct(*[F.col(c) for c in symbols.columns]), F.struct("sym_ord", "display")).alias("s"))
 
 
 def public_api_batch(symbols: DataFrame, type_names: str) -> DataFrame:
@@ -126,7 +130,7 @@ def public_api_batch(symbols: DataFrame, type_names: str) -> DataFrame:
     from factgraph.operators.inspect import public_members
 
     asked = _queries(symbols.sparkSession, type_names)
-    types = _first_match(symbols, asked, F.lower("kind") == "type").select("pos", F.col("s.display").alias("type"))
+    types = _first_match(symbols.filter(F.lower("kind") == "type"), type_names).select("pos", F.col("s.display").alias("type"))
     members = public_members(symbols, "batch").join(F.broadcast(types), F.col("container") == F.col("type"))
     one = F.struct("sym_ord", "name", "kind", "signature", "return_type")
     listed = members.groupBy("pos").agg(F.transform(F.sort_array(F.collect_list(one)), lambda m: F.concat_ws(" ", m["kind"], m["signature"])).alias("members"))
@@ -140,9 +144,26 @@ def public_api_batch(symbols: DataFrame, type_names: str) -> DataFrame:
 def symbol_detail_batch(symbols: DataFrame, names: str) -> DataFrame:
     """The first exact match of each name: (pos, query, display, kind, return_type, file, line, error)."""
     asked = _queries(symbols.sparkSession, names)
-    found = _first_match(symbols, asked, F.lit(True))
+    found = _first_match(symbols, names)
     return asked.join(found, "pos", "left").select(
         "pos", "query", F.col("s.display").alias("display"), F.lower("s.kind").alias("kind"), F.col("s.return_type").alias("return_type"),
         F.col("s.file").alias("file"), F.col("s.line").alias("line"),
         F.when(F.col("s.display").isNull(), F.concat(F.lit("Symbol not found: "), "query")).alias("error"),
     )
+
+
+def near_pairs(names: DataFrame, column: str = "name", most: int = 2) -> DataFrame:
+    """(a, b, distance) of different names, a < b, at most `most` (1 or 2) edits apart, ignoring case.
+
+    By deletion neighbourhoods: two names that near share a string that is left of each
+    after at most `most` deletions, so they meet in an equi-join on it, and only names
+    that meet are compared.
+    """
+    own = names.select(F.col(column).alias("n")).filter("n IS NOT NULL").distinct()
+    shorter = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+    left = F.array(F.lower("n"))
+    for _ in range(most):
+        left = F.array_distinct(F.concat(left, F.flatten(F.transform(left, shorter))))
+    keyed = own.select("n", F.explode(left).alias("k"))
+    met = keyed.alias("x").join(keyed.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.n") < F.col("y.n"))).select(F.col("x.n").alias("a"), F.col("y.n").alias("b")).distinct()
+    return met.withColumn("distance", tx.edit_distance(F.col("a"), F.col("b"), most)).filter(F.col("distance").between(1, most))

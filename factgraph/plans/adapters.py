@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factgraph.operators.graph import edge_weights
 from factgraph.schema import conform
 
 
@@ -51,22 +52,29 @@ def part_refs(t: Tables) -> DataFrame:
     )
 
 
-def nation_edges(t: Tables) -> DataFrame:
-    """(src, dst, weight): which nations' suppliers deliver unusually often to which nations' customers."""
-    nation = t.nation.select("n_nationkey", "n_name")
-    w = (
+def nation_refs(t: Tables) -> DataFrame:
+    """(src, dst): a row a line of an order, from its supplier's nation to its customer's, where they differ."""
+    rows = (
         t.lineitem.select("l_orderkey", "l_suppkey")
         .join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .filter("s_nationkey != c_nationkey")
-        .groupBy("s_nationkey", "c_nationkey")
-        .agg(F.count("*").alias("weight"))
     )
+    name = lambda key, out: t.nation.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(out))
+    return rows.join(name("s_nationkey", "src"), "s_nationkey").join(name("c_nationkey", "dst"), "c_nationkey").select("src", "dst")
+
+
+def nation_edges(t: Tables) -> DataFrame:
+    """(src, dst, weight): which nations' suppliers deliver unusually often to which nations' customers; that is what an edge means here."""
+    w = edge_weights(nation_refs(t))
     cut = w.agg((F.avg("weight") + 1.5 * F.stddev_pop("weight")).alias("cut"))
-    named = w.join(F.broadcast(cut)).filter("weight >= cut")  # one row
-    named = named.join(nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("src")), "s_nationkey")
-    return named.join(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("dst")), "c_nationkey").select("src", "dst", "weight")
+    return w.join(F.broadcast(cut)).filter("weight >= cut").drop("cut")  # one row
+
+
+def basket_edges(t: Tables) -> DataFrame:
+    """(src, dst): a customer refers to the parts of their orders, a row a line."""
+    return customer_calls(t).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
 
 
 def nation_regions(t: Tables) -> DataFrame:
@@ -74,11 +82,11 @@ def nation_regions(t: Tables) -> DataFrame:
     return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("id"), F.col("r_name").alias("project"), F.col("n_nationkey").alias("ord"))
 
 
-def part_edges(t: Tables, least: int = 3) -> DataFrame:
-    """(src, dst, weight), src < dst: parts in at least `least` orders together. An order has few lines, so the join is small a key."""
+def part_edges(t: Tables) -> DataFrame:
+    """(src, dst, weight), src < dst: parts in orders together, and in how many. An order has few lines, so the join is small a key."""
     lines = t.lineitem.select("l_orderkey", "l_partkey").distinct()
     pairs = lines.alias("a").join(lines.alias("b"), (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_partkey") < F.col("b.l_partkey")))
-    return pairs.groupBy(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
+    return pairs.groupBy(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).agg(F.count("*").alias("weight"))
 
 
 def customer_calls(t: Tables) -> DataFrame:
@@ -120,7 +128,71 @@ def event_pragmas(t: Tables) -> DataFrame:
     return conform(t.events.select(day.alias("doc_id"), F.hour("ts").alias("line"), action.alias("action"), F.lit("E1").alias("code")).filter("action IS NOT NULL"), "pragmas")
 
 
-def page_nodes(t: Tables) -> DataFrame:
-    """syntax_nodes-like tag events of pages: (doc_id, at, tag, step) with +1 where an element opens and -1 where it closes."""
-    tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(</?(?:ul|li|nav|article|div|footer|a)[ >])"), F.lit(1))
-    return t.pages.select("page_id", F.posexplode(tags).alias("at", "tag")).withColumn("step", F.when(F.startswith("tag", F.lit("</")), -1).otherwise(1))
+def _user_events(t: Tables) -> DataFrame:
+    """Events with their place (i) among those of their user, the user's number of them (n), and the places of the last ones of some types before."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    before, upto, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    rows = t.events.select("user_id", "event_id", "event_type").withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
+    last = lambda types, w: F.max(F.when(F.col("event_type").isin(*types), F.col("i"))).over(w)
+    return rows.withColumns(
+        {
+            "opener": last(("click", "signup"), before), "click": last(("click",), before), "click_upto": last(("click",), upto),
+            "next_click": F.min(F.when(F.col("event_type") == "click", F.col("i"))).over(after),
+        }
+    )
+
+
+def _tree(rows: DataFrame, node, parent, pre, post, kind) -> DataFrame:
+    return rows.select(
+        F.col("user_id").cast("long").alias("doc_id"), node.cast("int").alias("node_id"), F.coalesce(parent, F.lit(-1)).cast("int").alias("parent_id"),
+        pre.cast("int").alias("pre"), post.cast("int").alias("post"), kind.alias("kind"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("owner_symbol"),
+    )
+
+
+def nested_events(t: Tables) -> DataFrame:
+    """syntax_nodes: clicks are `if` with a block, signups lambdas; what follows is nested in them, views as `else` of the `if`.
+
+    Errors are `catch`, purchases literals.
+    """
+    rows, kind = _user_events(t), F.col("event_type")
+    in_block = F.col("opener") == F.coalesce("click", F.lit(0))  # the last one that opened is an `if`
+    parent = F.col("opener") * 2 + F.when(in_block & (kind != "view"), 1).otherwise(0)
+    kinds = F.when(kind == "click", "IfStatement").when(kind == "signup", "SimpleLambdaExpression").when(kind == "error", "CatchClause").when(kind == "view", "ElseClause").otherwise("NumericLiteralExpression")
+    two, end = F.col("i") * 2, F.col("n") * 2 + 1
+    outer = _tree(rows, two, parent, two, F.when(kind.isin("click", "signup"), end).otherwise(two), kinds)
+    return outer.unionByName(_tree(rows.filter(kind == "click"), two + 1, two, two + 1, end, F.lit("Block")))
+
+
+def masked_events(t: Tables) -> DataFrame:
+    """syntax_nodes: clicks are `if` around what follows; signups are names around what follows up to the next click; views are statements."""
+    rows, kind = _user_events(t), F.col("event_type")
+    kinds = F.when(kind == "click", "IfStatement").when(kind == "signup", "IdentifierName").when(kind == "error", "CatchClause").when(kind == "view", "ExpressionStatement").otherwise("NumericLiteralExpression")
+    end = F.when(kind == "click", F.col("n")).when(kind == "signup", F.coalesce(F.col("next_click") - 1, F.col("n"))).otherwise(F.col("i"))
+    return _tree(rows, F.col("i"), F.col("click"), F.col("i"), end, kinds)
+
+
+def block_events(t: Tables) -> DataFrame:
+    """syntax_nodes: clicks are `if` with a block around what follows, errors `catch` with an empty block, others statements."""
+    rows, kind = _user_events(t), F.col("event_type")
+    two, end = F.col("i") * 2, F.col("n") * 2 + 1
+    own = F.when(kind == "click", "IfStatement").when(kind == "error", "CatchClause").otherwise("ExpressionStatement")
+    outer = _tree(rows, two, F.col("click") * 2 + 1, two, F.when(kind == "click", end).when(kind == "error", two + 1).otherwise(two), own)
+    blocks = rows.filter(kind.isin("click", "error"))
+    return outer.unionByName(_tree(blocks, two + 1, two, two + 1, F.when(kind == "click", end).otherwise(two + 1), F.lit("Block")))
+
+
+def document_symbols(t: Tables) -> DataFrame:
+    """A document is a class, in the project of its source; English ones are public."""
+    key = F.col("doc_id").cast("string")
+    return symbols(
+        t.documents,
+        display=key, name=F.concat(F.lit("d"), key), kind=F.lit("Type"), type_kind=F.lit("class"), project=F.col("source"), namespace=F.lit("Documents"), file=key,
+        accessibility=F.when(F.col("lang") == "en", "Public").otherwise("Internal"), sym_ord=F.col("doc_id"),
+    )
+
+
+def copies(t: Tables) -> DataFrame:
+    """(src, dst): a document that repeats an earlier one's text refers to the first of them."""
+    rows = t.documents.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    first = rows.groupBy("h").agg(F.min("doc_id").alias("dst"))
+    return rows.join(first, "h").filter("doc_id != dst").select(F.col("doc_id").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))

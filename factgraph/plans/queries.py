@@ -1,25 +1,27 @@
 """The registered queries: each operator on facts that adapters make from plain tables.
 
-Each has DuckDB SQL that says the same on the tables, unless SQL can't. Queries return
-all rows; limits occur only where the operator's own top-k is what is shown.
-`control_flow_reach`, `test_coverage_map` and `coverage_totals` read a part of their
-tables, as their SQL does; `control_flow_reach_nations`, `test_coverage_map_customers`
-and `coverage_totals_customers` read whole ones. `complexity_metrics` gives the first 50
-in the order of scanning, the reference's default; `complexity_metrics_all` gives all.
+Each has DuckDB SQL that says the same on the tables. Queries run over whole tables and
+return all rows; a limit occurs only where the operator's own top-k is what is shown, and
+is in the name. The edges of `nation_edges` are trade that is unusually heavy, which is a
+definition of an edge and no thinning; `nation_refs`, `basket_edges` and `part_edges` hold
+every reference.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factgraph.api import CodeGraph
 from factgraph.functions import text as tx
 from factgraph.operators import closure, compound, graph, inspect, metrics, navigate, quality, resolve, rules
 from factgraph.plans import adapters as ad
 from factgraph.plans.adapters import Tables
 from factgraph.sources import discovery
+from factgraph.sources.csharp_tree import facts_from_texts
+from factgraph.schema import FactSet, Workspace, least_recently_used
 from factgraph.sources.scratch import checkpointed
 from factgraph.streaming import feed
 
@@ -52,8 +54,9 @@ g AS (SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree
 """
 PARTS = """
 l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
-e AS (SELECT a.p AS src, b.p AS dst, count(*) AS weight FROM l a JOIN l b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= 3)
+e AS (SELECT a.p AS src, b.p AS dst, count(*) AS weight FROM l a JOIN l b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2)
 """
+BASKETS = "e AS (SELECT DISTINCT 'c' || o_custkey AS src, CAST(l_partkey AS VARCHAR) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 # --- 58-65, 82, 89: degrees and outliers -------------------------------------------------------
 
@@ -90,24 +93,24 @@ def god_nodes_customers(t: Tables) -> DataFrame:
     return graph.god_nodes(own, refs, most=None).select("display", "refs")
 
 
-@query(f"WITH {NATIONS} SELECT src, dst, weight FROM e")
+@query(f"WITH {NATIONS} SELECT src, dst, weight FROM w")
 def edge_weights(t: Tables) -> DataFrame:
-    return ad.nation_edges(t)
+    return graph.edge_weights(ad.nation_refs(t))
 
 
-@query(f"WITH {NATIONS} {DEGREES} SELECT id, out_degree, in_degree FROM g")
+@query(f"WITH {BASKETS} {DEGREES} SELECT id, out_degree, in_degree FROM g")
 def degrees(t: Tables) -> DataFrame:
-    return graph.degrees(ad.nation_edges(t))
+    return graph.degrees(ad.basket_edges(t))
 
 
-@query(f"WITH {NATIONS} {DEGREES}, r AS (SELECT out_degree, row_number() OVER (ORDER BY out_degree) - 1 AS i, count(*) OVER () AS n FROM g WHERE out_degree > 0) SELECT out_degree AS upper_median FROM r WHERE i = n // 2")
+@query(f"WITH {BASKETS} {DEGREES}, r AS (SELECT out_degree, row_number() OVER (ORDER BY out_degree) - 1 AS i, count(*) OVER () AS n FROM g WHERE out_degree > 0) SELECT out_degree AS upper_median FROM r WHERE i = n // 2")
 def upper_median(t: Tables) -> DataFrame:
-    return graph.upper_median(graph.degrees(ad.nation_edges(t)).filter("out_degree > 0"), "out_degree")
+    return graph.upper_median(graph.degrees(ad.basket_edges(t)).filter("out_degree > 0"), "out_degree")
 
 
-@query(f"WITH {NATIONS} {DEGREES} SELECT round(avg(in_degree) + stddev_pop(in_degree), 6) AS hub_threshold FROM g WHERE in_degree > 0")
+@query(f"WITH {BASKETS} {DEGREES} SELECT round(avg(in_degree) + stddev_pop(in_degree), 6) AS hub_threshold FROM g WHERE in_degree > 0")
 def hub_threshold(t: Tables) -> DataFrame:
-    return _rounded(graph.hub_threshold(graph.degrees(ad.nation_edges(t))), "hub_threshold")
+    return _rounded(graph.hub_threshold(graph.degrees(ad.basket_edges(t))), "hub_threshold")
 
 
 _SURPRISE = f"""
@@ -190,11 +193,7 @@ WITH n AS (SELECT DISTINCT p_name AS name FROM part)
 SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name) AS distance FROM n a JOIN n b ON a.name < b.name AND levenshtein(a.name, b.name) BETWEEN 1 AND 2
 """)
 def edit_distance_pairs(t: Tables) -> DataFrame:
-    # a fixed vocabulary of names; the band of lengths makes it an equi-join on length
-    names = t.part.select(F.col("p_name").alias("name")).distinct()
-    left = names.select(F.col("name").alias("a"), F.explode(F.sequence(F.length("name") - 2, F.length("name") + 2)).alias("n"))
-    pairs = left.join(names.select(F.col("name").alias("b"), F.length("name").alias("n")), "n").filter("a < b")
-    return pairs.select("a", "b", tx.edit_distance(F.col("a"), F.col("b"), 2).alias("distance")).filter("distance BETWEEN 1 AND 2")
+    return resolve.near_pairs(t.part.select(F.col("p_name").alias("name")))
 
 
 @query("""
@@ -238,9 +237,12 @@ def find_symbols_batch(t: Tables) -> DataFrame:
     return resolve.find_symbols_batch(ad.named_parts(t), "red widget, nope,, *gizmo,Old Ring ").withColumn("matches", F.array_join("matches", "|"))
 
 
-@query("SELECT 4::BIGINT AS total, 4::BIGINT AS succeeded, 0::BIGINT AS failed")
+@query("""
+WITH q(query) AS (VALUES ('Brand#3'), ('Brand#99'), ('brand#7'), ('*9')), f AS (SELECT query, count(p_brand) AS n FROM q LEFT JOIN part ON lower(p_brand) LIKE replace(lower(query), '*', '%') GROUP BY query)
+SELECT count(*) AS total, count(*) FILTER (WHERE n > 0) AS succeeded, count(*) FILTER (WHERE n = 0) AS failed FROM f
+""")
 def batch_totals(t: Tables) -> DataFrame:
-    return resolve.batch_totals(resolve.find_symbols_batch(ad.named_parts(t), "red widget, nope,, *gizmo,Old Ring "))
+    return resolve.batch_totals(resolve.public_api_batch(_member_symbols(t), "Brand#3,Brand#99,brand#7,*9"))
 
 
 _MEMBERS = """
@@ -333,10 +335,9 @@ def find_overrides(t: Tables) -> DataFrame:
     return navigate.find_overrides(base, overrides, "P11").select("display")
 
 
-@query("SELECT conv_id || '/' || turn AS display, turn::INT AS depth FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations WHERE role = 'system' AND turn = 0) AND turn > 0")
+@query("SELECT conv_id || '/' || turn AS display, turn::INT AS depth FROM conversations WHERE conv_id = 12 AND turn > 0")
 def implementations(t: Tables) -> DataFrame:
-    first = t.conversations.filter("role = 'system' AND turn = 0").agg(F.min("conv_id")).first()[0]
-    return navigate.find_implementations(ad.turn_symbols(t), ad.turn_inherits(t), f"{first}/0").select("display", "depth")
+    return navigate.find_implementations(ad.turn_symbols(t), ad.turn_inherits(t), "12/0").select("display", "depth")
 
 
 @query("""
@@ -355,30 +356,34 @@ def ancestor_counts(t: Tables) -> DataFrame:
 # --- 48-50, 111, 112, 29: dead and isolated -----------------------------------------------------------
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS display, 'type' AS kind FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= DATE '1998-01-01')")
-def dead_code(t: Tables) -> DataFrame:
-    own = ad.symbols(t.customer, display=F.col("c_custkey").cast("string"), name=F.col("c_name"), kind=F.lit("Type"), type_kind=F.lit("class"), project=F.col("c_mktsegment"), sym_ord=F.col("c_custkey"))
-    refs = t.orders.filter("o_orderdate >= DATE '1998-01-01'").select(F.col("o_custkey").cast("string").alias("symbol"))
-    return quality.dead_code(own, refs, most=None).select("display", "kind")
+_COPIES = "c AS (SELECT doc_id AS src, min(doc_id) OVER (PARTITION BY text) AS dst FROM documents)"
 
 
-_ISOLATED = f"""
-WITH {PARTS}, r AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_quantity >= 48 AND l_returnflag = 'R')
-SELECT CAST(p_partkey AS VARCHAR) AS display, CASE p_size % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'interface' ELSE 'struct' END AS kind FROM part
-WHERE p_size % 4 <> 3 AND p_size % 3 <> 0 AND p_partkey NOT IN (SELECT src FROM e) AND p_partkey NOT IN (SELECT p FROM r)
-"""
+@query(f"""
+WITH {_COPIES} SELECT CAST(doc_id AS VARCHAR) AS display, 'type' AS kind, source AS project FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT src FROM c WHERE src <> dst)
+""")
+def dead_code(t: Tables) -> DataFrame:
+    """Documents without a label; a copy implements the document that it repeats."""
+    refs = t.labels.select(F.col("doc_id").cast("string").alias("symbol"))
+    implemented = ad.copies(t).select(F.col("src").alias("member"), F.col("dst").alias("interface_member"))
+    return quality.dead_code(ad.document_symbols(t), refs, implemented, most=None).select("display", "kind", "project")
 
 
-@query(_ISOLATED)
+@query(f"""
+WITH {_COPIES} SELECT CAST(doc_id AS VARCHAR) AS display, 'class' AS kind, source AS project FROM documents
+WHERE lang <> 'en' AND doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT src FROM c WHERE src <> dst)
+""")
 def isolated_symbols(t: Tables) -> DataFrame:
-    edges = ad.part_edges(t).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
-    refs = t.lineitem.filter("l_quantity >= 48 AND l_returnflag = 'R'").select(F.col("l_partkey").cast("string").alias("symbol"))
-    return quality.isolated_symbols(ad.part_symbols(t), edges, refs, most=None).select("display", "kind")
+    refs = t.labels.select(F.col("doc_id").cast("string").alias("symbol"))
+    return quality.isolated_symbols(ad.document_symbols(t), ad.copies(t), refs, most=None).select("display", "kind", "project")
 
 
-@query("SELECT '3/' || turn AS display FROM conversations WHERE conv_id = 3")
+@query("SELECT conv_id || '/' || turn AS display FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0 AND role = 'system')")
 def framework_activated(t: Tables) -> DataFrame:
-    return quality.framework_activated(ad.turn_symbols(t), ad.turn_inherits(t), contracts=("3/0",))
+    """Contracts are all system turns that begin a conversation."""
+    first = t.conversations.filter("turn = 0 AND role = 'system'").select(F.concat(F.col("conv_id").cast("string"), F.lit("/0")).alias("id"))
+    return quality.framework_activated(ad.turn_symbols(t), ad.turn_inherits(t), first)
 
 
 # --- 98-106: graphs ------------------------------------------------------------------------------------
@@ -392,7 +397,7 @@ def project_graph(t: Tables) -> DataFrame:
 
 
 _CLOSED = f"""
-WITH RECURSIVE {NATIONS}, c(a, b, d) AS (SELECT src, dst, 1 FROM e UNION SELECT a, dst, d + 1 FROM c JOIN e ON b = src WHERE d < 4)
+WITH RECURSIVE {NATIONS}, c(a, b, d) AS (SELECT src, dst, 1 FROM e UNION SELECT a, dst, d + 1 FROM c JOIN e ON b = src WHERE d < 25)
 """
 
 
@@ -422,19 +427,13 @@ def dependency_rows(t: Tables) -> DataFrame:
     return graph.dependency_rows(edges, _start(edges)).select(F.array_join("path", ">").alias("path"), "node", "depth")
 
 
-@query(_PATHS.replace("WITH RECURSIVE", "WITH RECURSIVE").replace("SELECT src, dst, weight FROM w", "SELECT dst AS src, src AS dst, weight FROM w"))
-def dependents(t: Tables) -> DataFrame:
-    edges = ad.nation_edges(t).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return graph.dependency_rows(edges, _start(edges)).select(F.array_join("path", ">").alias("path"), "node", "depth")
-
-
 def _nation_modules(t: Tables) -> DataFrame:
     return ad.nation_edges(t).select(F.col("src").alias("module"), F.lit("p").alias("project"), F.col("dst").alias("dep"), F.lit(0).alias("pos"))
 
 
 _TREE = f"""
 WITH RECURSIVE {NATIONS}, p(path, node, depth, is_stub) AS (
-  SELECT [n_name], n_name, 0, false FROM nation WHERE n_name IN (SELECT src FROM e) AND n_name = (SELECT min(src) FROM e) UNION ALL
+  SELECT [n_name], n_name, 0, false FROM nation WHERE n_name = (SELECT min(src) FROM e) UNION ALL
   SELECT list_append(path, dst), dst, depth + 1, list_contains(path, dst) FROM p JOIN e ON node = src WHERE depth < 3 AND NOT is_stub)
 SELECT array_to_string(path, '>') AS path, node, depth, is_stub, node IN (SELECT src FROM e) AS known FROM p
 """
@@ -443,8 +442,16 @@ SELECT array_to_string(path, '>') AS path, node, depth, is_stub, node IN (SELECT
 @query(_TREE)
 def module_tree(t: Tables) -> DataFrame:
     modules = _nation_modules(t)
-    first = modules.agg(F.min("module")).first()[0]
-    return graph.module_tree(modules, first.lower()).withColumn("path", F.array_join("path", ">"))
+    first = modules.agg(F.lower(F.min("module")).alias("name"))
+    return graph.module_tree(modules, first).withColumn("path", F.array_join("path", ">"))
+
+
+@query(_TREE.replace("(SELECT min(src) FROM e)", "(SELECT max(dst) FROM e WHERE dst IN (SELECT src FROM e))").replace("SELECT list_append(path, dst), dst, depth + 1, list_contains(path, dst) FROM p JOIN e ON node = src", "SELECT list_append(path, src), src, depth + 1, list_contains(path, src) FROM p JOIN e ON node = dst"))
+def module_dependents(t: Tables) -> DataFrame:
+    """What depends on the last module that both depends and is depended on."""
+    modules = _nation_modules(t)
+    last = modules.select(F.col("dep").alias("module")).join(modules.select("module"), "module", "left_semi").agg(F.max("module").alias("name"))
+    return graph.module_tree(modules, last, direction="dependents").withColumn("path", F.array_join("path", ">"))
 
 
 @query("""
@@ -457,27 +464,76 @@ def resolve_modules(t: Tables) -> DataFrame:
     return graph.resolve_modules(asked, modules)
 
 
+_WALK = """
+m AS (SELECT src, list(dst ORDER BY dst) AS out FROM x GROUP BY src), k AS (SELECT list(src ORDER BY src) AS ks FROM m),
+s(path, nth, done, cycle) AS (
+  SELECT []::VARCHAR[], []::BIGINT[], []::VARCHAR[], NULL::VARCHAR[]
+  UNION ALL
+  SELECT CASE WHEN root IS NOT NULL THEN [root] WHEN nxt IS NULL THEN path[:-2] WHEN fresh THEN list_append(path, nxt) ELSE path END,
+    CASE WHEN root IS NOT NULL THEN [1] WHEN nxt IS NULL THEN nth[:-2] WHEN fresh THEN list_concat(nth[:-2], [nth[-1] + 1, 1]) ELSE list_append(nth[:-2], nth[-1] + 1) END,
+    CASE WHEN root IS NOT NULL THEN list_append(done, root) WHEN fresh THEN list_append(done, nxt) ELSE done END,
+    CASE WHEN list_contains(path, nxt) THEN list_append(path[list_position(path, nxt):], nxt) END
+  FROM (SELECT *, nxt IS NOT NULL AND NOT list_contains(done, nxt) AS fresh FROM (
+    SELECT s.*, CASE WHEN len(path) = 0 THEN list_filter(ks, lambda x: NOT list_contains(done, x))[1] END AS root, (SELECT out[nth[-1]] FROM m WHERE src = path[-1]) AS nxt FROM s CROSS JOIN k))
+  WHERE root IS NOT NULL OR len(path) > 0)
+SELECT array_to_string(cycle, '>') AS nodes, (len(cycle) - 1)::INT AS n FROM s WHERE cycle IS NOT NULL
+"""
+
+
+def _cycles(found: DataFrame) -> DataFrame:
+    return found.select(F.array_join("nodes", ">").alias("nodes"), "n")
+
+
 @query(f"""
 WITH {NATIONS}
 SELECT a.src || '>' || a.dst || '>' || a.src AS nodes, 2 AS n FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
 UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst || '>' || a.src, 3 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst
 UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst || '>' || c.dst || '>' || a.src, 4 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src JOIN e d ON c.dst = d.src AND d.dst = a.src
 WHERE a.src < a.dst AND a.src < b.dst AND a.src < c.dst AND a.dst <> b.dst AND a.dst <> c.dst AND b.dst <> c.dst
-""")
+""".replace("e a", "w a").replace("JOIN e ", "JOIN w "))
+def bounded_cycles(t: Tables) -> DataFrame:
+    """All simple cycles of up to four edges: a relative of circular_dependencies with a contract of its own."""
+    return _cycles(graph.bounded_cycles(graph.edge_weights(ad.nation_refs(t)), 4))
+
+
+@query(f"WITH RECURSIVE {NATIONS}, x AS (SELECT src, dst FROM w), {_WALK}")
 def circular_dependencies(t: Tables) -> DataFrame:
-    return graph.bounded_cycles(ad.nation_edges(t), 4).select(F.array_join("nodes", ">").alias("nodes"), "n")
+    """Of projects: nations that deliver to each other, over all trade."""
+    projects = t.nation.select(F.col("n_name").alias("project"))
+    none = ad.symbols(t.nation.limit(0), display=F.col("n_name"))
+    return _cycles(graph.circular_dependencies(projects, graph.edge_weights(ad.nation_refs(t)), none, none))
+
+
+@query(f"WITH RECURSIVE {NATIONS}, x AS (SELECT src, dst FROM w JOIN nation ON n_name = src JOIN region ON n_regionkey = r_regionkey WHERE weight % 4 <> 3 AND contains(lower(r_name), 'a')), {_WALK}")
+def circular_dependencies_types(t: Tables) -> DataFrame:
+    """Of types: nations are types of their region's project, trade is a field, a property, a base, or the signature of a method, which doesn't count."""
+    own = ad.symbols(t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")), display=F.col("n_name"), name=F.col("n_name"), kind=F.lit("Type"), project=F.col("r_name"), sym_ord=F.col("n_nationkey"))
+    via = F.element_at(F.array(*map(F.lit, ("field", "property", "base", "method"))), (F.pmod("weight", F.lit(4)) + 1).cast("int"))
+    refs = graph.edge_weights(ad.nation_refs(t)).select("src", "dst", via.alias("via"))
+    return _cycles(graph.circular_dependencies(own.limit(0), refs.limit(0), refs, own, "types", "A"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_COPIES}, x AS (SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM c WHERE src <> dst UNION SELECT CAST(dst AS VARCHAR), CAST(src AS VARCHAR) FROM c WHERE src <> dst), {_WALK}")
 def circular_dependencies_walk(t: Tables) -> DataFrame:
-    return graph.back_edge_cycles(ad.nation_edges(t)).select(F.array_join("nodes", ">").alias("nodes"), "n")
+    """Documents and the first ones with their texts refer to each other: as many components as groups of copies."""
+    return _cycles(graph.back_edge_cycles(graph.mirrored(ad.copies(t))))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {NATIONS}, c AS (SELECT src, dst, n_nationkey AS ord FROM e JOIN nation ON dst = n_name),
+s(pos, stack, seen, path, depth) AS (
+  SELECT -1, [{{'p': [min(src)], 'd': 0}}], []::VARCHAR[], NULL::VARCHAR[], NULL::INT FROM c
+  UNION ALL
+  SELECT pos + 1, CASE WHEN below IS NULL THEN stack[:-2] ELSE list_concat(stack[:-2], below) END, CASE WHEN fresh THEN list_append(seen, stack[-1].p[-1]) ELSE seen END, stack[-1].p, stack[-1].d
+  FROM (SELECT *, CASE WHEN fresh THEN (SELECT list({{'p': list_append(stack[-1].p, dst), 'd': stack[-1].d + 1}} ORDER BY ord DESC) FROM c WHERE src = stack[-1].p[-1]) END AS below
+    FROM (SELECT *, NOT list_contains(seen, stack[-1].p[-1]) AND stack[-1].d < 3 AS fresh FROM s WHERE len(stack) > 0)))
+SELECT pos::INT AS pos, array_to_string(path, '>') AS path, path[-1] AS node, depth FROM s WHERE path IS NOT NULL
+""")
 def dependency_tree(t: Tables) -> DataFrame:
+    """A nation calls those that it delivers to, in the order of their keys."""
     edges = ad.nation_edges(t)
-    calls = edges.select(F.col("src").alias("caller"), F.col("dst").alias("callee"), F.hash("dst").cast("long").alias("ord"))
-    return graph.dependency_tree(calls, edges.agg(F.min("src")).first()[0], 3).withColumn("path", F.array_join("path", ">"))
+    calls = edges.join(t.nation, F.col("dst") == F.col("n_name")).select(F.col("src").alias("caller"), F.col("dst").alias("callee"), F.col("n_nationkey").cast("long").alias("ord"))
+    return graph.dependency_tree(calls, edges.agg(F.min("src").alias("id")), 3).withColumn("path", F.array_join("path", ">"))
 
 
 def _sync_sql(rounds: int) -> str:
@@ -505,9 +561,22 @@ def community_cohesion(t: Tables) -> DataFrame:
     return _rounded(graph.community_stats(graph.communities_sync(edges, 4), edges, most=None), "cohesion")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {NATIONS}, r AS (SELECT *, row_number() OVER (ORDER BY src, dst) AS k FROM e),
+b AS (SELECT a AS node, z AS nbr, sum(weight) AS w, min(k) AS k FROM (SELECT src AS a, dst AS z, weight, k FROM r UNION ALL SELECT dst, src, weight, k FROM r) GROUP BY 1, 2),
+n AS (SELECT list(DISTINCT node ORDER BY node) AS ids FROM b),
+s(round, i, labels, changed) AS (
+  SELECT 1, 1, ids, false FROM n
+  UNION ALL
+  SELECT CASE WHEN i = len(ids) THEN round + 1 ELSE round END,
+    CASE WHEN i < len(ids) THEN i + 1 WHEN (changed OR best <> labels[i]) AND round < 20 THEN 1 ELSE 0 END,
+    list_concat(list_append(labels[:i - 1], best), labels[i + 1:]), i < len(ids) AND (changed OR best <> labels[i])
+  FROM (SELECT s.*, ids, (SELECT first(label ORDER BY w DESC, k) FROM (SELECT labels[list_position(ids, nbr)] AS label, sum(w) AS w, min(k) AS k FROM b WHERE node = ids[i] GROUP BY 1)) AS best FROM s CROSS JOIN n WHERE i > 0))
+SELECT unnest(ids) AS id, unnest(labels) AS label FROM s CROSS JOIN n WHERE i = 0
+""")
 def communities(t: Tables) -> DataFrame:
-    return graph.communities_exact(ad.part_edges(t))
+    """Labels propagated in place, node by node."""
+    return graph.communities_exact(ad.nation_edges(t))
 
 
 # --- 66, 74, 116, 123: duplicates, coverage, texts ------------------------------------------------------
@@ -517,16 +586,16 @@ _LINES = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n
 
 
 @query(rf"""
-WITH b AS (SELECT doc_id, sha256({_NORMAL}) AS f, {_LINES} AS lines FROM documents)
-SELECT f AS fingerprint, array_to_string(list(doc_id ORDER BY doc_id), ',') AS members, arg_min(lines, doc_id)::INT AS statements, count(*) AS n, 1.0::DOUBLE AS similarity
-FROM b WHERE lines >= 5 GROUP BY f HAVING count(*) > 1
+WITH b AS (SELECT doc_id, sha256({_NORMAL}) AS f, {_LINES} AS lines FROM documents),
+g AS (SELECT f, count(*) AS n, arg_min(lines, doc_id)::INT AS statements FROM b WHERE lines >= 5 GROUP BY f HAVING count(*) > 1)
+SELECT f AS fingerprint, CAST(doc_id AS VARCHAR) AS member, (row_number() OVER (PARTITION BY f ORDER BY doc_id) - 1)::INT AS nth, statements, n, 1.0::DOUBLE AS similarity FROM b JOIN g USING (f) WHERE lines >= 5
 """)
 def duplicates(t: Tables) -> DataFrame:
     bodies = t.documents.select(
         F.col("doc_id").cast("string").alias("display"), F.col("source").alias("project"), F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")).alias("normalized"),
         tx.logical_lines(F.col("text")).alias("statements"), F.col("doc_id").alias("ord"),
     )
-    return quality.duplicates(bodies, most=None).withColumn("members", F.array_join("members", ","))
+    return quality.duplicates(bodies, most=None)
 
 
 @query(f"SELECT doc_id, {_LINES}::INT AS logical_loc FROM documents")
@@ -535,33 +604,6 @@ def logical_loc(t: Tables) -> DataFrame:
 
 
 _COVERAGE = """
-WITH x AS (SELECT s_name AS type_name, ['Tests', 'Test', '_Tests', '_Test', 'Specs', 'Spec'] AS suffixes, s_suppkey FROM supplier),
-y AS (SELECT replace(c_name, 'Customer', 'supplier') || ['Tests', '_Test', 'Spec'][c_custkey % 3 + 1] AS test, c_mktsegment AS file, c_custkey FROM customer WHERE c_custkey % 4 <> 0),
-z AS (SELECT s_suppkey, type_name, generate_subscripts(suffixes, 1) AS r, type_name || unnest(suffixes) AS test_name FROM x)
-SELECT x.type_name, m.test_name, m.file AS test_file, CASE WHEN m.test_name IS NULL THEN 'uncovered' ELSE 'covered' END AS status
-FROM x LEFT JOIN (SELECT s_suppkey, test_name, file, row_number() OVER (PARTITION BY s_suppkey ORDER BY r) AS k FROM z JOIN y ON lower(test_name) = lower(test)) m ON m.s_suppkey = x.s_suppkey AND k = 1
-"""
-
-
-def _coverage(t: Tables) -> DataFrame:
-    production = ad.symbols(t.supplier, display=F.col("s_name"), name=F.col("s_name"), kind=F.lit("Type"), type_kind=F.lit("class"), project=F.lit("Shop"), sym_ord=F.col("s_suppkey"))
-    suffix = F.element_at(F.array(F.lit("Tests"), F.lit("_Test"), F.lit("Spec")), (F.pmod("c_custkey", F.lit(3)) + 1).cast("int"))
-    name = F.concat(F.replace("c_name", F.lit("Customer"), F.lit("supplier")), suffix)
-    tests = ad.symbols(t.customer.filter("c_custkey % 4 != 0"), display=name, name=name, kind=F.lit("Type"), type_kind=F.lit("class"), project=F.lit("Shop.Tests"), file=F.col("c_mktsegment"), sym_ord=F.col("c_custkey"))
-    return quality.test_coverage_map(production.unionByName(tests), most=None)
-
-
-@query(_COVERAGE)
-def test_coverage_map(t: Tables) -> DataFrame:
-    return _coverage(t)
-
-
-@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE status = 'covered') AS covered, count(*) FILTER (WHERE status = 'uncovered') AS uncovered FROM ({_COVERAGE})")
-def coverage_totals(t: Tables) -> DataFrame:
-    return quality.coverage_totals(_coverage(t))
-
-
-_COVERAGE_ALL = """
 WITH x AS (SELECT c_name AS type_name, ['Tests', 'Test', '_Tests', '_Test', 'Specs', 'Spec'] AS suffixes, c_custkey FROM customer),
 y AS (SELECT replace(s_name, 'Supplier', 'customer') || ['Tests', '_Test', 'Spec'][s_suppkey % 3 + 1] AS test, s_suppkey FROM supplier),
 z AS (SELECT c_custkey, type_name, generate_subscripts(suffixes, 1) AS r, type_name || unnest(suffixes) AS test_name FROM x)
@@ -570,7 +612,7 @@ FROM x LEFT JOIN (SELECT c_custkey, test_name, CAST(s_suppkey AS VARCHAR) AS fil
 """
 
 
-def _coverage_all(t: Tables) -> DataFrame:
+def _coverage(t: Tables) -> DataFrame:
     """All customers are types, all suppliers tests, so both answers occur."""
     production = ad.symbols(t.customer, display=F.col("c_name"), name=F.col("c_name"), kind=F.lit("Type"), type_kind=F.lit("class"), project=F.lit("Shop"), sym_ord=F.col("c_custkey"))
     suffix = F.element_at(F.array(F.lit("Tests"), F.lit("_Test"), F.lit("Spec")), (F.pmod("s_suppkey", F.lit(3)) + 1).cast("int"))
@@ -579,20 +621,21 @@ def _coverage_all(t: Tables) -> DataFrame:
     return quality.test_coverage_map(production.unionByName(tests), most=None)
 
 
-@query(_COVERAGE_ALL)
-def test_coverage_map_customers(t: Tables) -> DataFrame:
-    return _coverage_all(t)
+@query(_COVERAGE)
+def test_coverage_map(t: Tables) -> DataFrame:
+    return _coverage(t)
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE status = 'covered') AS covered, count(*) FILTER (WHERE status = 'uncovered') AS uncovered FROM ({_COVERAGE_ALL})")
-def coverage_totals_customers(t: Tables) -> DataFrame:
-    return quality.coverage_totals(_coverage_all(t))
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE status = 'covered') AS covered, count(*) FILTER (WHERE status = 'uncovered') AS uncovered FROM ({_COVERAGE})")
+def coverage_totals(t: Tables) -> DataFrame:
+    return quality.coverage_totals(_coverage(t))
 
 
-@query("SELECT source, count(*) AS total, count(l.doc_id) AS covered FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1")
+@query("SELECT source, count(*) AS total, count(l.doc_id) AS covered, count(*) - count(l.doc_id) AS uncovered FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1")
 def labelled_share(t: Tables) -> DataFrame:
-    known = t.labels.select("doc_id", F.lit(True).alias("has")).distinct()
-    return t.documents.select("doc_id", "source").join(known, "doc_id", "left").groupBy("source").agg(F.count("*").alias("total"), F.count("has").alias("covered"))
+    known = t.labels.select("doc_id", F.lit("covered").alias("has")).distinct()
+    rows = t.documents.select("doc_id", "source").join(known, "doc_id", "left").select("source", F.coalesce("has", F.lit("uncovered")).alias("status"))
+    return quality.coverage_totals(rows, "source")
 
 
 # --- 24, 25, 51, 67, 81, 122, 124-150: rules --------------------------------------------------------------
@@ -647,7 +690,8 @@ def pragma_without_restore(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT l_orderkey, l_partkey, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem)
+WITH f AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS n FROM lineitem GROUP BY 1, 2),
+d AS (SELECT l_orderkey, l_partkey, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY n, l_partkey) AS b FROM f)
 SELECT CAST(l_orderkey AS VARCHAR) AS module, NOT bool_or(coalesce(b > l_partkey, false)) AS in_order FROM d GROUP BY 1
 """)
 def deps_order(t: Tables) -> DataFrame:
@@ -665,17 +709,17 @@ def diagnostics(t: Tables) -> DataFrame:
 # --- 64, 65, 73, 79, 80, 113-118: metrics -------------------------------------------------------------------
 
 
-@query("""
-WITH x AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(</?(?:ul|li|nav|article|div|footer|a)[ >])', 1) AS l FROM pages),
-g AS (SELECT page_id, unnest(l) AS tag, unnest(range(len(l))) AS i FROM x),
-r AS (SELECT page_id, sum(CASE WHEN starts_with(tag, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS d FROM g)
-SELECT page_id, max(d)::BIGINT AS max_nesting FROM r GROUP BY 1
-""")
-def nesting_depth(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
+_PLACED = """
+v AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n,
+  max(CASE WHEN event_type IN ('click', 'signup') THEN event_id END) OVER b AS opener, max(CASE WHEN event_type = 'click' THEN event_id END) OVER b AS click, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER b AS signup,
+  count(*) FILTER (WHERE event_type IN ('click', 'signup')) OVER b AS nest, count(*) FILTER (WHERE event_type = 'click') OVER b AS clicks
+  FROM events WINDOW b AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+"""
+
 
-    run = Window.partitionBy("page_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return ad.page_nodes(t).select("page_id", F.sum("step").over(run).alias("d")).groupBy("page_id").agg(F.max("d").alias("max_nesting"))
+@query(f"WITH {_PLACED} SELECT 'u' || user_id AS owner_symbol, max(CASE event_type WHEN 'click' THEN clicks + 1 WHEN 'error' THEN clicks + 1 ELSE 0 END)::INT AS max_nesting FROM v GROUP BY user_id")
+def nesting_depth(t: Tables) -> DataFrame:
+    return metrics.max_nesting(ad.block_events(t))
 
 
 @query("SELECT 'u' || user_id AS owner_symbol, (1 + count(*) FILTER (WHERE event_type IN ('click', 'error')))::INT AS cyclomatic FROM events GROUP BY 1")
@@ -691,22 +735,6 @@ def data_flow_sets(t: Tables) -> DataFrame:
     return metrics.data_flow(flow).withColumn("variables", F.array_join("variables", ";"))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT o_orderstatus AS method, (o_custkey % 40)::INT AS src, (o_orderkey % 40)::INT AS dst FROM orders WHERE o_custkey % 3 = 0 AND o_orderkey % 4 = 1),
-k AS (SELECT *, CASE WHEN src % 5 = 0 THEN 'return' WHEN src % 5 = 1 THEN 'end' ELSE 'goto' END AS kind FROM e),
-r(method, block) AS (SELECT DISTINCT method, 0 FROM k UNION SELECT r.method, dst FROM r JOIN k ON k.method = r.method AND k.src = r.block),
-l AS (SELECT k.* FROM k JOIN r ON r.method = k.method AND r.block = k.src)
-SELECT n.method, n.reachable, exits, returns, end_reachable FROM (SELECT method, count(*) AS reachable FROM r GROUP BY 1) n
-LEFT JOIN (SELECT method, count(*) FILTER (WHERE kind = 'return') AS exits, count(*) FILTER (WHERE kind = 'return') AS returns, count(*) FILTER (WHERE kind = 'end') > 0 AS end_reachable FROM l GROUP BY 1) c USING (method)
-""")
-def control_flow_reach(t: Tables) -> DataFrame:
-    edges = t.orders.filter("o_custkey % 3 = 0 AND o_orderkey % 4 = 1").select(
-        F.col("o_orderstatus").alias("method"), F.pmod("o_custkey", F.lit(40)).cast("int").alias("src"), F.pmod("o_orderkey", F.lit(40)).cast("int").alias("dst")
-    ).distinct()
-    kind = F.when(F.pmod("src", F.lit(5)) == 0, "return").when(F.pmod("src", F.lit(5)) == 1, "end").otherwise("goto")
-    return metrics.control_flow(edges.withColumn("kind", kind))
-
-
 @query(f"""
 WITH RECURSIVE {NATIONS},
 k AS (SELECT m.n_name AS method, CASE WHEN src = m.n_name THEN 0 ELSE a.n_nationkey + 1 END AS src, CASE WHEN dst = m.n_name THEN 0 ELSE b.n_nationkey + 1 END AS dst,
@@ -717,7 +745,7 @@ l AS (SELECT k.* FROM k JOIN r ON r.method = k.method AND r.block = k.src)
 SELECT n.method, n.reachable, exits, returns, end_reachable FROM (SELECT method, count(*) AS reachable FROM r GROUP BY 1) n
 LEFT JOIN (SELECT method, count(*) FILTER (WHERE kind = 'return') AS exits, count(*) FILTER (WHERE kind = 'return') AS returns, count(*) FILTER (WHERE kind = 'end') > 0 AS end_reachable FROM l GROUP BY 1) c USING (method)
 """)
-def control_flow_reach_nations(t: Tables) -> DataFrame:
+def control_flow_reach(t: Tables) -> DataFrame:
     """Each nation is a method that enters the whole nation graph at itself."""
     node = lambda x: t.nation.select(F.col("n_name").alias(x), F.col("n_nationkey").alias(f"{x}_key"), F.col("n_regionkey").alias(f"{x}_region"))
     edges = ad.nation_edges(t).select("src", "dst").join(node("src"), "src").join(node("dst"), "dst").crossJoin(t.nation.select(F.col("n_name").alias("method")))
@@ -733,9 +761,18 @@ def token_reduction(t: Tables) -> DataFrame:
     return _rounded(metrics.token_reduction(rows), "median_reduction", "pooled_reduction")
 
 
-@query("SELECT user_id, event_id AS last_access FROM (SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1) ORDER BY event_id LIMIT 20")
+@query("""
+WITH u AS (SELECT user_id, max(event_id) AS last_access FROM events GROUP BY 1)
+SELECT user_id, last_access FROM (SELECT *, row_number() OVER (ORDER BY last_access DESC, user_id) AS r FROM u) WHERE r > 10
+""")
 def lru_victims(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.max("event_id").alias("last_access")).orderBy("last_access").limit(20)
+    """Users that a cache of ten gives up."""
+    return least_recently_used(t.events, 10, "user_id", "event_id")
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
+def largest_top(t: Tables) -> DataFrame:
+    return metrics.largest(t.documents.select("doc_id", "n_chars"), "n_chars", key="doc_id")
 
 
 @query("SELECT url || '.sln' AS path, (len(string_split(regexp_replace(url, '^https?://', ''), '/')) - 1)::INT AS depth FROM pages WHERE len(string_split(regexp_replace(url, '^https?://', ''), '/')) - 1 <= 3 AND NOT list_has_any(list_transform(string_split(regexp_replace(url, '^https?://', ''), '/')[:-2], lambda x: lower(x)), ['bin', 'obj', 'packages', 'artifacts'])")
@@ -796,9 +833,9 @@ def external_source(t: Tables) -> DataFrame:
     return inspect.external_source(own, t.documents.select(key.alias("file_path"), "text"), "doc-number-12")
 
 
-@query("SELECT r_regionkey, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS result FROM region")
+@query("SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\",\"note\":null}' AS result FROM region")
 def json_sink(t: Tables) -> DataFrame:
-    return t.region.select("r_regionkey", F.to_json(F.struct("r_regionkey", "r_name")).alias("result"))
+    return discovery.to_json(t.region.select("r_regionkey", "r_name", F.lit(None).cast("string").alias("note")))
 
 
 # --- 98, 101, 104-106, 114, 116, 119-121: compositions --------------------------------------------------------
@@ -813,46 +850,36 @@ def project_graph_transitive(t: Tables) -> DataFrame:
     return graph.project_graph(projects, ad.nation_edges(t).withColumn("ord", F.col("weight")), "1", transitive=True, most=None).select("project", "total")
 
 
-@query()
-def circular_dependencies_projects(t: Tables) -> DataFrame:
-    projects = t.nation.select(F.col("n_name").alias("project"))
-    none = ad.symbols(t.nation.limit(0), display=F.col("n_name"))
-    return graph.circular_dependencies(projects, ad.nation_edges(t), none, none).select(F.array_join("nodes", ">").alias("nodes"), "n")
-
-
-def _event_tree(t: Tables) -> DataFrame:
-    """syntax_nodes: a user's events hang from one root block, in their order; clicks are `if`, errors `catch`, purchases literals."""
-    kind = F.when(F.col("event_type") == "click", "IfStatement").when(F.col("event_type") == "error", "CatchClause").when(F.col("event_type") == "purchase", "NumericLiteralExpression").otherwise("ExpressionStatement")
-    own = t.events.select(
-        F.lit(1).cast("long").alias("doc_id"), F.col("event_id").cast("int").alias("node_id"), F.lit(-1).alias("parent_id"), F.col("event_id").cast("int").alias("pre"),
-        F.col("event_id").cast("int").alias("post"), kind.alias("kind"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("owner_symbol"),
-    )
-    return own
-
-
-@query("SELECT 'u' || user_id AS owner_symbol, (count(*) FILTER (WHERE event_type IN ('click', 'error')))::INT AS cognitive FROM events GROUP BY 1")
+@query(f"""
+WITH {_PLACED} SELECT 'u' || user_id AS owner_symbol, sum(CASE WHEN event_type IN ('click', 'error') THEN 1 + nest WHEN event_type = 'view' THEN (opener IS NOT DISTINCT FROM click AND click IS NOT NULL)::INT ELSE 0 END)::INT AS cognitive
+FROM v GROUP BY user_id
+""")
 def cognitive_complexity(t: Tables) -> DataFrame:
-    return metrics.cognitive(_event_tree(t))
+    """`if` and `catch` cost one and their nesting, `else` costs one, lambdas nest at no cost."""
+    return metrics.cognitive(ad.nested_events(t))
 
 
-@query("""
-SELECT 'u' || user_id AS owner_symbol, sha256(string_agg(CASE event_type WHEN 'click' THEN 'IfStatement' WHEN 'error' THEN 'CatchClause' WHEN 'purchase' THEN 'LIT' ELSE 'ExpressionStatement' END, ' ' ORDER BY event_id)) AS fingerprint,
-  (count(*) FILTER (WHERE event_type NOT IN ('error', 'purchase')))::INT AS statements FROM events GROUP BY 1
+@query(f"""
+WITH {_PLACED}
+SELECT 'u' || user_id AS owner_symbol, sha256(string_agg(CASE event_type WHEN 'click' THEN 'IfStatement' WHEN 'error' THEN 'CatchClause' WHEN 'purchase' THEN 'LIT' WHEN 'signup' THEN 'ID' ELSE 'ExpressionStatement' END, ' ' ORDER BY event_id)) AS fingerprint,
+  (count(*) FILTER (WHERE event_type IN ('click', 'view')))::INT AS statements FROM v WHERE event_type = 'click' OR signup IS NULL OR coalesce(click, -1) > signup GROUP BY user_id
 """)
 def body_fingerprints(t: Tables) -> DataFrame:
-    return metrics.normalized_bodies(_event_tree(t)).select("owner_symbol", F.sha2("normalized", 256).alias("fingerprint"), "statements")
+    """A name hides what hangs below it: all events of a user between a signup and the next click."""
+    return metrics.normalized_bodies(ad.masked_events(t)).select("owner_symbol", F.sha2("normalized", 256).alias("fingerprint"), "statements")
 
 
 @query("""
 WITH b AS (SELECT 'u' || user_id AS owner_symbol, (1 + count(*) FILTER (WHERE event_type IN ('click', 'error')))::INT AS cyclomatic, user_id FROM events GROUP BY user_id)
 SELECT owner_symbol, cyclomatic FROM (SELECT * FROM b WHERE cyclomatic >= 20 ORDER BY user_id LIMIT 50)
 """)
-def complexity_metrics(t: Tables) -> DataFrame:
+def complexity_metrics_top(t: Tables) -> DataFrame:
+    """The first 50 in the order of scanning, the default."""
     return _complexity(t, 50)
 
 
 @query("SELECT * FROM (SELECT 'u' || user_id AS owner_symbol, (1 + count(*) FILTER (WHERE event_type IN ('click', 'error')))::INT AS cyclomatic FROM events GROUP BY user_id) WHERE cyclomatic >= 20")
-def complexity_metrics_all(t: Tables) -> DataFrame:
+def complexity_metrics(t: Tables) -> DataFrame:
     return _complexity(t, None)
 
 
@@ -860,32 +887,268 @@ def _complexity(t: Tables, most: int | None) -> DataFrame:
     users = t.events.select("user_id").distinct()
     name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     own = ad.symbols(users, display=name, name=name, kind=F.lit("Method"), container_name=F.lit("Users"), sym_ord=F.col("user_id"))
-    return metrics.complexity_metrics(metrics.cyclomatic(_event_tree(t)), own, "users", scope="type", threshold=20, most=most).select("owner_symbol", "cyclomatic")
+    return metrics.complexity_metrics(metrics.cyclomatic(ad.nested_events(t)), own, "users", scope="type", threshold=20, most=most).select("owner_symbol", "cyclomatic")
 
 
-@query("""
-SELECT 'callers' AS part, count(*) AS n FROM (SELECT DISTINCT o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey = 7) UNION ALL SELECT 'detail', 1 UNION ALL SELECT 'call_graph', 1
+def _told(parts: dict[str, DataFrame], **fields: str) -> DataFrame:
+    """(part, result): each row of each part as its fields, joined by |."""
+    rows = compound.flattened(parts)
+    result = F.lit(None).cast("string")
+    for part, names in fields.items():
+        told = F.concat_ws("|", *[F.coalesce(F.get_json_object("result", f"$.{n}"), F.lit("")) for n in names.split()])
+        result = F.when(F.col("part") == part, told).otherwise(result)
+    return rows.select("part", result.alias("result"))
+
+
+@query(f"""
+WITH {_PLACED}, c AS (SELECT 'c' || o_custkey AS caller, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey = 7 GROUP BY 1)
+SELECT 'callers' AS part, caller || '|' || n AS result FROM c UNION ALL SELECT 'detail', p_partkey || '|' || p_type FROM part WHERE p_partkey = 7
+UNION ALL SELECT 'call_graph', '0|7|0' UNION ALL SELECT 'call_graph', l_linenumber || '|' || l_suppkey || '|1' FROM (SELECT row_number() OVER (ORDER BY l_suppkey) AS l_linenumber, l_suppkey FROM (SELECT DISTINCT 's' || l_suppkey AS l_suppkey FROM lineitem WHERE l_partkey = 7))
+UNION ALL SELECT 'complexity', '7|' || (1 + count(*) FILTER (WHERE event_type IN ('click', 'error'))) || '|' || max(CASE WHEN event_type IN ('click', 'error') THEN clicks + 1 ELSE 0 END) FROM v WHERE user_id = 7
 """)
 def analyze_method(t: Tables) -> DataFrame:
-    from factgraph.schema import FactSet
-
-    methods = ad.symbols(t.part, display=F.col("p_partkey").cast("string"), name=F.concat(F.lit("p"), F.col("p_partkey").cast("string")), kind=F.lit("Method"), sym_ord=F.col("p_partkey"))
-    parts = compound.analyze_method(FactSet(t.spark, {"symbols": methods, "calls": ad.customer_calls(t)}), "p7")
-    return compound.flattened({k: v for k, v in parts.items() if k != "complexity"}).groupBy("part").agg(F.count("*").alias("n"))
+    """Parts are methods that customers call and that call their suppliers; a user's events are the body of the part of that number."""
+    methods = ad.symbols(
+        t.part, display=F.col("p_partkey").cast("string"), name=F.concat(F.lit("p"), F.col("p_partkey").cast("string")), kind=F.lit("Method"), return_type=F.col("p_type"), sym_ord=F.col("p_partkey")
+    )
+    supplier = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    order = F.dense_rank().over(Window.partitionBy("caller").orderBy("callee")).cast("long")
+    down = t.lineitem.select(F.col("l_partkey").cast("string").alias("caller"), supplier.alias("callee")).distinct().withColumn("ord", order)
+    body = ad.block_events(t).withColumn("owner_symbol", F.substr("owner_symbol", F.lit(2)))
+    facts = FactSet(t.spark, {"symbols": methods, "calls": ad.customer_calls(t).unionByName(down), "syntax_nodes": body})
+    return _told(compound.analyze_method(facts, "p7"), callers="caller calls", detail="display return_type", call_graph="pos node depth", complexity="owner_symbol cyclomatic max_nesting")
 
 
-@query(f"""
-WITH {_MEMBERS} SELECT 'api' AS part, count(*) AS n FROM m WHERE container = 'Brand#7'
+@query("""
+WITH f AS (SELECT conv_id AS c FROM conversations WHERE conv_id = 12 GROUP BY 1)
+SELECT 'api' AS part, '12/0.' || turn || '|method|' || role AS result FROM conversations, f WHERE conv_id = c AND role <> 'system'
+UNION ALL SELECT 'hierarchy', conv_id || '/' || turn || '|derived|' || turn FROM conversations, f WHERE conv_id = c AND turn > 0
+UNION ALL SELECT 'implementations', conv_id || '/' || turn || '|' || turn FROM conversations, f WHERE conv_id = c AND turn > 0
+UNION ALL SELECT 'diagnostics', * FROM (SELECT turn || '|D' || turn FROM conversations, f WHERE conv_id = c AND role = 'assistant' ORDER BY turn LIMIT 50)
 """)
 def type_overview(t: Tables) -> DataFrame:
-    from factgraph.schema import FactSet
+    """The first turn of a conversation is an interface that the others extend and whose members they are; answers are diagnostics."""
+    key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    file = F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".cs"))
+    own = ad.turn_symbols(t).drop("file").join(t.conversations.select(key.alias("display"), file.alias("file")), "display")
+    members = ad.symbols(
+        t.conversations.filter("role != 'system'"), display=F.concat(F.col("conv_id").cast("string"), F.lit("/0."), F.col("turn").cast("string")), name=F.col("role"), kind=F.lit("Method"),
+        accessibility=F.lit("Public"), container=F.concat(F.col("conv_id").cast("string"), F.lit("/0")), return_type=F.col("role"), sym_ord=F.col("turn"),
+    )
+    found = t.conversations.filter("role IN ('user', 'assistant')").select(
+        F.col("role").alias("project"), file.alias("file"), F.col("turn").alias("line"), F.concat(F.lit("D"), F.col("turn").cast("string")).alias("id"),
+        F.when(F.col("role") == "assistant", "Error").otherwise("Info").alias("severity"), F.lit("compiler").alias("source"),
+    )
+    documents = t.conversations.select(F.lit("assistant").alias("project"), file.alias("file_path"), F.col("conv_id").alias("doc_ord")).distinct()
+    facts = FactSet(t.spark, {"symbols": own.select(*members.columns).unionByName(members), "inherits": ad.turn_inherits(t), "diagnostics": found, "documents": documents})
+    return _told(compound.type_overview(facts, "12/0"), api="signature kind return_type", hierarchy="display relation depth", implementations="display depth", diagnostics="line id")
+
+
+def _user_files(t: Tables) -> DataFrame:
+    """documents: a file a user, in one of three projects; the last user's comes first."""
+    user = F.col("user_id").cast("string")
+    return t.events.select("user_id").distinct().select(
+        F.col("user_id").cast("long").alias("doc_id"), F.concat(F.lit("P"), F.pmod("user_id", F.lit(3)).cast("string")).alias("project"),
+        F.concat(F.lit("src/U"), user, F.lit(".cs")).alias("file_path"), (-F.col("user_id")).cast("long").alias("doc_ord"),
+    )
+
+
+def _user_diagnostics(t: Tables) -> DataFrame:
+    level = F.when(F.col("event_type") == "error", "Error").when(F.col("event_type") == "click", "Warning").when(F.col("event_type") == "view", "Info").otherwise("Hidden")
+    return t.events.select(
+        F.concat(F.lit("P"), F.pmod("user_id", F.lit(3)).cast("string")).alias("project"), F.concat(F.lit("src/U"), F.col("user_id").cast("string"), F.lit(".cs")).alias("file"),
+        F.col("event_id").cast("int").alias("line"), F.when(F.pmod("event_id", F.lit(11)) == 0, "X.FadeOut").otherwise(F.concat(F.lit("D"), F.col("event_id").cast("string"))).alias("id"),
+        level.alias("severity"), F.when(F.pmod("event_id", F.lit(5)) == 0, "roslynator").otherwise("compiler").alias("source"),
+    )
+
+
+@query("""
+SELECT 'P' || user_id % 3 AS project, event_id::INT AS line, CASE event_type WHEN 'error' THEN 'Error' ELSE 'Warning' END AS severity FROM events
+WHERE user_id = (SELECT max(user_id) FROM events WHERE user_id % 10 = 7) AND event_type IN ('error', 'click') AND event_id % 11 <> 0 AND event_id % 5 <> 0
+""")
+def diagnostics_file(t: Tables) -> DataFrame:
+    """Of all files that end so the first in the order of scanning, the last user's."""
+    found = inspect.diagnostics(_user_diagnostics(t), "file", "7.CS", documents=_user_files(t))
+    return found.select("project", "line", "severity")
 
-    parts = compound.type_overview(FactSet(t.spark, {"symbols": _member_symbols(t)}), "Brand#7")
-    return compound.flattened(parts).groupBy("part").agg(F.count("*").alias("n"))
 
+@query("SELECT 'P' || user_id % 3 AS project, event_id::INT AS line FROM events WHERE event_type IN ('error', 'click') AND event_id % 11 <> 0 AND event_id % 5 <> 0")
+def diagnostics_solution(t: Tables) -> DataFrame:
+    """Faded-out ones and those of analyzers don't count."""
+    return inspect.diagnostics(_user_diagnostics(t)).select("project", "line")
 
-@query(f"WITH {_EVENT_RULES} SELECT 'antipatterns' AS part, least(count(*), 100) AS n FROM v WHERE id IS NOT NULL AND CAST(event_id AS VARCHAR) LIKE '%7'")
+
+@query(f"""
+WITH {_EVENT_RULES}, u AS (SELECT max(user_id) AS u FROM events WHERE user_id % 10 = 7)
+SELECT 'types' AS part, 'U' || user_id || '|class' AS result FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 7)
+UNION ALL SELECT 'diagnostics', * FROM (SELECT event_id || '|D' || event_id FROM events JOIN u ON user_id = u WHERE event_type IN ('error', 'click') AND event_id % 11 <> 0 AND event_id % 5 <> 0 ORDER BY event_id LIMIT 50)
+UNION ALL SELECT 'antipatterns', * FROM (SELECT event_id || '|' || id FROM v JOIN events USING (event_id) WHERE id IS NOT NULL AND user_id % 10 = 7 ORDER BY user_id DESC, id = 'GR-CFGAWAIT', id = 'GR-SLEEP', id = 'GR-GUID', event_id LIMIT 100)
+""")
 def file_overview(t: Tables) -> DataFrame:
-    from factgraph.schema import FactSet
+    """A user is a file with one class; what the rules find comes file by file, rule by rule."""
+    user = F.col("user_id").cast("string")
+    file = F.concat(F.lit("src/U"), user, F.lit(".cs"))
+    users = t.events.select("user_id").distinct()
+    own = ad.symbols(users, display=F.concat(F.lit("U"), user), name=F.concat(F.lit("U"), user), kind=F.lit("Type"), type_kind=F.lit("class"), file=file, sym_ord=F.col("user_id"))
+    where = t.events.select(F.col("event_id").cast("string").alias("_e"), file.alias("_f"), (-F.col("user_id")).cast("long").alias("doc_ord"))
+    nodes = _event_nodes(t).join(where, F.col("file") == F.col("_e")).withColumns({"line": F.col("_e").cast("int"), "file": F.col("_f"), "pos": F.col("_e").cast("int")}).drop("_e", "_f")
+    facts = FactSet(t.spark, {"symbols": own, "diagnostics": _user_diagnostics(t), "documents": _user_files(t)})
+    return _told(compound.file_overview(facts, "7.cs", nodes), types="display kind", diagnostics="line id", antipatterns="line id")
+
+
+# --- 126-150: every rule on source texts, hit and missed -------------------------------------------------------
+
+#: A source text, and the rules that it breaks.
+CASES = (
+    ("class A { async void Go() { } }", "AP001"),
+    ("class A { async void On(object s, MyEventHandler e) { } async Task Go() { } }", ""),
+    ("class A { int B(Task<int> t) { return t.Result; } }", "AP002"),
+    ("class A { void B(Task t) { t.Wait(); t.GetAwaiter().GetResult(); } }", "AP002"),
+    ("class A { void B(Task t) { t.Wait(100); } }", ""),
+    ("class A { object b = new HttpClient(); }", "AP003"),
+    ('class A { string s = "new HttpClient()"; }', ""),
+    ("class A { object B() { return DateTime.UtcNow; } }", "AP004"),
+    ("class A { object B() { return clock.UtcNow; } }", ""),
+    ("class A { void B() { try { C(); } catch (Exception e) { } } }", "AP005"),
+    ("class A { void B() { try { C(); } catch (Exception e) when (e.Data == null) { } } }", ""),
+    ('class A { void B() { _log.LogError($"x {y}"); } }', "AP006"),
+    ('class A { void B() { _log.LogError("x {Y}", y); } }', ""),
+    ("#pragma warning disable CS1\nclass A { }", "AP007"),
+    ("#pragma warning disable CS1\nclass A { }\n#pragma warning restore CS1", ""),
+    ("class A { public async Task Go(CancellationTokenSource source) { } }", "AP008"),
+    ("class A { public async Task Go(int a, System.Threading.CancellationToken ct) { } async Task B() { } }", ""),
+    ("class A { DbSet<Order> Orders; object B() { return Orders.Where(x => x.Open).ToList(); } }", "AP009"),
+    ("class A { DbSet<Order> Orders; object B() { return Orders.AsNoTracking().ToList(); } List<int> l; object C() { return l.ToList(); } }", ""),
+    ("class A { object B() { return Guid.NewGuid(); } }", "GR-GUID"),
+    ("class A { object B() { return Guid.Empty; } }", ""),
+    ('class A { string p = "Password=abc"; }', "GR-SECRET"),
+    ('class A { string p = "hello"; }', ""),
+    ("class Shop : Base { } class Base : DbContext { } class A { Shop store; void B() { store.SaveChanges(); } }", "GR-SYNC-EF"),
+    ("class Shop : IDbContextFactory<X> { } class A { Shop db; void B() { db.SaveChanges(); } }", ""),
+    ("class A { void B() { _context.SaveChanges(); } }", "GR-SYNC-EF"),
+    ("class A { void B() { _file.SaveChanges(); } }", ""),
+    ("class A { object B() { return TypedResults.BadRequest(1); } }", "GR-BADREQ"),
+    ("class A { object B() { return TypedResults.Ok(1); } }", ""),
+    ('class A { object r = new Regex("a"); }', "GR-REGEX"),
+    ('class A { object r = Regex.Match(a, "a"); }', ""),
+    ("class A { void B() { Thread.Sleep(5); } }", "GR-SLEEP"),
+    ("class A { void B() { Thread.Yield(); } }", ""),
+    ('class A { void B() { Console.WriteLine("x"); } }', "GR-CONSOLE"),
+    ("class A { void B() { Console.ReadLine(); } }", ""),
+    ("class A { async Task B() { await c.RunAsync(d.ConfigureAwait(false)); } }", "GR-CFGAWAIT"),
+    ("class A { async Task B() { await c.RunAsync(x => f(x)).ConfigureAwait(g(h(false))); } }", ""),
+    ("public class OrderDto { }", "GR-DTO"),
+    ("public class DtoOrder { }", ""),
+    ("public record CreateRequest(int Id);", "GR-ENDPOINT-PREFIX"),
+    ("public record CreateOrderRequest(int Id);", ""),
+    ("class Shop : DbContext { protected override void OnModelCreating(ModelBuilder b) { b.Entity(); } }", "GR-CONVENTIONS-MISSING"),
+    ("class Shop : DbContext { protected override void OnModelCreating(ModelBuilder b) { b.ApplyGranitConventions(x, y); } }", ""),
+    ("class Shop : DbContext { protected override void OnModelCreating(ModelBuilder b) { b.HasQueryFilter(f); b.ApplyGranitConventions(x, y); } }", "GR-MANUAL-QUERYFILTER"),
+    ("class Shop : Store { protected override void OnModelCreating(ModelBuilder b) { b.HasQueryFilter(f); } }", ""),
+    ("[DependsOn(typeof(GranitCoreModule))] class ShopModule : GranitModule { }", "GR-DEPS-CORE"),
+    ("[DependsOn(typeof(GranitCoreModule))] class Shop : GranitModule { }", ""),
+    ("[DependsOn(typeof(BModule), typeof(AModule))] class ShopModule : GranitModule { }", "GR-DEPS-ORDER"),
+    ("[DependsOn(typeof(AModule), typeof(BModule), typeof(AModule))] class ShopModule : GranitModule { }", ""),
+)
+
+
+def _case_sql(test_assembly: str = "") -> str:
+    values = ", ".join(f"({i}, '{rule}')" for i, (_, rule) in enumerate(CASES) if rule)
+    return f"SELECT CAST(p_partkey AS VARCHAR) || '.cs' AS file, id, p_brand AS project FROM part JOIN (VALUES {values}) c(i, id) ON p_partkey % {len(CASES)} = i"
+
+
+def _case_graph(t: Tables) -> CodeGraph:
+    """A part is a file with one of the cases, in the project of its brand."""
+    texts = F.element_at(F.array(*[F.lit(text) for text, _ in CASES]), (F.pmod("p_partkey", F.lit(len(CASES))) + 1).cast("int"))
+    space = F.concat(F.lit("\nnamespace N"), F.col("p_partkey").cast("string"), F.lit(";\n"))
+    # a namespace a file, so that classes of the same name are told apart; a pragma stays on its line
+    documents = t.part.select(
+        F.col("p_partkey").cast("long").alias("doc_id"), F.col("p_brand").alias("project"), F.concat(F.col("p_partkey").cast("string"), F.lit(".cs")).alias("file_path"),
+        F.concat(space, texts).alias("text"), F.col("p_partkey").cast("long").alias("doc_ord"),
+    )
+    facts = facts_from_texts(documents)
+    # bases are met by simple names, which these files use over and over; each knows its own
+    return CodeGraph(FactSet(t.spark, {k: v for k, v in facts.tables.items() if k not in ("inherits", "attributes")} | {"modules": graph.module_facts(facts["symbols"], facts["inherits"], facts["attributes"])}), env={})
+
+
+@query(_case_sql())
+def every_rule(t: Tables) -> DataFrame:
+    """All detectors and all structural checks, on texts that break one rule and on texts that nearly do."""
+    code = _case_graph(t)
+    both = code.detect_antipatterns(severity="info", max_results=None).unionByName(code.validate_conventions().drop("category"))
+    return both.select("file", "id", "project").distinct()
+
+
+@query(f"SELECT file, id, project FROM ({_case_sql()}) WHERE id IN ('GR-SYNC-EF', 'AP009', 'GR-CONVENTIONS-MISSING', 'GR-MANUAL-QUERYFILTER') AND contains(project, '#1') AND ends_with(file, '1.cs')")
+def conventions_of_efcore(t: Tables) -> DataFrame:
+    """One category, in the projects and the files of a name."""
+    return _case_graph(t).validate_conventions("BRAND#1", "1.CS", "efcore").select("file", "id", "project").distinct()
+
+
+@query(f"SELECT file, id, project FROM (SELECT *, row_number() OVER (ORDER BY split_part(file, '.', 1)::INT) AS r FROM ({_case_sql()}) WHERE id NOT LIKE 'GR-DEPS%' AND id NOT IN ('AP009', 'GR-CFGAWAIT', 'GR-ENDPOINT-PREFIX', 'GR-CONVENTIONS-MISSING', 'GR-MANUAL-QUERYFILTER')) WHERE r <= 20")
+def antipatterns_top(t: Tables) -> DataFrame:
+    """The first files in the order of scanning; each of these breaks one rule of the detectors, once but for the waits."""
+    code = _case_graph(t)
+    return code.detect_antipatterns(max_results=21).select("file", "id", "project").distinct().withColumn("_n", F.split("file", r"\.")[0].cast("int")).orderBy("_n").limit(20).drop("_n")
+
+
+# --- 1-5, 12-15, 64: solutions and projects ----------------------------------------------------------------------
+
+
+@query("SELECT url || '.sln' AS path FROM pages WHERE url LIKE 'http%' ORDER BY len(string_split(regexp_replace(url, '^https?://', ''), '/')), lower(regexp_replace(url, '^https?://', '')) LIMIT 1")
+def best_solution(t: Tables) -> DataFrame:
+    paths = t.pages.select(F.concat(F.lit("/root/"), F.regexp_replace("url", "^https?://", ""), F.lit(".sln")).alias("path"), F.concat("url", F.lit(".sln")).alias("url")).filter("url LIKE 'http%'")
+    return discovery.best_solution(paths.select("path"), "/root").join(paths, "path").select(F.col("url").alias("path")).limit(1)
+
+
+@query("SELECT r_name || CASE WHEN r_regionkey % 2 = 0 THEN '.sln' ELSE '.slnx' END AS path, n_name AS project, 'src/' || n_name || '.csproj' AS project_path FROM region JOIN nation ON r_regionkey = n_regionkey")
+def solution_projects(t: Tables) -> DataFrame:
+    """A region is a solution file, old or new, of its nations' projects."""
+    line = F.concat(F.lit('Project("{X}") = "'), "n_name", F.lit('", "src\\'), "n_name", F.lit('.csproj", "{Y}"\nEndProject'))
+    tag = F.concat(F.lit('  <Project Path="src/'), "n_name", F.lit('.csproj" />'))
+    old = F.pmod("r_regionkey", F.lit(2)) == 0
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name", "r_regionkey").agg(
+        F.concat(F.when(old, "").otherwise("<Solution>\n"), F.array_join(F.collect_list(F.when(old, line).otherwise(tag)), "\n"), F.when(old, "").otherwise("\n</Solution>")).alias("text")
+    )
+    texts = rows.select(F.concat("r_name", F.when(old, ".sln").otherwise(".slnx")).alias("path"), "text")
+    return discovery.solution_projects(texts).select("path", "project", "project_path")
+
+
+@query(f"""
+WITH {NATIONS} SELECT n_name AS project, CASE n_nationkey % 4 WHEN 0 THEN 'net9.0' WHEN 1 THEN 'net8.0;net9.0' WHEN 2 THEN 'net8.0' END AS target_framework,
+  CASE WHEN n_nationkey % 4 < 3 THEN coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM e WHERE src = n_name), '') END AS refs FROM nation
+""")
+def project_files(t: Tables) -> DataFrame:
+    """A nation is a project file that refers to those that it delivers to; some have comments, one framework or several; every fourth is no XML."""
+    own = ad.nation_edges(t).groupBy(F.col("src").alias("n_name")).agg(F.sort_array(F.collect_list("dst")).alias("to"))
+    refs = F.transform(F.coalesce("to", F.array().cast("array<string>")), lambda x: F.concat(F.lit("<ProjectReference Include='..\\"), x, F.lit("\\"), x, F.lit(".csproj' />")))
+    way = F.pmod("n_nationkey", F.lit(4))
+    head = F.when(way == 0, "<TargetFramework>net9.0</TargetFramework>").when(way == 1, "<TargetFrameworks>net8.0;net9.0</TargetFrameworks>").when(
+        way == 2, "<!-- <TargetFramework>net1.0</TargetFramework> --><TargetFramework Condition=\"'$(A)' != ''\"> net8.0 </TargetFramework>"
+    ).otherwise("<TargetFramework>net9.0</Target")
+    text = F.concat(F.lit('<Project Sdk="S"><PropertyGroup><Nullable>enable</Nullable>'), head, F.lit("</PropertyGroup><ItemGroup><PackageReference Include='X' />"), F.array_join(refs, ""), F.lit("</ItemGroup></Project>"))
+    files = t.nation.join(own, "n_name", "left").select(F.concat(F.lit("/w/"), "n_name", F.lit(".csproj")).alias("path"), text.alias("text"))
+    return discovery.project_files(files).select("project", "target_framework", F.array_join("refs", ",").alias("refs"))
+
+
+def _workspace(t: Tables) -> Workspace:
+    """Regions are solutions; loading one gives its nations as projects."""
+
+    def load(path: str) -> FactSet:
+        name = path.rsplit("/", 1)[-1].removesuffix(".sln")
+        own = t.nation.join(t.region.filter(F.upper("r_name") == name.upper()), F.col("n_regionkey") == F.col("r_regionkey"))
+        return FactSet(t.spark, {"projects": own.select(F.col("n_name").alias("project"), F.col("n_nationkey").alias("ord"))})
+
+    return Workspace(load, ["/w/AFRICA.sln", "/w/ASIA.sln", "/v/Europe.sln"], "/w/asia.sln")
+
+
+@query("SELECT * FROM (VALUES ('/w/AFRICA.sln', 'AFRICA.sln', false), ('/w/ASIA.sln', 'ASIA.sln', true), ('/v/Europe.sln', 'Europe.sln', false)) x(path, name, is_active)")
+def list_solutions(t: Tables) -> DataFrame:
+    return CodeGraph(workspace=_workspace(t), env={}).list_solutions()
+
 
-    return compound.flattened(compound.file_overview(FactSet(t.spark), "7", _event_nodes(t))).groupBy("part").agg(F.count("*").alias("n"))
+@query("SELECT n_name AS project FROM nation JOIN region ON n_regionkey = r_regionkey WHERE lower(r_name) = 'europe'")
+def switch_solution(t: Tables) -> DataFrame:
+    code = CodeGraph(workspace=_workspace(t), env={})
+    code.switch_solution("/V/EUROPE.sln")
+    return code.get_project_graph(max_results=None).select("project")

@@ -488,6 +488,53 @@ def declared_symbols(documents: DataFrame) -> DataFrame:
     return conform(found.withColumn("sym_ord", F.col("doc_ord") * 10_000_000 + F.col("at")), "symbols")
 
 
+_ATTRIBUTE = re.compile(r"\b([A-Za-z_][\w.]*)\s*\(")
+
+
+def class_rows(text: str | None) -> Iterator[tuple[str, list[tuple[str, str]], list[tuple[str, str, str, int]]]]:
+    """(display, bases as (type text, rel), attributes as (name, kind of argument, its text, place)) of each class-like declaration."""
+    code, _ = masked(text or "")
+    space = _NAMESPACE.search(code)
+    for m in _CLASS.finditer(code):
+        bases = []
+        for b in split_list(m[4] or ""):
+            name = re.sub(r"\s*\(.*$", "", b, flags=re.S)  # a record's base may have arguments
+            interface = m[1] == "interface" or re.match(r"(?:[\w.]*\.)?I[A-Z]", name) is not None
+            bases.append((name, "interface" if interface else "base"))
+        before = code[max(code.rfind(c, 0, m.start()) for c in ";{}") + 1 : m.start()]
+        found, at = [], 0
+        while (a := _ATTRIBUTE.search(before, at)) is not None:
+            at = closing(before, a.end() - 1)
+            for arg in split_list(before[a.end() : at]):
+                of = re.fullmatch(r"typeof\s*\((.*)\)", arg, re.S)
+                found.append((a[1], "TypeOfExpression" if of else "Expression", of[1].strip() if of else arg, len(found)))
+        yield ".".join(x for x in (space[1] if space else "", m[2]) if x), bases, found
+
+
+def inherits(documents: DataFrame) -> DataFrame:
+    """The inherits facts of documents (text): parents are as they are written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(child, name, rel, i) for t in batch.column(0).to_pylist() for child, bases, _ in class_rows(t) for i, (name, rel) in enumerate(bases)]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["child", "parent", "rel", "ord"])
+
+    return documents.select("text").mapInArrow(run, CONTRACTS["inherits"])
+
+
+def attributes(documents: DataFrame) -> DataFrame:
+    """The attributes facts of the classes of documents (text), a row an argument."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(owner, *x) for t in batch.column(0).to_pylist() for owner, _, found in class_rows(t) for x in found]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["owner", "name", "arg_kind", "arg_text", "pos"])
+
+    return documents.select("text").mapInArrow(run, CONTRACTS["attributes"])
+
+
 def name_uses(nodes: DataFrame) -> DataFrame:
     """Names in bodies with the nodes above them: doc_id, owner_symbol, name, line, parent_kind, grandparent_kind, is_call.
 
@@ -508,7 +555,7 @@ def name_uses(nodes: DataFrame) -> DataFrame:
 
 
 def facts_from_texts(documents: DataFrame):
-    """A FactSet from source texts alone: documents, symbols, syntax_nodes, pragmas, refs, calls.
+    """A FactSet from source texts alone: documents, symbols, syntax_nodes, pragmas, refs, calls, inherits, attributes.
 
     Names are bound by spelling: a use counts for every symbol of that name. A front end
     that binds gives better refs and calls; the operators are the same.
@@ -523,4 +570,4 @@ def facts_from_texts(documents: DataFrame):
     where = docs.select("doc_id", F.col("file_path").alias("file"), "text", "doc_ord")
     refs = uses.join(where, "doc_id").select(F.col("display").alias("symbol"), "file", "line", "parent_kind", "grandparent_kind", context_line(F.col("text"), F.col("line")).alias("context"))
     calls = uses.filter("is_call AND kind = 'Method'").select(F.col("owner_symbol").alias("caller"), F.col("display").alias("callee"), F.col("pre").cast("long").alias("ord"))
-    return FactSet(docs.sparkSession, {"documents": docs, "symbols": symbols, "syntax_nodes": nodes, "pragmas": pragmas(docs), "refs": refs, "calls": calls})
+    return FactSet(docs.sparkSession, {"documents": docs, "symbols": symbols, "syntax_nodes": nodes, "pragmas": pragmas(docs), "refs": refs, "calls": calls, "inherits": inherits(docs), "attributes": attributes(docs)})

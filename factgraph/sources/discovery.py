@@ -67,14 +67,26 @@ def solution_projects(texts: DataFrame) -> DataFrame:
 
 
 def project_files(texts: DataFrame) -> DataFrame:
-    """(project, file_path, target_framework, refs) from project files (path, text); what isn't XML has nulls."""
-    sound = F.when(F.trim("text").rlike(r"(?s)^(﻿)?<.*>$"), F.col("text"))
-    one = lambda tag: F.nullif(F.trim(F.regexp_extract(sound, rf"<{tag}>([^<]*)</{tag}>", 1)), F.lit(""))
-    refs = F.regexp_extract_all(sound, F.lit(r'<ProjectReference\s[^>]*Include="([^"]+)"'), F.lit(1))
+    """(project, file_path, target_framework, refs) from project files (path, text), by an XML reader.
+
+    The framework is the first that is named, one alone before several. Comments say
+    nothing, conditions aren't evaluated. What isn't well-formed XML has nulls, no references too.
+    """
+    item = "ARRAY<STRUCT<_Include: STRING>>"
+    framework = "ARRAY<STRUCT<_VALUE: STRING, _Condition: STRING>>"
+    schema = f"PropertyGroup ARRAY<STRUCT<TargetFramework: {framework}, TargetFrameworks: {framework}>>, ItemGroup ARRAY<STRUCT<ProjectReference: {item}>>, _broken STRING"
+    # a byte order mark is no part of the document; elements may stand in the old default namespace
+    read = F.from_xml(F.regexp_replace("text", "^\ufeff", ""), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "ignoreNamespace": "true"})
+    found = texts.select("path", F.when(F.trim("text") != "", read).alias("x")).withColumn("x", F.when(F.col("x._broken").isNull(), F.col("x")))
+    groups = F.filter(F.coalesce("x.PropertyGroup", F.array().cast(f"ARRAY<STRUCT<TargetFramework: {framework}, TargetFrameworks: {framework}>>")), lambda g: g.isNotNull())
+    one = lambda tag: F.trim(F.get(F.flatten(F.filter(F.transform(groups, lambda g: g[tag]), lambda f: f.isNotNull())), F.lit(0))["_VALUE"])
+    items = F.flatten(F.filter(F.transform("x.ItemGroup", lambda g: g["ProjectReference"]), lambda r: r.isNotNull()))
     name = lambda p: F.regexp_replace(F.substring_index(F.translate(p, "\\", "/"), "/", -1), r"(?i)\.csproj$", "")
-    return texts.select(
-        name(F.col("path")).alias("project"), F.col("path").alias("file_path"), F.coalesce(one("TargetFramework"), one("TargetFrameworks")).alias("target_framework"), F.transform(refs, name).alias("refs")
-    )
+    refs = F.transform(F.filter(F.coalesce(items, F.array().cast(item)), lambda r: r["_Include"].isNotNull()), lambda r: name(r["_Include"]))
+    return found.select(
+        name(F.col("path")).alias("project"), F.col("path").alias("file_path"), F.coalesce(one("TargetFramework"), one("TargetFrameworks")).alias("target_framework"),
+        F.when(F.col("x").isNotNull(), refs).alias("refs"),
+    )
 
 
 def read_texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:

@@ -238,7 +238,8 @@ def test_fingerprints_mask_names(spark):
 
 def test_duplicates_come_in_the_order_of_their_first_member(spark):
     b = spark.createDataFrame([("d", "P", "y", 7, 3), ("a", "P", "x", 5, 0), ("c", "P", "x", 6, 2), ("b", "P", "y", 8, 1), ("e", "P", "z", 9, 4), ("f", "P", "w", 2, 5), ("g", "P", "w", 2, 6)], "display string, project string, normalized string, statements int, ord int")
-    assert [(r["members"], r.statements) for r in quality.duplicates(b, most=5).orderBy("members").collect()] == [(["a", "c"], 5), (["b", "d"], 8)]
+    assert rows(quality.duplicates(b, most=5), "member", "nth", "statements", "n") == [("a", 0, 5, 2), ("b", 0, 8, 2), ("c", 1, 5, 2), ("d", 1, 8, 2)]
+    assert rows(quality.duplicates(b, most=1), "member") == [("a",), ("c",)]
 
 
 def test_pragmas_ignore_order(spark):
@@ -338,3 +339,105 @@ def test_overviews(spark):
     assert rows(f["types"], "kind") == [("class",), ("interface",)] and rows(f["antipatterns"], "id") == [("GR-CFGAWAIT",)]
     m = compound.analyze_method(facts, "F")
     assert rows(m["callers"], "caller") == [("G",)] and rows(m["call_graph"], "node") == [("F",), ("H",)] and rows(m["complexity"], "cyclomatic") == [(2,)]
+
+
+def test_components_are_tasks_of_their_own(spark):
+    e = edges(spark, "a>b b>a x>y y>z z>x q>q")
+    assert rows(graph.by_component(e), "src", "part") == [("a", "a"), ("b", "a"), ("q", "q"), ("x", "x"), ("y", "x"), ("z", "x")]
+    assert sorted(tuple(r.nodes) for r in graph.back_edge_cycles(e).collect()) == [("a", "b", "a"), ("q", "q"), ("x", "y", "z", "x")]
+    found = {r.id: r.component for r in closure.connected_components(spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 99), (5, 5)], "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(21)} | {99: 99, 100: 99}
+    assert closure.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_pairs_like_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    names = {"".join(r.choice("abC") for _ in range(r.randint(0, 6))) for _ in range(120)} | {"red widget", "red widgte", "Red Widget"}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a.lower(), 1):
+            new = [i]
+            for j, d in enumerate(b.lower(), 1):
+                new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    df = spark.createDataFrame([(n,) for n in names] + [(None,), ("red widget",)], "name string")
+    for most in (1, 2):
+        expected = sorted((a, b, distance(a, b)) for a in names for b in names if a < b and 1 <= distance(a, b) <= most)
+        assert rows(resolve.near_pairs(df, most=most), "a", "b", "distance") == expected
+
+
+def test_a_cache_gives_up_what_was_used_least_lately(spark):
+    from factgraph.schema import least_recently_used
+
+    seen = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("c", 4), ("d", 5)], "key string, seq long")
+    assert [tuple(r) for r in least_recently_used(seen, 2).collect()] == [("b", 2), ("a", 3)]
+    assert least_recently_used(seen, 9).count() == 0 and least_recently_used(seen.limit(0), 2).count() == 0
+    assert [r.key for r in metrics.largest(seen.groupBy("key").count(), "count", 2, "key").collect()] == ["a", "b"]
+
+
+def test_diagnostics_of_a_file_are_those_of_its_first_document(spark):
+    d = spark.createDataFrame([("A", "x/a.cs", 1, "C1", "Error"), ("B", "y/a.cs", 2, "C2", "Error"), ("B", "z/a.cs", 3, "C3", "Error"), ("C", "x/a.cs", 4, "C4", "Info")], "project string, file string, line int, id string, severity string").withColumn("source", F.lit("compiler"))
+    docs = spark.createDataFrame([(1, "C", "x/a.cs", 0), (2, "B", "y/a.cs", 1), (3, "B", "z/a.cs", 2), (4, "A", "x/a.cs", 3)], "doc_id long, project string, file_path string, doc_ord long")
+    of = lambda path, **more: rows(inspect.diagnostics(d, "file", path, documents=docs, **more), "id")
+    assert of("a.cs") == [] and of("a.cs", severity="info") == [("C4",)]  # the first document has nothing worse
+    assert of("Y\\A.CS") == [("C2",)] and of("z/a.cs") == [("C3",)] and of("nowhere.cs") == []
+    assert rows(inspect.diagnostics(d, "file", "x/a.cs"), "id") == [("C1",)]
+
+
+def test_save_changes_goes_by_bases(spark):
+    from factgraph.sources import csharp
+
+    text = "class A { %s store; void B() { store.SaveChanges(); } }"
+    docs = spark.createDataFrame([(i, "p", f"{i}.cs", text % t) for i, t in enumerate(("Shop", "Other", "DbContext", "Unknown", "Shop.Store?"))], "doc_id long, project string, file_path string, text string")
+    inherits = spark.createDataFrame([("N.Shop", "M.Base", "base"), ("Base", "Microsoft.EntityFrameworkCore.DbContext", "base"), ("Other", "Thing", "base"), ("Store", "Base", None)], "child string, parent string, rel string")
+    nodes = csharp.rule_nodes(docs)
+    assert rows(rules.scan_rules(rules.with_receivers(nodes, inherits), ("GR-SYNC-EF",)), "file") == [("0.cs",), ("2.cs",), ("4.cs",)]
+    assert rules.with_receivers(nodes, inherits).count() == nodes.count()
+
+
+def test_conventions_of_categories_in_any_case(spark):
+    from factgraph.sources import csharp
+
+    docs = spark.createDataFrame([(1, "p", "a.cs", "class CreateRequest { } class ADto { object B() { return Guid.NewGuid(); } }")], "doc_id long, project string, file_path string, text string")
+    ids = lambda check: rows(rules.validate_conventions(csharp.rule_nodes(docs), check=check), "id")
+    assert ids("all") == [("GR-DTO",), ("GR-ENDPOINT-PREFIX",), ("GR-GUID",)] and ids("naming") == [("GR-DTO",), ("GR-ENDPOINT-PREFIX",)]
+    assert ids("Naming") == [("GR-DTO",)] and ids("ALL") == ids("other") == [("GR-DTO",), ("GR-GUID",)] and ids("dependencies") == []
+
+
+def test_module_checks_want_name_and_base_and_say_where(spark):
+    from factgraph.sources import csharp
+
+    s = symbols(spark, *[{"name": n, "display": n, "kind": "Type", "project": "p", "file": f"{n}.cs", "line": 3} for n in ("AModule", "BModule", "C")])
+    inherits = spark.createDataFrame([("AModule", "GranitModule"), ("C", "GranitModule")], "child string, parent string")
+    attributes = spark.createDataFrame([(n, "DependsOn", "TypeOfExpression", d, i) for n in ("AModule", "BModule", "C") for i, d in enumerate(("Z", "GranitCoreModule", "Z"))], "owner string, name string, arg_kind string, arg_text string, pos int")
+    found = graph.module_facts(s, inherits, attributes)
+    assert rows(found.select("module").distinct(), "module") == [("AModule",), ("BModule",), ("C",)]
+    nodes = csharp.rule_nodes(spark.createDataFrame([], "project string, file_path string, text string"))
+    hits = rules.validate_conventions(nodes, found, check="dependencies", file="amodule.cs")
+    assert rows(hits, "project", "file", "line", "id") == [("p", "AModule.cs", 3, "GR-DEPS-CORE"), ("p", "AModule.cs", 3, "GR-DEPS-ORDER")]
+    assert rules.validate_conventions(nodes, found, check="dependencies", file="bmodule.cs").count() == 0
+
+
+def test_antipatterns_are_cut_in_the_order_of_scanning(spark):
+    from factgraph.sources import csharp
+
+    text = "class A { object B() { Thread.Sleep(1); return Guid.NewGuid(); } object C() { return Guid.NewGuid(); } }"
+    docs = spark.createDataFrame([(1, "b", "z.cs", text, 0), (2, "a", "a.cs", text, 1)], "doc_id long, project string, file_path string, text string, doc_ord long")
+    cut = lambda n: [(r.file, r.id) for r in rules.detect_antipatterns(csharp.rule_nodes(docs), most=n).collect()]
+    assert cut(2) == [("z.cs", "GR-GUID")] * 2 and cut(4) == [("z.cs", "GR-GUID")] * 2 + [("z.cs", "GR-SLEEP"), ("a.cs", "GR-GUID")]
+
+
+def test_facts_of_classes_from_texts(spark):
+    from factgraph.sources import csharp_tree
+
+    text = 'namespace N; [DependsOn(typeof(A), typeof(B<int>)), Other("x, y")] [Last(1)] public class M : Base<int>, IThing { } record R(int A) : Q(1); interface I : IA, JA { }'
+    docs = spark.createDataFrame([(text,), (None,), ("",)], "text string")
+    assert rows(csharp_tree.inherits(docs), "child", "parent", "rel") == [("N.I", "IA", "interface"), ("N.I", "JA", "interface"), ("N.M", "Base<int>", "base"), ("N.M", "IThing", "interface"), ("N.R", "Q", "base")]
+    found = rows(csharp_tree.attributes(docs), "owner", "name", "arg_kind", "arg_text", "pos")
+    assert [x for x in found if x[1] == "DependsOn"] == [("N.M", "DependsOn", "TypeOfExpression", "A", 0), ("N.M", "DependsOn", "TypeOfExpression", "B<int>", 1)]
+    assert [(x[1], x[2]) for x in found if x[1] != "DependsOn"] == [("Last", "Expression"), ("Other", "Expression")]
