@@ -151,10 +151,13 @@ def control_flow(edges: DataFrame, entry: int = 0) -> DataFrame:
     """(method, reachable, exits, returns, end_reachable) from the edges of control flow graphs.
 
     edges: (method, src, dst, kind); kind `return` leads out of the method, `end` to its
-    last point. Reachability of all methods is one walk over (method, block) nodes.
+    last point. Reachability of all methods is one walk over (method, block) nodes. The
+    edges are stored once, as each round of the walk reads them.
     """
     from factgraph.operators.closure import reachable
+    from factgraph.sources.scratch import checkpointed
 
+    edges = checkpointed(edges.select("method", "src", "dst", "kind"))
     node = lambda c: F.struct("method", F.col(c).alias("block"))
     keyed = edges.select(F.to_json(node("src")).alias("src"), F.to_json(node("dst")).alias("dst"))
     start = edges.select(F.to_json(F.struct("method", F.lit(entry).alias("block"))).alias("id")).distinct()

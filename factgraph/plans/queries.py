@@ -22,7 +22,6 @@ from factgraph.plans.adapters import Tables
 from factgraph.sources import discovery
 from factgraph.sources.csharp_tree import facts_from_texts
 from factgraph.schema import FactSet, Workspace, least_recently_used
-from factgraph.sources.scratch import checkpointed
 from factgraph.streaming import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -751,8 +750,7 @@ def control_flow_reach(t: Tables) -> DataFrame:
     edges = ad.nation_edges(t).select("src", "dst").join(node("src"), "src").join(node("dst"), "dst").crossJoin(t.nation.select(F.col("n_name").alias("method")))
     block = lambda x: F.when(F.col(x) == F.col("method"), 0).otherwise(F.col(f"{x}_key") + 1).cast("int").alias(x)
     kind = F.when(F.col("src_region") == F.col("dst_region"), "return").when(F.col("dst") < F.col("src"), "end").otherwise("goto")
-    # each round of the walk would repeat the joins that make the graph
-    return metrics.control_flow(checkpointed(edges.select("method", block("src"), block("dst"), kind.alias("kind"))))
+    return metrics.control_flow(edges.select("method", block("src"), block("dst"), kind.alias("kind")))
 
 
 @query("SELECT round(median(1 - response / source), 6) AS median_reduction, round(1 - sum(response) / sum(source), 6) AS pooled_reduction, count(*) AS n FROM (SELECT least(length(text), 500)::DOUBLE AS response, n_chars::DOUBLE AS source FROM documents WHERE n_chars > 0)")
@@ -1092,6 +1090,48 @@ def antipatterns_top(t: Tables) -> DataFrame:
     return code.detect_antipatterns(max_results=21).select("file", "id", "project").distinct().withColumn("_n", F.split("file", r"\.")[0].cast("int")).orderBy("_n").limit(20).drop("_n")
 
 
+# --- 117, 118: data and control flow of source texts --------------------------------------------------------------
+
+#: A body of M(int a, ref int r, out int o); returns, exits, whether its end is reached; what has which role.
+FLOWS = (
+    ("if (a > 0) { return 1; } return 2;", 2, 2, False, {"read": "a", "flows_in": "a"}),
+    ("if (a > 0) { o = 1; } else { o = 2; } r++;", 0, 0, True, {"read": "a;r", "written": "o;r", "flows_in": "a;r", "flows_out": "o;r", "always_assigned": "o;r"}),
+    ("while (true) { if (a > 3) break; a++; } return a;", 1, 1, False, {"read": "a", "written": "a", "flows_in": "a"}),
+    ("for (int i = 0; i < a; i++) { if (i == 2) continue; r += i; }", 0, 0, True, {"declared": "i", "read": "a;i;r", "written": "i;r", "flows_in": "a;r", "flows_out": "r", "always_assigned": "i"}),
+    ("foreach (var x in xs) { Use(x); }", 0, 0, True, {"declared": "x", "read": "x", "written": "x"}),
+    ("var f = xs.Select(q => { return q + a; }); return f;", 1, 1, False, {"declared": "f;q", "read": "a;f;q", "written": "f", "captured": "a", "flows_in": "a", "always_assigned": "f"}),
+    ("try { o = 1; } catch (Exception e) { Log(e); throw; } finally { r = 2; }", 0, 1, True, {"declared": "e", "read": "e", "written": "e;o;r", "flows_out": "o;r", "always_assigned": "o;r"}),
+    ("switch (a) { case 1: o = 1; break; case 2: return 2; default: throw new X(); }", 1, 2, True, {"read": "a", "written": "o", "flows_in": "a", "flows_out": "o"}),
+    ("do { a--; } while (a > 0);", 0, 0, True, {"read": "a", "written": "a", "flows_in": "a", "always_assigned": "a"}),
+)
+
+
+def _flow_facts(t: Tables) -> FactSet:
+    """A customer is a file whose one method has one of the bodies."""
+    body = F.element_at(F.array(*[F.lit(b) for b, *_ in FLOWS]), (F.pmod("c_custkey", F.lit(len(FLOWS))) + 1).cast("int"))
+    key = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("namespace N"), key, F.lit("; class C { public int M(int a, ref int r, out int o) { "), body, F.lit(" } }"))
+    return facts_from_texts(t.customer.select(F.col("c_custkey").cast("long").alias("doc_id"), F.lit("P").alias("project"), F.concat(key, F.lit(".cs")).alias("file_path"), text.alias("text"), F.col("c_custkey").cast("long").alias("doc_ord")))
+
+
+@query(
+    "SELECT 'N' || c_custkey || '.C.M' AS method, role, variables FROM customer JOIN (VALUES "
+    + ", ".join(f"({i}, '{role}', '{names}')" for i, (*_, roles) in enumerate(FLOWS) for role, names in roles.items())
+    + f") f(i, role, variables) ON c_custkey % {len(FLOWS)} = i"
+)
+def analyze_data_flow(t: Tables) -> DataFrame:
+    return metrics.data_flow(_flow_facts(t)["flow"]).withColumn("variables", F.array_join("variables", ";"))
+
+
+@query(
+    "SELECT 'N' || c_custkey || '.C.M' AS method, exits, returns, end_reachable FROM customer JOIN (VALUES "
+    + ", ".join(f"({i}, {exits}::BIGINT, {returns}::BIGINT, {end})" for i, (_, returns, exits, end, _) in enumerate(FLOWS))
+    + f") f(i, exits, returns, end_reachable) ON c_custkey % {len(FLOWS)} = i"
+)
+def analyze_control_flow(t: Tables) -> DataFrame:
+    return metrics.control_flow(_flow_facts(t)["flow_edges"]).drop("reachable")
+
+
 # --- 1-5, 12-15, 64: solutions and projects ----------------------------------------------------------------------
 
 
@@ -1152,3 +1192,44 @@ def switch_solution(t: Tables) -> DataFrame:
     code = CodeGraph(workspace=_workspace(t), env={})
     code.switch_solution("/V/EUROPE.sln")
     return code.get_project_graph(max_results=None).select("project")
+
+
+@query("SELECT 'N0.C.M' AS display, 'P' AS project, unnest(['Block', 'IfStatement', 'BinaryExpression', 'IdentifierName', 'NumericLiteralExpression', 'Block', 'ReturnStatement', 'NumericLiteralExpression', 'ReturnStatement', 'NumericLiteralExpression']) AS kind, unnest(range(10))::INT AS pre")
+def method_body(t: Tables) -> DataFrame:
+    """The body of the first of all methods of that name, in the document that declares it."""
+    facts = _flow_facts(t)
+    return inspect.method_body(facts["symbols"], facts["documents"], facts["syntax_nodes"], "m", "c").select("display", "project", "kind", "pre")
+
+
+@query(
+    _sync_sql(4)
+    + """, j AS (SELECT x.label AS a, y.label AS b FROM b JOIN l4 x ON src = x.id JOIN l4 y ON dst = y.id), s AS (SELECT label, count(*) AS members FROM l4 GROUP BY 1)
+SELECT s.label, members, round(CASE WHEN members <= 1 THEN 1 ELSE coalesce(avg((a = b)::INT), 0) END, 6) AS cohesion FROM s LEFT JOIN j ON a = s.label GROUP BY s.label, members ORDER BY members DESC, s.label LIMIT 3"""
+)
+def communities_top(t: Tables) -> DataFrame:
+    """The largest communities."""
+    edges = ad.part_edges(t)
+    return _rounded(graph.community_stats(graph.communities_sync(edges, 4), edges, most=3), "cohesion")
+
+
+# --- streams: the steps of a micro-batch ---------------------------------------------------------------------------
+
+
+def _event_changes(t: Tables) -> DataFrame:
+    """A change feed: an error changes its user's file, a signup one that nobody knows."""
+    head = F.when(F.col("event_type") == "error", "src/U").otherwise("src/X")
+    return t.events.filter("event_type IN ('error', 'signup')").select(
+        F.concat(head, F.col("user_id").cast("string"), F.lit(".cs")).alias("path"), F.col("event_id").cast("string").alias("text"), F.col("ts").alias("changed"), F.col("event_id").alias("seq")
+    )
+
+
+@query("""
+SELECT user_id AS doc_id, coalesce((SELECT arg_max(CAST(event_id AS VARCHAR), (ts, event_id)) FROM events e WHERE e.user_id = u.user_id AND event_type = 'error'), 'old') AS text FROM (SELECT DISTINCT user_id FROM events) u
+""")
+def stream_upsert(t: Tables) -> DataFrame:
+    return feed.upsert(_user_files(t).withColumn("text", F.lit("old")), _event_changes(t)).select("doc_id", "text")
+
+
+@query("SELECT DISTINCT 'P' || user_id % 3 AS project FROM events WHERE event_type = 'error'")
+def stream_affected_projects(t: Tables) -> DataFrame:
+    return feed.affected_projects(_user_files(t), _event_changes(t))

@@ -48,8 +48,9 @@ class Parser:
         j = self.i + ahead
         return self.tokens[j][1] if j < len(self.tokens) else ""
 
-    def kind(self) -> str:
-        return self.tokens[self.i][0] if self.i < len(self.tokens) else ""
+    def kind(self, ahead: int = 0) -> str:
+        j = self.i + ahead
+        return self.tokens[j][0] if j < len(self.tokens) else ""
 
     def at(self) -> int:
         j = min(self.i, len(self.tokens) - 1)
@@ -88,6 +89,44 @@ class Parser:
         self.take(")")
         return out
 
+    def header(self) -> list[Node]:
+        """The parts of a `for` or a `using`: what it declares, its condition, its steps."""
+        out, self.i = [], self.i + (self.peek() == "(")
+        while self.i < len(self.tokens) and self.peek() != ")":
+            before = self.i
+            if self.peek() in (";", ","):
+                out += [Node("SemicolonToken", self.at())] if self.peek() == ";" else []
+                self.i += 1
+                continue
+            if out and out[-1].kind in ("IdentifierName", "PredefinedType", "VariableDeclarator") and self.kind() == "name":
+                name, where = self.peek(), self.at()
+                self.i += 1
+                out.append(Node("VariableDeclarator", where, [self.expression()] if self.take("=") else [], name))
+                continue
+            out.append(self.expression())
+            if self.i == before:
+                self.i += 1
+        self.take(")")
+        return out
+
+    def arguments(self) -> list[Node]:
+        """Arguments of a call, ref and out kept as their text; out may declare a variable."""
+        out = []
+        self.take("(")
+        while self.i < len(self.tokens) and self.peek() != ")":
+            before, at, way = self.i, self.at(), self.peek() if self.peek() in ("ref", "out") else ""
+            if self.take(","):
+                continue
+            if way == "out" and self.kind(1) == self.kind(2) == "name":
+                out.append(Node("Argument", at, [Node("VariableDeclarator", at, (), self.peek(2))], way))
+                self.i += 3
+                continue
+            out.append(Node("Argument", at, [self.expression()], way))
+            if self.i == before:
+                self.i += 1
+        self.take(")")
+        return out
+
     def statement(self) -> Node:
         at, word = self.at(), self.peek()
         if word == "{":
@@ -106,10 +145,14 @@ class Parser:
             return Node("IfStatement", at, [*condition, body, other])
         if word in _HEADED and self.peek(1) == "(":
             self.i += 1
-            return Node(_HEADED[word], at, [*self.bracketed(), self.statement()])
+            return Node(_HEADED[word], at, [*(self.header() if word in ("using", "fixed") else self.bracketed()), self.statement()])
         if word in ("for", "foreach"):
             self.i += 1
-            return Node("ForStatement" if word == "for" else "ForEachStatement", at, [*self.bracketed(), self.statement()])
+            if word == "for":
+                return Node("ForStatement", at, [*self.header(), self.statement()])
+            # the name before `in` is what it declares
+            name = next((self.tokens[j - 1][1] for j in range(self.i + 1, len(self.tokens)) if self.tokens[j][1] == "in"), "")
+            return Node("ForEachStatement", at, [*self.bracketed(), self.statement()], name)
         if word == "await" and self.peek(1) in ("foreach", "using"):
             self.i += 1
             return self.statement()
@@ -217,7 +260,8 @@ class Parser:
             return self.switch_expression(left, at)
         if self.kind() == "op" and self.peek() in ("=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "??="):
             self.i += 1
-            return Node("SimpleAssignmentExpression", at, [left, self.expression()])
+            word = self.tokens[self.i - 1][1]
+            return Node("SimpleAssignmentExpression", at, [left, self.expression()], "" if word == "=" else word)
         return left
 
     def switch_expression(self, left: Node, at: int) -> Node:
@@ -259,7 +303,8 @@ class Parser:
                     self.i += 1
             left = Node("BinaryExpression", at, [left, self.primary()])
             if word == "is" and self.kind() == "name" and self.peek() not in ("and", "or", "switch", "when"):
-                self.i += 1  # the variable of a pattern
+                left.text = self.peek()  # the variable of a pattern
+                self.i += 1
             while word == "is" and self.peek() in ("and", "or", "not"):
                 self.i += 1
                 left.children.append(self.primary())
@@ -276,7 +321,8 @@ class Parser:
                 self.i += 1
                 return Node("IdentifierName", at, text="var")
             self.i += 1
-            return self.primary() if self.i < len(self.tokens) and self.peek() not in (";", ")", "}", ",") else Node("IdentifierName", at, text=word)
+            node = self.primary() if self.i < len(self.tokens) and self.peek() not in (";", ")", "}", ",") else Node("IdentifierName", at, text=word)
+            return Node("PreIncrementExpression", at, [node]) if word in ("++", "--") else node
         if kind == "name" and self.peek(1) == "=>":
             self.i += 1
             return self.lambda_after(at, "SimpleLambdaExpression", [Node("Parameter", at, text=word)])
@@ -368,7 +414,7 @@ class Parser:
                 self.i += 1
                 node = Node("SimpleMemberAccessExpression" if word != "?." else "ConditionalAccessExpression", at, [node, name])
             elif word == "(":
-                node = Node("InvocationExpression", at, [node, Node("ArgumentList", self.at(), [Node("Argument", a.at, [a]) for a in self.bracketed()])])
+                node = Node("InvocationExpression", at, [node, Node("ArgumentList", self.at(), self.arguments())])
             elif word == "[":
                 node = Node("ElementAccessExpression", at, [node, *self.indexer()])
             elif word == "<" and node.kind in ("IdentifierName", "SimpleMemberAccessExpression"):
@@ -376,7 +422,10 @@ class Parser:
                 self.generic()
                 if self.i == before:
                     return node
-            elif word in ("++", "--") or word == "!" and self.peek(1) in (".", ")", ";", ",", "["):
+            elif word in ("++", "--"):
+                self.i += 1
+                node = Node("PostIncrementExpression", at, [node])
+            elif word == "!" and self.peek(1) in (".", ")", ";", ",", "["):
                 self.i += 1
             else:
                 return node
@@ -555,13 +604,14 @@ def name_uses(nodes: DataFrame) -> DataFrame:
 
 
 def facts_from_texts(documents: DataFrame):
-    """A FactSet from source texts alone: documents, symbols, syntax_nodes, pragmas, refs, calls, inherits, attributes.
+    """A FactSet from source texts alone: documents, symbols, syntax_nodes, pragmas, refs, calls, inherits, attributes, flow, flow_edges.
 
     Names are bound by spelling: a use counts for every symbol of that name. A front end
     that binds gives better refs and calls; the operators are the same.
     """
     from factgraph.functions.text import context_line
     from factgraph.schema import FactSet
+    from factgraph.sources import csharp_flow
     from factgraph.sources.csharp import pragmas
 
     docs = conform(documents, "documents")
@@ -570,4 +620,6 @@ def facts_from_texts(documents: DataFrame):
     where = docs.select("doc_id", F.col("file_path").alias("file"), "text", "doc_ord")
     refs = uses.join(where, "doc_id").select(F.col("display").alias("symbol"), "file", "line", "parent_kind", "grandparent_kind", context_line(F.col("text"), F.col("line")).alias("context"))
     calls = uses.filter("is_call AND kind = 'Method'").select(F.col("owner_symbol").alias("caller"), F.col("display").alias("callee"), F.col("pre").cast("long").alias("ord"))
-    return FactSet(docs.sparkSession, {"documents": docs, "symbols": symbols, "syntax_nodes": nodes, "pragmas": pragmas(docs), "refs": refs, "calls": calls, "inherits": inherits(docs), "attributes": attributes(docs)})
+    found = {"documents": docs, "symbols": symbols, "syntax_nodes": nodes, "pragmas": pragmas(docs), "refs": refs, "calls": calls}
+    found |= {"inherits": inherits(docs), "attributes": attributes(docs), "flow": csharp_flow.data_flow_facts(docs), "flow_edges": csharp_flow.control_flow_facts(docs)}
+    return FactSet(docs.sparkSession, found)
