@@ -266,7 +266,8 @@ def communities_exact(edges: DataFrame, iterations: int = 20) -> DataFrame:
 def communities_sync(edges: DataFrame, iterations: int = 5) -> DataFrame:
     """(id, label): all nodes take at once the heaviest label around them, ties to the least; a fixed number of rounds."""
     both = edges.select("src", "dst", "weight").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    both = both.filter("src != dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    # stored, as every round reads them
+    both = checkpointed(both.filter("src != dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     labels = both.select(F.col("src").alias("id"), F.col("src").alias("label")).distinct()
     for i in range(iterations):
         around = both.join(labels, F.col("dst") == F.col("id")).groupBy("src", "label").agg(F.sum("weight").alias("w"))

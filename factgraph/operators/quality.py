@@ -115,10 +115,12 @@ def duplicates(bodies: DataFrame, min_statements: int = 5, most: int | None = 20
     bodies: display, project, normalized, statements, ord. The first `most` groups in the
     order of their first members; statements are those of the first member, nth counts a
     group's members from 0. A row a member, so no group is gathered in a row; texts stay
-    where they were read.
+    where they were read, and are read once: fingerprints are stored.
     """
+    from factgraph.sources.scratch import checkpointed
+
     rows = bodies.filter((F.col("statements") >= min_statements) & tx.equals_ignore_case(F.col("project"), project))
-    rows = rows.select(F.sha2("normalized", 256).alias("fingerprint"), "display", "statements", "ord")
+    rows = checkpointed(rows.select(F.sha2("normalized", 256).alias("fingerprint"), "display", "statements", "ord"))
     groups = rows.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.min_by("statements", F.struct("ord", "display")).alias("statements")).filter("n > 1")
     if most is not None:
         groups = groups.orderBy("first", "fingerprint").limit(most)

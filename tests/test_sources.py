@@ -115,3 +115,31 @@ def test_null_texts_are_empty(spark):
     docs = spark.createDataFrame([(1, None, None, None)], "doc_id long, project string, file_path string, text string")
     assert csharp.rule_nodes(docs).count() == 0 and csharp.pragmas(docs).count() == 0
     assert docs.select(F.col("text")).count() == 1
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace as Fake
+
+    from factgraph.sources import scratch
+
+    none = Fake(isDefined=lambda: False)
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        context = Fake(master=master, applicationId="a", _jsc=Fake(sc=lambda: Fake(getCheckpointDir=lambda: none)))
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.scratch_dir(Fake(conf=Fake(get=lambda *_: None), sparkContext=context))
+
+
+def test_stored_tables_go_with_their_block(spark):
+    import os
+
+    from factgraph.sources import scratch
+
+    with pytest.raises(KeyError), scratch.scratch(spark) as made:
+        kept, path = scratch.stored(spark.range(3), "kept")
+        other = scratch.stored(spark.range(4).selectExpr("id", "id % 2 AS k"), "other", "k")[1]
+        assert sorted(os.listdir(other))[-2:] == ["k=0", "k=1"] and made == {path, other}
+        made.discard(path)
+        raise KeyError
+    assert kept.count() == 3 and not os.path.exists(other)
+    scratch.remove(spark, path)
+    assert not os.path.exists(path)
