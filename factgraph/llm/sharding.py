@@ -73,18 +73,21 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     n = docs.count()
     block = IdBlocks(docs, id_col, max(1, n // (ROWS_A_BLOCK * shards) + 1)).column()
+    crc, parts = F.crc32(text.cast("binary")), n // ROWS_A_BLOCK + 1
+    # rows without an id all have one key: they are dealt by the checksum that orders them
+    part = F.when(F.col(id_col).isNull(), F.floor(crc / F.lit(float(1 << 32)) * parts).cast("int")).otherwise(F.lit(parts))
     rows = docs.select(
         F.col(id_col),
         (F.octet_length(text).cast("long") + 8).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
+        crc.alias("text_crc32"),
         jumps(F.col(id_col), shards + 1).alias("_walk"),
-        block.alias("_block"),
+        F.struct(block.alias("block"), part.alias("part")).alias("_block"),
     ).select(
         id_col, "size", "text_crc32", "_block",
         shard_of(F.col("_walk"), shards).alias("shard"),
         shard_of(F.col("_walk"), shards + 1).alias("grown_shard"),
     )
-    # one row per shard and block: their number is rows / ROWS_A_BLOCK, no matter how rows are dealt
+    # one row per shard and block: their number is about rows / ROWS_A_BLOCK, no matter how rows are dealt
     counts = rows.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -44,6 +44,16 @@ def test_slots_over_many_blocks(spark, monkeypatch):
     assert all(r.shard == jump(r.doc_id, 3) for r in rows)
 
 
+def test_slots_of_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_A_BLOCK", 7)
+    texts = [f"text {i % 30}" for i in range(60)] + ["a", "b"]
+    rows = sharding.shard(documents(spark, texts, [None] * 60 + [0, -3]).repartition(4), 2).collect()
+    own = sorted((r for r in rows if r.shard == jump(0, 2)), key=lambda r: r.slot)
+    assert [r.slot for r in own] == list(range(len(own))) and len(own) >= 61
+    keys = [(r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size) for r in own]
+    assert keys == sorted(keys)
+
+
 def test_shard_edges(spark):
     assert sharding.shard(documents(spark, []), 4).count() == 0
     rows = sharding.shard(documents(spark, [None, "a", "a"], [None, 3, 3]), 1).collect()
