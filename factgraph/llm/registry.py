@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from factgraph.llm import chat, decontaminate, exact_dedup, html_text, near_dedup, packing, quality, sharding, substring_dedup, token_counts
+from factgraph.llm import chat, decontaminate, exact_dedup, fill_middle, html_text, importance, near_dedup, packing, quality, sharding, substring_dedup, token_counts, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_attention_quality": quality.op8_attention_quality,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_qgram_leaks": decontaminate.op10_qgram_leaks,
+        "op11_zstd_token_files": token_store.op11_zstd_token_files,
+        "op12_fill_middle": fill_middle.op12_fill_middle,
+        "op13_importance_resampling": importance.op13_importance_resampling,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -33,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_jump_shards": sharding.SQL,
         "op7_fast_sketch_near": near_dedup.SQL,
         "op9_exact_dedup": exact_dedup.SQL,
+        "op12_fill_middle": fill_middle.SQL,
+        "op13_importance_resampling": importance.SQL,
     }
