@@ -7,13 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import text as tx
-from factgraph.operators.closure import bounded_paths, connected_components, reachable
+from factgraph.operators.closure import bounded_paths, reachable
+from factgraph.operators.cycles import back_edge_cycles
 from factgraph.operators.resolve import first_by, last_by
 from factgraph.sources.scratch import checkpointed
 
-#: Layers of nodes without outgoing edges that are dropped before a sequential walk.
-TRIMMED_LAYERS = 3
-
 # --- edges and degrees ----------------------------------------------------------------
 
 
@@ -134,66 +132,6 @@ def type_edges(type_refs: DataFrame, symbols: DataFrame, via: tuple[str, ...] |
 # --- cycles --------------------------------------------------------------------------------
 
 
-def by_component(edges: DataFrame) -> DataFrame:
-    """edges (src, dst, ...) with `part`: the smallest node that their ends are joined with, in whatever direction."""
-    parts = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    # an edge from a node to itself alone has no component but that node
-    return edges.join(parts.select(F.col("id").alias("src"), F.col("component").alias("part")), "src", "left").withColumn("part", F.coalesce("part", "src"))
-
-
-def back_edge_cycles(edges: DataFrame, groups: str | None = None) -> DataFrame:
-    """One cycle for each back edge of a depth-first walk, in the order of ord: (grp, nodes, n).
-
-    The walk is sequential by nature, but it never leaves a connected component, so each
-    component of each group of edges (all, without one) is a task. Edges to nodes that
-    lead nowhere are dropped first, some layers deep and in parallel; that changes
-    neither the order of the walk nor a cycle. Use bounded_cycles for graphs with a
-    component that stays too large.
-    """
-    for _ in range(TRIMMED_LAYERS):
-        going_on = edges.select(F.col("src").alias("dst"), *([groups] if groups else [])).distinct()
-        edges = edges.join(going_on, ["dst", *([groups] if groups else [])], "left_semi")
-    ordered = edges.select(
-        (F.col(groups).cast("string") if groups else F.lit("all")).alias("grp"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"),
-        (F.col("ord") if "ord" in edges.columns else F.lit(0)).alias("ord"),
-    )
-    ordered = by_component(checkpointed(ordered))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "src", "dst"], kind="stable")
-        graph: dict[str, list[str]] = {}
-        for a, b in zip(pdf["src"], pdf["dst"]):
-            graph.setdefault(a, []).append(b)
-        done, found = set(), []
-        for first in graph:
-            if first in done:
-                continue
-            path, on_path, todo = [first], {first: 0}, [iter(graph[first])]
-            done.add(first)
-            while todo:
-                for nxt in todo[-1]:
-                    if nxt in on_path:
-                        found.append(path[on_path[nxt] :] + [nxt])
-                    elif nxt not in done:
-                        done.add(nxt)
-                        on_path[nxt] = len(path)
-                        path.append(nxt)
-                        todo.append(iter(graph.get(nxt, ())))
-                        break
-                else:
-                    todo.pop()
-                    del on_path[path.pop()]
-        return pd.DataFrame(
-            {
-                "grp": pd.Series([pdf["grp"].iloc[0]] * len(found), dtype=object),
-                "nodes": pd.Series(found, dtype=object),
-                "n": pd.Series([len(x) - 1 for x in found], dtype="int32"),
-            }
-        )
-
-    return ordered.groupBy("grp", "part").applyInPandas(walk, "grp string, nodes array<string>, n int")
-
-
 def bounded_cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
     """All simple cycles of up to `longest` edges, once each, starting at their least node: (nodes, n). Runs distributed."""
     edges = edges.select("src", "dst").filter("src != dst").distinct()
@@ -228,39 +166,46 @@ def circular_dependencies(projects: DataFrame, project_refs: DataFrame, type_ref
 
 
 def communities_exact(edges: DataFrame, iterations: int = 20) -> DataFrame:
-    """(id, label) by label propagation in place, nodes in ordinal order, ties to the label met first.
-
-    Sequential by definition, but labels never leave a connected component, and one that
-    has come to rest stays so: each component is a task. communities_sync is the relative,
-    with a contract of its own, for graphs with a component that is too large.
+    """(id, label) by label propagation in place: nodes in ordinal order take the heaviest label around them, ties to the one met first.
+
+    Neighbours are met in the order of edges (ord, then src and dst, either way round). Within a round
+    a node's label depends on this round's labels of smaller neighbours and last round's of
+    larger ones, so the round is the only fix point of all its nodes' rules: all take their
+    labels at once, as if the smaller ones kept theirs, and whoever has a smaller neighbour
+    that changed does so again, until nobody has. After k passes every node is final that
+    no chain of k smaller neighbours leads to, so a round ends; in most of them few nodes
+    go a second time. Each pass reads only nodes next to a change, is an aggregate and two joins, and is stored; a
+    component of any size is spread over all tasks.
     """
-
-    def propagate(pdf: pd.DataFrame) -> pd.DataFrame:
-        graph: dict[str, dict[str, int]] = {}
-        for a, b, w in pdf.sort_values(["ord", "src", "dst"], kind="stable")[["src", "dst", "weight"]].itertuples(index=False):
-            for x, y in ((a, b), (b, a)):
-                graph.setdefault(x, {})
-                graph[x][y] = graph[x].get(y, 0) + w
-        labels = {n: n for n in graph}
-        for _ in range(iterations):
-            changed = False
-            for n in sorted(graph):
-                weight: dict[str, int] = {}
-                for other, w in graph[n].items():
-                    weight[labels[other]] = weight.get(labels[other], 0) + w
-                best = max(weight, key=weight.__getitem__)
-                changed |= best != labels[n]
-                labels[n] = best
-            if not changed:
-                break
-        return pd.DataFrame({"id": list(labels), "label": list(labels.values())})
-
     rows = edges.select(
         F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"),
         (F.col("weight") if "weight" in edges.columns else F.lit(1)).cast("long").alias("weight"),
         (F.col("ord") if "ord" in edges.columns else F.lit(0)).cast("long").alias("ord"),
-    )
-    return by_component(checkpointed(rows)).groupBy("part").applyInPandas(propagate, "id string, label string")
+    ).filter("src IS NOT NULL AND dst IS NOT NULL")
+    met = F.struct("ord", "src", "dst")
+    ends = F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("id"), F.col("src").alias("other")))
+    around = rows.select("weight", met.alias("met"), F.inline(ends)).groupBy("id", "other").agg(F.sum("weight").alias("weight"), F.min("met").alias("met"))
+    around = checkpointed(around)
+    labels = checkpointed(around.select("id").distinct().select("id", F.col("id").alias("last"), F.col("id").alias("label"), F.lit(True).alias("moved")))
+    for n in range(iterations):
+        # a larger neighbour, or the node itself, brings what it had after the last round
+        asked = around.join(labels.filter("moved").select(F.col("id").alias("other")), "other", "left_semi").filter("other >= id").select("id").distinct() if n else labels.select("id")
+        labels = labels.select("id", F.col("label").alias("last"), "label")
+        while True:
+            seen = labels.select(F.col("id").alias("other"), F.col("last").alias("_last"), F.col("label").alias("_label"))
+            found = around.join(asked, "id", "left_semi").join(seen, "other").select("id", F.when(F.col("other") < F.col("id"), F.col("_label")).otherwise(F.col("_last")).alias("new"), "weight", "met")
+            found = found.groupBy("id", "new").agg(F.struct((-F.sum("weight")).alias("weight"), F.min("met").alias("met")).alias("rank"))
+            best = found.groupBy("id").agg(F.min_by("new", "rank").alias("new"))
+            labels = checkpointed(labels.join(best, "id", "left").select("id", "last", F.coalesce("new", "label").alias("label"), F.coalesce(F.col("new") != F.col("label"), F.lit(False)).alias("moved")))
+            moved = labels.filter("moved")
+            if moved.isEmpty():
+                break
+            asked = around.join(moved.select(F.col("id").alias("other")), "other", "left_semi").filter("other < id").select("id").distinct()
+            labels = labels.drop("moved")
+        labels = labels.withColumn("moved", F.col("label") != F.col("last"))
+        if labels.filter("moved").isEmpty():
+            break
+    return labels.select("id", "label")
 
 
 def communities_sync(edges: DataFrame, iterations: int = 5) -> DataFrame:

@@ -578,6 +578,12 @@ def communities(t: Tables) -> DataFrame:
     return graph.communities_exact(ad.nation_edges(t))
 
 
+@query()  # the steps of one walk are too many for SQL here; tests/test_queries.py walks them
+def communities_parts(t: Tables) -> DataFrame:
+    """Parts that are ordered together, nearly all of them in one component."""
+    return graph.communities_exact(ad.part_edges(t).select(F.format_string("%09d", "src").alias("src"), F.format_string("%09d", "dst").alias("dst"), "weight"))
+
+
 # --- 66, 74, 116, 123: duplicates, coverage, texts ------------------------------------------------------
 
 _NORMAL = "lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))"
