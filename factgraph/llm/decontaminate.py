@@ -5,6 +5,7 @@ L - q + 1 - q e of its q-grams with that place, and all of them on diagonals (pl
 the text minus place in the item) that differ by at most e. Shared q-grams are counted
 in diagonal bands of width 2 (e + 1) that overlap by half, so one band has them all;
 bands that meet the bound are verified by banded alignment with free ends in the text.
+For short items that may have edits the bound can be nothing; they have shorter q-grams.
 Documents are scanned in place, without a shuffle. The items are a stated set of queries
 that all rows are held against: they go to the workers in blocks of a bounded size.
 """
@@ -66,50 +67,60 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_BASE), n, 1 << 64))
 
 
+class Grams:
+    """The g-grams of some items, and where they stand, ready to be looked up."""
+
+    def __init__(self, g: int, items: np.ndarray, texts: list[str]):
+        grams = [gram_hashes(code_points(texts[i]), g) for i in items.tolist()]
+        item = np.repeat(items, [len(x) for x in grams])
+        place = np.concatenate([np.arange(len(x)) for x in grams])
+        every = np.concatenate(grams)
+        order = np.argsort(every, kind="stable")
+        self.g, (self.grams, self.first, self.count) = g, np.unique(every[order], return_index=True, return_counts=True)
+        self.item, self.place = item[order], place[order]
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[slots(self.grams)] = True
+
+
+def slots(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
 class Items:
     """q-grams of a block of items, ready to be looked up.
 
-    rate: edits allowed as a share of an item's characters, as far as the lemma still
-    asks for at least one shared q-gram.
+    rate: edits allowed as a share of an item's characters. Where the lemma asks for no
+    shared q-gram at that many edits, the item is looked up by the longest shorter grams
+    for which it does, size / (edits + 1).
     """
 
     def __init__(self, ids: list, texts: list[str], q: int, rate: float):
-        self.q, self.ids = q, ids
-        self.texts = [plain(t) for t in texts]
+        self.ids, self.texts = ids, [plain(t) for t in texts]
         size = np.array([len(t) for t in self.texts], np.int64)
         #: items without q-grams, by the number of their words: plain form -> items
         self.short: dict[int, dict[str, list[int]]] = {}
         for i in np.flatnonzero((size > 0) & (size < q)).tolist():
             self.short.setdefault(self.texts[i].count(" ") + 1, {}).setdefault(self.texts[i], []).append(i)
-        self.edits = np.maximum(0, np.minimum((size * rate).astype(np.int64), (size - q) // q))
-        self.least = np.maximum(1, size - q + 1 - q * self.edits)
-        grams = [gram_hashes(code_points(t), q) for t in self.texts]
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams] or [np.empty(0, np.int64)])
-        every = np.concatenate(grams or [np.empty(0, np.uint64)])
-        order = np.argsort(every, kind="stable")
-        self.grams, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
-        self.item, self.place = item[order], place[order]
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[self.slots(self.grams)] = True
-
-    @staticmethod
-    def slots(grams: np.ndarray) -> np.ndarray:
-        return (grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        self.edits = np.maximum(0, np.minimum((size * rate).astype(np.int64), size - 1))
+        gram = np.where(size < q, 0, np.minimum(q, size // (self.edits + 1)))
+        self.least = np.maximum(1, size - gram + 1 - gram * self.edits)
+        #: one table for each length of grams; as plain values, for workers that don't have this module
+        self.tables = [vars(Grams(int(g), np.flatnonzero(gram == g), self.texts)) for g in np.unique(gram[gram > 0])]
 
     def candidates(self, points: np.ndarray) -> list[tuple[int, int]]:
         """(item, lowest diagonal) of the bands that meet the bound."""
-        if not len(self.grams):
-            return []
-        grams = gram_hashes(points, self.q)
-        at = np.flatnonzero(self.filter[self.slots(grams)])
-        found = np.searchsorted(self.grams, grams[at])
-        found[found == len(self.grams)] = 0
-        hit = self.grams[found] == grams[at]
+        return [found for table in self.tables for found in self.candidates_of(table, points)]
+
+    def candidates_of(self, table: dict, points: np.ndarray) -> list[tuple[int, int]]:
+        grams = gram_hashes(points, table["g"])
+        at = np.flatnonzero(table["filter"][slots(grams)])
+        found = np.searchsorted(table["grams"], grams[at])
+        found[found == len(table["grams"])] = 0
+        hit = table["grams"][found] == grams[at]
         at, found = at[hit], found[hit]
-        n = self.count[found]
-        where = np.repeat(self.first[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, diagonal = self.item[where], np.repeat(at, n) - self.place[where]
+        n = table["count"][found]
+        where = np.repeat(table["first"][found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        item, diagonal = table["item"][where], np.repeat(at, n) - table["place"][where]
         width = self.edits[item] + 1
         band = diagonal // width
         # shifted to be positive: a band of a text starts at its item's length before it
@@ -245,7 +256,7 @@ def leaks(
 
     Texts are compared in lower case with each run of other characters than letters and
     digits as one space; start and end are code points of that form. An item counts as
-    present with at most rate * item_chars edits; of several places the one with the
+    present with at most rate * item_chars edits, whatever its length from q characters on; of several places the one with the
     fewest edits, then the first, is given. Items shorter than q characters have no
     q-grams: they are looked up exactly, as whole words; those without any letter or
     digit have no plain form and are not searched. Ids of items may be of any type. Null

@@ -151,6 +151,27 @@ def test_the_filter_loses_nothing():
     assert near >= 120
 
 
+def test_items_of_every_length_are_found_with_their_edits(spark):
+    """All edits that the rate allows, also where a q-gram lemma of the full length asks for nothing."""
+    r, rows, texts, held = random.Random(8), [], [], []
+    for size in range(8, 41):
+        for k in range(3):
+            item = decontaminate.plain(prose(12, 1000 * size + k)[:size].strip().ljust(size, "z"))
+            rows.append((len(rows), item))
+            for e in range(int(len(item) * 0.08) + 2):
+                texts.append(decontaminate.plain(f"{prose(6, 7 * size + e)} {edited(item, e, r.random())} {prose(6, 9 * size + k)}"))
+                held.append(len(rows) - 1)
+    expected = set()
+    for d, (text, own) in enumerate(zip(texts, held)):
+        expected |= {(d, i) for i, t in rows[max(0, own - 2) : own + 3] if distance_inside(t, text) <= int(len(t) * 0.08)}
+    docs, items = documents(spark, texts), benchmark(spark, rows)
+    found = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs, items).collect()}
+    assert expected <= found and all(distance_inside(rows[i][1], texts[d]) <= int(len(rows[i][1]) * 0.08) for d, i in found)
+    assert {len(rows[i][1]) for d, i in expected if distance_inside(rows[i][1], texts[d])} >= {13, 14, 15, 16, 25}
+    clean = {x.doc_id for x in decontaminate.clean_documents(docs, items).collect()}
+    assert clean == set(range(len(texts))) - {d for d, _ in found}
+
+
 def test_a_leak_cut_at_an_end_of_its_document_is_found_wherever_the_document_stands():
     item, other = decontaminate.plain(prose(30, 1)), prose(12, 60)
     items = decontaminate.Items([1], [item], 8, 0.08)
