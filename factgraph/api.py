@@ -39,6 +39,11 @@ class CodeGraph:
     def symbols(self) -> DataFrame:
         return self.facts["symbols"]
 
+    def _made(self, name: str) -> DataFrame:
+        """A fact table that the question can't do without; an error if nobody made it."""
+        self.facts.require(name)
+        return self.facts[name]
+
     @property
     def nodes(self) -> DataFrame:
         """Rule nodes, made from the documents' texts."""
@@ -52,29 +57,29 @@ class CodeGraph:
 
     def _nodes(self, file: str | None = None, project: str | None = None, raw: bool = False) -> DataFrame:
         nodes = csharp.rule_nodes(self._documents(file, project, raw))
-        return rules.with_receivers(nodes, self.facts["inherits"]) if "inherits" in self.facts.tables else nodes
+        return rules.with_receivers(nodes, self.facts["inherits"]) if "inherits" in self.facts.given else nodes
 
     def _out(self, df: DataFrame) -> DataFrame:
         return df.limit(self.cap) if self.cap else df
 
     def _pragmas(self, documents: DataFrame) -> DataFrame:
-        return self.facts["pragmas"] if "pragmas" in self.facts.tables else csharp.pragmas(documents)
+        return self.facts["pragmas"] if "pragmas" in self.facts.given else csharp.pragmas(documents)
 
     # navigation
     def find_symbol(self, name: str, kind: str | None = None) -> DataFrame:
         return self._out(resolve.find_symbol(self.symbols, name, kind))
 
     def find_references(self, symbol_name: str, file: str | None = None, line: int | None = None) -> DataFrame:
-        return self._out(navigate.find_references(self.symbols, self.facts["refs"], symbol_name, file, line))
+        return self._out(navigate.find_references(self.symbols, self._made("refs"), symbol_name, file, line))
 
     def find_implementations(self, interface_name: str) -> DataFrame:
-        return self._out(navigate.find_implementations(self.symbols, self.facts["inherits"], interface_name))
+        return self._out(navigate.find_implementations(self.symbols, self._made("inherits"), interface_name))
 
     def find_callers(self, method_name: str, class_name: str | None = None) -> DataFrame:
-        return self._out(navigate.find_callers(self.symbols, self.facts["calls"], method_name, class_name))
+        return self._out(navigate.find_callers(self.symbols, self._made("calls"), method_name, class_name))
 
     def find_overrides(self, method_name: str, class_name: str | None = None) -> DataFrame:
-        return self._out(navigate.find_overrides(self.symbols, self.facts["overrides"], method_name, class_name))
+        return self._out(navigate.find_overrides(self.symbols, self._made("overrides"), method_name, class_name))
 
     # inspection
     def get_public_api(self, type_name: str) -> DataFrame:
@@ -84,19 +89,19 @@ class CodeGraph:
         return inspect.symbol_detail(self.symbols, symbol_name, containing_type)
 
     def get_type_hierarchy(self, type_name: str) -> DataFrame:
-        return self._out(navigate.type_hierarchy(self.symbols, self.facts["inherits"], type_name))
+        return self._out(navigate.type_hierarchy(self.symbols, self._made("inherits"), type_name))
 
     def get_dependency_graph(self, symbol_name: str, file: str | None = None, line: int | None = None, depth: int = 3) -> DataFrame:
         root = resolve.resolve(self.symbols, symbol_name, file=file, line=line).select(F.col("display").alias("id"))
-        return self._out(graph.dependency_tree(self.facts["calls"], root, depth))
+        return self._out(graph.dependency_tree(self._made("calls"), root, depth))
 
     # project
     def get_project_graph(self, project_filter: str | None = None, include_transitive: bool = False, max_results: int = 50) -> DataFrame:
         return self._out(graph.project_graph(self.facts["projects"], self.facts["project_refs"], project_filter, include_transitive, max_results))
 
     def get_diagnostics(self, scope: str = "solution", path: str | None = None, severity_filter: str = "warning", include_analyzers: bool = False) -> DataFrame:
-        documents = self.facts["documents"] if "documents" in self.facts.tables else None
-        return self._out(inspect.diagnostics(self.facts["diagnostics"], scope, path, severity_filter, include_analyzers, documents))
+        documents = self.facts["documents"] if "documents" in self.facts.given else None
+        return self._out(inspect.diagnostics(self._made("diagnostics"), scope, path, severity_filter, include_analyzers, documents))
 
     def get_test_coverage_map(self, project_filter: str | None = None, max_results: int = 100) -> DataFrame:
         return self._out(quality.test_coverage_map(self.symbols, project=project_filter, most=max_results))
@@ -107,6 +112,7 @@ class CodeGraph:
         return self._out(rules.detect_antipatterns(self._nodes(file, project_filter), self._pragmas(documents), documents, file=file, project=project_filter, severity=severity, most=max_results))
 
     def detect_circular_dependencies(self, scope: str = "projects", project_filter: str | None = None) -> DataFrame:
+        self.facts.require("type_refs" if scope.lower() == "types" else "project_refs")
         return self._out(graph.circular_dependencies(self.facts["projects"], self.facts["project_refs"], self.facts["type_refs"], self.symbols, scope, project_filter))
 
     def find_dead_code(
@@ -114,25 +120,25 @@ class CodeGraph:
         include_entry_points: bool = False, project_filter: str | None = None, file_filter: str | None = None,
     ) -> DataFrame:
         found = quality.dead_code(
-            self.symbols, self.facts["refs"], self.facts["member_impl"], quality.framework_activated(self.symbols, self.facts["inherits"]), scope=scope, path=path, kind=kind,
+            self.symbols, self._made("refs"), self.facts["member_impl"], quality.framework_activated(self.symbols, self.facts["inherits"]), scope=scope, path=path, kind=kind,
             most=max_results, include_public=include_public_members, include_entry_points=include_entry_points, project_filter=project_filter, file_filter=file_filter,
         )
         return self._out(found)
 
     # advanced
     def get_complexity_metrics(self, name: str | None = None, scope: str = "method", class_name: str | None = None, threshold: int = 0, max_results: int = 50) -> DataFrame:
-        return self._out(metrics.complexity_metrics(metrics.complexity(self.facts["syntax_nodes"]), self.symbols, name, scope, class_name, threshold, max_results))
+        return self._out(metrics.complexity_metrics(metrics.complexity(self._made("syntax_nodes")), self.symbols, name, scope, class_name, threshold, max_results))
 
     def analyze_data_flow(self, method_name: str, class_name: str | None = None) -> DataFrame:
         one = resolve.resolve_method(self.symbols, method_name, class_name).select(F.col("display").alias("method"))
-        return metrics.data_flow(self.facts["flow"].join(F.broadcast(one), "method", "left_semi"))  # one row
+        return metrics.data_flow(self._made("flow").join(F.broadcast(one), "method", "left_semi"))  # one row
 
     def analyze_control_flow(self, method_name: str, class_name: str | None = None) -> DataFrame:
         one = resolve.resolve_method(self.symbols, method_name, class_name).select(F.col("display").alias("method"))
-        return metrics.control_flow(self.facts["flow_edges"].join(F.broadcast(one), "method", "left_semi"))  # one row
+        return metrics.control_flow(self._made("flow_edges").join(F.broadcast(one), "method", "left_semi"))  # one row
 
     def detect_duplicates(self, project_filter: str | None = None, min_statements: int = 5, max_results: int = 20) -> DataFrame:
-        bodies = metrics.normalized_bodies(self.facts["syntax_nodes"]).join(
+        bodies = metrics.normalized_bodies(self._made("syntax_nodes")).join(
             self.symbols.groupBy(F.col("display").alias("owner_symbol")).agg(F.min_by("project", "sym_ord").alias("project"), F.min("sym_ord").alias("ord")), "owner_symbol"
         )
         return self._out(quality.duplicates(bodies.withColumnRenamed("owner_symbol", "display"), min_statements, max_results, project_filter))
@@ -143,7 +149,7 @@ class CodeGraph:
     # graph
     def _namespace_edges(self, project_filter: str | None) -> DataFrame:
         own = self.symbols if not project_filter else self.symbols.filter(F.contains(F.lower("project"), F.lit(project_filter.lower())))
-        refs = self.facts["type_refs"]
+        refs = self._made("type_refs")
         kept = refs if not project_filter else refs.join(own.select(F.col("display").alias("src")).distinct(), "src", "left_semi")
         return graph.type_edges(kept, self.symbols, by="namespace")
 
@@ -160,14 +166,14 @@ class CodeGraph:
         return self._out(stats.join(listed, "label").select("label", names.alias("members"), "cohesion", common_prefix(names).alias("common_prefix")))
 
     def find_god_nodes(self, project_filter: str | None = None, kind: str | None = "class", threshold: float = 2.0, min_refs: int = 5, max_results: int = 20) -> DataFrame:
-        return self._out(graph.god_nodes(self.symbols, self.facts["refs"], threshold, min_refs, max_results, kind, project_filter))
+        return self._out(graph.god_nodes(self.symbols, self._made("refs"), threshold, min_refs, max_results, kind, project_filter))
 
     def find_surprising_dependencies(self, project_filter: str | None = None, max_results: int = 20) -> DataFrame:
         owners = self.symbols.select(F.col("namespace").alias("id"), "project", F.col("sym_ord").alias("ord"))
         return self._out(graph.surprising_dependencies(self._namespace_edges(project_filter), owners, max_results))
 
     def find_isolated_symbols(self, project_filter: str | None = None, include_public_types: bool = False, max_results: int = 50) -> DataFrame:
-        return self._out(quality.isolated_symbols(self.symbols, self.facts["type_refs"], self.facts["refs"], include_public=include_public_types, most=max_results, project=project_filter))
+        return self._out(quality.isolated_symbols(self.symbols, self._made("type_refs"), self._made("refs"), include_public=include_public_types, most=max_results, project=project_filter))
 
     # compound
     def analyze_method(self, method_name: str, class_name: str | None = None, depth: int = 2) -> dict[str, DataFrame]:
@@ -191,7 +197,7 @@ class CodeGraph:
 
     # modular
     def _modules(self) -> DataFrame:
-        if "modules" in self.facts.tables:
+        if "modules" in self.facts.given:
             return self.facts["modules"]
         return graph.module_facts(self.symbols, self.facts["inherits"], self.facts["attributes"])
 

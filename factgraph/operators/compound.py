@@ -32,7 +32,7 @@ def type_overview(facts: FactSet, type_name: str, most: int = 50) -> dict[str, D
     shape = one.filter(F.lower("type_kind") == "interface").select(F.lit(True).alias("_is"))
     below = navigate.find_implementations(symbols, facts["inherits"], type_name)
     where = one.filter("file IS NOT NULL").select(F.col("file").alias("path"))
-    documents = facts["documents"] if "documents" in facts.tables else None
+    documents = facts["documents"] if "documents" in facts.given else None
     return {
         "api": inspect.public_api(symbols, type_name, "overview"),
         "hierarchy": navigate.type_hierarchy(symbols, facts["inherits"], type_name),
@@ -43,7 +43,7 @@ def type_overview(facts: FactSet, type_name: str, most: int = 50) -> dict[str, D
 
 def file_overview(facts: FactSet, file: str, nodes: DataFrame, most: int = 50, most_violations: int = 100) -> dict[str, DataFrame]:
     """types, diagnostics of at least warning, and all violations of a file."""
-    documents = facts["documents"] if "documents" in facts.tables else None
+    documents = facts["documents"] if "documents" in facts.given else None
     return {
         "types": inspect.declared_types(facts["symbols"], file),
         "diagnostics": inspect.diagnostics(facts["diagnostics"], "file", file, documents=documents).orderBy("line", "id").limit(most),

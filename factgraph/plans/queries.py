@@ -1072,7 +1072,7 @@ def _case_graph(t: Tables) -> CodeGraph:
     )
     facts = facts_from_texts(documents)
     # bases are met by simple names, which these files use over and over; each knows its own
-    return CodeGraph(FactSet(t.spark, {k: v for k, v in facts.tables.items() if k not in ("inherits", "attributes")} | {"modules": graph.module_facts(facts["symbols"], facts["inherits"], facts["attributes"])}), env={})
+    return CodeGraph(FactSet(t.spark, {k: v for k, v in facts.given.items() if k not in ("inherits", "attributes")}), env={})
 
 
 @query(_case_sql())
@@ -1096,6 +1096,57 @@ def antipatterns_top(t: Tables) -> DataFrame:
     return code.detect_antipatterns(max_results=21).select("file", "id", "project").distinct().withColumn("_n", F.split("file", r"\.")[0].cast("int")).orderBy("_n").limit(20).drop("_n")
 
 
+# --- 44-46, 50, 53: names bound across files, and what declarations say ---------------------------------------------
+
+
+def _turn_texts(t: Tables) -> DataFrame:
+    """documents: a conversation is a namespace, a turn a class T<turn> that extends the one before it.
+
+    Each has a method named after its role, that overrides the last one of that name, and one that calls a method of
+    each role; the first implements an interface of the namespace that asks for one of them.
+    """
+    by = Window.partitionBy("conv_id", "role").orderBy("turn")
+    own = t.conversations.filter("role IS NOT NULL").select("conv_id", "turn", "role", (F.row_number().over(by) > 1).alias("again"))
+    base = F.when(F.col("turn") == 0, "IChat").otherwise(F.concat(F.lit("T"), (F.col("turn") - 1).cast("string")))
+    face = F.when(F.col("turn") == 0, "public interface IChat { void assistant(T0 first); }\n").otherwise("")
+    text = F.format_string(
+        "namespace C%d;\n%sclass T%d : %s {\n  T0 first;\n  public %s void %s(T0 first) { }\n  void Go() { user(first); assistant(first); this.system(first); }\n}",
+        "conv_id", face, "turn", base, F.when(F.col("again"), "override").otherwise("virtual"), "role",
+    )
+    key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    place = F.col("conv_id") * 10_000 + F.col("turn")
+    return own.select(place.alias("doc_id"), F.lit("P").alias("project"), F.concat(key, F.lit(".cs")).alias("file_path"), text.alias("text"), place.alias("doc_ord"))
+
+
+_NEAREST = """
+t AS (SELECT conv_id AS c, turn AS t, role AS r FROM conversations WHERE role IS NOT NULL),
+n AS (SELECT a.c, a.t, b.r, max(b.t) AS m FROM t a JOIN t b ON a.c = b.c AND b.t <= a.t GROUP BY ALL)
+"""
+
+
+@query(f"WITH {_NEAREST} SELECT 'C' || c || '.T' || t || '.Go' AS caller, 'C' || c || '.T' || m || '.' || r AS callee FROM n WHERE r IN ('user', 'assistant', 'system')")
+def bound_calls(t: Tables) -> DataFrame:
+    """All classes of all namespaces have the same names, and so have their methods: a call means the nearest one above."""
+    return facts_from_texts(_turn_texts(t))["calls"].select("caller", "callee")
+
+
+@query(f"""
+WITH {_NEAREST}
+SELECT 'overrides' AS fact, 'C' || a.c || '.T' || a.t || '.' || a.r AS a, 'C' || a.c || '.T' || b.t || '.' || b.r AS b FROM t a JOIN t b ON a.c = b.c AND a.r = b.r AND b.t < a.t
+UNION ALL SELECT DISTINCT 'member_impl', 'C' || c || '.T' || m || '.assistant', 'C' || c || '.IChat.assistant' FROM n WHERE r = 'assistant'
+UNION ALL SELECT 'field', 'C' || c || '.T' || t, 'C' || c || '.T0' FROM t
+UNION ALL SELECT 'parameter', 'C' || c || '.T' || t, 'C' || c || '.T0' FROM t UNION ALL SELECT 'parameter', 'C' || c || '.IChat', 'C' || c || '.T0' FROM t WHERE t = 0
+UNION ALL SELECT 'base', 'C' || c || '.T' || t, 'C' || c || '.T' || (t - 1) FROM t WHERE t > 0
+UNION ALL SELECT 'interface', 'C' || c || '.T0', 'C' || c || '.IChat' FROM t WHERE t = 0
+""")
+def derived_structure(t: Tables) -> DataFrame:
+    """Overrides, implementations and structural references from declarations alone."""
+    facts = facts_from_texts(_turn_texts(t))
+    tied = facts["type_refs"].select(F.col("via").alias("fact"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    over = facts["overrides"].select(F.lit("overrides").alias("fact"), F.col("member").alias("a"), F.col("base_member").alias("b"))
+    return over.unionByName(facts["member_impl"].select(F.lit("member_impl").alias("fact"), F.col("member").alias("a"), F.col("interface_member").alias("b"))).unionByName(tied)
+
+
 # --- 117, 118: data and control flow of source texts --------------------------------------------------------------
 
 #: A body of M(int a, ref int r, out int o); returns, exits, whether its end is reached; what has which role.

@@ -50,18 +50,21 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 
 
 class FactSet(Mapping):
-    """Named fact tables. Operators read only those that they need."""
+    """Named fact tables, or functions that make them when they are first asked for. Operators read only those that they need."""
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[], DataFrame]] | None = None):
         self.spark = spark
-        self.tables = {k: conform(v, k) for k, v in (tables or {}).items()}
+        self.given, self.made = dict(tables or {}), {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in CONTRACTS:
             raise KeyError(name)
-        if name not in self.tables:
+        if name not in self.given:
             return self.spark.createDataFrame([], contract(name))
-        return self.tables[name]
+        if name not in self.made:
+            table = self.given[name]
+            self.made[name] = conform(table() if callable(table) else table, name)
+        return self.made[name]
 
     def __iter__(self):
         return iter(CONTRACTS)
@@ -69,11 +72,27 @@ class FactSet(Mapping):
     def __len__(self) -> int:
         return len(CONTRACTS)
 
+    @property
+    def tables(self) -> dict[str, DataFrame]:
+        """Those that were given."""
+        return {name: self[name] for name in self.given}
+
+    def require(self, *names: str) -> None:
+        """An error if a table was not given: what no front end made isn't the same as an empty one."""
+        missing = [n for n in names if n not in self.given]
+        if missing:
+            raise ValueError(f"no fact table {', '.join(missing)}: derive them (facts_from_texts, operators.binding) or give empty ones")
+
     def cached(self, *names: str) -> FactSet:
         for name in names:
-            self.tables[name] = self[name].cache()
+            self.made[name] = self[name].cache()
         return self
 
+    def release(self) -> None:
+        """Gives back what cached() holds."""
+        for table in self.made.values():
+            table.unpersist()
+
     def write(self, path: str, partition_by: Mapping[str, str] | None = None) -> None:
         """Each table as Parquet below path, partitioned where given, so filters on a project prune."""
         for name, df in self.tables.items():

@@ -10,13 +10,14 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.schema import CONTRACTS, conform
-from factgraph.sources.csharp import _CLASS, _METHOD, closing, masked, split_list
+from factgraph.sources.csharp import _CLASS, _KEYWORDS, _METHOD, _MODIFIER, _TYPE, _WORD, closing, masked, split_list
 
 _TOKEN = re.compile(
     r"\s+|(?P<name>@?[A-Za-z_]\w*)|(?P<number>\d[\w.]*)|(?P<string>\x02+|\x01+)|(?P<op>=>|\?\?=|\?\?|\?\.|&&|\|\||==|!=|<=|>=|\+\+|--|[-+*/%&|^]=|::|.)", re.S
@@ -343,14 +344,16 @@ class Parser:
             return Node("AnonymousMethodExpression", at, [*head, self.block()])
         if word == "new":
             self.i += 1
+            begin = self.i
             while self.kind() == "name" or self.peek() in (".", "<", ">", ",", "?", "::") and self.peek() not in ("(", "{"):
                 self.i += 1
+            made = "".join(t[1] for t in self.tokens[begin : self.i])
             parts = self.bracketed() if self.peek() == "(" else []
             while self.peek() == "[":
                 parts += self.indexer()
             if self.peek() == "{":
                 parts += self.initializer()
-            return self.postfix(Node("ObjectCreationExpression", at, parts), at)
+            return self.postfix(Node("ObjectCreationExpression", at, parts, made), at)
         if kind == "string":
             self.i += 1
             return self.postfix(Node("InterpolatedStringExpression" if word[0] == "\x01" else "StringLiteralExpression", at), at)
@@ -432,19 +435,71 @@ class Parser:
         return node
 
 
+_NO_TYPE = _KEYWORDS | frozenset(
+    "public private protected internal static async override virtual abstract sealed partial extern unsafe readonly const required volatile"
+    " class struct interface record enum namespace delegate event using operator where get set init ref out params this".split()
+)
+_MEMBER = re.compile(rf"(?<![\w.])((?:{_MODIFIER}\s+)*)({_TYPE})\s+({_WORD})\s*(?:<[^<>()]*>)?\s*\(")
+_VALUE = re.compile(rf"(?<![\w.])((?:(?:{_MODIFIER}|const|required|volatile)\s+)*)({_TYPE})\s+({_WORD})\s*(;|=(?![=>])|,|\{{|=>|$)")
+
+
+def blanked(code: str, pair: str) -> str:
+    """The code with what stands inside outermost brackets as spaces; places stay."""
+    out, depth, last = [], 0, 0
+    for m in re.finditer("[" + re.escape(pair) + "]", code):
+        if m[0] == pair[0]:
+            if not depth:
+                out.append(code[last : m.start() + 1])
+                last = m.end()
+            depth += 1
+        elif depth:
+            depth -= 1
+            if not depth:
+                out.append(re.sub(r"[^\n]", " ", code[last : m.start()]))
+                last = m.start()
+    rest = code[last:]
+    return "".join([*out, re.sub(r"[^\n]", " ", rest) if depth else rest])
+
+
+def type_bodies(code: str) -> list[tuple[re.Match, int, int]]:
+    """(declaration, begin, end) of each class-like type; begin and end of its members, equal if it has no braces."""
+    out = []
+    for m in _CLASS.finditer(code):
+        brace = m.end() if code[m.end() : m.end() + 1] == "{" else code.find("{", m.end())
+        semicolon = code.find(";", m.end())
+        if brace < 0 or 0 <= semicolon < brace:
+            out.append((m, m.end(), m.end()))
+        else:
+            out.append((m, brace + 1, closing(code, brace, "{}")))
+    return out
+
+
+def declarations(code: str) -> Iterator[tuple[re.Match, int, str, str]]:
+    """(match of a method's head, where the text that it was found in begins, its type, that one's kind) in the order of places.
+
+    Members are looked for in types' bodies with what stands in inner braces blank, so with or without
+    modifiers; methods outside any type need one.
+    """
+    found, outside, last = [], [], 0
+    for m, begin, end in type_bodies(code):
+        found += [(x, begin, m[2], m[1]) for x in _MEMBER.finditer(blanked(code[begin:end], "{}")) if re.match(_WORD, x[2])[0] not in _NO_TYPE and x[3] not in _NO_TYPE]
+        if m.start() >= last:
+            outside.append(code[last : m.start()] + " " * (max(end, m.start()) - m.start()))
+            last = max(end, m.start())
+    rest = "".join([*outside, code[last:]])
+    found += [(x, 0, "", "") for x in _METHOD.finditer(rest)]
+    return iter(sorted(found, key=lambda x: x[0].start() + x[1]))
+
+
 def methods(text: str | None) -> Iterator[tuple[str, dict, Node | None, str]]:
     """(display, facts, body, body's text) of each method of a file."""
     code, _ = masked(text or "")
     starts = [m.end() for m in re.finditer("\n", code)]
     space = _NAMESPACE.search(code)
-    types = []
-    for m in _CLASS.finditer(code):
-        brace = code.find("{", m.end())
-        types.append((m.start(), closing(code, brace, "{}") if brace >= 0 else m.end(), m[2]))
-    for m in _METHOD.finditer(code):
-        holder = next((n for s, e, n in reversed(types) if s <= m.start() <= e), "")
+    for m, base, holder, shape in declarations(code):
         display = ".".join(x for x in (space[1] if space else "", holder, m[3]) if x)
-        end = closing(code, m.end() - 1)
+        opened = base + m.end() - 1
+        end = closing(code, opened)
         brace = re.compile(r"\s*(?:where[^{;]*)?(\{|=>)").match(code, end + 1)
         body, said = None, ""
         if brace and brace[1] == "{":
@@ -456,12 +511,41 @@ def methods(text: str | None) -> Iterator[tuple[str, dict, Node | None, str]]:
             body, said = Node("ArrowExpressionClause", brace.start(1), [Parser(code, brace.end(), stop).expression()]), (text or "")[brace.start(1) : stop]
         words = m[1].split()
         yield display, {
-            "name": m[3], "container_name": holder, "container": display.rpartition(".")[0], "namespace": space[1] if space else "", "line": bisect_right(starts, m.start(3)) + 1,
-            "accessibility": next((w for w in _ACCESS if w in words), "private").capitalize(), "return_type": re.sub(r"\s+", "", m[2]), "is_override": "override" in words,
-            "params": split_list(code[m.end() : end]),
+            "name": m[3], "container_name": holder, "container": display.rpartition(".")[0], "namespace": space[1] if space else "", "line": bisect_right(starts, base + m.start(3)) + 1,
+            "accessibility": next((w for w in _ACCESS if w in words), "public" if shape == "interface" else "private").capitalize(), "return_type": re.sub(r"\s+", "", m[2]), "is_override": "override" in words,
+            "params": split_list(code[opened + 1 : end]),
         }, body, said
 
 
+def values(text: str | None) -> Iterator[tuple[str, dict]]:
+    """(display, facts) of each field and property of a file, those of a record's head too. Of several names after one type the first is given."""
+    code, _ = masked(text or "")
+    starts = [m.end() for m in re.finditer("\n", code)]
+    space = _NAMESPACE.search(code)
+    for m, begin, end in type_bodies(code):
+        rows = []
+        if m[1].startswith("record") and m[3]:
+            at = m.start(3)
+            rows = [("Property", *reversed(named_type(p)[:2]), ["public"], at) for p in split_list(m[3][1:-1])]
+        for x in _VALUE.finditer(blanked(blanked(code[begin:end], "{}"), "()")):
+            if re.match(_WORD, x[2])[0] not in _NO_TYPE and x[3] not in _NO_TYPE:
+                rows.append(("Property" if x[4] in ("{", "=>") else "Field", x[2], x[3], x[1].split(), begin + x.start(3)))
+        for kind, written, name, words, at in rows:
+            display = ".".join(p for p in (space[1] if space else "", m[2], name) if p)
+            yield display, {
+                "name": name, "kind": kind, "container_name": m[2], "container": display.rpartition(".")[0], "namespace": space[1] if space else "", "line": bisect_right(starts, at) + 1,
+                "accessibility": next((w for w in _ACCESS if w in words), "public" if m[1] == "interface" else "private").capitalize(), "return_type": re.sub(r"\s+", "", written), "is_override": "override" in words,
+            }
+
+
+def named_type(parameter: str) -> tuple[str, str, str | None]:
+    """(name, type, default) of a parameter as it is written."""
+    head, _, default = re.sub(r"^\s*\[[^\]]*\]", "", parameter).partition("=")
+    words = re.sub(r"\b(?:this|ref|out|in|params|scoped|readonly)\s+", "", head).strip()
+    written, _, name = words.rpartition(" ")
+    return name.strip(), re.sub(r"\s+", "", written), default.strip() or None
+
+
 def tree_rows(text: str | None) -> list[tuple]:
     """(node_id, parent_id, pre, post, depth, kind, text, line, owner) of all method bodies of a file."""
     starts = [m.end() for m in re.finditer("\n", text or "")]
@@ -508,13 +592,14 @@ def method_texts(documents: DataFrame) -> DataFrame:
 
 
 def declared_symbols(documents: DataFrame) -> DataFrame:
-    """The symbols (types and methods) that documents (doc_id, project, file_path, text, doc_ord) declare."""
+    """The symbols (types, methods, fields and properties) that documents (doc_id, project, file_path, text, doc_ord) declare."""
     kind = "project string, file string, doc_ord long, at int, display string, name string, kind string, type_kind string, method_kind string, is_record boolean, accessibility string, container string, container_name string, namespace string, return_type string, is_override boolean, line int"
+    param = "name string, type string, has_default boolean, default_value string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in kind.split(", ")]
         types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
-        schema = pa.schema([(f.split()[0], types[f.split()[1]]) for f in kind.split(", ")])
+        schema = pa.schema([(f.split()[0], types[f.split()[1]]) for f in kind.split(", ")] + [("params", pa.list_(pa.struct([(f.split()[0], types[f.split()[1]]) for f in param.split(", ")])))])
         for batch in batches:
             rows = []
             for d in batch.to_pylist():
@@ -530,10 +615,13 @@ def declared_symbols(documents: DataFrame) -> DataFrame:
                         "accessibility": next((w for w in _ACCESS if w in head), "internal").capitalize(), "namespace": space[1] if space else "", "line": bisect_right(starts, m.start(2)) + 1, "is_override": False,
                     })
                 for display, facts, _, _ in methods(d["text"]):
-                    rows.append(own | {k: v for k, v in facts.items() if k in names} | {"at": starts[facts["line"] - 2] if facts["line"] > 1 else 0, "display": display, "kind": "Method", "method_kind": "Ordinary", "is_record": False})
+                    given = [dict(zip(("name", "type", "has_default", "default_value"), (n, w, v is not None, v))) for n, w, v in map(named_type, facts["params"])]
+                    rows.append(own | {k: v for k, v in facts.items() if k in names} | {"at": starts[facts["line"] - 2] if facts["line"] > 1 else 0, "display": display, "kind": "Method", "method_kind": "Ordinary", "is_record": False, "params": given})
+                for display, facts in values(d["text"]):
+                    rows.append(own | facts | {"at": starts[facts["line"] - 2] if facts["line"] > 1 else 0, "display": display, "is_record": False})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    found = documents.select("project", "file_path", "text", F.coalesce(F.col("doc_ord"), F.lit(0)).cast("long").alias("doc_ord")).mapInArrow(run, kind)
+    found = documents.select("project", "file_path", "text", F.coalesce(F.col("doc_ord"), F.lit(0)).cast("long").alias("doc_ord")).mapInArrow(run, f"{kind}, params array<struct<{param.replace(' ', ': ').replace(',:', ',')}>>")
     return conform(found.withColumn("sym_ord", F.col("doc_ord") * 10_000_000 + F.col("at")), "symbols")
 
 
@@ -599,27 +687,66 @@ def name_uses(nodes: DataFrame) -> DataFrame:
     through = member & (F.col("pre") == F.col("p_post")) & (F.col("grandparent_kind") == "InvocationExpression") & (F.col("p_pre") == F.col("g_pre") + 1)
     return found.select(
         "doc_id", "owner_symbol", "name", "line", F.when(member, "MemberAccessExpression").otherwise(F.col("parent_kind")).alias("parent_kind"), "grandparent_kind",
-        F.coalesce(direct | through, F.lit(False)).alias("is_call"), "pre",
+        F.coalesce(direct | through, F.lit(False)).alias("is_call"), "pre", F.coalesce(member & (F.col("pre") == F.col("p_pre") + 1), F.lit(False)).alias("is_receiver"),
     )
 
 
+def usings(documents: DataFrame) -> DataFrame:
+    """(doc_id, namespace): the namespaces that each document uses, by lines that say so."""
+    found = F.regexp_extract_all("text", F.lit(r"(?m)^\s*(?:global\s+)?using\s+([\w.]+)\s*;"), F.lit(1))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(found).alias("namespace")).distinct()
+
+
 def facts_from_texts(documents: DataFrame):
-    """A FactSet from source texts alone: documents, symbols, syntax_nodes, pragmas, refs, calls, inherits, attributes, flow, flow_edges.
+    """A FactSet from source texts alone: documents, symbols, syntax_nodes, pragmas, refs, calls, inherits, attributes, modules, type_refs, overrides, member_impl, flow, flow_edges.
 
-    Names are bound by spelling: a use counts for every symbol of that name. A front end
-    that binds gives better refs and calls; the operators are the same.
+    Names are bound by scopes (operators.binding). A name that no scope knows, such as a member of
+    what a foreign method returns, counts for a symbol if it is the only one of that name in the
+    solution. Types count as referred to where members, parameters and bases name them.
     """
     from factgraph.functions.text import context_line
+    from factgraph.operators import binding
+    from factgraph.operators.graph import module_facts
     from factgraph.schema import FactSet
     from factgraph.sources import csharp_flow
     from factgraph.sources.csharp import pragmas
+    from factgraph.sources.scratch import checkpointed
 
     docs = conform(documents, "documents")
-    symbols, nodes = declared_symbols(docs), syntax_nodes(docs)
-    uses = name_uses(nodes).join(symbols.select("name", "display", "kind").distinct(), "name")
     where = docs.select("doc_id", F.col("file_path").alias("file"), "text", "doc_ord")
-    refs = uses.join(where, "doc_id").select(F.col("display").alias("symbol"), "file", "line", "parent_kind", "grandparent_kind", context_line(F.col("text"), F.col("line")).alias("context"))
-    calls = uses.filter("is_call AND kind = 'Method'").select(F.col("owner_symbol").alias("caller"), F.col("display").alias("callee"), F.col("pre").cast("long").alias("ord"))
-    found = {"documents": docs, "symbols": symbols, "syntax_nodes": nodes, "pragmas": pragmas(docs), "refs": refs, "calls": calls}
-    found |= {"inherits": inherits(docs), "attributes": attributes(docs), "flow": csharp_flow.data_flow_facts(docs), "flow_edges": csharp_flow.control_flow_facts(docs)}
+    seen = F.struct("file", "line", "parent_kind", "grandparent_kind", context_line(F.col("text"), F.col("line")).alias("context"))
+
+    # each is made when it is first asked for, and stored, so texts are parsed once a table
+    symbols, nodes = cache(lambda: checkpointed(declared_symbols(docs))), cache(lambda: checkpointed(syntax_nodes(docs)))
+    used, written, marks = cache(lambda: checkpointed(usings(docs))), cache(lambda: checkpointed(inherits(docs))), cache(lambda: checkpointed(attributes(docs)))
+    bases = cache(lambda: checkpointed(binding.bind_inherits(symbols(), written(), used(), docs)))
+    tied = cache(lambda: checkpointed(binding.type_refs(symbols(), bases(), used(), docs)))
+    meant = cache(lambda: checkpointed(binding.bind_nodes(nodes(), symbols(), bases(), used(), docs).filter("symbol IS NOT NULL").select("doc_id", F.col("node_id").alias("pre"), "symbol", F.col("kind").alias("bound"))))
+
+    @cache
+    def uses() -> DataFrame:
+        own = symbols().groupBy("name").agg(F.min("display").alias("only"), F.min(F.lower("kind")).alias("kind"), F.countDistinct("display").alias("n")).filter("n = 1").drop("n")
+        rows = name_uses(nodes()).join(meant(), ["doc_id", "pre"], "left").join(own, "name", "left")
+        foreign = F.col("symbol").isNull() & (F.col("parent_kind") == "MemberAccessExpression") & ~F.col("is_receiver")
+        rows = rows.withColumns({"display": F.when(foreign, F.col("only")).otherwise(F.col("symbol")), "what": F.when(foreign, F.col("kind")).otherwise(F.col("bound"))})
+        return checkpointed(rows.filter("display IS NOT NULL"))
+
+    def refs() -> DataFrame:
+        none = F.lit(None).cast("string")
+        named = uses().withColumn("symbol", F.col("display"))
+        made = nodes().filter("kind = 'ObjectCreationExpression'").select("doc_id", F.col("node_id").alias("pre"), "line").join(meant(), ["doc_id", "pre"])
+        made = made.withColumns({"parent_kind": F.lit("ObjectCreationExpression"), "grandparent_kind": none})
+        columns = "doc_id", "symbol", "line", "parent_kind", "grandparent_kind"
+        in_bodies = named.select(*columns).unionByName(made.select(*columns)).join(where, "doc_id").select("symbol", seen.alias("at")).select("symbol", "at.*")
+        first = symbols().groupBy(F.col("display").alias("src")).agg(F.min_by(F.struct("file", "line"), "sym_ord").alias("at"))
+        declared = tied().filter("src != dst").join(first, "src")
+        return in_bodies.unionByName(declared.select(F.col("dst").alias("symbol"), "at.file", "at.line", F.lit("TypeSyntax").alias("parent_kind"), none.alias("grandparent_kind"), F.col("via").alias("context")))
+
+    def calls() -> DataFrame:
+        return uses().filter("is_call AND what = 'method'").select(F.col("owner_symbol").alias("caller"), F.col("display").alias("callee"), F.col("pre").cast("long").alias("ord"))
+
+    found = {"documents": docs, "symbols": symbols, "syntax_nodes": nodes, "pragmas": lambda: pragmas(docs), "refs": refs, "calls": calls}
+    found |= {"inherits": bases, "attributes": marks, "modules": lambda: module_facts(symbols(), written(), marks()), "type_refs": tied}
+    found |= {"overrides": lambda: binding.overrides(symbols(), bases()), "member_impl": lambda: binding.member_impl(symbols(), bases())}
+    found |= {"flow": lambda: csharp_flow.data_flow_facts(docs), "flow_edges": lambda: csharp_flow.control_flow_facts(docs)}
     return FactSet(docs.sparkSession, found)

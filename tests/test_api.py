@@ -129,3 +129,25 @@ def test_facts_round_trip(facts, spark, tmp_path):
     facts["calls"].write.json(f"{tmp_path}/j/calls")
     assert rows(FactSet.read(spark, f"{tmp_path}/j", ("calls",), "json")["calls"]) == rows(facts["calls"])
     assert len(back) == len(CONTRACTS)
+
+
+def test_a_table_that_nobody_made_is_an_error(spark):
+    """Empty answers look like clean code; an empty table that was given is an answer."""
+    code = CodeGraph(FactSet(spark, {"symbols": symbols(spark, {"name": "A"})}), env={})
+    for ask in (code.get_communities, code.find_surprising_dependencies, code.find_isolated_symbols, code.find_dead_code, lambda: code.find_callers("A"), lambda: code.find_overrides("A"), lambda: code.detect_circular_dependencies("types")):
+        with pytest.raises(ValueError, match="no fact table"):
+            ask()
+
+
+def test_tables_are_made_when_asked_for(spark):
+    asked = []
+
+    def make():
+        asked.append(1)
+        return symbols(spark, {"name": "A"})
+
+    facts = FactSet(spark, {"symbols": make, "refs": lambda: 1 / 0})
+    assert not asked and facts["symbols"].count() == 1 and facts["symbols"].count() == 1 and asked == [1]
+    facts.cached("symbols").release()
+    with pytest.raises(ValueError):
+        facts.require("refs", "calls")
