@@ -9,6 +9,7 @@ every reference.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,8 +22,11 @@ from factgraph.plans import adapters as ad
 from factgraph.plans.adapters import Tables
 from factgraph.sources import discovery
 from factgraph.sources.csharp_tree import facts_from_texts
+from factgraph.sources.scratch import scratch_dir
 from factgraph.schema import FactSet, Workspace, least_recently_used
 from factgraph.streaming import feed
+from factgraph.streaming.settle import settled, state_store
+from factgraph.streaming.table import ChangedTable, keep_up_to_date
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1290,3 +1294,42 @@ def stream_upsert(t: Tables) -> DataFrame:
 @query("SELECT DISTINCT 'P' || user_id % 3 AS project FROM events WHERE event_type = 'error'")
 def stream_affected_projects(t: Tables) -> DataFrame:
     return feed.affected_projects(_user_files(t), _event_changes(t))
+
+
+def _in_three(changes: DataFrame, by: str, run: Callable[[str], None]) -> None:
+    """Writes changes in three parts, one after the other, into a folder that a stream reads, and runs it after each."""
+    ends = changes.agg(F.percentile_approx(F.col(by), F.array(F.lit(1 / 3), F.lit(2 / 3)), 10_000)).first()[0]
+    folder = f"{scratch_dir(changes.sparkSession)}/feed-{uuid.uuid4().hex}"
+    low, high = (ends or [None, None])
+    place = F.when(F.col(by) <= F.lit(low), 0).when(F.col(by) <= F.lit(high), 1).otherwise(2)
+    for i in range(3):
+        changes.filter(place == i).write.mode("append").parquet(folder)
+        run(folder)
+
+
+@query(SQL["stream_upsert"])
+def stream_changed_table(t: Tables) -> DataFrame:
+    """The same from a stream that is stopped and goes on twice: three micro-batches, each adds a delta; the second is followed by a fold of what it touched."""
+    made = f"{scratch_dir(t.spark)}/changed-{uuid.uuid4().hex}"
+    table = ChangedTable.create(_user_files(t).withColumn("text", F.lit("old")), f"{made}/table", 16)
+    _in_three(_event_changes(t), "changed", lambda folder: keep_up_to_date(feed.read_feed(t.spark, folder), table, f"{made}/checkpoint", fold_every=2).awaitTermination())
+    return table.read().select("doc_id", "text")
+
+
+@query("""
+WITH c AS (SELECT DISTINCT user_id AS u, ts FROM events), n AS (SELECT u, ts, lead(ts) OVER (PARTITION BY u ORDER BY ts) AS nxt, (SELECT max(ts) FROM c) AS last FROM c)
+SELECT 'U' || u AS path, epoch_us(ts) AS seq FROM n WHERE nxt - ts > INTERVAL 6 HOURS OR (nxt IS NULL AND last - ts > INTERVAL 6 HOURS)
+""")
+def stream_settled(t: Tables) -> DataFrame:
+    """A user's events within six hours of each other are a burst, of which the last is passed on; purchases are delivered twice."""
+    own = t.events.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("path"), F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("changed"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"))
+    twice = own.unionByName(own.filter("text = 'purchase'"))
+    made = f"{scratch_dir(t.spark)}/settled-{uuid.uuid4().hex}"
+
+    def run(folder: str) -> None:
+        with state_store(t.spark):
+            rows = settled(feed.read_feed(t.spark, folder), "6 hours")
+            rows.writeStream.format("parquet").option("checkpointLocation", f"{made}/checkpoint").trigger(availableNow=True).start(f"{made}/out").awaitTermination()
+
+    _in_three(twice, "changed", run)
+    return t.spark.read.schema(feed.FEED).parquet(f"{made}/out").select("path", "seq")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from factgraph.operators.resolve import last_by
 
@@ -32,21 +31,6 @@ def affected_projects(documents: DataFrame, changes: DataFrame) -> DataFrame:
     return documents.join(changes.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("project").distinct()
 
 
-def keep_up_to_date(feed: DataFrame, documents_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Applies each micro-batch to the documents stored below documents_path, in a new version a batch.
-
-    Versions make a repeated batch harmless: it writes the version of its own number
-    again, from the one before it.
-    """
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        current = spark.read.parquet(f"{documents_path}/version={number}")
-        upsert(current, batch).write.mode("overwrite").parquet(f"{documents_path}/version={number + 1}")
-
-    return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
 def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(window_start, key, n): an extension for feeds with times; rows later than `late` are dropped by the watermark."""
     windowed = events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), F.col(key)).agg(F.count("*").alias("n"))
