@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import text as tx
+from factgraph.sources.scratch import checkpointed
 
 # --- fixed values: names of syntax node kinds -----------------------------------------------
 
@@ -52,48 +52,57 @@ def max_nesting(nodes: DataFrame) -> DataFrame:
     return nodes.select("owner_symbol").distinct().join(deepest, "owner_symbol", "left").select("owner_symbol", F.coalesce("max_nesting", F.lit(0)).alias("max_nesting"))
 
 
-def cognitive(nodes: DataFrame) -> DataFrame:
-    """(owner_symbol, cognitive): one task a method, whose tree is folded from its root.
+def _passed_over(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, node_id): each `if` that is the statement of an `if` that isn't one itself.
 
-    An `if` costs one plus its nesting; its condition is not looked at. `else` costs one;
-    an `if` right below it counts as nested no deeper than the first.
+    Such a one is not looked at as an `if`, so in a row of them every second is. Rounds are as
+    many as the longest such row has, most often none.
     """
+    links = rows.filter("kind = 'IfStatement' AND part = 'body'").select(*key, "node_id", "parent_id")
+    todo = checkpointed(links)
+    heads = todo.select(*key, F.col("parent_id").alias("node_id")).join(todo, [*key, "node_id"], "left_anti").distinct()
+    known, out = heads.withColumn("counts", F.lit(True)), todo.select(*key, "node_id").limit(0)
+    while not todo.isEmpty():
+        step = checkpointed(todo.join(known.withColumnRenamed("node_id", "parent_id"), [*key, "parent_id"]).select(*key, "node_id", (~F.col("counts")).alias("counts")))
+        out = out.unionByName(step.filter("NOT counts").drop("counts"))
+        todo, known = checkpointed(todo.join(step, [*key, "node_id"], "left_anti")), step
+    return out
+
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pre", kind="stable")
-        kind = dict(zip(pdf["node_id"], pdf["kind"]))
-        children: dict[int, list[int]] = {}
-        for node, parent in zip(pdf["node_id"], pdf["parent_id"]):
-            children.setdefault(parent if parent in kind else -1, []).append(node)
-        total, todo = 0, [(-1, 0)]
-        while todo:
-            node, nesting = todo.pop()
-            for child in children.get(node, []):
-                k = kind[child]
-                if k == "IfStatement":
-                    total += 1 + nesting
-                    below = children.get(child, [])
-                    other = [c for c in below if kind[c] == "ElseClause"]
-                    # of the rest the last is the statement; the condition before it is passed over
-                    body = [c for c in below if kind[c] != "ElseClause"][-1:]
-                    for b in body:
-                        todo.append((b, nesting + 1))
-                    for e in other:
-                        chained = any(kind[c] == "IfStatement" for c in children.get(e, []))
-                        total += 1
-                        todo.append((e, nesting if chained else nesting + 1))
-                elif k in NESTING:
-                    total += 1 + nesting
-                    todo.append((child, nesting + 1))
-                elif k in FLAT:
-                    total += 1
-                    todo.append((child, nesting))
-                else:
-                    todo.append((child, nesting + (k in LAMBDAS)))
-        return pd.DataFrame({"owner_symbol": [pdf["owner_symbol"].iloc[0]], "cognitive": [total]})
-
-    rows = nodes.filter("owner_symbol IS NOT NULL").select("owner_symbol", "node_id", "parent_id", "pre", "kind")
-    return rows.groupBy("owner_symbol").applyInPandas(fold, "owner_symbol string, cognitive int")
+def cognitive(nodes: DataFrame) -> DataFrame:
+    """(owner_symbol, cognitive) by one running sum over the places of each method's tree.
+
+    An `if` costs one plus its nesting; its condition is not looked at, nor its statement
+    itself, but what is in it. `else` costs one; an `if` right below it counts as nested no
+    deeper than the first. What nests adds one where it opens and takes it back where it
+    closes, conditions do so in a sum of their own, and a node's nesting is the sum at its place.
+    """
+    key = ["doc_id", "owner_symbol"]
+    own = nodes.filter("owner_symbol IS NOT NULL").select(*key, "node_id", "parent_id", "pre", "post", "kind")
+    rows = own.join(own.select(*key, F.col("node_id").alias("parent_id"), F.col("kind").alias("above")), [*key, "parent_id"], "left")
+    is_else, below_if = F.col("kind") == "ElseClause", F.col("above") == "IfStatement"
+    # of an `if`'s children but `else` the last is the statement, the ones before it are the condition
+    last = F.max(F.when(~is_else, F.col("pre"))).over(Window.partitionBy(*key, "parent_id"))
+    rows = rows.withColumn("part", F.when(below_if & is_else, "else").when(below_if & (F.col("pre") == last), "body").when(below_if, "head"))
+    chained = rows.filter("kind = 'IfStatement' AND above = 'ElseClause'").select(*key, F.col("parent_id").alias("node_id"), F.lit(True).alias("chained")).distinct()
+    plain = _passed_over(rows, key).select(*key, F.col("node_id").alias("parent_id"), F.lit(True).alias("plain"))
+    rows = rows.join(plain, [*key, "parent_id"], "left").join(chained, [*key, "node_id"], "left").withColumn("part", F.when(F.col("plain").isNull(), F.col("part")))
+    kind = F.when(F.coalesce(F.col("part") != "body", F.lit(True)), F.col("kind"))
+    nests = (F.col("part") == "body") | ((F.col("part") == "else") & F.col("chained").isNull()) | kind.isin(*NESTING, *LAMBDAS)
+    costs = F.when(kind.isin("IfStatement", *NESTING), 2).when(kind.isin(*FLAT) | (F.col("part") == "else"), 1).otherwise(0)
+    event = lambda at, nest, hide, cost: F.struct(at.cast("long").alias("at"), F.lit(nest).alias("nest"), F.lit(hide).alias("hide"), cost.alias("cost"))
+    none, after = F.lit(0), F.col("post") + 1
+    events = F.array(
+        F.when(nests, event(F.col("pre") + 1, 1, 0, none)), F.when(nests, event(after, -1, 0, none)),
+        F.when(F.col("part") == "head", event(F.col("pre"), 0, 1, none)), F.when(F.col("part") == "head", event(after, 0, -1, none)),
+        F.when(costs > 0, event(F.col("pre"), 0, 0, costs)),
+    )
+    # at one place steps come before the node that stands there
+    run = Window.partitionBy(*key).orderBy("at", F.col("cost") > 0).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.select(*key, F.inline(F.array_compact(events))).select("owner_symbol", "cost", F.sum("nest").over(run).alias("nest"), F.sum("hide").over(run).alias("hide"))
+    worth = F.when(F.col("hide") > 0, 0).when(F.col("cost") == 2, 1 + F.col("nest")).otherwise(F.col("cost"))
+    found = summed.groupBy("owner_symbol").agg(F.sum(worth).alias("cognitive"))
+    return own.select("owner_symbol").distinct().join(found, "owner_symbol", "left").select("owner_symbol", F.coalesce("cognitive", F.lit(0)).cast("int").alias("cognitive"))
 
 
 def complexity(nodes: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
