@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from factgraph.functions import text as tx
 from factgraph.operators.closure import bounded_paths, reachable
 from factgraph.operators.cycles import back_edge_cycles
 from factgraph.operators.resolve import first_by, last_by
-from factgraph.sources.scratch import checkpointed
+from factgraph.sources.scratch import checkpointed, in_order
 
 # --- edges and degrees ----------------------------------------------------------------
 
@@ -262,33 +261,37 @@ def dependency_rows(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataF
 def dependency_tree(calls: DataFrame, root: str | DataFrame, depth: int = 3) -> DataFrame:
     """The call tree in the order of calls, each symbol expanded once: (pos, path, node, depth).
 
-    Later occurrences of an expanded symbol are leaves, repeated calls stay repeated.
-    Only what the root reaches within the depth goes to the one task that walks it. The
-    root is a display string or a table (id) of at most one; one that calls nothing is
-    alone, an empty string or table has no tree.
+    Calls are taken in the order of ord, then of what is called; later occurrences of an expanded symbol
+    are leaves, repeated calls stay repeated. The root is a display string or a table (id) of at most one; one that
+    calls nothing is alone, an empty string or table has no tree.
+
+    An occurrence's place is the key of its path. A symbol is expanded where its key is the
+    smallest of those above the last level, and which occurrences there are depends on smaller
+    keys alone, so there is one fix point: each round hangs what is called below the present
+    expansions and picks each symbol's smallest again. Occurrences are never more than calls;
+    the driver sees a row a round.
     """
     spark = calls.sparkSession
-    start = root.select("id") if isinstance(root, DataFrame) else spark.createDataFrame([(root,)] if root else [], "id string")
-    inside = reachable(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), start, depth)
-    own = calls.join(inside.select(F.col("id").alias("caller")), "caller", "left_semi").select(F.lit(0).alias("one"), "caller", "callee", "ord", F.lit(False).alias("root"))
-    own = own.unionByName(start.select(F.lit(0).alias("one"), F.col("id").alias("caller"), F.lit(None).cast("string").alias("callee"), F.lit(None).cast("long").alias("ord"), F.lit(True).alias("root")))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        graph: dict[str, list[str]] = {}
-        for a, b in pdf.sort_values("ord", kind="stable")[["caller", "callee"]].itertuples(index=False):
-            if isinstance(b, str):
-                graph.setdefault(a, []).append(b)
-        seen, rows, todo = set(), [], [([r], 0) for r in pdf.loc[pdf["root"], "caller"]]
-        while todo:
-            path, d = todo.pop()
-            rows.append((len(rows), path, path[-1], d))
-            if path[-1] in seen or d >= depth:
-                continue
-            seen.add(path[-1])
-            todo += [(path + [b], d + 1) for b in reversed(graph.get(path[-1], []))]
-        return pd.DataFrame(rows, columns=["pos", "path", "node", "depth"])
-
-    return own.groupBy("one").applyInPandas(walk, "pos int, path array<string>, node string, depth int")
+    start = root.select(F.col("id").cast("string").alias("id")) if isinstance(root, DataFrame) else spark.createDataFrame([(root,)] if root else [], "id string")
+    kind = "array<struct<ord: long, callee: string, nth: long>>"
+    start = start.select(F.col("id").alias("root"), F.col("id").alias("node"), F.array().cast(kind).alias("key"))
+    inside = reachable(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), start.select(F.col("node").alias("id")), depth)
+    own = calls.filter("callee IS NOT NULL").join(inside.select(F.col("id").alias("caller")), "caller", "left_semi").groupBy("caller", "ord", "callee").agg(F.count("*").alias("n"))
+    own = own.select("caller", "ord", "callee", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth"))
+    own = checkpointed(own.select("caller", F.struct(F.col("ord").cast("long").alias("ord"), F.col("callee").cast("string").alias("callee"), "nth").alias("step")))
+
+    def hung(expanded: DataFrame) -> DataFrame:
+        below = own.join(expanded.withColumnRenamed("node", "caller"), "caller")
+        return start.unionByName(below.select("root", F.col("step.callee").alias("node"), F.concat("key", F.array("step").cast(kind)).alias("key")))
+
+    expanded, moved = start.limit(0), True
+    while moved:
+        # on the last level nothing hangs below, so it doesn't keep a symbol from being expanded elsewhere
+        now = checkpointed(hung(expanded).filter(F.size("key") < depth).groupBy("root", "node").agg(F.min("key").alias("key")))
+        both = now.join(expanded.select("node", F.col("key").alias("_old")), "node", "full")
+        expanded, moved = now, not both.filter("key IS NULL OR _old IS NULL OR key != _old").isEmpty()
+    path = F.concat(F.array("root"), F.transform("key", lambda step: step["callee"]))
+    return in_order(hung(expanded), "pos", "key").select(F.col("pos").cast("int").alias("pos"), path.alias("path"), "node", F.size("key").alias("depth"))
 
 
 def module_candidates(name_col):

@@ -85,3 +85,19 @@ def drop_scratch(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut: a stored round of an operator."""
     return written(df, "round")
+
+
+def in_order(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df with its rows counted from 0 in the order of `by`, in a column `name`.
+
+    Ranges are sorted apart and stored once, so the numbers stay when tasks are repeated; the
+    driver sees a count a range.
+    """
+    from pyspark.sql import functions as F
+
+    rows = written(df.orderBy(*by).withColumn("_at", F.monotonically_increasing_id()), "in-order")
+    part = F.shiftright("_at", 33)
+    counts = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before = [sum(counts.get(p, 0) for p in range(q)) for q in range(max(counts, default=0) + 1)]
+    offset = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), (part + 1).cast("int"))
+    return rows.withColumn(name, offset + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
