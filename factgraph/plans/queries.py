@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factgraph.api import CodeGraph
+from factgraph.functions import table_functions
 from factgraph.functions import text as tx
-from factgraph.operators import closure, compound, graph, inspect, metrics, navigate, quality, resolve, rules
+from factgraph.operators import closure, compound, cycles, graph, inspect, metrics, navigate, quality, resolve, rules
 from factgraph.plans import adapters as ad
 from factgraph.plans.adapters import Tables
 from factgraph.sources import discovery
 from factgraph.sources.csharp_tree import facts_from_texts
-from factgraph.sources.scratch import scratch_dir
+from factgraph.sources.scratch import checkpointed, scratch_dir, written
+from factgraph.sources.solution_source import register as register_solutions
 from factgraph.schema import FactSet, Workspace, least_recently_used
 from factgraph.streaming import feed
 from factgraph.streaming.settle import settled, state_store
@@ -522,6 +524,28 @@ def circular_dependencies_walk(t: Tables) -> DataFrame:
     return _cycles(graph.back_edge_cycles(graph.mirrored(ad.copies(t))))
 
 
+@query(f"WITH RECURSIVE {NATIONS}, x AS (SELECT src, dst FROM w), {_WALK}")
+def back_edges_function(t: Tables) -> DataFrame:
+    """The walk as a table function in SQL, a strongly connected component a partition."""
+    table_functions.register(t.spark)
+    edges = checkpointed(graph.edge_weights(ad.nation_refs(t)))
+    part = cycles.strong_components(edges).select(F.col("id").alias("src"), F.col("component").alias("part"))
+    held = edges.join(part, "src").join(part.select(F.col("src").alias("dst"), F.col("part").alias("_part")), "dst").filter("part = _part").select("part", "src", "dst")
+    return _cycles(t.spark.sql("SELECT * FROM back_edges(TABLE({e}) PARTITION BY part ORDER BY (src, dst))", e=held))
+
+
+@query("""
+WITH g AS (SELECT user_id, epoch_us(ts) AS z, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 21600000000 AS cut FROM events),
+b AS (SELECT *, sum(coalesce(cut, true)::INT) OVER (PARTITION BY user_id ORDER BY z) AS b FROM g)
+SELECT min(z) AS first, max(z) AS last, count(*) AS n FROM b GROUP BY user_id, b
+""")
+def bursts_function(t: Tables) -> DataFrame:
+    """Runs of a user's events with no six hours between them, by a table function in SQL."""
+    table_functions.register(t.spark)
+    rows = t.events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return t.spark.sql("SELECT * FROM bursts(TABLE({r}) PARTITION BY user_id ORDER BY (at), 21600000000)", r=rows)
+
+
 @query(f"""
 WITH RECURSIVE {NATIONS}, c AS (SELECT src, dst, n_nationkey AS ord FROM e JOIN nation ON dst = n_name),
 s(pos, stack, seen, path, depth) AS (
@@ -1205,14 +1229,41 @@ def best_solution(t: Tables) -> DataFrame:
 @query("SELECT r_name || CASE WHEN r_regionkey % 2 = 0 THEN '.sln' ELSE '.slnx' END AS path, n_name AS project, 'src/' || n_name || '.csproj' AS project_path FROM region JOIN nation ON r_regionkey = n_regionkey")
 def solution_projects(t: Tables) -> DataFrame:
     """A region is a solution file, old or new, of its nations' projects."""
+    return discovery.solution_projects(_solution_texts(t)).select("path", "project", "project_path")
+
+
+def _solution_texts(t: Tables) -> DataFrame:
     line = F.concat(F.lit('Project("{X}") = "'), "n_name", F.lit('", "src\\'), "n_name", F.lit('.csproj", "{Y}"\nEndProject'))
     tag = F.concat(F.lit('  <Project Path="src/'), "n_name", F.lit('.csproj" />'))
     old = F.pmod("r_regionkey", F.lit(2)) == 0
     rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name", "r_regionkey").agg(
         F.concat(F.when(old, "").otherwise("<Solution>\n"), F.array_join(F.collect_list(F.when(old, line).otherwise(tag)), "\n"), F.when(old, "").otherwise("\n</Solution>")).alias("text")
     )
-    texts = rows.select(F.concat("r_name", F.when(old, ".sln").otherwise(".slnx")).alias("path"), "text")
-    return discovery.solution_projects(texts).select("path", "project", "project_path")
+    return rows.select(F.concat("r_name", F.when(old, ".sln").otherwise(".slnx")).alias("path"), "text")
+
+
+@query(SQL["solution_projects"])
+def solution_source(t: Tables) -> DataFrame:
+    """The same from files by the data source: Spark writes a file a region, some of the old form under the name of the new one."""
+    folder = f"{scratch_dir(t.spark)}/solutions-{uuid.uuid4().hex}"
+    texts = _solution_texts(t)
+
+    def save(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, root = fs.FileSystem.from_uri(folder) if folder.startswith("file:") or "://" in folder else (fs.LocalFileSystem(), folder)
+                system.create_dir(root)
+                with system.open_output_stream(f"{root}/{name}") as f:
+                    f.write(text.encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    written(texts.mapInArrow(save, "path string"), "saved")
+    register_solutions(t.spark)
+    found = t.spark.read.format("solution").load(folder)
+    return found.select(F.substring_index("path", "/", -1).alias("path"), "project", "project_path")
 
 
 @query(f"""
