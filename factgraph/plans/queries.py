@@ -19,6 +19,7 @@ from factgraph.api import CodeGraph
 from factgraph.functions import table_functions
 from factgraph.functions import text as tx
 from factgraph.operators import closure, compound, cycles, graph, inspect, metrics, navigate, quality, resolve, rules
+from factgraph.operators.name_index import NameIndex
 from factgraph.plans import adapters as ad
 from factgraph.plans.adapters import Tables
 from factgraph.sources import discovery
@@ -193,6 +194,26 @@ def find_symbol_kind(t: Tables) -> DataFrame:
     return resolve.find_symbol(ad.named_parts(t), "*bolt", "interface").select("display", "sym_ord")
 
 
+@query("""
+WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT c_name FROM customer UNION SELECT s_name FROM supplier)
+SELECT 'glob' AS way, '*D w?dg*' AS asked, name, 0 AS distance FROM n WHERE name ILIKE '%d w_dg%'
+UNION ALL SELECT 'glob', '*bolt', name, 0 FROM n WHERE name ILIKE '%bolt' UNION ALL SELECT 'glob', '*#0000000?1', name, 0 FROM n WHERE name LIKE '%#0000000_1'
+UNION ALL SELECT 'glob', 'red widget', name, 0 FROM n WHERE lower(name) = 'red widget'
+UNION ALL SELECT 'near', q, name, levenshtein(lower(name), q) FROM n, (VALUES ('red widgte'), ('customer#00000011')) v(q) WHERE levenshtein(lower(name), q) BETWEEN 1 AND 2
+""")
+def name_index(t: Tables) -> DataFrame:
+    """Names of parts, with those of customers and suppliers appended, looked up by a stored index."""
+    index = NameIndex.create(t.part, f"{scratch_dir(t.spark)}/names-{uuid.uuid4().hex}", "p_name")
+    index.append(t.customer, "c_name")
+    index.append(t.supplier, "s_name")
+    out = None
+    for way, asked in (("glob", "*D w?dg*"), ("glob", "*bolt"), ("glob", "*#0000000?1"), ("glob", "red widget"), ("near", "red widgte"), ("near", "customer#00000011")):
+        found = index.matching(asked).withColumn("distance", F.lit(0)) if way == "glob" else index.near(asked)
+        found = found.select(F.lit(way).alias("way"), F.lit(asked).alias("asked"), "name", F.col("distance").cast("int").alias("distance"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("""
 WITH n AS (SELECT DISTINCT p_name AS name FROM part)
 SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name) AS distance FROM n a JOIN n b ON a.name < b.name AND levenshtein(a.name, b.name) BETWEEN 1 AND 2
