@@ -126,24 +126,34 @@ def local_names(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
     return plain.unionByName(each).unionByName(given.distinct())
 
 
-def bind_nodes(nodes: DataFrame, symbols: DataFrame, inherits: DataFrame, usings: DataFrame, documents: DataFrame) -> DataFrame:
-    """(doc_id, node_id, symbol, kind, type): of names, accesses and calls in bodies what they mean and the type that they give.
+def placed_nodes(nodes: DataFrame) -> DataFrame:
+    """Stored nodes of bodies with `home`, the type that their method is in."""
+    return checkpointed(nodes.select("doc_id", "owner_symbol", "node_id", "parent_id", "kind", "text", "pre", "post").withColumn("home", outer(F.col("owner_symbol"))))
 
-    symbol and kind are null for locals, type is null where none of the solution is known;
-    nodes of which nothing is known have no row. inherits: bound (bind_inherits).
+
+def visible_members(symbols: DataFrame, inherits: DataFrame, usings: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored (typed_members, lineage) for find_members: a class shows what its bases have, an interface what those above it have.
+
+    A class doesn't show its interfaces' members.
     """
-    at = checkpointed(nodes.select("doc_id", "owner_symbol", "node_id", "parent_id", "kind", "text", "pre", "post").withColumn("home", outer(F.col("owner_symbol"))))
-    # a class shows what its bases have, an interface what those above it have; a class doesn't show its interfaces' members
     faces = symbols.filter(F.lower("type_kind") == "interface").select(F.col("display").alias("child")).distinct().withColumn("_face", F.lit(True))
     shown = inherits.join(faces, "child", "left").filter("rel = 'base' OR _face")
-    members, above = checkpointed(typed_members(symbols, usings, documents)), checkpointed(lineage(shown))
+    return checkpointed(typed_members(symbols, usings, documents)), checkpointed(lineage(shown))
+
+
+def bind_leaves(at: DataFrame, symbols: DataFrame, inherits: DataFrame, usings: DataFrame, members: DataFrame, above: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored (known, seen): what names without a receiver and new objects mean, as bind_nodes gives it, and of locals what they are.
+
+    at: nodes with `home`, the type that their method is in. seen: doc_id, node_id, type, value_id
+    (the first value of a `var`). No rounds are needed here.
+    """
     shape = "doc_id", "node_id", "symbol", "kind", "type"
     parent = at.select("doc_id", F.col("node_id").alias("parent_id"), F.col("kind").alias("p_kind"), F.col("pre").alias("p_pre"))
     names = at.filter("kind = 'IdentifierName' AND text != ''").withColumnRenamed("text", "name").join(parent, ["doc_id", "parent_id"], "left")
     names = checkpointed(names.filter(~F.col("p_kind").isin(*ACCESSES) | (F.col("pre") == F.col("p_pre") + 1) | F.col("p_kind").isNull()).select("doc_id", "owner_symbol", "home", "node_id", "pre", "name"))
 
     # locals of the innermost block
-    local = bind_types(local_names(nodes, symbols).withColumn("place", outer(F.col("owner_symbol"))), symbols, usings)
+    local = bind_types(local_names(at, symbols).withColumn("place", outer(F.col("owner_symbol"))), symbols, usings)
     seen = names.join(local.drop("place"), ["doc_id", "owner_symbol", "name"]).filter("pre >= low AND pre <= high")
     seen = checkpointed(seen.groupBy("doc_id", "node_id").agg(F.max_by(F.struct("type", F.when(F.col("written") == "var", F.col("value_id")).alias("value_id")), "low").alias("v")).select("doc_id", "node_id", "v.*"))
     free = names.join(seen, ["doc_id", "node_id"], "left_anti")
@@ -165,7 +175,20 @@ def bind_nodes(nodes: DataFrame, symbols: DataFrame, inherits: DataFrame, usings
     made = bind_types(made, symbols, usings).filter("type IS NOT NULL").select("doc_id", "node_id", F.col("type").alias("symbol"), F.lit("type").alias("kind"), "type")
     known = this.unionByName(base).unionByName(own.filter("symbol IS NOT NULL").select(*shape)).unionByName(typed).unionByName(made)
     known = known.unionByName(seen.select("doc_id", "node_id", none.alias("symbol"), none.alias("kind"), "type"))
-    known = checkpointed(known)
+    return checkpointed(known), seen
+
+
+def bind_nodes(nodes: DataFrame, symbols: DataFrame, inherits: DataFrame, usings: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, node_id, symbol, kind, type): of names, accesses and calls in bodies what they mean and the type that they give.
+
+    symbol and kind are null for locals, type is null where none of the solution is known;
+    nodes of which nothing is known have no row. inherits: bound (bind_inherits).
+    """
+    at = placed_nodes(nodes)
+    members, above = visible_members(symbols, inherits, usings, documents)
+    known, seen = bind_leaves(at, symbols, inherits, usings, members, above)
+    none = F.lit(None).cast("string")
+    parent = at.select("doc_id", F.col("node_id").alias("parent_id"), F.col("kind").alias("p_kind"), F.col("pre").alias("p_pre"))
 
     # from the inside out
     first = at.join(parent, ["doc_id", "parent_id"]).filter("pre = p_pre + 1")
@@ -190,6 +213,29 @@ def bind_nodes(nodes: DataFrame, symbols: DataFrame, inherits: DataFrame, usings
     return known.unionByName(tails).groupBy("doc_id", "node_id").agg(F.max("symbol").alias("symbol"), F.max("kind").alias("kind"), F.max("type").alias("type"))
 
 
+def chain_roots(nodes: DataFrame, symbols: DataFrame, inherits: DataFrame, usings: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, node_id, root_id, steps, symbol, type): of each access, call and local where its chain begins, and what stands there.
+
+    a.b().c begins at a, and a local whose type isn't said at its first value, however many locals
+    lie between. Every node points at what it is taken from, and pointers are doubled, so a chain
+    of n steps takes about log2(n) rounds. inherits: bound.
+    """
+    at = placed_nodes(nodes)
+    known, seen = bind_leaves(at, symbols, inherits, usings, *visible_members(symbols, inherits, usings, documents))
+    parent = at.filter(F.col("kind").isin(*ACCESSES, "InvocationExpression", "ElementAccessExpression", "ParenthesizedExpression")).select("doc_id", F.col("node_id").alias("parent_id"), F.col("pre").alias("p_pre"))
+    taken = at.select("doc_id", "node_id", "parent_id", "pre").join(parent, ["doc_id", "parent_id"]).filter("pre = p_pre + 1").select("doc_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("to"))
+    first = seen.filter("type IS NULL AND value_id IS NOT NULL").select("doc_id", "node_id", F.col("value_id").alias("to"))
+    links = checkpointed(taken.unionByName(first).select("doc_id", "node_id", "to", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")))
+    while not links.filter("moved").isEmpty():
+        on = links.select("doc_id", F.col("node_id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"))
+        # a local in its own first value would go round; it has no root
+        on = on.filter("_to != to")
+        joined = links.join(on, ["doc_id", "to"], "left")
+        links = checkpointed(joined.select("doc_id", "node_id", F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_to").isNotNull().alias("moved")).filter("to != node_id"))
+    ends = known.groupBy("doc_id", F.col("node_id").alias("to")).agg(F.max("symbol").alias("symbol"), F.max("type").alias("type"))
+    return links.join(ends, ["doc_id", "to"], "left").select("doc_id", "node_id", F.col("to").alias("root_id"), "steps", "symbol", "type")
+
+
 def type_refs(symbols: DataFrame, inherits: DataFrame, usings: DataFrame, documents: DataFrame) -> DataFrame:
     """The type_refs facts: bases, interfaces, fields, properties, results and parameters of each type, where the solution declares them.
 

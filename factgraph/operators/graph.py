@@ -233,6 +233,18 @@ def community_stats(labels: DataFrame, edges: DataFrame, most: int | None = 30)
     return out if most is None else out.orderBy(F.desc("members"), "label").limit(most)
 
 
+def community_members(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(label, id, degree, nth): the members of each community, those with the most neighbours first, then by id; nth counts from 0.
+
+    All are sorted in one order by many tasks, so a community of any size is split.
+    """
+    degree = degrees(mirrored(edges)).select("id", F.col("out_degree").alias("degree"))
+    rows = labels.join(degree, "id", "left").select("label", (-F.coalesce("degree", F.lit(0))).alias("_less"), "id")
+    placed = in_order(rows, "_place", "label", "_less", "id")
+    begins = placed.groupBy("label").agg(F.min("_place").alias("_begin"))
+    return placed.join(begins, "label").select("label", "id", (-F.col("_less")).alias("degree"), (F.col("_place") - F.col("_begin")).alias("nth"))
+
+
 # --- project, call and module graphs ---------------------------------------------------------
 
 

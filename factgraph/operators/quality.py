@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.functions import text as tx
 from factgraph.operators.resolve import first_by
+from factgraph.sources.scratch import checkpointed, in_order
 
 # --- fixed values ---------------------------------------------------------------------
 
@@ -117,16 +118,16 @@ def duplicates(bodies: DataFrame, min_statements: int = 5, most: int | None = 20
     group's members from 0. A row a member, so no group is gathered in a row; texts stay
     where they were read, and are read once: fingerprints are stored.
     """
-    from factgraph.sources.scratch import checkpointed
-
     rows = bodies.filter((F.col("statements") >= min_statements) & tx.equals_ignore_case(F.col("project"), project))
     rows = checkpointed(rows.select(F.sha2("normalized", 256).alias("fingerprint"), "display", "statements", "ord"))
     groups = rows.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.min_by("statements", F.struct("ord", "display")).alias("statements")).filter("n > 1")
     if most is not None:
         groups = groups.orderBy("first", "fingerprint").limit(most)
-    place = Window.partitionBy("fingerprint").orderBy("ord", "display")
-    return rows.drop("statements").join(groups, "fingerprint").select(
-        "fingerprint", F.col("display").alias("member"), (F.row_number().over(place) - 1).alias("nth"), "statements", "n", F.lit(1.0).alias("similarity")
+    # members are counted in one order of all, so that a group of any size is sorted by many tasks
+    placed = in_order(rows.drop("statements").join(groups.select("fingerprint"), "fingerprint", "left_semi"), "_place", "fingerprint", "ord", "display")
+    begins = placed.groupBy("fingerprint").agg(F.min("_place").alias("_begin"))
+    return placed.join(groups.join(begins, "fingerprint"), "fingerprint").select(
+        "fingerprint", F.col("display").alias("member"), (F.col("_place") - F.col("_begin")).cast("int").alias("nth"), "statements", "n", F.lit(1.0).alias("similarity")
     )
 
 

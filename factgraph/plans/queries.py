@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from factgraph.api import CodeGraph
 from factgraph.functions import table_functions
 from factgraph.functions import text as tx
-from factgraph.operators import closure, compound, cycles, graph, inspect, metrics, navigate, quality, resolve, rules
+from factgraph.operators import binding, closure, compound, cycles, graph, inspect, metrics, navigate, quality, resolve, rules
 from factgraph.operators.name_index import NameIndex
 from factgraph.plans import adapters as ad
 from factgraph.plans.adapters import Tables
 from factgraph.sources import discovery
-from factgraph.sources.csharp_tree import facts_from_texts
+from factgraph.sources.csharp_tree import facts_from_texts, usings
 from factgraph.sources.scratch import checkpointed, scratch_dir, written
 from factgraph.sources.solution_source import register as register_solutions
 from factgraph.schema import FactSet, Workspace, least_recently_used
@@ -627,6 +627,15 @@ def communities(t: Tables) -> DataFrame:
     return graph.communities_exact(ad.nation_edges(t))
 
 
+@query(f"""
+SELECT label, id, degree, row_number() OVER (PARTITION BY label ORDER BY degree DESC, id) - 1 AS nth FROM ({SQL["communities"]}) JOIN (
+  WITH {NATIONS} SELECT id, count(*) AS degree FROM (SELECT src AS id, dst FROM e UNION SELECT dst, src FROM e) GROUP BY id) USING (id)
+""")
+def community_members(t: Tables) -> DataFrame:
+    edges = checkpointed(ad.nation_edges(t))
+    return graph.community_members(graph.communities_exact(edges), edges)
+
+
 @query()  # the steps of one walk are too many for SQL here; tests/test_queries.py walks them
 def communities_parts(t: Tables) -> DataFrame:
     """Parts that are ordered together, nearly all of them in one component."""
@@ -1196,6 +1205,21 @@ def derived_structure(t: Tables) -> DataFrame:
     return over.unionByName(facts["member_impl"].select(F.lit("member_impl").alias("fact"), F.col("member").alias("a"), F.col("interface_member").alias("b"))).unionByName(tied)
 
 
+@query("SELECT c_custkey AS doc_id, 2 * (2 * c_nationkey + 1) + 2 AS steps, 'N' || c_custkey || '.Order' AS type, c_mktsegment AS field FROM customer")
+def chain_roots(t: Tables) -> DataFrame:
+    """A customer's class calls a chain on a local, up to 49 calls long; behind two locals stands a field that is named after its segment."""
+    key = F.col("c_custkey").cast("string")
+    text = F.concat(
+        F.lit("namespace N"), key, F.lit("; class Order { Order Next() { return this; } } class Use { Order "), F.lower("c_mktsegment"),
+        F.lit("; void Go() { var a = "), F.lower("c_mktsegment"), F.lit("; var b = a; b"), F.repeat(F.lit(".Next()"), F.col("c_nationkey") * 2 + 1), F.lit("; } }"),
+    )
+    docs = t.customer.select(F.col("c_custkey").cast("long").alias("doc_id"), F.lit("P").alias("project"), F.concat(key, F.lit(".cs")).alias("file_path"), text.alias("text"), F.col("c_custkey").cast("long").alias("doc_ord"))
+    facts = facts_from_texts(docs)
+    found = binding.chain_roots(facts["syntax_nodes"], facts["symbols"], facts["inherits"], usings(docs), docs)
+    longest = found.groupBy("doc_id").agg(F.max_by(F.struct("steps", "type", "symbol"), "steps").alias("m"))
+    return longest.select("doc_id", "m.steps", "m.type", F.upper(F.substring_index("m.symbol", ".", -1)).alias("field"))
+
+
 # --- 117, 118: data and control flow of source texts --------------------------------------------------------------
 
 #: A body of M(int a, ref int r, out int o); returns, exits, whether its end is reached; what has which role.

@@ -3,6 +3,7 @@
 import pytest
 
 from factgraph.api import CodeGraph
+from factgraph.operators import binding
 from factgraph.sources import csharp_tree as ct
 from tests.conftest import rows
 
@@ -108,6 +109,19 @@ def test_tools_on_texts_alone(facts):
     assert code.get_communities().count() == 1 and code.find_surprising_dependencies().count() > 0
 
 
+def test_roots_of_chains(facts, spark):
+    used = ct.usings(facts["documents"])
+    found = binding.chain_roots(facts["syntax_nodes"], facts["symbols"], facts["inherits"], used, facts["documents"])
+    at = facts["syntax_nodes"].filter("owner_symbol = 'Shop.Sql.Store.Run'").select("doc_id", "node_id", "line", "kind")
+    by_line = {}
+    for r in found.join(at, ["doc_id", "node_id"]).collect():
+        by_line[r.line] = max(by_line.get(r.line, (0, "", "")), (r.steps, r.type or "", r.symbol or ""))
+    c = "Shop.Core."
+    # o.Next().Next().Owner.Touch() goes on through the local o to `new Order()`
+    assert by_line[12] == (8, c + "Order", c + "Order") and by_line[13] == (2, c + "Customer", "") and by_line[16] == (2, "Shop.Sql.Helper", "Shop.Sql.Helper")
+    assert by_line[17] == (2, "Shop.Sql.Store", "") and by_line[18] == (2, "", "")
+
+
 def test_members_of_types():
     text = """class A<T> : B<T> where T : class
     {
