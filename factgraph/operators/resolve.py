@@ -43,7 +43,7 @@ def fuzzy_search(symbols: DataFrame, name: str, kind: str | None = None, project
     exact = find_symbol(symbols, name, kind).withColumn("match_quality", F.lit("exact")).withColumn("score", F.lit(0))
     rows = symbols.filter(tx.kind_matches(kind))
     if projects is not None:
-        rows = rows.join(F.broadcast(projects.select("project", F.col("ord").alias("_project_ord"))), "project", "left")
+        rows = rows.join(projects.select("project", F.col("ord").alias("_project_ord")), "project", "left")
     else:
         rows = rows.withColumn("_project_ord", F.lit(0))
     rows = rows.withColumn("_project_ord", F.coalesce("_project_ord", F.lit(0)))

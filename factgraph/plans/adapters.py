@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factgraph.operators.graph import edge_weights
 from factgraph.schema import conform
+from factgraph.sources.scratch import checkpointed
 
 
 class Tables:
@@ -67,7 +68,7 @@ def nation_refs(t: Tables) -> DataFrame:
 
 def nation_edges(t: Tables) -> DataFrame:
     """(src, dst, weight): which nations' suppliers deliver unusually often to which nations' customers; that is what an edge means here."""
-    w = edge_weights(nation_refs(t))
+    w = checkpointed(edge_weights(nation_refs(t)))  # read twice, and by all that asks again
     cut = w.agg((F.avg("weight") + 1.5 * F.stddev_pop("weight")).alias("cut"))
     return w.join(F.broadcast(cut)).filter("weight >= cut").drop("cut")  # one row
 
