@@ -64,7 +64,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
         here = checkpointed(reachable(_turned(inside), roots).select("id").join(least, "id").select("id", F.col("least").alias("component")))
         found = found.unionByName(here)
         rest = inside.join(here.select(F.col("id").alias("src")), "src", "left_anti").join(here.select(F.col("id").alias("dst")), "dst", "left_anti")
-        left = _between_cycles(checkpointed(rest.select("src", "dst")))
+        rest = checkpointed(rest.select("src", "dst"))
+        left = rest if rest.isEmpty() else _between_cycles(rest)
     return found
 
 
