@@ -16,6 +16,7 @@ from factgraph.functions import text as tx
 from factgraph.operators import closure, compound, graph, inspect, metrics, navigate, quality, resolve, rules
 from factgraph.schema import FactSet, Workspace
 from factgraph.sources import csharp, discovery
+from factgraph.sources.scratch import checkpointed
 
 MAX_RESULTS_ENV = "FACTGRAPH_MAX_RESULTS"
 
@@ -24,7 +25,7 @@ class CodeGraph:
     def __init__(self, facts: FactSet | None = None, workspace: Workspace | None = None, env: dict[str, str] | None = None):
         if (facts is None) == (workspace is None):
             raise ValueError("either facts or a workspace")
-        self.workspace, self._facts = workspace, facts
+        self.workspace, self._facts, self._parsed = workspace, facts, None
         env = os.environ if env is None else env
         self.cap = discovery.number_from(dict(env), MAX_RESULTS_ENV, 0) or None
 
@@ -56,7 +57,13 @@ class CodeGraph:
         return rows.filter(ends(F.col("file_path"), file)) if file else rows
 
     def _nodes(self, file: str | None = None, project: str | None = None, raw: bool = False) -> DataFrame:
-        nodes = csharp.rule_nodes(self._documents(file, project, raw))
+        if file or project:
+            nodes = csharp.rule_nodes(self._documents(file, project, raw))
+        else:
+            # all texts are parsed once for all that is asked of them
+            if self._parsed is None or self._parsed[0] is not self.facts:
+                self._parsed = self.facts, checkpointed(csharp.rule_nodes(self._documents()))
+            nodes = self._parsed[1]
         return rules.with_receivers(nodes, self.facts["inherits"]) if "inherits" in self.facts.given else nodes
 
     def _out(self, df: DataFrame) -> DataFrame:
