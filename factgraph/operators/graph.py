@@ -214,7 +214,8 @@ def communities_sync(edges: DataFrame, iterations: int = 5) -> DataFrame:
     both = checkpointed(both.filter("src != dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     labels = both.select(F.col("src").alias("id"), F.col("src").alias("label")).distinct()
     for i in range(iterations):
-        around = both.join(labels, F.col("dst") == F.col("id")).groupBy("src", "label").agg(F.sum("weight").alias("w"))
+        # rows of a node go to one task before both aggregates: there are next to none to add up before, and it is one exchange for two
+        around = both.join(labels, F.col("dst") == F.col("id")).select("src", "label", "weight").repartition("src").groupBy("src", "label").agg(F.sum("weight").alias("w"))
         labels = around.groupBy(F.col("src").alias("id")).agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label"))
         if i % 4 == 3:
             labels = checkpointed(labels)
