@@ -167,42 +167,74 @@ def circular_dependencies(projects: DataFrame, project_refs: DataFrame, type_ref
 def communities_exact(edges: DataFrame, iterations: int = 20) -> DataFrame:
     """(id, label) by label propagation in place: nodes in ordinal order take the heaviest label around them, ties to the one met first.
 
-    Neighbours are met in the order of edges (ord, then src and dst, either way round). Within a round
-    a node's label depends on this round's labels of smaller neighbours and last round's of
-    larger ones, so the round is the only fix point of all its nodes' rules: all take their
-    labels at once, as if the smaller ones kept theirs, and whoever has a smaller neighbour
-    that changed does so again, until nobody has. After k passes every node is final that
-    no chain of k smaller neighbours leads to, so a round ends; in most of them few nodes
-    go a second time. Each pass reads only nodes next to a change, is an aggregate and two joins, and is stored; a
-    component of any size is spread over all tasks.
+    Neighbours are met in the order of edges (ord, then src and dst, either way round). Nodes are
+    numbered in their order, so that rounds are about numbers alone.
     """
     rows = edges.select(
         F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"),
         (F.col("weight") if "weight" in edges.columns else F.lit(1)).cast("long").alias("weight"),
         (F.col("ord") if "ord" in edges.columns else F.lit(0)).cast("long").alias("ord"),
     ).filter("src IS NOT NULL AND dst IS NOT NULL")
-    met = F.struct("ord", "src", "dst")
+    rows = checkpointed(rows)
+    names = in_order(rows.select(F.explode(F.array("src", "dst")).alias("name")).distinct(), "n", "name")
+    number = lambda end: names.select(F.col("name").alias(end), F.col("n").alias(f"_{end}"))
+    numbered = rows.join(number("src"), "src").join(number("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "weight", "ord")
+    if "ord" in edges.columns:
+        numbered = in_order(numbered, "met", "ord", "src", "dst")
+    found = communities_numbered(numbered, iterations)
+    name = lambda key: names.select(F.col("n").alias(key), F.col("name").alias(f"_{key}"))
+    return found.join(name("id"), "id").join(name("label"), "label").select(F.col("_id").alias("id"), F.col("_label").alias("label"))
+
+
+#: Of as many nodes or fewer one has to have moved, or else a pass goes over all: most are next to a change then.
+_FEW = 1_000
+
+
+def communities_numbered(edges: DataFrame, iterations: int = 20) -> DataFrame:
+    """communities_exact of nodes that are numbers from 0 up to 2^31, in their order: edges (src, dst, weight, maybe met, the place where an edge is met).
+
+    Within a round a node's label depends on this round's labels of smaller neighbours and last round's of
+    larger ones, so the round is the only fix point of all its nodes' rules: all take their
+    labels at once, as if the smaller ones kept theirs, and whoever has a smaller neighbour
+    that changed does so again, until nobody has. After k passes every node is final that
+    no chain of k smaller neighbours leads to, so a round ends. Once few nodes change, a pass reads only
+    those next to a change; a node that goes again without need finds what it has. Each pass is two
+    exchanges and is stored; a component of any size is spread over all tasks.
+    """
+    met = F.col("met") if "met" in edges.columns else F.shiftleft(F.col("src").cast("long"), 32).bitwiseOR(F.col("dst").cast("long"))
+    rows = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("long").alias("weight"), met.alias("met"))
     ends = F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("id"), F.col("src").alias("other")))
-    around = rows.select("weight", met.alias("met"), F.inline(ends)).groupBy("id", "other").agg(F.sum("weight").alias("weight"), F.min("met").alias("met"))
-    around = checkpointed(around)
+    around = checkpointed(rows.select("weight", "met", F.inline(ends)).groupBy("id", "other").agg(F.sum("weight").alias("weight"), F.min("met").alias("met")))
     labels = checkpointed(around.select("id").distinct().select("id", F.col("id").alias("last"), F.col("id").alias("label"), F.lit(True).alias("moved")))
-    for n in range(iterations):
+    nodes = labels.count()
+
+    def beside(moved: DataFrame, many: int, where: str) -> DataFrame:
+        """around, of the nodes that have a neighbour among those that moved."""
+        if many * _FEW > nodes:
+            return around
+        asked = around.join(moved.filter("moved").select(F.col("id").alias("other")), "other", "left_semi").filter(where).select("id").distinct()
+        return around.join(asked, "id", "left_semi")
+
+    many = nodes
+    for _ in range(iterations):
         # a larger neighbour, or the node itself, brings what it had after the last round
-        asked = around.join(labels.filter("moved").select(F.col("id").alias("other")), "other", "left_semi").filter("other >= id").select("id").distinct() if n else labels.select("id")
+        here = beside(labels, many, "other >= id")
         labels = labels.select("id", F.col("label").alias("last"), "label")
         while True:
-            seen = labels.select(F.col("id").alias("other"), F.col("last").alias("_last"), F.col("label").alias("_label"))
-            found = around.join(asked, "id", "left_semi").join(seen, "other").select("id", F.when(F.col("other") < F.col("id"), F.col("_label")).otherwise(F.col("_last")).alias("new"), "weight", "met")
-            found = found.groupBy("id", "new").agg(F.struct((-F.sum("weight")).alias("weight"), F.min("met").alias("met")).alias("rank"))
-            best = found.groupBy("id").agg(F.min_by("new", "rank").alias("new"))
+            seen = labels.select(F.col("id").alias("other"), F.col("last").alias("_last"), F.col("label").alias("_label")).hint("shuffle_hash")
+            found = here.join(seen, "other").select("id", F.when(F.col("other") < F.col("id"), F.col("_label")).otherwise(F.col("_last")).alias("new"), "weight", "met")
+            # one exchange for both aggregates; there is little to add up before
+            found = found.repartition("id").groupBy("id", "new").agg(F.sum("weight").alias("weight"), F.min("met").alias("met"))
+            best = found.groupBy("id").agg(F.min_by("new", F.struct(-F.col("weight"), "met")).alias("new"))
             labels = checkpointed(labels.join(best, "id", "left").select("id", "last", F.coalesce("new", "label").alias("label"), F.coalesce(F.col("new") != F.col("label"), F.lit(False)).alias("moved")))
-            moved = labels.filter("moved")
-            if moved.isEmpty():
+            many = labels.filter("moved").count()
+            if not many:
                 break
-            asked = around.join(moved.select(F.col("id").alias("other")), "other", "left_semi").filter("other < id").select("id").distinct()
+            here = beside(labels, many, "other < id")
             labels = labels.drop("moved")
         labels = labels.withColumn("moved", F.col("label") != F.col("last"))
-        if labels.filter("moved").isEmpty():
+        many = labels.filter("moved").count()
+        if not many:
             break
     return labels.select("id", "label")
 
