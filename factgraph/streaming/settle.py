@@ -28,34 +28,39 @@ class Settle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getValueState("waiting", "text string, at long, seq long")
-        self.highest = handle.getValueState("highest", "seq long")
+        # one value, as each access is a round trip to the state: what waits (without a time: nothing), and the highest number
+        self.known = handle.getValueState("known", "text string, at long, seq long, highest long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["seq", "at"], kind="stable")
-        highest = self.highest.get()[0] if self.highest.exists() else None
-        held = self.waiting.get() if self.waiting.exists() else None
-        held = None if held is None else (key[0], *held)
+        text, at, seq, highest = self.known.get() or (None, None, None, None)
+        due = None if at is None else self._due(at)
+        # sorted by time within a number, and as they came within both; a few tuples a path, for which a frame costs more than the work
+        new = sorted((t for part in rows for t in zip(part["text"].tolist(), part["at"].tolist(), part["seq"].tolist())), key=lambda t: t[:0:-1])
         out = []
-        for text, at, seq in zip(new["text"], new["at"], new["seq"]):
-            if highest is not None and seq <= highest:
+        for next_text, next_at, next_seq in new:
+            if highest is not None and next_seq <= highest:
                 continue
-            highest = int(seq)
-            if held is not None and at - held[2] > self.quiet:
-                out.append(held)
-            held = (key[0], text, int(at), int(seq))
-        if held is not None:
-            self.highest.update((highest,))
-            self.waiting.update(held[1:])
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer((held[2] + self.quiet) // 1000)
-        yield pd.DataFrame(out, columns=_COLUMNS)
+            highest = next_seq
+            if at is not None and next_at - at > self.quiet:
+                out.append((key[0], text, at, seq))
+            text, at, seq = next_text, next_at, next_seq
+        if at is not None:
+            self.known.update((text, at, seq, highest))
+            if due != self._due(at):
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self.handle.registerTimer(self._due(at))
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.waiting.get() if self.waiting.exists() else None
-        self.waiting.clear()
-        yield pd.DataFrame([] if held is None else [(key[0], *held)], columns=_COLUMNS)
+        text, at, seq, highest = self.known.get() or (None, None, None, None)
+        if at is not None:
+            self.known.update((None, None, None, highest))
+            yield pd.DataFrame([(key[0], text, at, seq)], columns=_COLUMNS)
+
+    def _due(self, at: int) -> int:
+        return (at + self.quiet) // 1000
 
     def close(self) -> None:
         pass
