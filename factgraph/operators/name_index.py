@@ -1,7 +1,7 @@
 """A stored inverted index of names, for globs, parts of names and near names.
 
-Each name has keys: itself, its trigrams between marks for its begin and end, and what is left of it when
-up to two characters are deleted. They lie in folders by kind and by bucket of the key's checksum, and
+Each name has keys: itself, its trigrams between marks for its begin and end, and its thirds, or of a short
+one what is left when up to two characters are deleted. They lie in folders by kind and by bucket of the key's checksum, and
 the keys of a question are few and known beforehand, so a look-up opens the buckets of its keys and
 nothing else. What comes back is verified by the very predicates that a scan uses, so
 both give the same rows. Names that are added later are appended.
@@ -21,8 +21,8 @@ from factgraph.functions import text as tx
 from factgraph.operators.resolve import first_by
 
 BEGIN, END = "\x02", "\x03"
-#: Names up to this length have a key for each deletion of up to two characters; longer ones have their thirds, of which two edits leave one.
-SHORT = 40
+#: Names up to this length have a key for each deletion of up to two characters, 37 at most; longer ones have their thirds, of which two edits leave one.
+SHORT = 8
 _SCHEMA = "key string, name string, kind string, bucket int"
 
 
@@ -87,7 +87,10 @@ class NameIndex:
         near = F.when(n <= SHORT, F.array_distinct(F.concat(F.array(low), once, twice))).otherwise(third)
         of_kind = lambda kind, keys: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
         kinds = F.concat(of_kind("name", F.array(low)), of_kind("gram", grams), of_kind("near", near))
-        rows = names.select("name", F.inline(kinds)).withColumn("bucket", self._bucket(F.col("key")))
+        # spread over a fixed number of tasks: names are few bytes, so Spark would make all their keys in one. By a hash, as an
+        # exchange by name itself is left out after one that distinct makes
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+        rows = names.repartition(parts, F.xxhash64("name")).select("name", F.inline(kinds)).withColumn("bucket", self._bucket(F.col("key")))
         # a folder's rows in one task, so that it gets one file a write
         rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "key").write.mode("append").partitionBy("kind", "bucket").parquet(self.path)
 
