@@ -87,11 +87,19 @@ def drop_scratch(spark: SparkSession) -> None:
 UNPACKED = "spark.sql.sources.fileCompressionFactor", 100.0
 
 
+#: Up to how many bytes a side of a join is broadcast, be they guessed or seen at run time. Each broadcast goes through the driver, an
+#: operator of many rounds has some hundred joins, and what is guessed of a union or a semi-join can be a quarter of what comes.
+BROADCAST = "spark.sql.autoBroadcastJoinThreshold", "512k"
+
+
 def honest_sizes(spark: SparkSession) -> None:
-    """Lets Spark take files for UNPACKED times their size, where the session says nothing of its own. Joins of what is small are still broadcast, by sizes at run time."""
+    """Lets Spark take files for UNPACKED times their size and broadcast up to BROADCAST, where the session says nothing of its own."""
     name, factor = UNPACKED
     if float(spark.conf.get(name, "1.0")) == 1.0:
         spark.conf.set(name, str(factor))
+    name, most = BROADCAST
+    if spark.conf.get(name) == "10485760b":
+        spark.conf.set(name, most)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
