@@ -1,8 +1,11 @@
-"""Cycles by the back edges of a depth-first walk, with tasks no larger than a strongly connected component."""
+"""Cycles by the back edges of a depth-first walk; no task holds more at once than a strongly connected component."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,21 +72,25 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A component from its entry: rows of cycles (nodes), and of edges that leave it, numbered as the walk looks at them."""
-    pdf = pdf.sort_values(["ord", "src", "dst"], kind="stable")
+#: A cycle, or an edge that leaves its component, and at which place of the walk.
+_WALKED = "a string, src string, dst string, b string, at long, nodes array<string>"
+#: Names that a batch of what was walked holds, or one cycle that has more.
+_BATCH = 50_000
+
+
+def _walk(own: str, first: str, edges: Iterable[tuple[str, str, str]]) -> Iterator[tuple]:
+    """A component from its entry, by its sorted edges (src, dst, part): rows of cycles (nodes), and of edges that leave it, numbered as the walk looks at them."""
     graph: dict[str, list[tuple[str, str]]] = {}
-    for a, b, part in zip(pdf["src"], pdf["dst"], pdf["b"]):
+    for a, b, part in edges:
         graph.setdefault(a, []).append((b, part))
-    own, first = pdf["a"].iloc[0], pdf["entry"].iloc[0]
-    done, path, on_path, todo, rows, n = {first}, [first], {first: 0}, [iter(graph[first])], [], 0
+    done, path, on_path, todo, n = {first}, [first], {first: 0}, [iter(graph[first])], 0
     while todo:
         for nxt, part in todo[-1]:
             n += 1
             if part != own:
-                rows.append((own, path[-1], nxt, part, n, None))
+                yield own, path[-1], nxt, part, n, None
             elif nxt in on_path:
-                rows.append((own, path[-1], nxt, part, n, path[on_path[nxt] :] + [nxt]))
+                yield own, path[-1], nxt, part, n, path[on_path[nxt] :] + [nxt]
             elif nxt not in done:
                 done.add(nxt)
                 on_path[nxt] = len(path)
@@ -93,7 +100,23 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
         else:
             todo.pop()
             del on_path[path.pop()]
-    return pd.DataFrame(rows, columns=["a", "src", "dst", "b", "at", "nodes"])
+
+
+def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of a task one after the other, from rows (a, entry, src, dst, b) that lie together by a and are sorted there."""
+    kinds = [pa.string()] * 4 + [pa.int64(), pa.list_(pa.string())]
+    names = ["a", "src", "dst", "b", "at", "nodes"]
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    found, held = [], 0
+    for (own, first), edges in groupby(rows, key=lambda row: row[:2]):
+        for row in _walk(own, first, (e[2:] for e in edges)):
+            found.append(row)
+            held += 4 + len(row[-1] or ())
+            if held >= _BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
+                found, held = [], 0
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
 
 
 def back_edge_cycles(edges: DataFrame) -> DataFrame:
@@ -104,7 +127,7 @@ def back_edge_cycles(edges: DataFrame) -> DataFrame:
 
     A back edge never leaves a strongly connected component, and from where the walk enters one
     it sees all of it before it goes back, no matter what hangs on it. So each component is
-    walked in a task of its own, and only its entry depends on the others. The walk as a
+    walked by itself, and only its entry depends on the others. The walk as a
     whole looks at edges in the order of their paths from a first node, so the entry
     is the node with the smallest such path: components are taken in the order of their
     dependence, each path is that of the component before it and the number of the edge
@@ -132,8 +155,9 @@ def back_edge_cycles(edges: DataFrame) -> DataFrame:
         if events is not None:
             ways = ways.unionByName(events.join(ready.withColumnRenamed("a", "b"), "b", "left_semi").select(F.col("b").alias("a"), F.col("dst").alias("node"), "path"))
         entry = checkpointed(ways.groupBy("a").agg(F.min(F.struct("path", "node")).alias("way")).select("a", F.col("way.node").alias("entry"), "way.path"))
-        walked = here.filter("strong").select("a", "src", "dst", "ord", "b").join(entry.select("a", "entry"), "a").groupBy("a")
-        walked = checkpointed(walked.applyInPandas(_walk, "a string, src string, dst string, b string, at long, nodes array<string>"))
+        # many small components are a task's stream of rows: a call for each would cost far more than its walk
+        strongly = here.filter("strong").join(entry.select("a", "entry"), "a").repartition("a").sortWithinPartitions("a", "ord", "src", "dst")
+        walked = checkpointed(strongly.select("a", "entry", "src", "dst", "b").mapInArrow(_walks, _WALKED))
         out = walked.filter("nodes IS NOT NULL") if out is None else out.unionByName(walked.filter("nodes IS NOT NULL"))
         done = todo.join(ready, "a", "left_anti")
         todo = checkpointed(done)
