@@ -17,12 +17,13 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None,
     the driver sees one row a round.
     """
     key = F.lower if fold else F.col
-    edges = edges.select(key("src").alias("src"), key("dst").alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    # edges stay repeated, and are chosen by a semi-join, which goes below what makes them: else each round groups all of them
+    edges = edges.select(key("src").alias("src"), key("dst").alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL")
     front = start.select(key("id").alias("id")).distinct()
     found, depth = front.withColumn("depth", F.lit(0)), 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        new = front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(found.select("id"), "id", "left_anti")
+        new = edges.join(front.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(found.select("id"), "id", "left_anti")
         new = _cut(new)
         if new.isEmpty():
             break
