@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factgraph.functions import text as tx
 from factgraph.operators.closure import bounded_paths, reachable
 from factgraph.operators.cycles import back_edge_cycles
+from factgraph.operators.propagation import Blocks
 from factgraph.operators.resolve import first_by, last_by
 from factgraph.sources.scratch import checkpointed, in_order
 
@@ -186,56 +187,33 @@ def communities_exact(edges: DataFrame, iterations: int = 20) -> DataFrame:
     return found.join(name("id"), "id").join(name("label"), "label").select(F.col("_id").alias("id"), F.col("_label").alias("label"))
 
 
-#: Of as many nodes or fewer one has to have moved, or else a pass goes over all: most are next to a change then.
-_FEW = 1_000
-
-
 def communities_numbered(edges: DataFrame, iterations: int = 20) -> DataFrame:
-    """communities_exact of nodes that are numbers from 0 up to 2^31, in their order: edges (src, dst, weight, maybe met, the place where an edge is met).
+    """communities_exact of nodes that are numbers, in their order: edges (src, dst, maybe weight, else 1 a row, maybe met, the place where an edge is met), or members as Blocks takes them.
 
     Within a round a node's label depends on this round's labels of smaller neighbours and last round's of
     larger ones, so the round is the only fix point of all its nodes' rules: all take their
     labels at once, as if the smaller ones kept theirs, and whoever has a smaller neighbour
     that changed does so again, until nobody has. After k passes every node is final that
-    no chain of k smaller neighbours leads to, so a round ends. Once few nodes change, a pass reads only
-    those next to a change; a node that goes again without need finds what it has. Each pass is two
-    exchanges and is stored; a component of any size is spread over all tasks.
+    no chain of k smaller neighbours leads to, so a round ends. Only nodes next to a change choose again;
+    one that goes again without need finds what it has. A pass sends labels between blocks of nodes
+    (operators/propagation.py) and is stored; a component of any size is spread over all tasks.
     """
-    met = F.col("met") if "met" in edges.columns else F.shiftleft(F.col("src").cast("long"), 32).bitwiseOR(F.col("dst").cast("long"))
-    rows = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("long").alias("weight"), met.alias("met"))
-    ends = F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("id"), F.col("src").alias("other")))
-    around = checkpointed(rows.select("weight", "met", F.inline(ends)).groupBy("id", "other").agg(F.sum("weight").alias("weight"), F.min("met").alias("met")))
-    labels = checkpointed(around.select("id").distinct().select("id", F.col("id").alias("last"), F.col("id").alias("label"), F.lit(True).alias("moved")))
-    nodes = labels.count()
-
-    def beside(moved: DataFrame, many: int, where: str) -> DataFrame:
-        """around, of the nodes that have a neighbour among those that moved."""
-        if many * _FEW > nodes:
-            return around
-        asked = around.join(moved.filter("moved").select(F.col("id").alias("other")), "other", "left_semi").filter(where).select("id").distinct()
-        return around.join(asked, "id", "left_semi")
-
-    many = nodes
-    for _ in range(iterations):
-        # a larger neighbour, or the node itself, brings what it had after the last round
-        here = beside(labels, many, "other >= id")
-        labels = labels.select("id", F.col("label").alias("last"), "label")
-        while True:
-            seen = labels.select(F.col("id").alias("other"), F.col("last").alias("_last"), F.col("label").alias("_label")).hint("shuffle_hash")
-            found = here.join(seen, "other").select("id", F.when(F.col("other") < F.col("id"), F.col("_label")).otherwise(F.col("_last")).alias("new"), "weight", "met")
-            # one exchange for both aggregates; there is little to add up before
-            found = found.repartition("id").groupBy("id", "new").agg(F.sum("weight").alias("weight"), F.min("met").alias("met"))
-            best = found.groupBy("id").agg(F.min_by("new", F.struct(-F.col("weight"), "met")).alias("new"))
-            labels = checkpointed(labels.join(best, "id", "left").select("id", "last", F.coalesce("new", "label").alias("label"), F.coalesce(F.col("new") != F.col("label"), F.lit(False)).alias("moved")))
-            many = labels.filter("moved").count()
-            if not many:
+    blocks = Blocks(edges, in_place=True)
+    try:
+        labels = checkpointed(blocks.start().select("id", F.col("label").alias("last"), "label", F.lit(True).alias("moved")))
+        beside = "any"
+        for _ in range(iterations):
+            while True:
+                labels = checkpointed(blocks.pass_in_place(labels, beside))
+                if labels.filter("moved").isEmpty():
+                    break
+                beside = "before"
+            labels = labels.select("id", F.col("label").alias("last"), "label", (F.col("label") != F.col("last")).alias("moved"))
+            if labels.filter("moved").isEmpty():
                 break
-            here = beside(labels, many, "other < id")
-            labels = labels.drop("moved")
-        labels = labels.withColumn("moved", F.col("label") != F.col("last"))
-        many = labels.filter("moved").count()
-        if not many:
-            break
+            beside = "after"
+    finally:
+        blocks.drop()
     return labels.select("id", "label")
 
 

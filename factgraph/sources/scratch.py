@@ -42,10 +42,26 @@ def stored(df: DataFrame, what: str, by: str | None = None) -> tuple[DataFrame,
     path = f"{scratch_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     for made in _OPEN:
         made.add(path)
-    df.write.option("compression", "zstd").partitionBy(*([by] if by else [])).parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").partitionBy(*([by] if by else [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+#: Whether Spark removes the shuffle files of a job of SQL as soon as it ends.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside is read from its files from then on, so its shuffle files go at once: else those of all rounds lie on disk until the driver collects garbage."""
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANED, before) if before is not None else spark.conf.unset(CLEANED)
+
+
 def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     """df, stored and read back.
 
