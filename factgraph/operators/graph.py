@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from factgraph.functions import text as tx
 from factgraph.operators.closure import bounded_paths, reachable
@@ -217,19 +218,41 @@ def communities_numbered(edges: DataFrame, iterations: int = 20) -> DataFrame:
     return labels.select("id", "label")
 
 
+def _labels_in_sync(edges: DataFrame, iterations: int, inside: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Stored labels of communities_sync, and of each label the members' neighbours (Blocks.inside), if asked for."""
+    kind = edges.schema["members"].dataType.elementType if "members" in edges.columns else edges.schema["src"].dataType
+    names = None
+    if not isinstance(kind, IntegralType):
+        names = in_order(edges.filter("src != dst").select(F.explode(F.array("src", "dst")).alias("name")).distinct(), "n", "name")
+        number = lambda end: names.select(F.col("name").alias(end), F.col("n").alias(f"_{end}"))
+        edges = edges.join(number("src"), "src").join(number("dst"), "dst").drop("src", "dst").withColumnsRenamed({"_src": "src", "_dst": "dst"})
+    named = lambda rows, key: rows.withColumn(key, F.col(key).cast(kind)) if names is None else rows.join(names.select(F.col("n").alias(key), "name"), key).drop(key).withColumnRenamed("name", key)
+    blocks = Blocks(edges, in_place=False)
+    try:
+        labels = checkpointed(blocks.start())
+        for _ in range(iterations):
+            labels = checkpointed(blocks.sync_round(labels))
+            if labels.filter("moved").isEmpty():  # nor would any other round change anything
+                break
+            labels = labels.drop("moved")
+        found = checkpointed(blocks.inside(labels.select("id", "label"))) if inside else None
+    finally:
+        blocks.drop()
+    return named(named(labels, "id"), "label").select("id", "label"), named(found, "label") if inside else None
+
+
 def communities_sync(edges: DataFrame, iterations: int = 5) -> DataFrame:
-    """(id, label): all nodes take at once the heaviest label around them, ties to the least; a fixed number of rounds."""
-    both = edges.select("src", "dst", "weight").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    # stored, as every round reads them
-    both = checkpointed(both.filter("src != dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    labels = both.select(F.col("src").alias("id"), F.col("src").alias("label")).distinct()
-    for i in range(iterations):
-        # rows of a node go to one task before both aggregates: there are next to none to add up before, and it is one exchange for two
-        around = both.join(labels, F.col("dst") == F.col("id")).select("src", "label", "weight").repartition("src").groupBy("src", "label").agg(F.sum("weight").alias("w"))
-        labels = around.groupBy(F.col("src").alias("id")).agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label"))
-        if i % 4 == 3:
-            labels = checkpointed(labels)
-    return labels
+    """(id, label): all nodes take at once the heaviest label around them, ties to the least; a fixed number of rounds.
+
+    edges: src, dst, maybe weight, else 1 a row; or members, an array of numbers a row, each two of which are an edge. A
+    round sends labels between blocks of nodes (operators/propagation.py).
+    """
+    return _labels_in_sync(edges, iterations, False)[0]
+
+
+def communities_sync_stats(edges: DataFrame, iterations: int = 5, most: int | None = 30) -> DataFrame:
+    """community_stats of communities_sync: inner edges are counted where the labels were found, block by block."""
+    return _shown_stats(*_labels_in_sync(edges, iterations, True), most)
 
 
 def community_stats(labels: DataFrame, edges: DataFrame, most: int | None = 30) -> DataFrame:
@@ -237,6 +260,10 @@ def community_stats(labels: DataFrame, edges: DataFrame, most: int | None = 30)
     both = mirrored(edges).filter("src != dst").distinct()
     joined = both.join(labels.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst", "left")
     inside = joined.groupBy(F.col("a").alias("label")).agg(F.count("*").alias("total"), F.count_if(F.col("a") == F.col("b")).alias("intra"))
+    return _shown_stats(labels, inside, most)
+
+
+def _shown_stats(labels: DataFrame, inside: DataFrame, most: int | None) -> DataFrame:
     sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
     out = sizes.join(inside, "label", "left").select(
         "label", "members", F.when(F.col("members") <= 1, 1.0).when(F.col("total").isNull(), 0.0).otherwise(F.col("intra") / F.col("total")).alias("cohesion")
