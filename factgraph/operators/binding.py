@@ -102,11 +102,19 @@ def local_names(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
 
     A local is seen in the block that holds its declaration, that of a loop or a `using` in the
     statement, a lambda's parameter in the lambda. written: the type as it stands there; value_id: the first value of a `var`.
+    What stands around declarations is picked out of the nodes and stored, step by step: in one job all
+    nodes were shuffled for each join, and all of that lay on disk at once.
     """
     at = nodes.select("doc_id", "owner_symbol", "node_id", "parent_id", "kind", "text", "pre", "post")
     up = lambda p: at.select("doc_id", F.col("node_id").alias("parent_id" if p == "p" else "p_parent"), F.col("kind").alias(f"{p}_kind"), F.col("pre").alias(f"{p}_pre"), F.col("post").alias(f"{p}_post"), F.col("parent_id").alias(f"{p}_parent"))
+    own = checkpointed(at.filter("kind IN ('VariableDeclarator', 'Parameter') AND text != ''"))
+    loops = at.filter("kind = 'ForEachStatement' AND text != ''")
+    parents = checkpointed(up("p").join(own, ["doc_id", "parent_id"], "left_semi"))
+    above = checkpointed(up("g").join(parents, ["doc_id", "p_parent"], "left_semi"))
+    heads = own.select("doc_id", F.col("parent_id").alias("of")).unionByName(own.select("doc_id", F.col("node_id").alias("of"))).unionByName(loops.select("doc_id", F.col("node_id").alias("of")))
     first = at.select("doc_id", F.col("parent_id").alias("of"), F.col("pre").alias("f_pre"), F.col("text").alias("f_text"), F.col("node_id").alias("f_id"))
-    own = at.filter("kind IN ('VariableDeclarator', 'Parameter') AND text != ''").join(up("p"), ["doc_id", "parent_id"]).join(up("g"), ["doc_id", "p_parent"], "left")
+    first = checkpointed(first.join(heads, ["doc_id", "of"], "left_semi"))
+    own = own.join(parents, ["doc_id", "parent_id"]).join(above, ["doc_id", "p_parent"], "left")
     # the type is the first child of what holds the declaration, the value the only child of the name
     typed = own.join(first.select("doc_id", F.col("of").alias("parent_id"), F.col("f_pre").alias("t_pre"), F.col("f_text").alias("t_text")), ["doc_id", "parent_id"], "left").filter("t_pre IS NULL OR t_pre = p_pre + 1")
     valued = typed.join(first.select("doc_id", F.col("of").alias("node_id"), F.col("f_pre").alias("v_pre"), F.col("f_id").alias("value_id")), ["doc_id", "node_id"], "left").filter("v_pre IS NULL OR v_pre = pre + 1")
@@ -117,7 +125,7 @@ def local_names(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
         F.when(held, F.col("g_pre")).when(headed, F.col("p_pre")).otherwise(-1).alias("low"), F.when(held, F.col("g_post")).when(headed, F.col("p_post")).otherwise(2**31 - 1).alias("high"),
         F.when((F.col("kind") == "VariableDeclarator") & (held | headed), F.col("t_text")).alias("written"), F.when(held | headed, F.col("value_id")).alias("value_id"),
     )
-    each = at.filter("kind = 'ForEachStatement' AND text != ''").join(first.withColumnRenamed("of", "node_id"), ["doc_id", "node_id"]).filter("f_pre = pre + 1").select(
+    each = loops.join(first.withColumnRenamed("of", "node_id"), ["doc_id", "node_id"]).filter("f_pre = pre + 1").select(
         "doc_id", "owner_symbol", F.col("text").alias("name"), F.col("pre").alias("low"), F.col("post").alias("high"), F.col("f_text").alias("written"), F.lit(None).cast("int").alias("value_id")
     )
     given = symbols.filter(F.lower("kind") == "method").select(F.col("display").alias("owner_symbol"), F.explode("params").alias("p"))
@@ -148,9 +156,10 @@ def bind_leaves(at: DataFrame, symbols: DataFrame, inherits: DataFrame, usings:
     (the first value of a `var`). No rounds are needed here.
     """
     shape = "doc_id", "node_id", "symbol", "kind", "type"
-    parent = at.select("doc_id", F.col("node_id").alias("parent_id"), F.col("kind").alias("p_kind"), F.col("pre").alias("p_pre"))
+    # of an access only what it begins with has no receiver
+    parent = at.filter(F.col("kind").isin(*ACCESSES)).select("doc_id", F.col("node_id").alias("parent_id"), F.col("pre").alias("p_pre"))
     names = at.filter("kind = 'IdentifierName' AND text != ''").withColumnRenamed("text", "name").join(parent, ["doc_id", "parent_id"], "left")
-    names = checkpointed(names.filter(~F.col("p_kind").isin(*ACCESSES) | (F.col("pre") == F.col("p_pre") + 1) | F.col("p_kind").isNull()).select("doc_id", "owner_symbol", "home", "node_id", "pre", "name"))
+    names = checkpointed(names.filter("p_pre IS NULL OR pre = p_pre + 1").select("doc_id", "owner_symbol", "home", "node_id", "pre", "name"))
 
     # locals of the innermost block
     local = bind_types(local_names(at, symbols).withColumn("place", outer(F.col("owner_symbol"))), symbols, usings)
